@@ -14,6 +14,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,12 +29,19 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in one packing group; bounds a task's memory.
 GROUP_PIECES = 100_000
-#: Strings whose ids a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+#: Words whose ids a worker remembers; later ones are encoded anew.
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level vocabulary's letter for each byte: printable Latin-1 stands for itself, others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids as little-endian bytes, remembering the ids of words.
 
@@ -42,12 +50,16 @@ class Encoder:
     white space or by the end, the text is encoded whole.
     """
 
+    loose_space = re.compile(r" (?=\s|$)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.marks = dict(zip(",.", self.whole([",", "."]), strict=True))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -58,37 +70,46 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of a space and a word, for all the words: those remembered and the new ones."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        found = dict(zip(new, self.whole([" " + w for w in new]), strict=True))
-        self.known.update((w, b) for w, b in found.items() if len(w) <= CACHE_CHARS)
-        return self.known if len(found) == 0 or max(map(len, found)) <= CACHE_CHARS else _Both(self.known, found)
+    def _letters_only(self, word: str) -> bytes:
+        """Ids of a space and letters: one unit of the splitting rule, so the model is asked directly."""
+        unit = (" " + word).encode().decode("latin-1").translate(self.letters)
+        return np.asarray([t.id for t in self.tokenizer.model.tokenize(unit)], dtype="<u4").tobytes()
+
+    def words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of a space and a word, for all the words."""
+        found, rest, known = {}, [], self.known
+        for w in words.difference(known):
+            if w.isalpha():
+                found[w] = self._letters_only(w)
+            elif w[-1] in ",." and w[:-1].isalpha():
+                found[w] = (known.get(w[:-1]) or self._letters_only(w[:-1])) + self.marks[w[-1]]
+            else:
+                rest.append(w)
+        found.update(zip(rest, self.whole([" " + w for w in rest]), strict=True))
+        if len(known) + len(found) > CACHE_ENTRIES or any(len(w) > CACHE_CHARS for w in rest):
+            return _Both(found, known)
+        known.update(found)
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        plain = [len(p) > 1 and all(w and not w[0].isspace() for w in p[1:]) for p in split]
-        words: set[str] = set()
-        for p, ok in zip(split, plain, strict=True):
-            if ok:
-                words.update(p[1:])
-        ids = self.learn(words)
-        heads = iter(self.whole([p[0] if ok else t for t, p, ok in zip(texts, split, plain, strict=True)]))
-        get = ids.__getitem__
-        return [next(heads) + b"".join(map(get, p[1:])) if ok else next(heads) for p, ok in zip(split, plain, strict=True)]
+        split = [[t] if self.loose_space.search(t) else t.split(" ") for t in texts]
+        heads, words = [p[0] for p in split], set()
+        for p in split:
+            del p[0]
+            words.update(p)
+        get = self.words(words).__getitem__
+        return [head + b"".join(map(get, p)) for head, p in zip(self.whole(heads), split, strict=True)]
 
 
 class _Both(dict):
     """Looks in one mapping, then in another."""
 
     def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
+        super().__init__(first)
+        self.second = second
 
     def __missing__(self, key):
-        return self.first[key]
+        return self.second[key]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
