@@ -7,6 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learn_profiles
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn_profiles(docs))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,7 +35,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op6_toxicity, op8_best_fit_packing, op10_source_mixing)}
 
 SQL: dict[str, str] = {}
 SQL["op10_source_mixing"] = r"""
