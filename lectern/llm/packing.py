@@ -14,7 +14,6 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,24 +41,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class LooseSpace(ValueError):
+    """A space before white space or the end: its text can't be cut there."""
+
+
+class Words(dict):
+    """The ids of words, each with the same lead (a space or nothing), as little-endian bytes; filled on demand."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, word: str) -> bytes:
+        encoder = self.encoder
+        left, _, right = word.partition("\n")
+        if not word and self.lead:
+            raise LooseSpace
+        if word[:1].isspace() and self.lead:
+            raise LooseSpace
+        if word.isalpha():
+            ids = encoder.letters_only(self.lead + word)
+        elif word and word[-1] in encoder.marks and word[:-1].isalpha():
+            ids = self[word[:-1]] + encoder.marks[word[-1]]
+        elif left and right and not left[-1].isspace() and not right[0].isspace():
+            ids = self[left] + encoder.line_end + encoder.bare[right]
+        else:
+            ids = encoder.whole(self.lead + word)
+        if len(self) < CACHE_ENTRIES and len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids as little-endian bytes, remembering the ids of words.
 
     The vocabulary's splitting rule attaches one space to what follows it, so a text may be cut before any
-    space that precedes a non-space: the parts' ids, joined, are the text's ids. Where a space is followed by
-    white space or by the end, the text is encoded whole.
+    space that precedes a non-space, and around a single line end between other characters: the parts' ids,
+    joined, are the text's ids. Where a space is followed by white space or by the end, the text is encoded whole.
     """
 
-    loose_space = re.compile(r" (?=\s|$)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         self.letters = _byte_letters()
-        self.marks = dict(zip(",.", self.whole([",", "."]), strict=True))
+        self.marks = {c: self.whole(c) for c in ",."}
+        self.line_end = self.whole("\n")
+        self.spaced, self.bare = Words(self, " "), Words(self, "")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -67,49 +96,20 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _letters_only(self, word: str) -> bytes:
-        """Ids of a space and letters: one unit of the splitting rule, so the model is asked directly."""
-        unit = (" " + word).encode().decode("latin-1").translate(self.letters)
+    def letters_only(self, unit: str) -> bytes:
+        """Ids of letters, perhaps after a space: one unit of the splitting rule, so the model is asked directly."""
+        unit = unit.encode().decode("latin-1").translate(self.letters)
         return np.asarray([t.id for t in self.tokenizer.model.tokenize(unit)], dtype="<u4").tobytes()
 
-    def words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of a space and a word, for all the words."""
-        found, rest, known = {}, [], self.known
-        for w in words.difference(known):
-            if w.isalpha():
-                found[w] = self._letters_only(w)
-            elif w[-1] in ",." and w[:-1].isalpha():
-                found[w] = (known.get(w[:-1]) or self._letters_only(w[:-1])) + self.marks[w[-1]]
-            else:
-                rest.append(w)
-        found.update(zip(rest, self.whole([" " + w for w in rest]), strict=True))
-        if len(known) + len(found) > CACHE_ENTRIES or any(len(w) > CACHE_CHARS for w in rest):
-            return _Both(found, known)
-        known.update(found)
-        return known
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if self.loose_space.search(t) else t.split(" ") for t in texts]
-        heads, words = [p[0] for p in split], set()
-        for p in split:
-            del p[0]
-            words.update(p)
-        get = self.words(words).__getitem__
-        return [head + b"".join(map(get, p)) for head, p in zip(self.whole(heads), split, strict=True)]
-
-
-class _Both(dict):
-    """Looks in one mapping, then in another."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key):
-        return self.second[key]
+    def encode(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        try:
+            return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        except LooseSpace:
+            return self.whole(text)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -118,18 +118,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = Encoder.of(tokenizer_path), np.uint32(END_ID).astype("<u4").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                out = []
-                for doc_id, ids in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    stop = n % capacity or capacity
-                    start = 0
-                    for piece in range(-(-n // capacity)):
-                        out.append((doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
-                        start, stop = stop, stop + capacity
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = encoder.encode(text or "") + end
+                n = len(ids) // 4
+                start, stop = 0, n % capacity or capacity
+                for piece in range(-(-n // capacity)):
+                    out.append((doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                    start, stop = stop, stop + capacity
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 

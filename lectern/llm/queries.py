@@ -21,6 +21,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +41,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_toxicity, op8_best_fit_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op10_source_mixing)}
 
 SQL: dict[str, str] = {}
 SQL["op10_source_mixing"] = r"""

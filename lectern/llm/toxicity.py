@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-MAX_TRAIN_DOCS = 20_000
+MAX_TRAIN_DOCS = 12_000
 MAX_TERMS = 5_000
-STEMS = range(4, 9)
+STEMS = range(4, 8)
 WINDOW = 12
 #: A term's log-likelihood ratio and share of toxic documents, at least.
 MIN_EVIDENCE, MIN_SHARE = 16.0, 0.8
@@ -70,9 +70,9 @@ class Trie:
         return None
 
     def near(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within the word's edit allowance, by intersecting its automaton with the trie."""
-        allowed = 0 if len(word) < 5 else 1 if len(word) < 10 else 2
-        if allowed == 1 and not any(word[:n] in self.heads for n in self.head_sizes) and not any(word[-n:] in self.tails for n in self.tail_sizes):
+        """The nearest term within one edit (none for words under five letters), by intersecting the word's automaton with the trie."""
+        allowed = int(len(word) >= 5)
+        if not any(word[:n] in self.heads for n in self.head_sizes) and not any(word[-n:] in self.tails for n in self.tail_sizes):
             return None  # one edit leaves a term's first or second half whole
         best = None
         # A state is the set of the automaton's live positions: edits spent at each place in the word.
@@ -132,7 +132,7 @@ class Lexicon:
         if distinct.isdisjoint(hits):
             return [0.0] * len(FEATURES)
         n, places = Counter(), []
-        around = [m for m in _word.finditer(text)]
+        around = list(_word.finditer(text))
         quotes = np.asarray([i for i, c in enumerate(text) if c in QUOTES], np.int64)
         for at, m in enumerate(around):
             if (hit := hits.get(m[0])) is None:
@@ -172,25 +172,30 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
-    """Terms of labelled rows (text, toxic); counts are summed by Spark, and the best MAX_TERMS are kept."""
+    """Terms of labelled rows (text, toxic); counts are summed by Spark, and the best MAX_TERMS are kept.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                n[toxic].update(_terms(text))
-            yield pd.DataFrame({"term": list(n[1]), "t": list(n[1].values()), "c": [n[0][x] for x in n[1]]})
-            only = [x for x in n[0] if x not in n[1]]
-            yield pd.DataFrame({"term": only, "t": 0, "c": [n[0][x] for x in only]})
+    Terms are counted in toxic rows first; only those found there often enough are counted in all others.
+    """
+
+    def count(toxic: int, wanted: frozenset[str] | None):
+        def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                n: Counter = Counter()
+                for text in batch["text"][batch["toxic"] == toxic]:
+                    n.update(_terms(text) if wanted is None else _terms(text) & wanted)
+                yield pd.DataFrame({"term": list(n), "n": list(n.values())}).astype({"term": str, "n": "int64"})
+
+        return train.select("text", "toxic").mapInPandas(inner, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
     n_toxic, n_clean = (train.agg(F.count(F.when(F.col("toxic") == k, 1))).first()[0] for k in (1, 0))
     if not n_toxic or not n_clean:
         return Lexicon([], [])
-    counts = train.select("text", "toxic").mapInPandas(count, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counts = counts.filter((F.col("t") > 2) & (F.col("t") >= MIN_SHARE * (F.col("t") + F.col("c")))).orderBy(F.desc("t"), "c", "term").limit(20 * MAX_TERMS)
-    found = counts.toPandas()
-    found = found[_evidence(found["t"].to_numpy(float), found["c"].to_numpy(float), n_toxic, n_clean) >= MIN_EVIDENCE].head(MAX_TERMS)
-    terms = set(found["term"])
+    toxic = count(1, None).filter(F.col("n") > 2).orderBy(F.desc("n"), "term").limit(40 * MAX_TERMS).toPandas().set_index("term")["n"]
+    clean = count(0, frozenset(toxic.index)).toPandas().set_index("term")["n"].reindex(toxic.index, fill_value=0)
+    t, c = toxic.to_numpy(float), clean.to_numpy(float)
+    evidence = _evidence(t, c, n_toxic, n_clean)
+    good = (t >= MIN_SHARE * (t + c)) & (evidence >= MIN_EVIDENCE)
+    terms = set(toxic.index[good][np.argsort(-evidence[good], kind="stable")[:MAX_TERMS]])
     stems = [t for t in terms if t[0] != "=" and not any(t[:k] in terms for k in range(min(STEMS), len(t)))]
     return Lexicon(sorted(t[1:] for t in terms if t[0] == "="), sorted(stems))
 
@@ -222,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
             yield pd.DataFrame(x, columns=list(FEATURES)).assign(toxic=batch["toxic"].to_numpy())
 
     schema = ", ".join(f"`{f}` double" for f in FEATURES) + ", toxic int"
-    # Equal feature rows are counted by Spark; there are max_train_docs at most.
+    # max_train_docs rows at most.
     found = rows.mapInPandas(features, schema).toPandas()
     y = found.pop("toxic").to_numpy(float)
     if not len(y) or y.min() == y.max():
