@@ -14,6 +14,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn_profiles(docs))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import find_repeats
+
+    return find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -41,7 +47,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_substring_dedup, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op10_source_mixing)}
 
 SQL: dict[str, str] = {}
 SQL["op10_source_mixing"] = r"""
