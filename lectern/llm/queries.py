@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import compacted
+
+    return compacted(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, learn_profiles
 
@@ -41,15 +47,54 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_substring_dedup, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_dedup, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing)}
 
 SQL: dict[str, str] = {}
+SQL["op1_sharding"] = """
+WITH docs AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+         (coalesce(doc_id, 0) - ((coalesce(doc_id, 0) % 512) + 512) % 512) // 512 AS arrival
+  FROM documents),
+shards AS (SELECT arrival, sum(n_bytes)::BIGINT AS b FROM docs GROUP BY arrival),
+tiers AS (SELECT *, CASE WHEN b < 65536 THEN 0 ELSE length(bin(b // 65536)) END AS tier FROM shards),
+runs AS (
+  SELECT arrival, tier, (coalesce(sum(b) OVER (PARTITION BY tier ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) // 67108864 AS run
+  FROM tiers WHERE b < 33554432),
+many AS (SELECT tier, run FROM runs GROUP BY ALL HAVING count(*) > 1),
+final AS (
+  SELECT t.arrival, t.b, t.tier, CASE WHEN m.run IS NULL THEN 'a' || t.arrival ELSE 'v2-m' || t.tier || '-' || m.run END AS shard
+  FROM tiers t LEFT JOIN runs r USING (arrival) LEFT JOIN many m ON m.tier = r.tier AND m.run = r.run),
+sized AS (SELECT shard, sum(b)::BIGINT AS b FROM final GROUP BY shard)
+SELECT doc_id, n_bytes, arrival, CASE WHEN s.b < 65536 THEN 0 ELSE length(bin(s.b // 65536)) END::INT AS tier, shard
+FROM docs JOIN final USING (arrival) JOIN sized s USING (shard)
+"""
+SQL["op9_embedding_dedup"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(least.b, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
+"""
 SQL["op10_source_mixing"] = r"""
 WITH sizes AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
