@@ -26,6 +26,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge, train
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -59,7 +66,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_dedup, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_dedup, op4_line_quality, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing)}
 
 SQL: dict[str, str] = {}
 SQL["op1_sharding"] = """
