@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import Scratch, fold
 
 MAX_TRAIN_DOCS = 12_000
 MAX_TERMS = 5_000
@@ -196,8 +196,13 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     evidence = _evidence(t, c, n_toxic, n_clean)
     good = (t >= MIN_SHARE * (t + c)) & (evidence >= MIN_EVIDENCE)
     terms = set(toxic.index[good][np.argsort(-evidence[good], kind="stable")[:MAX_TERMS]])
-    stems = [t for t in terms if t[0] != "=" and not any(t[:k] in terms for k in range(min(STEMS), len(t)))]
-    return Lexicon(sorted(t[1:] for t in terms if t[0] == "="), sorted(stems))
+    stems = {t for t in terms if t[0] != "=" and not any(t[:k] in terms for k in range(min(STEMS), len(t)))}
+    # A stem that nearly always is one word gives way to the word, which may then be misspelled; other stems cover their words.
+    words = [t[1:] for t in terms if t[0] == "="]
+    alone = {w: w[:k] for w in words for k in STEMS if w[:k] in stems and toxic["=" + w] >= 0.9 * toxic[w[:k]]}
+    stems -= set(alone.values())
+    words = [w for w in words if w in alone or not any(w[:k] in stems for k in STEMS)]
+    return Lexicon(sorted(words), sorted(stems))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -218,6 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     some = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 0))
     some = some.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(max_train_docs).drop("h")
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id").select("text", "toxic")
+    rows = Scratch(docs.sparkSession, "toxicity").save(rows, "train")  # max_train_docs texts, read several times below
     lexicon = learn_lexicon(rows)
     blank = Lexicon(lexicon.words, lexicon.stems)
 
