@@ -33,6 +33,12 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotations import reply_ordered
+
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -66,7 +72,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_dedup, op4_line_quality, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_dedup, op4_line_quality, op5_quotation_linking, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing)}
 
 SQL: dict[str, str] = {}
 SQL["op1_sharding"] = """
@@ -87,6 +93,36 @@ sized AS (SELECT shard, sum(b)::BIGINT AS b FROM final GROUP BY shard)
 SELECT doc_id, n_bytes, arrival, CASE WHEN s.b < 65536 THEN 0 ELSE length(bin(s.b // 65536)) END::INT AS tier, shard
 FROM docs JOIN final USING (arrival) JOIN sized s USING (shard)
 """
+SQL["op5_quotation_linking"] = r"""
+WITH msgs AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+keyed AS (SELECT *, row_number() OVER () AS k FROM msgs),
+raw AS (SELECT k, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM keyed),
+lines AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t>]*'), '[^>]', '', 'g')) AS level,
+         lower(trim(regexp_replace(regexp_replace(line, '^[ \t>]*', ''), '[ \t\r]+', ' ', 'g'))) AS norm FROM raw),
+own AS (SELECT conv_id, norm, min(turn) AS own_turn FROM lines WHERE level = 0 AND norm <> '' AND turn IS NOT NULL GROUP BY ALL),
+first AS (SELECT norm, conv_id AS fc, own_turn AS ft FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY conv_id, own_turn) AS r FROM own) WHERE r = 1),
+cand AS (
+  SELECT q.k, q.conv_id, q.level,
+         CASE WHEN o.own_turn < q.turn THEN q.conv_id WHEN f.fc <> q.conv_id THEN f.fc END AS sc,
+         CASE WHEN o.own_turn < q.turn THEN o.own_turn WHEN f.fc <> q.conv_id THEN f.ft END AS st
+  FROM lines q LEFT JOIN own o ON o.conv_id = q.conv_id AND o.norm = q.norm LEFT JOIN first f ON f.norm = q.norm
+  WHERE q.level > 0 AND q.norm <> ''),
+votes AS (SELECT k, conv_id, level, sc, st, count(*) AS c FROM cand WHERE sc IS NOT NULL GROUP BY ALL),
+reply AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, c DESC, (sc = conv_id) DESC, st DESC, sc) AS r FROM votes) WHERE r = 1),
+counts AS (SELECT k, count(*) FILTER (WHERE level > 0) AS n_quoted, max(level) AS max_level FROM lines WHERE norm <> '' GROUP BY k),
+clean AS (
+  SELECT k, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (regexp_matches(line, '(?i)(wrote|writes|schrieb|écrit|escribió) ?: *\r?$') AND coalesce(nxt, 0) > 0)) AS t
+  FROM (SELECT *, lead(level) OVER (PARTITION BY k ORDER BY i) AS nxt FROM lines) GROUP BY k),
+joined AS (
+  SELECT m.*, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(max_level, 0)::INT AS max_level, r.sc, r.st, coalesce(t, '') AS clean_text,
+         CASE WHEN r.sc = m.conv_id THEN m.turn END AS opens
+  FROM keyed m LEFT JOIN counts USING (k) LEFT JOIN reply r ON r.k = m.k LEFT JOIN clean USING (k)),
+threads AS (SELECT *, max(opens) OVER (PARTITION BY conv_id ORDER BY turn) AS thread_start FROM joined),
+parents AS (SELECT conv_id, opens, max(st) AS st FROM joined WHERE opens IS NOT NULL GROUP BY ALL)
+SELECT t.conv_id, turn, role, n_quoted, max_level, t.sc AS reply_conv, t.st AS reply_turn, thread_start, p.st AS thread_parent, clean_text
+FROM threads t LEFT JOIN parents p ON p.conv_id = t.conv_id AND p.opens = t.thread_start
+"""
 SQL["op9_embedding_dedup"] = """
 WITH RECURSIVE good AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings

@@ -32,7 +32,7 @@ MAX_TERMS = 5_000
 STEMS = range(4, 8)
 WINDOW = 12
 #: A term's log-likelihood ratio and share of toxic documents, at least.
-MIN_EVIDENCE, MIN_SHARE = 16.0, 0.8
+MIN_EVIDENCE, MIN_SHARE = 24.0, 0.8
 #: Words that a worker remembers having looked up.
 CACHE_ENTRIES = 800_000
 #: Verbs of reporting around a quotation, and words of address.
