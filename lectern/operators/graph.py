@@ -19,7 +19,7 @@ def edges(papers: DataFrame, references: DataFrame) -> DataFrame:
 
     papers: paper_id, keywords (array), field, doi. references: paper_id, doi.
     """
-    terms = papers.select(F.col("paper_id").alias("src"), F.lit("has_keyword").alias("kind"), keyword(F.explode("keywords")).alias("dst"))
+    terms = papers.select(F.col("paper_id").alias("src"), F.lit("has_keyword").alias("kind"), F.explode(F.transform("keywords", keyword)).alias("dst"))
     fields = papers.select(F.col("paper_id").alias("src"), F.lit("in_field").alias("kind"), keyword(F.col("field")).alias("dst"))
     known = papers.filter("doi is not null").groupBy("doi").agg(F.max("paper_id").alias("local"))
     cited = references.filter("doi is not null").join(known, "doi", "left").filter("local is null or local <> paper_id")

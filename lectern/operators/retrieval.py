@@ -64,6 +64,10 @@ def lengths(papers: DataFrame, columns: tuple[str, ...] = ("title", "abstract"))
     return papers.select("paper_id", F.size(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("length"))
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
 def bm25_search(papers: DataFrame, query: str, k: int = PER_PATH_K, columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
     """Papers that hold all terms, or, if none does, any; best BM25 first.
 
@@ -72,7 +76,7 @@ def bm25_search(papers: DataFrame, query: str, k: int = PER_PATH_K, columns: tup
     terms = query_terms(query)
     array = F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     rows = papers.select("paper_id", array.alias("terms"))
-    rows = rows.select("paper_id", F.size("terms").alias("length"), *[F.size(F.filter("terms", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    rows = rows.select("paper_id", F.size("terms").alias("length"), *[F.size(F.filter("terms", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     if not terms:
         return rows.select("paper_id", F.lit(0.0).alias("score")).limit(0)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
