@@ -27,12 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .graph import components
+from .graph import components, merged
 from .rolling import Prefix, mix64, words
 
 
@@ -48,6 +49,8 @@ class JoinSpec:
     cost_unit: int = 256
     max_match: int = 12
     bitmap_bits: int = 2048
+    #: Nodes on one side of a block.
+    block: int = 1024
     #: Bytes of text that are hashed together.
     chunk_bytes: int = 4_000_000
 
@@ -100,6 +103,14 @@ def prefix_length(n: int | np.ndarray, match: int | np.ndarray, percent: int) ->
     return np.minimum(n, n + (-percent * n) // 100 + match)
 
 
+def _marks(tokens: pd.Series, vocabulary: dict[int, int]) -> np.ndarray:
+    """Which of the vocabulary each row holds, as a matrix of zeros and ones."""
+    out = np.zeros((len(tokens), len(vocabulary)), np.float32)
+    for i, own in enumerate(tokens):
+        out[i, [vocabulary[t] for t in own if t in vocabulary]] = 1
+    return out
+
+
 @dataclass
 class JaccardJoin:
     docs: DataFrame
@@ -229,6 +240,62 @@ class JaccardJoin:
         pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text_hash").alias("ha"), F.col("text").alias("ta")), ["a", "ha"])
         return pairs.select("a", "b", "ha", "ta", "tb").mapInArrow(verify, "a bigint, b bigint").distinct()
 
+    def _apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components, ca and cb."""
+        side = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+        named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return named.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
+
+    def _across(self, lists: DataFrame, keys: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+        """(a, b, c): possible pairs of nodes in different components, with the prefix tokens that they share.
+
+        Lists with one head are read together, so a pair is met once for each head and not for each token. A head's nodes
+        outside its largest component are compared with all its nodes, as a grid of blocks of bounded size, and only
+        pairs that pass the sizes and the bitmaps leave a block.
+        """
+        named = keys.join(found, "node", "left").select("h1", "node", F.coalesce("component", "node").alias("component"))
+        spread = Window.partitionBy("token")
+        across = lists.select("token", "h1", "info", "head").join(named, "h1").withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
+        # A node's own prefix tokens, so the array is bounded by the document.
+        across = across.filter("lo < hi").groupBy("head", "node").agg(F.first("info").alias("info"), F.first("component").alias("component"), F.collect_set("token").alias("tokens"))
+        across = self.scratch.save(across, "across")
+        sizes = across.groupBy("head", "component").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.groupBy("head").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor")).filter("minor > 0")
+        block = self.spec.block
+        sizes = sizes.select("head", "main", F.ceil(F.col("minor") / block).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("cols"))
+        full = across.join(nodes.select("node", "bitmap"), "node").join(sizes, "head")
+        spot = F.xxhash64("node")
+        left = full.filter("component <> main").withColumn("row", F.pmod(spot, F.col("rows"))).withColumn("col", F.explode(F.expr("sequence(0L, cols - 1L)"))).withColumn("left", F.lit(True))
+        right = full.withColumn("col", F.pmod(spot, F.col("cols"))).withColumn("row", F.explode(F.expr("sequence(0L, rows - 1L)"))).withColumn("left", F.lit(False))
+        columns = ["head", "row", "col", "left", "node", "info", "component", "main", "tokens", "bitmap"]
+        percent = self.spec.percent
+
+        def match(group: pd.DataFrame) -> pd.DataFrame:
+            x, y = group[group["left"]], group[~group["left"]]
+            out = []
+            if len(x) and len(y):
+                vocabulary = {t: i for i, t in enumerate(set().union(*x["tokens"]))}
+                marks = lambda side: _marks(side["tokens"], vocabulary)
+                bits = lambda side: np.frombuffer(b"".join(side["bitmap"]), np.uint64).reshape(len(side), -1)
+                (mx, my), (bx, by) = (marks(x), marks(y)), (bits(x), bits(y))
+                (nx, lx), (ny, ly) = ((s["info"].to_numpy() >> 4, s["info"].to_numpy() & 15) for s in (x, y))
+                (ix, iy), (cx, cy), main = (x["node"].to_numpy(), y["node"].to_numpy()), (x["component"].to_numpy(), y["component"].to_numpy()), x["main"].iloc[0]
+                for i in range(len(x)):
+                    small, large = np.minimum(nx[i], ny), np.maximum(nx[i], ny)
+                    # Two nodes outside the main component meet twice; one of the meetings counts.
+                    j = np.flatnonzero((cy != cx[i]) & (100 * small >= percent * large) & ((cy == main) | (ix[i] < iy)))
+                    if not len(j):
+                        continue
+                    c = (my[j] @ mx[i]).astype(np.int64)
+                    most = np.minimum(nx[i] - np.bitwise_count(bx[i] & ~by[j]).sum(axis=1, dtype=np.int64), ny[j] - np.bitwise_count(by[j] & ~bx[i]).sum(axis=1, dtype=np.int64))
+                    keep = (c > 0) & (most * (100 + percent) >= percent * (nx[i] + ny[j]))
+                    j, c = j[keep], c[keep]
+                    out.append(pd.DataFrame({"a": np.minimum(ix[i], iy[j]), "b": np.maximum(ix[i], iy[j]), "c": c, "need": np.minimum(lx[i], ly[j])}))
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "c": [], "need": []}).astype("int64")
+
+        pairs = left.select(*columns).unionByName(right.select(*columns)).groupBy("head", "row", "col").applyInPandas(match, "a bigint, b bigint, c bigint, need bigint")
+        return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b", "c")
+
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every document."""
         survey = self._survey()
@@ -246,19 +313,18 @@ class JaccardJoin:
         pairs = self.scratch.save(self._possible(pairs, nodes), "pairs1")
         links = self.scratch.save(self._linked(pairs, nodes), "links1")
         found = self.scratch.save(components(links, self.scratch), "found1")
-        # Then whatever the lists hold across those components.
-        named = keys.join(found, "node", "left").select("h1", "node", F.coalesce("component", "node").alias("component"))
-        spread = Window.partitionBy("token")
-        across = lists.select("token", "h1", "info").join(named, "h1").withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
-        across = self.scratch.save(across.filter("lo < hi").select("token", "node", "info", "component"), "across")
-        x = across.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "info", "component")])
-        y = across.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "info", "component")])
-        pairs = x.join(y, "token").filter("node_a < node_b and component_a <> component_b").filter(self._fits("info_a", "info_b"))
-        pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least(F.col("info_a") % 16, F.col("info_b") % 16)).alias("match"))
-        pairs = pairs.filter("c >= match").select("a", "b")
-        pairs = self.scratch.save(self._possible(pairs, nodes), "pairs2")
-        more = self.scratch.save(self._linked(pairs, nodes), "links2")
-        final = components(links.unionByName(more), Scratch(self.spark, "jaccard"))
+        # Then whatever the lists hold across those components; the likeliest partner in each component goes first.
+        pairs = self.scratch.save(self._across(lists, keys, nodes, found), "pairs2")
+        both = self._apart(pairs, found).select("a", "b", "c", "ca", "cb")
+        one = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+        one = one.groupBy("a", "ca", "cb").agg(F.max_by("b", F.struct("c", "b")).alias("b"), F.max("c").alias("c"))
+        one = one.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a")).alias("p")).select("p.a", "p.b")
+        likely = self.scratch.save(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
+        links = self.scratch.save(self._linked(likely, nodes), "links2")
+        found = merged(found, links, self.scratch, "found2")
+        rest = self._apart(pairs, found).select("a", "b").join(likely, ["a", "b"], "left_anti")
+        rest = self.scratch.save(rest, "rest")
+        final = merged(found, self.scratch.save(self._linked(rest, nodes), "links3"), self.scratch, "found3")
         ids = least.join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
         out = sets.select("doc_id", "n", "h1", "h2").join(ids, ["h1", "h2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
