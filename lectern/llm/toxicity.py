@@ -31,8 +31,8 @@ MAX_TRAIN_DOCS = 12_000
 MAX_TERMS = 5_000
 STEMS = range(4, 8)
 WINDOW = 12
-#: A term's log-likelihood ratio and share of toxic documents, at least.
-MIN_EVIDENCE, MIN_SHARE = 24.0, 0.8
+#: A term's log-likelihood ratio, share of toxic documents among its own, and share of all toxic documents, at least.
+MIN_EVIDENCE, MIN_SHARE, MIN_REACH = 16.0, 0.8, 0.015
 #: Words that a worker remembers having looked up.
 CACHE_ENTRIES = 800_000
 #: Verbs of reporting around a quotation, and words of address.
@@ -55,9 +55,12 @@ class Trie:
                 for c in t:
                     node = node.setdefault(c, {})
                 node[kind] = t
-        self.heads = {w[: len(w) // 2] for w in words}
-        self.tails = {w[len(w) // 2 :] for w in words}
-        self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
+        # Halves of the terms, with the lengths of words that one edit can make of them.
+        self.halves: dict[int, set[tuple[int, str]]] = {}
+        for w in words:
+            for n in (len(w) - 1, len(w), len(w) + 1):
+                self.halves.setdefault(n, set()).update({(len(w) // 2, w[: len(w) // 2]), (len(w) // 2 - len(w), w[len(w) // 2 :])})
+        self.places = {n: sorted({k for k, _ in h}) for n, h in self.halves.items()}
 
     def stem(self, word: str) -> str | None:
         node = self.root
@@ -72,7 +75,8 @@ class Trie:
     def near(self, word: str) -> tuple[str, int] | None:
         """The nearest term within one edit (none for words under five letters), by intersecting the word's automaton with the trie."""
         allowed = int(len(word) >= 5)
-        if not any(word[:n] in self.heads for n in self.head_sizes) and not any(word[-n:] in self.tails for n in self.tail_sizes):
+        halves = self.halves.get(len(word), ())
+        if not any((k, word[:k] if k > 0 else word[k:]) in halves for k in self.places.get(len(word), ())):
             return None  # one edit leaves a term's first or second half whole
         best = None
         # A state is the set of the automaton's live positions: edits spent at each place in the word.
@@ -194,7 +198,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     clean = count(0, frozenset(toxic.index)).toPandas().set_index("term")["n"].reindex(toxic.index, fill_value=0)
     t, c = toxic.to_numpy(float), clean.to_numpy(float)
     evidence = _evidence(t, c, n_toxic, n_clean)
-    good = (t >= MIN_SHARE * (t + c)) & (evidence >= MIN_EVIDENCE)
+    good = (t >= MIN_SHARE * (t + c)) & (evidence >= MIN_EVIDENCE) & (t >= MIN_REACH * n_toxic)
     terms = set(toxic.index[good][np.argsort(-evidence[good], kind="stable")[:MAX_TERMS]])
     stems = {t for t in terms if t[0] != "=" and not any(t[:k] in terms for k in range(min(STEMS), len(t)))}
     # A stem that nearly always is one word gives way to the word, which may then be misspelled; other stems cover their words.
