@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.vectors import cosine, mean_pooled
-from lectern.operators import coupling, documents, graph, library, retrieval
+from lectern.operators import coupling, documents, extraction, graph, library, retrieval
 from lectern.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -544,3 +544,54 @@ def events_windowed(spark, sf_dir):
     """Beyond the library's own needs: events by hour and type."""
     events = S.load(spark, sf_dir, "events")
     return events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# Extraction
+
+
+@query("SELECT DISTINCT l_orderkey AS doc, l_linenumber AS page, k AS reference FROM (SELECT *, unnest([l_partkey % 50, l_partkey % 50 + 2, l_partkey % 50 + 3]) AS k FROM lineitem)")
+def citations_found(spark, sf_dir):
+    """A line item is a page that cites three works by number, one of them alone and two as a range."""
+    n = F.col("l_partkey") % 50
+    text = F.concat(F.lit("It is known. As "), F.lit("shown in ["), n.cast("string"), F.lit(","), (n + 2).cast("string"), F.lit("-"), (n + 3).cast("string"), F.lit("] before. And so on."))
+    pages = S.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), text.alias("text"))
+    return extraction.citations(pages).select("doc", "page", "reference")
+
+
+@query("SELECT DISTINCT o_custkey AS doc, o_orderkey AS page, c_nationkey AS reference FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 < 2 AND year(o_orderdate) = 1995")
+def author_year_found(spark, sf_dir):
+    """An order is a page that cites its customer's segment, as an author, by the order's year; works are of 1995."""
+    orders, customer = S.load(spark, sf_dir, "orders"), S.load(spark, sf_dir, "customer")
+    name, year = F.initcap(F.lower("c_mktsegment")), F.year("o_orderdate").cast("string")
+    forms = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("as in ("), name, F.lit(" and Other, "), year, F.lit(")"))).when(F.col("o_orderkey") % 3 == 1, F.concat(name, F.lit(" et al. ("), year, F.lit(") say"))).otherwise(F.concat(name, F.lit(" in "), year))
+    both = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    pages = both.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"), forms.alias("text"))
+    works = customer.select(F.col("c_custkey").alias("doc"), F.col("c_nationkey").alias("reference"), F.initcap(F.lower("c_mktsegment")).alias("first_author"), F.lit(1995).alias("year"))
+    return extraction.author_year_citations(pages, works)
+
+
+@query("WITH l AS (SELECT p_size AS doc, p_partkey AS seq, CASE WHEN p_partkey % 3 = 0 THEN '[' || p_partkey || '] ' || p_name ELSE 'more ' || p_brand END AS line, (p_partkey % 3 = 0)::INT AS b FROM part), n AS (SELECT *, sum(b) OVER (PARTITION BY doc ORDER BY seq) AS entry FROM l) SELECT doc, entry::BIGINT AS entry, string_agg(line, ' ' ORDER BY seq) AS text FROM n WHERE entry > 0 GROUP BY doc, entry")
+def reference_lines_merged(spark, sf_dir):
+    """A part is a line of the list of references of its size; every third begins an entry."""
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("["), F.col("p_partkey").cast("string"), F.lit("] "), "p_name")).otherwise(F.concat(F.lit("more "), "p_brand"))
+    lines = S.load(spark, sf_dir, "part").select(F.col("p_size").alias("doc"), F.col("p_partkey").alias("seq"), line.alias("line"))
+    return extraction.merged_lines(lines)
+
+
+@query("WITH l AS (SELECT conv_id AS doc, turn AS page, unnest(string_split(text, chr(10))) AS line FROM conversations), p AS (SELECT *, trim(regexp_replace(line, '\\d+', '', 'g')) AS plain FROM l), r AS (SELECT doc, plain FROM p WHERE plain <> '' GROUP BY ALL HAVING count(DISTINCT page) > 1) SELECT doc, page, line FROM p JOIN r USING (doc, plain)")
+def running_lines(spark, sf_dir):
+    """Lines that recur in another turn of a conversation."""
+    lines = S.load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.explode(F.split("text", "\n")).alias("line"))
+    return extraction.running_lines(lines)
+
+
+@query("WITH u AS (SELECT page_id, regexp_extract(html, 'https?://\\S+') AS found, url FROM pages) SELECT page_id, nullif(found, '') AS url, length(url) > 0 AS has_source FROM u")
+def page_urls(spark, sf_dir):
+    found = F.regexp_extract("html", r"https?://\S+", 0)
+    return S.load(spark, sf_dir, "pages").select("page_id", F.when(found != "", extraction.url(F.col("html"))).alias("url"), (F.length("url") > 0).alias("has_source"))
+
+
+@query("SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE trim(line) = '' OR regexp_matches(trim(line), '^[a-z]\\s*$')) AS noise FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
+def noise_lines(spark, sf_dir):
+    lines = S.load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(extraction.is_noise(F.col("line")), 1)).alias("noise"))
