@@ -49,7 +49,12 @@ class JoinSpec:
     cost_unit: int = 256
     max_match: int = 12
     bitmap_bits: int = 2048
-    #: Nodes on one side of a block.
+    #: Times that each node's likeliest partner is verified before all pairs that are left.
+    rounds: int = 2
+    #: Nodes of a head that goes to a bucket, at most, and rows of a bucket, about.
+    small: int = 64
+    bucket_rows: int = 20_000
+    #: Nodes on one side of a block of a larger head.
     block: int = 1024
     #: Bytes of text that are hashed together.
     chunk_bytes: int = 4_000_000
@@ -103,11 +108,62 @@ def prefix_length(n: int | np.ndarray, match: int | np.ndarray, percent: int) ->
     return np.minimum(n, n + (-percent * n) // 100 + match)
 
 
-def _marks(tokens: pd.Series, vocabulary: dict[int, int]) -> np.ndarray:
-    """Which of the vocabulary each row holds, as a matrix of zeros and ones."""
-    out = np.zeros((len(tokens), len(vocabulary)), np.float32)
-    for i, own in enumerate(tokens):
-        out[i, [vocabulary[t] for t in own if t in vocabulary]] = 1
+NO_PAIRS = pd.DataFrame({k: np.empty(0, np.int64) for k in ("a", "b", "c", "need")})
+
+
+def _bits(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["bitmap"]), np.uint64).reshape(len(rows), -1)
+
+
+def _room(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m with these bitmaps may share enough: each bit that one has alone is a token that the other lacks."""
+    most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return most * (100 + percent) >= percent * (n + m)
+
+
+def _small_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Possible pairs within each of many small heads, all heads at once."""
+    if not len(rows):
+        return NO_PAIRS
+    rows = rows.sort_values("head", kind="stable")
+    head, node, component = (rows[c].to_numpy() for c in ("head", "node", "component"))
+    size, need = rows["info"].to_numpy() >> 4, rows["info"].to_numpy() & 15
+    last = np.searchsorted(head, head, side="right")
+    count = last - np.arange(len(rows)) - 1
+    i = np.repeat(np.arange(len(rows)), count)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    keep = (component[i] != component[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+    i, j, bits = i[keep], j[keep], _bits(rows)
+    keep = np.concatenate([_room(bits[i[k : k + 50_000]], bits[j[k : k + 50_000]], size[i[k : k + 50_000]], size[j[k : k + 50_000]], percent) for k in range(0, len(i), 50_000)] or [np.empty(0, bool)])
+    i, j = i[keep], j[keep]
+    tokens = {k: set(rows["tokens"].iloc[k]) for k in {*i.tolist(), *j.tolist()}}
+    c = np.fromiter((len(tokens[x] & tokens[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), np.int64, len(i))
+    out = pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "c": c, "need": np.minimum(need[i], need[j])})
+    return out[out["c"] > 0]
+
+
+def _block_pairs(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[pd.DataFrame]:
+    """Possible pairs of one block of a large head: nodes outside the main component against a part of all nodes."""
+    out: list[pd.DataFrame] = []
+    if not len(x) or not len(y):
+        return out
+    places = {t: k for k, t in enumerate(set().union(*x["tokens"]))}
+    marks = []
+    for side in (x, y):
+        m = np.zeros((len(side), len(places)), np.float32)
+        for k, own in enumerate(side["tokens"]):
+            m[k, [places[t] for t in own if t in places]] = 1
+        marks.append(m)
+    bx, by, main = _bits(x), _bits(y), x["main"].iloc[0]
+    (nx, lx), (ny, ly) = ((s["info"].to_numpy() >> 4, s["info"].to_numpy() & 15) for s in (x, y))
+    (ix, iy), (cx, cy) = (x["node"].to_numpy(), y["node"].to_numpy()), (x["component"].to_numpy(), y["component"].to_numpy())
+    for i in range(len(x)):
+        # Two nodes outside the main component meet twice; one of the meetings counts.
+        j = np.flatnonzero((cy != cx[i]) & (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny)) & ((cy == main) | (ix[i] < iy)))
+        j = j[_room(bx[i][None], by[j], nx[i], ny[j], percent)] if len(j) else j
+        c = (marks[1][j] @ marks[0][i]).astype(np.int64)
+        j, c = j[c > 0], c[c > 0]
+        out.append(pd.DataFrame({"a": np.minimum(ix[i], iy[j]), "b": np.maximum(ix[i], iy[j]), "c": c, "need": np.minimum(lx[i], ly[j])}))
     return out
 
 
@@ -206,24 +262,22 @@ class JaccardJoin:
                 if not batch.num_rows:
                     continue
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
-                n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-                keep = most * (100 + percent) >= percent * (n + m)
+                keep = _room(x, y, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
         of = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bitmap").alias(f"m{s}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
         return both.mapInArrow(room, "a bigint, b bigint").distinct()
 
-    def _linked(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    def _linked(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the pairs whose sets, taken from the whole texts, are similar."""
         spec = self.spec
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last: tuple = (None, None)
             for batch in batches:
-                a, b, ha = (batch.column(i).to_pylist() for i in range(3))
-                left, right, keep = _lower(batch.column(3)), _lower(batch.column(4)), []
+                a, b = (batch.column(i).to_pylist() for i in range(2))
+                left, right, keep = _lower(batch.column(2)), _lower(batch.column(3)), []
                 for i, (x, y) in enumerate(zip(left, right, strict=True)):
                     if last[0] != x:
                         last = (x, shingle_sets([x], spec.shingle)[0])
@@ -233,68 +287,67 @@ class JaccardJoin:
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], ["a", "b"])
 
-        texts = self.rows.filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
-        of = lambda s: nodes.select(F.col("node").alias(s), F.col("text_hash").alias(f"h{s}"))
-        pairs = pairs.join(of("a"), "a").join(of("b"), "b")
-        pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text_hash").alias("hb"), F.col("text").alias("tb")), ["b", "hb"])
-        pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text_hash").alias("ha"), F.col("text").alias("ta")), ["a", "ha"])
-        return pairs.select("a", "b", "ha", "ta", "tb").mapInArrow(verify, "a bigint, b bigint").distinct()
-
-    def _apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components, ca and cb."""
-        side = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-        named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return named.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
-
-    def _across(self, lists: DataFrame, keys: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-        """(a, b, c): possible pairs of nodes in different components, with the prefix tokens that they share.
-
-        Lists with one head are read together, so a pair is met once for each head and not for each token. A head's nodes
-        outside its largest component are compared with all its nodes, as a grid of blocks of bounded size, and only
-        pairs that pass the sizes and the bitmaps leave a block.
+        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        pairs = pairs.join(right, "b").join(left, "a")
+        return pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint").distinct()
+
+    def _texts(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, text) of all nodes in the pairs: the one place where texts are joined, so verifying moves none but these."""
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = nodes.select("node", "text_hash").join(ids, "node").select(F.col("node").alias("doc_id"), "text_hash")
+        texts = self.rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
+        return self.scratch.save(texts.select(F.col("doc_id").alias("node"), "text"), name)
+
+    def _shared(self, lists: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
+        """(head, node, info, tokens): the nodes of lists that hold several components, by the lists' head.
+
+        The tokens are a node's own prefix tokens, so the array is bounded by the document.
         """
         named = keys.join(found, "node", "left").select("h1", "node", F.coalesce("component", "node").alias("component"))
         spread = Window.partitionBy("token")
-        across = lists.select("token", "h1", "info", "head").join(named, "h1").withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
-        # A node's own prefix tokens, so the array is bounded by the document.
-        across = across.filter("lo < hi").groupBy("head", "node").agg(F.first("info").alias("info"), F.first("component").alias("component"), F.collect_set("token").alias("tokens"))
-        across = self.scratch.save(across, "across")
-        sizes = across.groupBy("head", "component").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.groupBy("head").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor")).filter("minor > 0")
-        block = self.spec.block
-        sizes = sizes.select("head", "main", F.ceil(F.col("minor") / block).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("cols"))
-        full = across.join(nodes.select("node", "bitmap"), "node").join(sizes, "head")
-        spot = F.xxhash64("node")
-        left = full.filter("component <> main").withColumn("row", F.pmod(spot, F.col("rows"))).withColumn("col", F.explode(F.expr("sequence(0L, cols - 1L)"))).withColumn("left", F.lit(True))
-        right = full.withColumn("col", F.pmod(spot, F.col("cols"))).withColumn("row", F.explode(F.expr("sequence(0L, rows - 1L)"))).withColumn("left", F.lit(False))
-        columns = ["head", "row", "col", "left", "node", "info", "component", "main", "tokens", "bitmap"]
-        percent = self.spec.percent
+        rows = lists.select("token", "h1", "info", "head").join(named, "h1").withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
+        rows = rows.filter("lo < hi").groupBy("head", "node").agg(F.first("info").alias("info"), F.collect_set("token").alias("tokens"))
+        return self.scratch.save(rows, "across")
 
-        def match(group: pd.DataFrame) -> pd.DataFrame:
-            x, y = group[group["left"]], group[~group["left"]]
-            out = []
-            if len(x) and len(y):
-                vocabulary = {t: i for i, t in enumerate(set().union(*x["tokens"]))}
-                marks = lambda side: _marks(side["tokens"], vocabulary)
-                bits = lambda side: np.frombuffer(b"".join(side["bitmap"]), np.uint64).reshape(len(side), -1)
-                (mx, my), (bx, by) = (marks(x), marks(y)), (bits(x), bits(y))
-                (nx, lx), (ny, ly) = ((s["info"].to_numpy() >> 4, s["info"].to_numpy() & 15) for s in (x, y))
-                (ix, iy), (cx, cy), main = (x["node"].to_numpy(), y["node"].to_numpy()), (x["component"].to_numpy(), y["component"].to_numpy()), x["main"].iloc[0]
-                for i in range(len(x)):
-                    small, large = np.minimum(nx[i], ny), np.maximum(nx[i], ny)
-                    # Two nodes outside the main component meet twice; one of the meetings counts.
-                    j = np.flatnonzero((cy != cx[i]) & (100 * small >= percent * large) & ((cy == main) | (ix[i] < iy)))
-                    if not len(j):
-                        continue
-                    c = (my[j] @ mx[i]).astype(np.int64)
-                    most = np.minimum(nx[i] - np.bitwise_count(bx[i] & ~by[j]).sum(axis=1, dtype=np.int64), ny[j] - np.bitwise_count(by[j] & ~bx[i]).sum(axis=1, dtype=np.int64))
-                    keep = (c > 0) & (most * (100 + percent) >= percent * (nx[i] + ny[j]))
-                    j, c = j[keep], c[keep]
-                    out.append(pd.DataFrame({"a": np.minimum(ix[i], iy[j]), "b": np.maximum(ix[i], iy[j]), "c": c, "need": np.minimum(lx[i], ly[j])}))
-            return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "c": [], "need": []}).astype("int64")
+    def _across(self, shared: DataFrame, nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
+        """(a, b, c): possible pairs of nodes in different components, with the prefix tokens that they share; or each node's best of them.
 
-        pairs = left.select(*columns).unionByName(right.select(*columns)).groupBy("head", "row", "col").applyInPandas(match, "a bigint, b bigint, c bigint, need bigint")
-        return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b", "c")
+        Lists with one head are read together, so a pair is met once for each head and not for each token. Small heads go to
+        buckets. A large head's nodes outside its largest component are compared with all its nodes, as a grid of blocks of
+        bounded size. Only pairs that pass the sizes and the bitmaps leave a bucket or block.
+        """
+        spec, percent = self.spec, self.spec.percent
+        rows = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = rows.groupBy("head", "component").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.groupBy("head").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor")).filter("minor > 0")
+        large = F.col("n") > spec.small
+        sizes = sizes.select("head", "main", "n", *(F.when(large, F.ceil(F.col(c) / spec.block)).otherwise(1).cast("int").alias(k) for c, k in (("minor", "rows"), ("n", "cols"))))
+        full = rows.join(sizes, "head").join(nodes.select("node", "bitmap"), "node")
+        buckets = max(1, -(-shared.count() // spec.bucket_rows))
+        spot, small = F.xxhash64("node"), F.col("n") <= spec.small
+        cell = lambda d, row, col, left: d.withColumn("row", row).withColumn("col", col).withColumn("left", F.lit(left))
+        zero, each = F.lit(0).cast("bigint"), lambda k: F.explode(F.expr(f"sequence(0L, {k} - 1L)"))
+        sides = cell(full.filter(small), zero, zero, True)
+        sides = sides.unionByName(cell(full.filter(~small & (F.col("component") != F.col("main"))), F.pmod(spot, F.col("rows")).cast("bigint"), each("cols"), True))
+        sides = sides.unionByName(cell(full.filter(~small), each("rows"), F.pmod(spot, F.col("cols")).cast("bigint"), False))
+        group = F.when(small, F.pmod(F.xxhash64("head"), F.lit(buckets))).otherwise(F.xxhash64("head", "row", "col"))
+        sides = sides.select(group.alias("grp"), "head", "row", "col", "left", (~small).alias("large"), "node", "info", "component", "main", "tokens", "bitmap")
+
+        def match(rows: pd.DataFrame) -> pd.DataFrame:
+            out = [_small_pairs(rows[~rows["large"]], percent)]
+            for _, block in rows[rows["large"]].groupby(["head", "row", "col"], sort=False):
+                out += _block_pairs(block[block["left"]], block[~block["left"]], percent)
+            pairs = pd.concat(out, ignore_index=True).groupby(["a", "b"], as_index=False).agg({"c": "sum", "need": "min"})
+            if best and len(pairs):
+                ends = pd.concat([pairs.assign(x=pairs["a"]), pairs.assign(x=pairs["b"])], ignore_index=True)
+                ends = ends.sort_values(["x", "c", "a", "b"], ascending=[True, False, True, True]).drop_duplicates("x")
+                pairs = ends.drop(columns="x").drop_duplicates(["a", "b"])
+            return pairs
+
+        pairs = sides.groupBy("grp").applyInPandas(match, "a bigint, b bigint, c bigint, need bigint")
+        pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
+        # A best pair's count is of one bucket and may be short of what it needs; all pairs are counted whole.
+        return (pairs if best else pairs.filter("c >= need")).select("a", "b", "c")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every document."""
@@ -311,20 +364,23 @@ class JaccardJoin:
         best = best.groupBy("h1").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
         pairs = best.join(keys.withColumnRenamed("node", "b"), "h1").join(keys.select(F.col("h1").alias("head"), F.col("node").alias("a")), "head").select("a", "b")
         pairs = self.scratch.save(self._possible(pairs, nodes), "pairs1")
-        links = self.scratch.save(self._linked(pairs, nodes), "links1")
+        links = self.scratch.save(self._linked(pairs, self._texts(pairs, nodes, "texts1")), "links1")
         found = self.scratch.save(components(links, self.scratch), "found1")
-        # Then whatever the lists hold across those components; the likeliest partner in each component goes first.
-        pairs = self.scratch.save(self._across(lists, keys, nodes, found), "pairs2")
-        both = self._apart(pairs, found).select("a", "b", "c", "ca", "cb")
-        one = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", F.col("cb").alias("ca"), F.col("ca").alias("cb")))
-        one = one.groupBy("a", "ca", "cb").agg(F.max_by("b", F.struct("c", "b")).alias("b"), F.max("c").alias("c"))
-        one = one.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a")).alias("p")).select("p.a", "p.b")
-        likely = self.scratch.save(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
-        links = self.scratch.save(self._linked(likely, nodes), "links2")
-        found = merged(found, links, self.scratch, "found2")
-        rest = self._apart(pairs, found).select("a", "b").join(likely, ["a", "b"], "left_anti")
-        rest = self.scratch.save(rest, "rest")
-        final = merged(found, self.scratch.save(self._linked(rest, nodes), "links3"), self.scratch, "found3")
+        # Then whatever the lists hold across those components. Each node's likeliest partner elsewhere goes first, a few
+        # times over: where links are dense, that joins the components, and the pairs inside them need no check.
+        shared = self._shared(lists, keys, found)
+        seen = None
+        for turn in range(self.spec.rounds):
+            pairs = self._across(shared, nodes, found, best=True)
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+            best = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            best = self.scratch.save(best if seen is None else best.join(seen, ["a", "b"], "left_anti"), f"best{turn}")
+            seen = best if seen is None else seen.unionByName(best)
+            more = self.scratch.save(self._linked(best, self._texts(best, nodes, f"texts2{turn}")), f"links2{turn}")
+            found = merged(found, more, self.scratch, f"found2{turn}")
+        rest = self._across(shared, nodes, found, best=False).select("a", "b")
+        rest = self.scratch.save(rest if seen is None else rest.join(seen, ["a", "b"], "left_anti"), "rest")
+        final = merged(found, self.scratch.save(self._linked(rest, self._texts(rest, nodes, "texts3")), "links3"), self.scratch, "found3")
         ids = least.join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
         out = sets.select("doc_id", "n", "h1", "h2").join(ids, ["h1", "h2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
@@ -337,8 +393,11 @@ def similar_components(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFram
 
 def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """The rows of each component's smallest doc_id, one row each, and all rows without a set or an id."""
-    groups = similar_components(docs, spec)
+    groups = Scratch(docs.sparkSession, "kept").save(similar_components(docs, spec), "groups")
     dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
-    repeated = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return repeated.unionByName(left.filter("doc_id is null"))
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.take(1):
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
