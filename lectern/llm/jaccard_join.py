@@ -8,12 +8,13 @@ min(l, l') prefix tokens before it is verified.
 
 1. One pass over the texts keeps per document its set's size, hash and a bitmap, and counts tokens lossily: those
    seen twice in a chunk are summed by Spark, and the most frequent (at most ``max_frequent``) set the order.
-2. A second pass emits prefix tokens of distinct sets; one shuffle by token brings lists together. They are read
-   sorted, as a stream, so no list is ever held; tokens of one set only vanish.
-3. Each set is linked to the head of the lists that it shares most often with; bitmaps drop impossible pairs and
+2. A second pass emits prefix tokens of distinct sets; one shuffle by token makes the lists. Tokens of one set only
+   vanish.
+3. Each set is paired with the head of the lists that it shares most often with; bitmaps drop impossible pairs and
    the rest are verified on whole texts. This joins large groups of copies through few pairs.
-4. Pairs across the components found so far, and they alone, are then joined through the lists, counted,
-   filtered and verified. Pairs inside a component need no check, so the components are exact.
+4. Across the components found so far, each set's likeliest partner is verified, a few times over; then all pairs that are
+   left in different components and share enough prefix tokens. Pairs inside a component need no check, so the
+   components are exact.
 
 Cases: null and empty texts have no set and link with nothing; fewer than five words make one shingle; identical
 sets are one class, whatever its size; repeated rows are rows of one class; rows with a null doc_id take part
