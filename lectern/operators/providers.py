@@ -12,8 +12,10 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 BATCH = 10
 RERANK_CANDIDATES, RERANK_CHARS = 30, 600
-#: How a pair of papers may relate.
-RELATIONSHIPS = ("extends", "contradicts", "compares", "applies", "shares_method", "shares_data", "other")
+#: How a pair of papers, a paper and its reference, and a viewpoint and its source may relate.
+RELATIONSHIPS = ("builds_on_same_foundation", "competing_methods", "complementary", "methodological_overlap", "benchmarking_overlap", "weak_overlap", "other")
+REFERENCE_RELATIONSHIPS = ("foundational", "comparison", "methodology", "dataset", "background", "extension", "other")
+VIEWPOINT_CATEGORIES = ("builds_on", "contrasts", "limitation", "motivation", "method_source", "data_source", "example", "other")
 
 
 class Provider(Protocol):
@@ -67,6 +69,14 @@ def reranked(hits: DataFrame, provider: Provider, query: str, k: int = 20) -> Da
     return ranked.drop("prior").join(scored, "paper_id").orderBy(F.desc("rerank"), "prior").limit(k)
 
 
+def with_reference_scores(references: DataFrame, scores: DataFrame) -> DataFrame:
+    """References (paper_id, part) with a model's scores (paper_id, part, score, relationship) from 0 to 10; those it left out get 0 and other."""
+    known = F.col("s.relationship").isin(*REFERENCE_RELATIONSHIPS)
+    joined = references.alias("r").join(scores.alias("s"), ["paper_id", "part"], "left")
+    score = F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.coalesce("s.score", F.lit(0.0))))
+    return joined.select("paper_id", "part", score.alias("score"), F.when(known, F.col("s.relationship")).otherwise("other").alias("relationship"))
+
+
 def related(pairs: DataFrame, papers: DataFrame, provider: Provider) -> DataFrame:
     """Pairs (paper_a, paper_b) with a relationship of the allowed list (else other) and an explanation (null if blank)."""
     side = lambda s: papers.select(F.col("paper_id").alias(f"paper_{s}"), F.col("abstract").alias(f"text_{s}"))

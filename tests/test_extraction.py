@@ -58,3 +58,10 @@ def test_providers(spark):
     assert [r.paper_id for r in providers.reranked(hits.filter("paper_id < 10"), Counting(), "key", 2).collect()] == [3, 9]
     pairs = spark.createDataFrame([(1, 2)], "paper_a bigint, paper_b bigint")
     assert providers.related(pairs, hits, providers.NoModel()).first().relationship == "other"
+
+
+def test_reference_scores(spark):
+    refs = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "paper_id int, part int")
+    scores = spark.createDataFrame([(1, 1, 12.0, "dataset"), (1, 2, 3.0, "nonsense")], "paper_id int, part int, score double, relationship string")
+    got = {r.part: (r.score, r.relationship) for r in providers.with_reference_scores(refs, scores).collect()}
+    assert got == {1: (10.0, "dataset"), 2: (3.0, "other"), 3: (0.0, "other")}
