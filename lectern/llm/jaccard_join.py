@@ -58,7 +58,9 @@ class JoinSpec:
     #: Nodes on one side of a block of a larger head.
     block: int = 1024
     #: Bytes of text that are hashed together.
-    chunk_bytes: int = 4_000_000
+    chunk_bytes: int = 1_000_000
+    #: Tokens that are counted together.
+    counted_tokens: int = 2_000_000
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +183,14 @@ class JaccardJoin:
     def _survey(self) -> DataFrame:
         spec = self.spec
 
+        def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+            tokens, count = np.unique(np.concatenate(held), return_counts=True)
+            tokens, count = tokens[count > 1], count[count > 1]
+            blank = pa.nulls(len(tokens), pa.int64())
+            return pa.RecordBatch.from_arrays([blank, blank, pa.array(count), pa.array(tokens.view(np.int64)), blank, pa.nulls(len(tokens), pa.binary())], names)
+
         def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
             for rows, texts in _chunks(batches, spec.chunk_bytes):
                 grams, bounds = shingle_sets(texts, spec.shingle)
                 h1, h2 = _set_hashes(grams, bounds)
@@ -190,10 +199,12 @@ class JaccardJoin:
                 bits[doc, (grams >> np.uint64(20)) % np.uint64(spec.bitmap_bits)] = True
                 maps = [b.tobytes() for b in np.packbits(bits, axis=1)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(np.diff(bounds)), pa.array(h1), pa.array(h2), pa.array(maps, pa.binary())], names)
-                tokens, count = np.unique(grams, return_counts=True)
-                tokens, count = tokens[count > 1], count[count > 1]
-                blank = pa.nulls(len(tokens), pa.int64())
-                yield pa.RecordBatch.from_arrays([blank, blank, pa.array(count), pa.array(tokens.view(np.int64)), blank, pa.nulls(len(tokens), pa.binary())], names)
+                held.append(grams)
+                if sum(map(len, held)) >= spec.counted_tokens:
+                    yield repeated(held)
+                    held = []
+            if held:
+                yield repeated(held)
 
         names = ["doc_id", "text_hash", "n", "h1", "h2", "bitmap"]
         rows = self.rows.withColumn("text_hash", F.xxhash64("text"))
@@ -225,7 +236,7 @@ class JaccardJoin:
                     n = int(hi - lo)
                     if not n or key in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 300_000:
                         seen.add(key)
                     mine, match = signed[lo:hi], 1
                     if rank[lo:hi].any():

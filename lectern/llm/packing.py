@@ -29,7 +29,7 @@ END_ID = 0
 #: Pieces in one packing group; bounds a task's memory.
 GROUP_PIECES = 100_000
 #: Words whose ids a worker remembers; later ones are encoded anew.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 
 _encoders: dict[str, Encoder] = {}
 

@@ -47,7 +47,7 @@ class RepeatSpec:
     bucket_bytes: int = 1_000_000
     #: Different segments of one anchor that a bucket takes.
     max_segments: int = 3_000
-    chunk_bytes: int = 4_000_000
+    chunk_bytes: int = 1_000_000
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ WINDOW = 12
 #: A term's log-likelihood ratio, share of toxic documents among its own, and share of all toxic documents, at least.
 MIN_EVIDENCE, MIN_SHARE, MIN_REACH = 16.0, 0.8, 0.015
 #: Words that a worker remembers having looked up.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 300_000
 #: Verbs of reporting around a quotation, and words of address.
 REPORTING = frozenset("said says wrote writes called calls quoted quotes claimed reported dit écrit sagte schrieb dijo escribió".split())
 ADDRESS = frozenset("you your yours u du dein ihr sie tu toi vous te tú usted eres".split())
