@@ -37,6 +37,8 @@ class VectorSpec:
     max_pivots: int = 2048
     #: Vectors on one side of a block.
     block: int = 1024
+    #: Squared distance of two pivots, at least; far above rounding, so that the plane between them is well defined.
+    apart: float = 1e-6
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -67,6 +69,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[label]
 
 
+def _apart(p: np.ndarray, least: float) -> np.ndarray:
+    """The pivots without those that point the same way as one before them (scaled copies, say)."""
+    close, kept = 2 - 2 * p @ p.T <= least, np.ones(len(p), bool)
+    for i in range(len(p)):
+        kept[i] = not (close[i, :i] & kept[:i]).any()
+    return p[kept]
+
+
 def _cells(classes: DataFrame, spec: VectorSpec) -> DataFrame:
     """Vectors with the cells that they are at home in or replicated to."""
     spark = classes.sparkSession
@@ -76,7 +86,7 @@ def _cells(classes: DataFrame, spec: VectorSpec) -> DataFrame:
     picked = classes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("node").limit(spec.max_pivots)
     pivots: dict[tuple, np.ndarray] = {}
     for key, group in picked.select("label", "dim", "embedding").toPandas().groupby(["label", "dim"]):  # max_pivots at most
-        pivots[key] = _unit(group["embedding"])
+        pivots[key] = _apart(_unit(group["embedding"]), spec.apart)
     shared, reach = spark.sparkContext.broadcast(pivots), float(np.sqrt(2 - 2 * spec.cosine)) + 1e-6
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +98,7 @@ def _cells(classes: DataFrame, spec: VectorSpec) -> DataFrame:
                     continue
                 d = np.sqrt(np.maximum(0, 2 - 2 * _unit(group["embedding"]) @ p.T))
                 home, own = d.argmin(axis=1), d.min(axis=1)[:, None]
-                between = np.sqrt(np.maximum(1e-300, 2 - 2 * p @ p.T))[home]
+                between = np.sqrt(np.maximum(spec.apart, 2 - 2 * p @ p.T))[home]  # less only from a pivot to itself
                 near = (d - own <= 2 * reach) & ((d**2 - own**2) / (2 * between) <= reach)
                 near[np.arange(len(d)), home] = True
                 row, cell = np.nonzero(near)

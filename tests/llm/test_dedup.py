@@ -133,3 +133,12 @@ def test_vectors(spark, spec):
     got = near_duplicates(df, spec).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted((i, count[k], top[i], i == top[i]) for k, (i, _, _) in enumerate(rows))
     assert near_duplicates(df.limit(0), spec).count() == 0
+
+
+def test_scaled_vectors(spark):
+    """Scaled copies are classes of their own that point the same way, and so may be pivots."""
+    base = np.random.default_rng(2).integers(-9, 10, (12, 64))
+    rows = [(i, [float(x) for x in (i // 12 + 1) * base[i % 12]], 0) for i in range(180)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    got = near_duplicates(df, VectorSpec(per_pivot=4, block=50)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 14, i % 12) for i in range(180)]
