@@ -52,9 +52,12 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     lines = lines.select("conv_id", "turn", "key", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("norm")).filter("norm <> ''")
     lines = lines.withColumn("hash", F.md5(F.col("norm").cast("binary"))).drop("norm")
     own = lines.filter("level = 0 and turn is not null").groupBy("conv_id", "hash").agg(F.min("turn").alias("own_turn"))
-    first = own.groupBy(F.col("hash").alias("h")).agg(F.min(F.struct("conv_id", "own_turn")).alias("first"))
+    # The two smallest conversations of each line, so that one of them isn't the quoting one.
+    first = own.withColumn("_r", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).filter("_r <= 2")
+    first = first.groupBy(F.col("hash").alias("h")).agg(*(f(F.struct("conv_id", "own_turn")).alias(a) for f, a in ((F.min, "first"), (F.max, "second"))))
     quoted = lines.filter("level > 0").groupBy("conv_id", "turn", "key", "level", "hash").agg(F.count(F.lit(1)).alias("c"))
     found = quoted.join(own, ["conv_id", "hash"], "left").join(first, F.col("hash") == F.col("h"), "left")
+    found = found.withColumn("first", F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first")))
     here, there = F.col("own_turn") < F.col("turn"), ~F.col("first.conv_id").eqNullSafe(F.col("conv_id"))
     source = F.when(here, F.struct(F.col("conv_id").alias("conv"), F.col("own_turn").alias("turn"))).when(there, F.struct(F.col("first.conv_id").alias("conv"), F.col("first.own_turn").alias("turn")))
     votes = found.withColumn("source", source).filter("source is not null").groupBy("conv_id", "turn", "key", "level", "source").agg(F.sum("c").alias("c"))

@@ -84,3 +84,13 @@ def test_quotations(spark):
     assert (got[2, 0].reply_conv, got[2, 0].reply_turn, got[2, 0].thread_start) == (1, 3, None)
     assert got[2, 1].clean_text == "" and got[3, 0].reply_conv is None
     assert got[None, None].reply_conv == 1
+
+
+def test_quotations_of_other_conversations(spark):
+    """A line that the quoting conversation wrote only later is another conversation's, though its own id is the smallest."""
+    rows = [
+        (1, 0, "user", "> shared line\nanswer"), (1, 1, "bot", "shared line"), (2, 4, "user", "shared line"), (2, 7, "bot", "Shared  line"), (3, 0, "user", "shared line"),
+        (4, 0, "user", "> shared line"), (5, 0, "user", "> only here\nonly here"),
+    ]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in reply_ordered(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert (got[1, 0], got[4, 0], got[5, 0]) == ((2, 4), (1, 1), (None, None))
