@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled documents outside the held-out fold: words, and stems (beginnings of
 words), that stand out in toxic documents. It is kept as a trie. A Levenshtein automaton for a word of the text
-is intersected with the trie, so misspelled terms are caught too. Every hit is scored in its context window: hits
+is intersected with the trie, so misspelled terms are caught too (one edit from five letters on,
+two from ten on). Every hit is scored in its context window: hits
 inside quotation marks or next to a verb of reporting count apart from those addressed to somebody, and the
 densest window is a feature of its own. A logistic regression over these features gives the score.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,8 +32,10 @@ MAX_TRAIN_DOCS = 12_000
 MAX_TERMS = 5_000
 STEMS = range(4, 8)
 WINDOW = 12
-#: A term's log-likelihood ratio, share of toxic documents among its own, and share of all toxic documents, at least.
-MIN_EVIDENCE, MIN_SHARE, MIN_REACH = 16.0, 0.8, 0.015
+#: A term's log-likelihood ratio and share of toxic documents among its own, at least.
+MIN_EVIDENCE, MIN_SHARE = 16.0, 0.8
+#: Terms of chance expected in a lexicon; the evidence asked for grows with the number of terms tried.
+CHANCE_TERMS = 0.05
 #: Words that a worker remembers having looked up.
 CACHE_ENTRIES = 300_000
 #: Verbs of reporting around a quotation, and words of address.
@@ -44,23 +47,54 @@ _word = re.compile(r"[^\W\d_]+")
 FEATURES = ("any", "direct", "quoted", "near", "stems", "densest", "address", "share")
 
 
+def allowance(n: int) -> int:
+    """The edits allowed in a word of n letters."""
+    return 0 if n < 5 else 1 if n < 10 else 2
+
+
+def _parts(term: str, n: int) -> Iterator[tuple[int, str]]:
+    """The term in one part more than edits are allowed, at the places that a part without edits has in a word of n letters."""
+    count = allowance(n) + 1
+    cuts = [len(term) * i // count for i in range(count + 1)]
+    for i in range(count):
+        # With both outer parts edited, each has one of the two edits.
+        shifts = (0,) if i == 0 else (n - len(term),) if i == count - 1 else (-1, 0, 1)
+        for shift in shifts:
+            yield cuts[i] + shift, term[cuts[i] : cuts[i + 1]]
+
+
+def _letters(word: str) -> int:
+    """A bit for each letter that occurs, by its code modulo 64."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+def _grown(root: dict, terms: Iterable[str], kind: str) -> dict:
+    for t in terms:
+        node = root
+        for c in t:
+            node = node.setdefault(c, {})
+        node[kind] = t
+    return root
+
+
 class Trie:
     """The lexicon: nodes are dicts by letter; ``term`` marks a whole word, ``stem`` the beginning of words."""
 
     def __init__(self, words: list[str], stems: list[str]):
-        self.root: dict = {}
-        for kind, terms in (("term", words), ("stem", stems)):
-            for t in terms:
-                node = self.root
-                for c in t:
-                    node = node.setdefault(c, {})
-                node[kind] = t
-        # Halves of the terms, with the lengths of words that one edit can make of them.
-        self.halves: dict[int, set[tuple[int, str]]] = {}
+        self.root = _grown(_grown({}, words, "term"), stems, "stem")
+        self.words = frozenset(words)
+        # Terms by the parts that the edits allowed leave whole, by length of word, with the parts' places in the word.
+        self.parts: dict[int, dict[tuple[int, str], set[str]]] = {}
         for w in words:
-            for n in (len(w) - 1, len(w), len(w) + 1):
-                self.halves.setdefault(n, set()).update({(len(w) // 2, w[: len(w) // 2]), (len(w) // 2 - len(w), w[len(w) // 2 :])})
-        self.places = {n: sorted({k for k, _ in h}) for n, h in self.halves.items()}
+            for n in range(len(w) - 2, len(w) + 3):
+                if abs(n - len(w)) <= allowance(n):
+                    for part in _parts(w, n):
+                        self.parts.setdefault(n, {}).setdefault(part, set()).add(w)
+        self.places = {n: sorted({(k, k + len(part)) for k, part in found}) for n, found in self.parts.items()}
+        self.letters = {w: _letters(w) for w in words}
 
     def stem(self, word: str) -> str | None:
         node = self.root
@@ -73,14 +107,21 @@ class Trie:
         return None
 
     def near(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within one edit (none for words under five letters), by intersecting the word's automaton with the trie."""
-        allowed = int(len(word) >= 5)
-        halves = self.halves.get(len(word), ())
-        if not any((k, word[:k] if k > 0 else word[k:]) in halves for k in self.places.get(len(word), ())):
-            return None  # one edit leaves a term's first or second half whole
+        """The nearest term within the word's allowance of edits, by intersecting the word's automaton with a trie of the terms that may be."""
+        allowed = allowance(len(word))
+        if (parts := self.parts.get(len(word))) is None:
+            return None
+        # A term within the allowance shares a part with the word, and an edit changes two of the letters that occur.
+        some = [found for i, j in self.places[len(word)] if (found := parts.get((i, word[i:j])))]
+        if not some:
+            return None
+        letters = _letters(word)
+        terms = {t for found in some for t in found if (letters ^ self.letters[t]).bit_count() <= 2 * allowed}
+        if not terms:
+            return None
         best = None
         # A state is the set of the automaton's live positions: edits spent at each place in the word.
-        todo = [(self.root, {i: i for i in range(allowed + 1)})]
+        todo = [(_grown({}, terms, "term"), {i: i for i in range(allowed + 1)})]
         while todo:
             node, state = todo.pop()
             if "term" in node:
@@ -122,10 +163,12 @@ class Lexicon:
         if len(self.seen) + len(new) <= CACHE_ENTRIES:
             self.seen |= new
         for w in new:
-            if found := self.trie.near(w):
-                self.hits[w] = ("near" if found[1] else "exact", found[0])
+            if w in self.trie.words:
+                self.hits[w] = ("exact", w)
             elif stem := self.trie.stem(w):
                 self.hits[w] = ("stem", stem)
+            elif found := self.trie.near(w):
+                self.hits[w] = ("near", found[0])
         return self.hits
 
     def features(self, text: str | None) -> list[float]:
@@ -198,14 +241,11 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     clean = count(0, frozenset(toxic.index)).toPandas().set_index("term")["n"].reindex(toxic.index, fill_value=0)
     t, c = toxic.to_numpy(float), clean.to_numpy(float)
     evidence = _evidence(t, c, n_toxic, n_clean)
-    good = (t >= MIN_SHARE * (t + c)) & (evidence >= MIN_EVIDENCE) & (t >= MIN_REACH * n_toxic)
+    # A term of chance reaches evidence e with a probability of about exp(-e / 2).
+    good = (t >= MIN_SHARE * (t + c)) & (evidence >= max(MIN_EVIDENCE, 2 * np.log(max(1, len(t)) / CHANCE_TERMS)))
     terms = set(toxic.index[good][np.argsort(-evidence[good], kind="stable")[:MAX_TERMS]])
     stems = {t for t in terms if t[0] != "=" and not any(t[:k] in terms for k in range(min(STEMS), len(t)))}
-    # A stem that nearly always is one word gives way to the word, which may then be misspelled; other stems cover their words.
     words = [t[1:] for t in terms if t[0] == "="]
-    alone = {w: w[:k] for w in words for k in STEMS if w[:k] in stems and toxic["=" + w] >= 0.9 * toxic[w[:k]]}
-    stems -= set(alone.values())
-    words = [w for w in words if w in alone or not any(w[:k] in stems for k in STEMS)]
     return Lexicon(sorted(words), sorted(stems))
 
 

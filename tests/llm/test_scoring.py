@@ -91,6 +91,37 @@ def test_automaton_equals_edit_distance():
     assert trie.stem("vequxyz") == "vequ" and trie.stem("veq") is None
 
 
+def test_automaton_allows_two_edits_from_ten_letters_on():
+    def distance(a, b):
+        rows = np.arange(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            last, rows = rows, np.full(len(b) + 1, i)
+            for j, y in enumerate(b, 1):
+                rows[j] = min(last[j] + 1, rows[j - 1] + 1, last[j - 1] + (x != y))
+        return int(rows[-1])
+
+    terms, rng = ["fool", "moron", "imbecile", "degenerate", "incompetent", "incompetents", "troglodytes"], np.random.default_rng(5)
+    trie, two = toxicity.Trie(terms, []), 0
+    for _ in range(1500):
+        w = list(terms[rng.integers(len(terms))])
+        for _ in range(rng.integers(4)):
+            at, kind = rng.integers(len(w)), rng.integers(3)
+            w[at : at + (kind > 0)] = [] if kind == 1 else [chr(97 + rng.integers(26))]
+        w = "".join(w)
+        best, found = min(distance(w, t) for t in terms), trie.near(w)
+        assert (found[1] if found else None) == (best if best <= (0 if len(w) < 5 else 1 if len(w) < 10 else 2) else None), w
+        two += best == 2 and found is not None
+    assert two > 100
+
+
+def test_lexicon_keeps_families_and_rare_terms(spark):
+    forms = ["idiot", "idiots", "idiotic"]
+    rows = [(f"some plain words here you {forms[i % 3]}" + " zorblax" * (i < 12), 1) for i in range(1000)] + [("some plain words here for you", 0)] * 2000
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    found = {w: k for w, (k, _) in lexicon.lookup({"idiot", "idiotics", "idjot", "zorblax", "zarblax", "plain"}).items()}
+    assert found == {"idiot": "exact", "idiotics": "stem", "idjot": "near", "zorblax": "exact", "zarblax": "near"}
+
+
 def test_toxicity(spark, make):
     rows = [(i, f"some plain words here number{i} " + ("you absolute moronix fool" if i % 4 == 0 else "good day")) for i in range(400)]
     docs = make([*rows, (900, None), (901, ""), (902, 'they said "moronix" once'), (903, "what a moronix"), (None, "you moronix")])
