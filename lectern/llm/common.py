@@ -19,6 +19,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bound the bytes of text that one Arrow batch brings to a Python worker; rows may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
+
+
 def fold(key: str = "doc_id") -> Column:
     """crc32 of the key as text, mod 5; 0 marks held-out rows. A null key is held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5, F.lit(0)).cast("int")

@@ -139,8 +139,7 @@ def test_toxicity(spark, make):
 
 def test_packing_round_trip(spark, make):
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
-    texts = [r.text for r in table(spark, SF, "documents").collect()] + [None, "", "a  b", " lead", "trail ", "x <|endoftext|> y", "a.\nB", "\n\n\tq", "é  z", "x y z", "don't " * 30, "lo ng" * 9000, "same", "same"]
+    texts = [r.text for r in table(spark, SF, "documents").collect()] + [None, "", "a  b", " lead", "trail ", "x <|endoftext|> y", "a.\nB", "\n\n\tq", "é  z", "x y z", "don't " * 30, "lo ng" * 9000, " " * 3_000_000 + "x", "-" * 50_000, "1" * 50_000, "日本語 😀 １２ \x85 \u3000a", "<|endoftext|>", "same", "same"]
     rows = list(enumerate(texts)) + [(3, texts[3]), (None, "null id")]
     got = packing.pack(make(rows), BPE).collect()
     ids = {}
