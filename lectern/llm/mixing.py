@@ -4,17 +4,22 @@ Every source is cut into blocks of about ``docs_per_block`` documents. Targets (
 block quotas: whole passes over a source, then the first blocks of a seeded permutation, the last of them
 cut inside. A binary tree over the output shards splits the vector of block quotas: at each node the left
 half draws its share without replacement, i.e. from a multivariate hypergeometric law, seeded by the
-node's place. Any shard can walk its own path from the root, so the tree is computed in parallel and
-nothing but one number per source is ever on the driver. Each shard then takes disjoint ranges of the
-permuted blocks and is shuffled locally by a seeded hash.
+node's place. Each shard then takes disjoint ranges of the permuted blocks and is shuffled locally by a seeded hash.
 
-Cases: null text has size 0 and is never taken; a null source is a source of its own, ordered last;
-repeated rows are rows of their own; an empty table gives an empty result; further columns of the input
+The tree is walked in parallel: a task holds a group of sources and a run of shards, and draws the nodes above and
+inside its run. Sources are grouped by a hash, so that only one number for each ``sources_per_group`` sources is on the
+driver; a node draws the groups' shares first and then those of a group's sources, which is the same law. Blocks grow with the
+corpus once there would be more than ``max_blocks`` of them, which keeps the draws exact at any size.
+
+Cases: null text has size 0 and is never taken; a null source is a source of its own, ordered last; rows without a
+doc_id are told apart by their texts; repeated rows are rows of their own that share what is taken of them evenly; very long
+texts are documents like others, cut between words; an empty table gives an empty result; further columns of the input
 are carried along by :func:`mix` and ignored by :func:`mix_plan`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,17 +34,16 @@ from .common import WORD, Scratch
 class MixSpec:
     weights: tuple[int, ...] = (5, 2, 1)
     max_repeats: int = 3
-    docs_per_block: int = 256
+    docs_per_block: int = 16
     seed: int = 17
     words_per_shard: int = 50_000_000
-    #: One number per source is held on the driver; more sources than this raise an error.
-    max_sources: int = 20_000
-
-
-def _hash32(*parts: Column | str) -> Column:
-    """The first 32 bits of an MD5 over the parts, as a bigint; the same on every engine."""
-    text = F.concat_ws(":", *parts)
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    #: Shards, at least, however few words there are.
+    min_shards: int = 32
+    sources_per_group: int = 10_000
+    #: Drawn blocks, at most: numpy draws exactly below 1,000,000,000.
+    max_blocks: int = 800_000_000
+    #: Shards whose part of the tree is one task's.
+    shards_per_task: int = 1024
 
 
 def _name(source: str = "source") -> Column:
@@ -47,6 +51,10 @@ def _name(source: str = "source") -> Column:
     return F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def source_targets(sizes: DataFrame, spec: MixSpec) -> DataFrame:
     """Per source its rows, words and target: a water level that no source's cap stands below."""
     by = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
@@ -66,9 +74,9 @@ def source_targets(sizes: DataFrame, spec: MixSpec) -> DataFrame:
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w").cast("double") * open_words.cast("double") / open_w.cast("double"))
     by = by.withColumn("target", target).withColumn("quota", F.least(F.floor(F.col("target") + 0.5), F.col("cap")))
     size = F.greatest(F.col("source_size"), F.lit(1))
+    per_block = F.greatest(F.lit(spec.docs_per_block), F.ceil(F.sum("n_docs").over(every) * spec.max_repeats / spec.max_blocks))
     return by.select(
-        "source", _name().alias("src"), "n_docs", "source_size", "target",
-        F.expr(f"cast(ceil(n_docs / {float(spec.docs_per_block)}) as bigint)").alias("n_blocks"),
+        "source", _name().alias("src"), "n_docs", "source_size", "target", F.ceil(F.col("n_docs") / per_block).cast("bigint").alias("n_blocks"),
         F.floor(F.col("quota") / size).cast("bigint").alias("passes"),
         (F.col("quota") - F.floor(F.col("quota") / size) * F.col("source_size")).cast("bigint").alias("rest"),
     )
@@ -76,7 +84,7 @@ def source_targets(sizes: DataFrame, spec: MixSpec) -> DataFrame:
 
 def _cumulated(blocks: DataFrame) -> DataFrame:
     """Words and blocks before each block in its source's permutation, in two steps so that no window spans a whole source."""
-    blocks = blocks.withColumn("chunk", F.shiftright("perm", 20))
+    blocks = blocks.withColumn("chunk", F.shiftright("perm", 52))
     step = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = blocks.groupBy("src", "chunk").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
     chunks = chunks.select("src", "chunk", F.coalesce(F.sum("w").over(step), F.lit(0)).alias("w0"), F.coalesce(F.sum("n").over(step), F.lit(0)).alias("n0"))
@@ -85,104 +93,130 @@ def _cumulated(blocks: DataFrame) -> DataFrame:
     return blocks.join(chunks, ["src", "chunk"]).withColumn("before", F.col("w0") + F.col("w1")).withColumn("place", F.col("n0") + F.col("n1")).drop("w0", "w1", "n0", "n1", "chunk")
 
 
-def shard_quotas(quotas: list[int], n_shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and counts of one shard's blocks by source: the walk from the tree's root to that leaf."""
-    have, start = np.asarray(quotas, dtype=np.int64), np.zeros(len(quotas), dtype=np.int64)
-    lo, hi = 0, n_shards
-    while hi - lo > 1:
+def split(groups: np.ndarray, group: int, quotas: np.ndarray, n_shards: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, sources, offsets, counts) for shards first to last (excluded) and one group's sources that they draw.
+
+    ``groups`` are the block quotas of all groups, ``quotas`` those of this group's sources. A node of the tree is a run of shards;
+    its left half draws as many blocks as its part of the shards, and every task that meets the node draws the same.
+    """
+    todo = [(0, n_shards, groups, np.arange(len(quotas)), np.zeros(len(quotas), np.int64), quotas)]
+    while todo:
+        lo, hi, totals, sources, start, have = todo.pop()
+        if hi <= first or lo >= last or not len(sources):
+            continue
+        if hi - lo == 1:
+            yield lo, sources, start, have
+            continue
         mid = (lo + hi) // 2
-        draw = int(have.sum()) * (mid - lo) // (hi - lo)
-        rng = np.random.default_rng([seed, lo, hi])
-        left = _hypergeometric(rng, have, draw)
-        if shard < mid:
-            have, hi = left, mid
-        else:
-            start, have, lo = start + left, have - left, mid
-    return start, have
-
-
-def _hypergeometric(rng: np.random.Generator, have: np.ndarray, draw: int) -> np.ndarray:
-    """A multivariate hypergeometric draw by its marginals; counts past numpy's range are split first."""
-    out, left, limit = np.zeros_like(have), int(have.sum()), 900_000_000
-    for i, n in enumerate(have.tolist()):
-        if left == 0 or draw == 0:
-            break
-        if left < limit:
-            k = int(rng.hypergeometric(n, left - n, draw)) if 0 < n < left else (draw if n == left else 0)
-        else:  # the law's normal limit, kept inside its support
-            p, var = n / left, draw * (n / left) * (1 - n / left) * (left - draw) / max(1, left - 1)
-            k = int(min(max(round(rng.normal(draw * p, var**0.5)), draw - (left - n), 0), n, draw))
-        out[i], left, draw = k, left - n, draw - k
-    return out
-
-
-def _plan(docs: DataFrame, spec: MixSpec, carry: list[Column]) -> tuple[DataFrame, DataFrame, Scratch]:
-    """Rows with their block, and the drawn block instances (src, block, pass, limit, shard)."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")
-    rows = docs.select("doc_id", "source", size, *carry)
-    sizes = scratch.save(rows.select("doc_id", "source", "size"), "sizes") if not carry else rows
+        draw = int(totals.sum()) * (mid - lo) // (hi - lo)
+        left_totals = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(totals, draw)
+        left = np.random.default_rng([seed, lo, hi, group + 1]).multivariate_hypergeometric(have, int(left_totals[group]))
+        for side in ((lo, mid, left_totals, start, left), (mid, hi, totals - left_totals, start + left, have - left)):
+            some = side[4] > 0
+            todo.append((*side[:3], sources[some], side[3][some], side[4][some]))
+
+
+def _draws(quota: DataFrame, n_shards: int, spec: MixSpec) -> DataFrame:
+    """(shard, src, i): the block instances that each shard draws, from block quotas (src, q) of all sources."""
+    spark, seed, step = quota.sparkSession, spec.seed, spec.shards_per_task
+    n_groups = max(1, -(-quota.count() // spec.sources_per_group))
+    quota = quota.filter("q > 0").withColumn("grp", F.pmod(F.xxhash64("src"), F.lit(n_groups)).cast("int"))
+    totals = np.zeros(n_groups, np.int64)
+    for r in quota.groupBy("grp").agg(F.sum("q").alias("q")).collect():  # one row for each sources_per_group sources
+        totals[r.grp] = r.q
+
+    def leaves(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("src", ignore_index=True)
+        grp, task = map(int, key)
+        found = list(split(totals, grp, rows["q"].to_numpy(np.int64), n_shards, task * step, (task + 1) * step, seed))
+        out = [pd.DataFrame({"shard": shard, "src": rows["src"].to_numpy()[at], "first": start, "n": have}) for shard, at, start, have in found]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"shard": [], "src": [], "first": [], "n": []}).astype({"src": str})
+
+    tasks = F.explode(F.expr(f"sequence(0, {(n_shards - 1) // step})")).alias("task")
+    drawn = quota.select("grp", "src", "q", tasks).groupBy("grp", "task").applyInPandas(leaves, "shard bigint, src string, first bigint, n bigint")
+    return drawn.select("shard", "src", F.explode(F.expr("sequence(first, first + n - 1)")).alias("i"))
+
+
+@dataclass
+class Plan:
+    #: (doc_id, source, size, hash) of every row.
+    sizes: DataFrame
+    #: A row for each source.
+    targets: DataFrame
+    #: (src, block, pass, shard): the drawn blocks; ``part`` marks those that are cut inside.
+    drawn: DataFrame
+    #: (src, block, order, take): what the rows of cut blocks give.
+    cuts: DataFrame
+    scratch: Scratch
+
+
+def _keyed(rows: DataFrame, targets: DataFrame, spec: MixSpec) -> DataFrame:
+    """Rows with their source's figures, block and order inside the block."""
+    few = targets.select("src", "n_blocks", "source_size", "target")
+    few = F.broadcast(few) if targets.count() <= spec.sources_per_group else few
+    keyed = rows.withColumn("src", _name()).join(few, "src")
+    return keyed.withColumn("order", F.xxhash64("doc_id", "hash", F.lit(spec.seed))).withColumn("block", F.pmod(F.xxhash64("order"), F.col("n_blocks")))
+
+
+def _plan(docs: DataFrame, spec: MixSpec) -> Plan:
+    scratch = Scratch(docs.sparkSession, "mix")
+    sizes = scratch.save(docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("hash")), "sizes")
     targets = scratch.save(source_targets(sizes, spec).coalesce(1), "targets")
-    n = targets.count()
-    if n > spec.max_sources:
-        raise ValueError(f"{n} sources; mixing holds a number for each on the driver, {spec.max_sources} at most")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = sizes.withColumn("src", _name()).join(F.broadcast(targets.select("src", "n_blocks", "source_size", "target")), "src")
-    keyed = keyed.withColumn("order", _hash32(key, F.lit(f"doc{spec.seed}"))).withColumn("block", F.col("order") % F.col("n_blocks"))
-    blocks = keyed.groupBy("src", "block").agg(F.sum("size").alias("words"))
-    blocks = _cumulated(blocks.withColumn("perm", _hash32("src", F.col("block").cast("string"), F.lit(f"block{spec.seed}"))))
-    blocks = blocks.join(F.broadcast(targets.select("src", "passes", "rest")), "src")
-    blocks = scratch.save(blocks.withColumn("cut", F.least(F.col("words"), F.greatest(F.lit(0), F.col("rest") - F.col("before"))).cast("bigint")), "blocks")
+    keyed = _keyed(sizes, targets, spec)
+    # Repeated rows have one order, so a block's orders are few though its rows may be many.
+    orders = keyed.groupBy("src", "block", "order").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"))
+    orders = scratch.save(orders, "orders")
+    blocks = orders.groupBy("src", "block").agg(F.sum("words").alias("words"))
+    blocks = _cumulated(blocks.withColumn("perm", F.xxhash64("src", "block", F.lit(spec.seed))))
+    blocks = blocks.join(targets.select("src", "passes", "rest"), "src")
+    cut = F.least(F.col("words"), F.greatest(F.lit(0), F.col("rest") - F.col("before"))).cast("bigint")
+    blocks = scratch.save(blocks.withColumn("cut", cut).withColumn("part", F.col("cut") < F.col("words")), "blocks")
     # Block quotas: passes times all blocks, and those that the rest reaches.
-    quota = blocks.groupBy("src").agg((F.max("passes") * F.count(F.lit(1)) + F.count(F.when(F.col("cut") > 0, 1))).alias("q"), F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
-    quota = quota.orderBy("src").collect()  # one row per source, bounded above
-    names, counts, sized = [r.src for r in quota], [int(r.q) for r in quota], [int(r.n) for r in quota]
-    words = sum(int(r.w) for r in quota)
-    n_shards, seed = max(1, -(-words // spec.words_per_shard)), spec.seed
-
-    def leaves(batches):
-        for batch in batches:
-            for shard in batch["id"]:
-                start, have = shard_quotas(counts, n_shards, int(shard), seed)
-                yield pd.DataFrame({"shard": int(shard), "src": names, "first": start, "n": have, "of": sized})[have > 0] if names else pd.DataFrame({"shard": [], "src": [], "first": [], "n": [], "of": []})
-
-    drawn = spark.range(n_shards).mapInPandas(leaves, "shard bigint, src string, first bigint, n bigint, of bigint")
-    drawn = drawn.select("shard", "src", "of", F.explode(F.expr("sequence(first, first + n - 1)")).alias("i"))
+    quota = blocks.groupBy("src").agg((F.max("passes") * F.count(F.lit(1)) + F.count(F.when(F.col("cut") > 0, 1))).alias("q"), F.count(F.lit(1)).alias("of"))
+    quota = scratch.save(quota, "quota")
+    n_shards = max(spec.min_shards, -(-(targets.agg(F.sum("source_size")).first()[0] or 0) // spec.words_per_shard))
+    drawn = _draws(quota.select("src", "q"), n_shards, spec).join(quota.select("src", "of"), "src")
     drawn = drawn.select("shard", "src", F.expr("i div of").alias("pass"), (F.col("i") % F.col("of")).alias("place"))
-    drawn = drawn.join(blocks.select("src", "block", "place", "passes", "cut"), ["src", "place"])
-    drawn = drawn.select("src", "block", "pass", "shard", F.when(F.col("pass") >= F.col("passes"), F.col("cut")).alias("cut"))
-    return keyed, drawn, scratch
-
-
-def _in_block() -> Column:
-    """Words before a document in its block, in the block's own order."""
-    return F.coalesce(F.sum("size").over(Window.partitionBy("src", "block").orderBy("order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = drawn.join(blocks.select("src", "block", "place", "passes", "part"), ["src", "place"])
+    drawn = scratch.save(drawn.select("src", "block", "pass", "shard", (F.col("part") & (F.col("pass") >= F.col("passes"))).alias("part")), "drawn")
+    # Only one block of a source is cut inside, so this window sees few rows.
+    cutting = orders.join(blocks.filter("part and cut > 0").select("src", "block", "cut"), ["src", "block"])
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("src", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    take = F.least(F.col("words"), F.greatest(F.lit(0), F.col("cut") - before))
+    cuts = scratch.save(cutting.select("src", "block", "order", F.floor(take / F.col("copies")).cast("bigint").alias("take")), "cuts")
+    return Plan(sizes, targets, drawn, cuts, scratch)
 
 
 def mix_plan(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """Per document its size, its source's size and target, and the words that the mix takes of it."""
-    keyed, drawn, _ = _plan(docs, spec, [])
+    """Per document its size, its source's size and target, the words that the mix takes of it, and its draws: the shard and the place in the shard's local order of each."""
+    plan = _plan(docs, spec)
     # A block is drawn max_repeats times at most, so this groups a few rows.
-    per_block = drawn.groupBy("src", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("whole"), F.max("cut").alias("cut"))
-    rows = keyed.withColumn("before", _in_block()).join(per_block, ["src", "block"], "left")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.coalesce("cut", F.lit(0)) - F.col("before")))
-    taken = (F.coalesce("whole", F.lit(0)) * F.col("size") + part).cast("bigint")
-    return rows.select("doc_id", F.col("size").cast("bigint").alias("size"), F.col("source_size").cast("bigint").alias("source_size"), "target", taken.alias("taken"))
+    draws = plan.drawn.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "part"))).alias("draws"))
+    rows = _keyed(plan.sizes, plan.targets, spec).join(draws, ["src", "block"], "left").join(plan.cuts, ["src", "block", "order"], "left")
+    took = lambda d: F.when(d["part"], F.coalesce("take", F.lit(0))).otherwise(F.col("size"))
+    draws = F.filter(F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:bigint,part:boolean>>")), lambda d: took(d) > 0)
+    taken = F.aggregate(draws, F.lit(0).cast("bigint"), lambda a, d: a + took(d))
+    seen = F.transform(draws, lambda d: F.struct(d["shard"].alias("shard"), _local(d["pass"], spec).alias("local_order")))
+    return rows.select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", taken.alias("taken"), seen.alias("draws"))
+
+
+def _local(number: Column, spec: MixSpec) -> Column:
+    return F.xxhash64("order", number, F.lit(~spec.seed))
 
 
 def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """The mixed rows, with the input's columns: a row for each time a document is drawn; the last document of a cut block keeps its first words.
+    """The mixed rows, with the input's columns: a row for each time a document is drawn; documents of a cut block keep their first words.
 
-    ``_shard`` and ``_order`` come last: rows of a shard, read by ``_order``, are locally shuffled.
+    ``_shard`` and ``_order`` come last: the rows of a shard lie together in one partition, locally shuffled.
     """
+    plan = _plan(docs, spec)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed, drawn, _ = _plan(docs, spec, [row])
-    rows = keyed.withColumn("before", _in_block()).join(drawn, ["src", "block"])
-    rows = rows.withColumn("take", F.when(F.col("cut").isNull(), F.col("size")).otherwise(F.least(F.col("size"), F.greatest(F.lit(0), F.col("cut") - F.col("before")))))
-    rows = rows.filter("take > 0")
-    text = F.when(F.col("take") < F.col("size"), F.regexp_extract(F.col("row.text"), r"^(?s:[\x20\x09-\x0D]*)", 0))
+    rows = _keyed(docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), row), plan.targets, spec)
+    rows = rows.select("src", "block", "order", "row").join(plan.drawn, ["src", "block"]).join(plan.cuts, ["src", "block", "order"], "left")
+    n = F.regexp_count("row.text", F.lit(WORD))
+    rows = rows.filter(F.when(F.col("part"), F.col("take") > 0).otherwise(n > 0))
+    whole = F.regexp_extract(F.col("row.text"), r"^(?s:[\x20\x09-\x0D]*)", 0)
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), F.lit(1), F.col("take").cast("int")), "")
-    text = F.coalesce(F.concat(text, first), F.col("row.text"))
-    order = _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("pass").cast("string"), F.lit(f"local{spec.seed}"))
+    text = F.when(F.col("part") & (F.col("take") < n), F.concat(whole, first)).otherwise(F.col("row.text"))
     columns = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
-    return rows.select(*columns, F.col("shard").alias("_shard"), order.alias("_order"))
+    return rows.select(*columns, F.col("shard").alias("_shard"), _local(F.col("pass"), spec).alias("_order")).repartition("_shard").sortWithinPartitions("_shard", "_order")

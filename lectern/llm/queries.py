@@ -138,47 +138,3 @@ SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(e.vec_id, coales
        e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
 """
-SQL["op10_source_mixing"] = r"""
-WITH sizes AS (
-  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
-  FROM documents),
-per_source AS (
-  SELECT src, count(*) AS n_docs, sum(size)::BIGINT AS source_size,
-         [5, 2, 1][((row_number() OVER (ORDER BY min(source) ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w,
-         min(source) AS source
-  FROM sizes GROUP BY src),
-level AS (
-  SELECT *, 3 * source_size AS cap,
-         (sum(source_size) OVER ())::BIGINT - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w::DOUBLE, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_words,
-         (sum(w) OVER (ORDER BY 3 * source_size / w::DOUBLE, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS left_w,
-         (sum(source_size) OVER ())::BIGINT AS total
-  FROM per_source),
-capped AS (SELECT *, cap * left_w <= w * left_words AS capped FROM level),
-targets AS (
-  SELECT src, n_docs, source_size, cap,
-         CASE WHEN capped THEN cap::DOUBLE ELSE w::DOUBLE
-           * (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::DOUBLE
-           / (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::DOUBLE END AS target
-  FROM capped),
-quotas AS (
-  SELECT *, least(floor(target + 0.5)::BIGINT, cap) AS quota, ceil(n_docs / 256.0)::BIGINT AS n_blocks FROM targets),
-passes AS (
-  SELECT *, quota // greatest(source_size, 1) AS passes, quota - (quota // greatest(source_size, 1)) * source_size AS rest FROM quotas),
-keyed AS (
-  SELECT s.*, q.source_size, q.target, q.passes, q.rest,
-         ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':doc17'), 1, 8))::BIGINT AS ord,
-         ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':doc17'), 1, 8))::BIGINT % q.n_blocks AS block
-  FROM sizes s JOIN passes q USING (src)),
-blocks AS (
-  SELECT src, block, sum(size)::BIGINT AS words, any_value(rest) AS rest,
-         ('0x' || substr(md5(src || ':' || block::VARCHAR || ':block17'), 1, 8))::BIGINT AS perm
-  FROM keyed GROUP BY src, block),
-placed AS (
-  SELECT src, block, least(words, greatest(0, rest - coalesce(sum(words) OVER (PARTITION BY src ORDER BY perm, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS cut
-  FROM blocks),
-rows_ AS (
-  SELECT k.*, cut, coalesce(sum(size) OVER (PARTITION BY src, block ORDER BY ord, doc_id ASC NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM keyed k JOIN placed USING (src, block))
-SELECT doc_id, size, source_size, target, (passes * size + least(size, greatest(0, cut - before)))::BIGINT AS taken FROM rows_
-"""

@@ -1,10 +1,15 @@
 """Sharding, mixing and quotation linking: queries against SQL, and edge cases."""
 
+import math
+import re
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
 from lectern.llm import queries
-from lectern.llm.mixing import MixSpec, mix, mix_plan, shard_quotas
+from lectern.llm.mixing import MixSpec, mix, mix_plan, split
 from lectern.llm.quotations import reply_ordered
 from lectern.llm.sharding import CommitConflict, ShardSpec, ShardStore, compacted
 
@@ -28,32 +33,99 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == expected
 
 
-def test_mix_reaches_targets_and_caps(make):
-    rows = [(i, "w " * (1 + i % 7), "en", s) for i, s in enumerate(["a"] * 300 + ["b"] * 20 + [None] * 50)] + [(None, None, "en", "b"), (5, "w", "en", "a"), (5, "w", "en", "a")]
+def brute_targets(sizes, weights=(5, 2, 1), cap=3):
+    """Targets by source: all sizes shared by weight, the excess over each cap shared again until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, out, open_ = {s: weights[i % 3] for i, s in enumerate(names)}, {}, set(names)
+    while True:
+        left = sum(sizes.values()) - sum(out.values())
+        share = {s: weight[s] * left / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= cap * sizes[s]}
+        if not over or over == open_:
+            return out | ({s: cap * sizes[s] for s in over} if over else share)
+        out |= {s: cap * sizes[s] for s in over}
+        open_ -= over
+
+
+def check_mix(rows, got, docs):
+    """rows: (doc_id, text, source). Targets by brute force; words near them; draws disjoint and in many shards."""
+    sizes, source = {}, {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        source[i] = s
+    targets, taken = brute_targets(sizes), dict.fromkeys(sizes, 0)
+    assert len(got) == len(rows)
+    for r in got:
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        assert r.source_size == sizes[s] and abs(r.target - targets[s]) < 1e-6 * max(1, targets[s])
+        assert 0 <= r.taken <= 3 * r.size and (len(r.draws) - 1) * r.size < r.taken <= len(r.draws) * r.size or r.taken == len(r.draws) == 0
+    assert all(abs(taken[s] - targets[s]) <= 3 for s in sizes)
+    mixed = docs.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r._shard, r._order) for r in mixed) == sorted((r.doc_id is None, r.doc_id or 0, d.shard, d.local_order) for r in got for d in r.draws)
+    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in mixed) == sum(r.taken for r in got)
+    return {d.shard for r in got for d in r.draws}
+
+
+def test_mix_reaches_targets_and_caps(spark, make):
+    rows = [(i, "w " * (1 + i % 7), "en", s) for i, s in enumerate(["a"] * 300 + ["b"] * 20 + [None] * 50)] + [(1000, None, "en", "b"), (5, "w", "en", "a"), (5, "w", "en", "a"), (1001, "long " * 40_000, "en", "c"), (1002, "", "en", "c")]
+    plain_rows = [(i, t, s) for i, t, _, s in rows]
     got = mix_plan(make(rows)).collect()
-    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
-    by = {}
-    for r, in zip(got):
-        t = by.setdefault((r.source_size, r.target), [0])
-        t[0] += r.taken
-    assert all(abs(taken[0] - target) <= 1 for (_, target), taken in by.items())
-    assert abs(sum(t for _, t in by) - sum(s for s, _ in by)) < 1e-6
+    assert len(check_mix(plain_rows, got, mix(make(rows)))) >= 12
     assert sorted(map(str, mix_plan(make(rows)).collect())) == sorted(map(str, got))
-    words = sum(len(r.text.split()) for r in mix(make(rows)).collect())
-    assert words == sum(r.taken for r in got)
     assert set(make(rows).columns) <= set(mix(make(rows)).columns)
-    assert mix_plan(make([])).count() == 0
-
-
-def test_splitting_tree_is_exact():
-    quotas, n = [10, 0, 7, 23], 5
-    parts = [shard_quotas(quotas, n, k, 1) for k in range(n)]
-    assert [sum(int(p[1][i]) for p in parts) for i in range(4)] == quotas
-    for i in range(4):
-        spans = sorted((int(s[i]), int(s[i] + c[i])) for s, c in parts if c[i])
-        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
-    assert {int(p[1].sum()) for p in parts} <= {8}
-    assert MixSpec().seed == 17
+    assert mix_plan(make([])).count() == 0 and mix(make([])).count() == 0
+    # The same rows with sources in groups of one and tasks of three shards.
+    small = MixSpec(docs_per_block=2, sources_per_group=1, shards_per_task=3, min_shards=20)
+    assert check_mix(plain_rows, mix_plan(make(rows), small).collect(), mix(make(rows), small)) <= set(range(20))
+    unnamed = mix_plan(make([(None, f"text {i}") for i in range(40)])).collect()
+    assert sum(r.taken for r in unnamed) == 80
+
+
+def test_mix_query(spark):
+    from lectern.llm.common import table
+
+    docs = table(spark, SF, "documents")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    assert len(check_mix(rows, queries.op10_source_mixing(spark, SF).collect(), mix(docs))) >= 24
+    # Local order: a shard's rows lie together, sorted by the seeded hash.
+    found = mix(docs).selectExpr("spark_partition_id() AS p", "_shard", "_order").collect()
+    assert len({(r.p, r._shard) for r in found}) == len({r._shard for r in found})
+    assert [(r.p, r._shard, r._order) for r in found] == sorted((r.p, r._shard, r._order) for r in found)
+
+
+def leaves_of(groups, n_shards, seed, step=1000):
+    """{shard: {(group, source): (offset, count)}} from all tasks."""
+    out = {k: {} for k in range(n_shards)}
+    totals = np.asarray([sum(g) for g in groups])
+    for g, quotas in enumerate(groups):
+        for first in range(0, n_shards, step):
+            for shard, at, start, have in split(totals, g, np.asarray(quotas), n_shards, first, first + step, seed):
+                out[shard] |= {(g, int(i)): (int(s), int(n)) for i, s, n in zip(at, start, have)}
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 2, 1000])
+def test_splitting_tree_is_exact(step):
+    groups, n = [[10, 0, 7], [23, 1]], 5
+    leaves = leaves_of(groups, n, 1, step)
+    assert leaves == leaves_of(groups, n, 1) and {sum(c for _, c in v.values()) for v in leaves.values()} <= {8, 9}
+    for g, quotas in enumerate(groups):
+        for i, q in enumerate(quotas):
+            spans = sorted(v[g, i] for v in leaves.values() if (g, i) in v)
+            assert sum(c for _, c in spans) == q and all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:])) and (not spans or spans[0][0] == 0)
+
+
+def test_splitting_tree_has_the_joint_law():
+    """Counts of one shard of two follow the multivariate hypergeometric law, with sources in groups too."""
+    for groups in ([[3, 2, 3]], [[3, 2], [3]]):
+        seen = Counter()
+        for seed in range(4000):
+            v = leaves_of(groups, 2, seed)[0]
+            seen[tuple(v.get((g, i), (0, 0))[1] for g, q in enumerate(groups) for i in range(len(q)))] += 1
+        every = {(a, b, c): math.comb(3, a) * math.comb(2, b) * math.comb(3, c) / math.comb(8, 4) for a in range(4) for b in range(3) for c in range(4) if a + b + c == 4}
+        assert set(seen) == set(every)
+        assert sum((seen[k] - 4000 * p) ** 2 / (4000 * p) for k, p in every.items()) < 35  # 9 degrees of freedom or so; far in the tail
 
 
 def test_shards(spark, make, tmp_path):
