@@ -236,7 +236,7 @@ class JaccardJoin:
                     n = int(hi - lo)
                     if not n or key in seen:
                         continue
-                    if len(seen) < 300_000:
+                    if len(seen) < 100_000:
                         seen.add(key)
                     mine, match = signed[lo:hi], 1
                     if rank[lo:hi].any():

@@ -36,8 +36,8 @@ WINDOW = 12
 MIN_EVIDENCE, MIN_SHARE = 16.0, 0.8
 #: Terms of chance expected in a lexicon; the evidence asked for grows with the number of terms tried.
 CHANCE_TERMS = 0.05
-#: Words that a worker remembers having looked up.
-CACHE_ENTRIES = 300_000
+#: Words that a task remembers having looked up; it starts anew beyond.
+CACHE_ENTRIES = 100_000
 #: Verbs of reporting around a quotation, and words of address.
 REPORTING = frozenset("said says wrote writes called calls quoted quotes claimed reported dit écrit sagte schrieb dijo escribió".split())
 ADDRESS = frozenset("you your yours u du dein ihr sie tu toi vous te tú usted eres".split())
@@ -157,11 +157,12 @@ class Lexicon:
     trie: Trie | None = None
 
     def lookup(self, words: set[str]) -> dict[str, tuple[str, str]]:
-        """The words that hit the lexicon, with the kind of hit and the term."""
+        """Words that hit the lexicon, these among them, with the kind of hit and the term."""
         self.trie = self.trie or Trie(self.words, self.stems)
         new = words.difference(self.seen)
-        if len(self.seen) + len(new) <= CACHE_ENTRIES:
-            self.seen |= new
+        if len(self.seen) + len(new) > CACHE_ENTRIES:
+            self.seen, self.hits, new = set(), {}, words
+        self.seen |= new
         for w in new:
             if w in self.trie.words:
                 self.hits[w] = ("exact", w)
