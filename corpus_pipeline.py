@@ -26,8 +26,8 @@ def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix draws a document; cut documents keep their first words."""
-    out = mixing.mix(docs).select(*docs.columns)
+    """A row for each time that the mix draws a document, shard by shard in the shard's local order; cut documents keep their first words."""
+    out = mixing.mix(docs).drop("_shard", "_order")
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
