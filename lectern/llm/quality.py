@@ -1,13 +1,15 @@
 """Quality rules by line sequence labelling: a linear-chain conditional random field, decoded by Viterbi.
 
 Each line with a word becomes a few binary features of its shape. The field has two labels, content and
-boilerplate; its weights are learned from documents marked good or bad (a bad document's lines are boilerplate),
-at most ``max_train_docs`` of them, chosen by a hash. Viterbi decoding labels the lines of every document jointly, and a
-document is kept if content holds at least ``min_share`` of its words. Two base rules come first: too few words, or
+boilerplate. Its weights are learned from documents marked good or bad, at most ``max_train_docs`` of them, chosen by a hash
+(a run of ``MAX_TRAIN_LINES`` neighbouring lines of each, at most). Line labels are latent: a mark only says how likely each line is
+boilerplate, so good documents may hold boilerplate and bad ones content; the likelihood sums over all labellings.
+Viterbi decoding labels the lines of every document jointly, and a document is kept if content holds at least ``min_share`` of
+its words. Two base rules come first: too few words, or
 too many words in repeated five-word windows.
 
 Cases: null and empty texts have no words and fail the base rules; without labels of both kinds every line is
-content; a line is what ``\\n`` separates; repeated rows are judged each; an empty table gives an empty result; further
+content; texts of any length are read whole; a line is what ``\\n`` separates; repeated rows are judged each; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -22,9 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 MAX_TRAIN_DOCS = 3_000
-#: Lines of a training document, evenly spread over it, at most.
-MAX_TRAIN_LINES = 100
+#: Neighbouring lines that a training document gives, at most; where they begin follows from its label row's hash.
+MAX_TRAIN_LINES = 200
+#: Share of boilerplate lines that is expected in good and in bad documents.
+EXPECTED = (0.05, 0.8)
+#: Training documents in a chain.
+CHAIN = 3
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
@@ -128,47 +136,59 @@ class Field:
         return [out[s : s + n].astype(bool) for s, n in zip(start, sizes, strict=True)]
 
 
-def fit_field(documents: list[np.ndarray], bad: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient ascent; the expectations come from forward and backward sums over all documents at once."""
+def expectations(potential: np.ndarray, move: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of boilerplate for each line, and sums of label pairs, by forward and backward sums; chains come longest first."""
+    n, longest = potential.shape
+    live = [int((sizes > t).sum()) for t in range(longest)]
+    forward = np.zeros((n, longest, 2))
+    forward[:, :, 1] = potential
+    for t in range(1, longest):
+        k = live[t]
+        forward[:k, t] += np.logaddexp(forward[:k, t - 1, :1] + move[0], forward[:k, t - 1, 1:] + move[1])
+    last = forward[np.arange(n), sizes - 1]
+    norm = np.logaddexp(last[:, 0], last[:, 1])
+    backward, pairs, marginal = np.zeros((n, 2)), np.zeros((2, 2)), np.zeros((n, longest))
+    for t in range(longest - 1, -1, -1):
+        k = live[t]
+        marginal[:k, t] = np.exp(forward[:k, t, 1] + backward[:k, 1] - norm[:k])
+        if t:
+            ahead = backward[:k].copy()
+            ahead[:, 1] += potential[:k, t]
+            joint = forward[:k, t - 1, :, None] + move[None] + ahead[:, None, :]
+            pairs += (np.exp(joint - norm[:k, None, None])).sum(axis=0)
+            backward[:k] = np.logaddexp(move[None, :, 0] + ahead[:, :1], move[None, :, 1] + ahead[:, 1:])
+    return marginal, pairs
+
+
+def fit_field(documents: list[np.ndarray], bad: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3, seed: int = 7) -> Field:
+    """Gradient ascent on the likelihood of the marks, with latent line labels.
+
+    Chains join CHAIN documents of either mark, shuffled, so that changes between content and boilerplate are seen; the rarer
+    mark's documents recur. The gradient is what the field expects given the marks' evidence less what it expects without.
+    """
     emit, move = np.zeros(len(FEATURES)), np.zeros((2, 2))
-    keep = [i for i, d in enumerate(documents) if len(d)]
-    if not keep or bad[keep].all() or not bad[keep].any():
+    bad = np.asarray(bad).astype(int)
+    kinds = [[i for i, d in enumerate(documents) if len(d) and bad[i] == k] for k in (0, 1)]
+    if not kinds[0] or not kinds[1]:
         emit[0] = -1.0
         return Field(emit, move)
-    documents, bad = [documents[i] for i in keep], bad[keep].astype(int)
-    n, longest = len(documents), max(map(len, documents))
-    x = np.zeros((n, longest, len(FEATURES)), np.float32)
-    mask = np.zeros((n, longest))
-    for i, d in enumerate(documents):
-        x[i, : len(d)], mask[i, : len(d)] = d, 1
-    # Both kinds of documents weigh the same, line by line.
-    lines = np.asarray([mask[bad == k].sum() for k in (0, 1)])
-    weight = (lines.sum() / 2 / lines)[bad]
-    seen_emit = ((x * (mask * (weight * bad)[:, None])[:, :, None]).sum(axis=(0, 1))).astype(float)
-    seen_move = np.diag([(weight * (bad == k) * (mask.sum(axis=1) - 1)).sum() for k in (0, 1)])
-    total, m, v = lines.sum(), 0.0, 0.0
-    theta = np.zeros(len(FEATURES) + 4)
+    order = np.concatenate([np.resize(k, max(map(len, kinds))) for k in kinds])
+    order = np.random.default_rng(seed).permutation(order)
+    chains = sorted((order[i : i + CHAIN] for i in range(0, len(order), CHAIN)), key=lambda c: -sum(len(documents[i]) for i in c))
+    sizes = np.asarray([sum(len(documents[i]) for i in c) for c in chains])
+    x = np.concatenate([documents[i] for c in chains for i in c]).astype(np.float32)
+    mark = np.concatenate([np.full(len(documents[i]), bad[i]) for c in chains for i in c])
+    chain, line = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(k) for k in sizes])
+    evidence = np.log(np.asarray(EXPECTED) / (1 - np.asarray(EXPECTED)))[mark]
+    theta, m, v = np.zeros(len(FEATURES) + 4), 0.0, 0.0
     for step in range(1, steps + 1):
         emit, move = theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2)
-        potential = np.zeros((n, longest, 2))
-        potential[:, :, 1] = x @ emit.astype(np.float32)
-        forward = np.zeros((n, longest, 2))
-        forward[:, 0] = potential[:, 0]
-        for t in range(1, longest):
-            step_ = np.logaddexp(forward[:, t - 1, :1] + move[0], forward[:, t - 1, 1:] + move[1]) + potential[:, t]
-            forward[:, t] = np.where(mask[:, t, None] > 0, step_, forward[:, t - 1])
-        norm = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        backward, expected = np.zeros((n, 2)), np.zeros((2, 2))
-        marginal = np.zeros((n, longest))
-        for t in range(longest - 1, -1, -1):
-            marginal[:, t] = np.exp(forward[:, t, 1] + backward[:, 1] - norm) * mask[:, t]
-            if t:
-                pair = forward[:, t - 1, :, None] + move[None] + (potential[:, t] + backward)[:, None, :] - norm[:, None, None]
-                expected += (np.exp(pair) * (weight * mask[:, t])[:, None, None]).sum(axis=0)
-                before = np.logaddexp(move[:, 0] + (potential[:, t, :1] + backward[:, :1]), move[:, 1] + (potential[:, t, 1:] + backward[:, 1:]))
-                backward = np.where(mask[:, t, None] > 0, before, backward)
-        grad_emit = seen_emit - np.einsum("ntf,nt->f", x, (marginal * weight[:, None]).astype(np.float32))
-        gradient = np.concatenate([grad_emit, (seen_move - expected).ravel()]) / total - ridge * theta
+        potential = np.zeros((len(sizes), int(sizes.max())))
+        potential[chain, line] = x @ emit.astype(np.float32)
+        free, free_pairs = expectations(potential, move, sizes)
+        potential[chain, line] += evidence
+        told, told_pairs = expectations(potential, move, sizes)
+        gradient = np.concatenate([x.T @ (told - free)[chain, line].astype(np.float32), (told_pairs - free_pairs).ravel()]) / len(x) - ridge * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Field(theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2))
@@ -176,14 +196,15 @@ def fit_field(documents: list[np.ndarray], bad: np.ndarray, steps: int = 150, ra
 
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Field:
     """A field from documents with a quality label: half of the sample good, half bad, as far as they go."""
+    short_batches(docs.sparkSession)
     some = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).withColumn("h", F.xxhash64("doc_id"))
     half = [some.filter(F.col("quality") == k).orderBy("h", "doc_id").limit(max_train_docs // 2) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1]).drop("h")), "doc_id").select("text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1])), "doc_id").select("text", "quality", "h")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [read_document(t).lines for t in batch["text"]]
-            found = [x[np.unique(np.linspace(0, len(x) - 1, MAX_TRAIN_LINES).astype(int))] if len(x) > MAX_TRAIN_LINES else x for x in found]
+            found = [x[(at := h % max(1, len(x) - MAX_TRAIN_LINES + 1)) : at + MAX_TRAIN_LINES] for x, h in zip(found, batch["h"], strict=True)]
             yield pd.DataFrame({"lines": [np.packbits(x, axis=None).tobytes() for x in found], "n": [len(x) for x in found], "bad": 1 - batch["quality"].to_numpy()})
 
     got = rows.mapInPandas(lines, "lines binary, n int, bad int").toPandas()  # max_train_docs rows at most
@@ -192,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     return fit_field(documents, got["bad"].to_numpy())
 
 
-SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_share double"
+SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_share double, n_lines bigint, n_boilerplate bigint"
 
 
 def judge(docs: DataFrame, model: Field, min_share: float = 0.5) -> DataFrame:
@@ -206,7 +227,8 @@ def judge(docs: DataFrame, model: Field, min_share: float = 0.5) -> DataFrame:
             out = pd.DataFrame([(d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed) for d in read], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             out["kept"] = [not d.base_failed and s >= min_share for d, s in zip(read, share, strict=True)]
-            out["content_share"] = share
+            out["content_share"], out["n_lines"], out["n_boilerplate"] = share, [len(b) for b in labelled], [int(b.sum()) for b in labelled]
             yield out.astype({"doc_id": "Int64"})
 
+    short_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(one, SCHEMA)

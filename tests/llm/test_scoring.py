@@ -73,6 +73,48 @@ def test_viterbi_is_the_best_path():
         assert np.isclose(worth(path.astype(int).tolist()), max(map(worth, every)))
 
 
+def test_expectations_sum_over_all_labellings():
+    rng, sizes = np.random.default_rng(1), np.asarray([4, 3, 1])
+    potential, move = rng.normal(size=(3, 4)), rng.normal(size=(2, 2))
+    chances, pairs = quality.expectations(potential, move, sizes)
+    expected = np.zeros((2, 2))
+    for i, n in enumerate(sizes):
+        every = [[k >> j & 1 for j in range(n)] for k in range(1 << n)]
+        worth = np.exp([sum(potential[i, j] * y for j, y in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:])) for p in every])
+        worth /= worth.sum()
+        assert np.allclose(chances[i, :n], worth @ np.asarray(every))
+        for w, p in zip(worth, every):
+            for a, b in zip(p, p[1:]):
+                expected[a, b] += w
+    assert np.allclose(pairs, expected)
+
+
+def test_mixed_documents_are_labelled_line_by_line(spark, make):
+    """Documents of runs of content and of boilerplate, with a field learned from marks of whole documents only."""
+    docs, labels = table(spark, SF.replace("0.001", "0.01"), "documents"), table(spark, SF.replace("0.001", "0.01"), "labels")
+    field, rng = quality.train(docs, labels), np.random.default_rng(0)
+    lines = {0: [], 1: []}
+    for r in docs.join(labels, "doc_id").collect():
+        if not quality.read_document(r.text).base_failed:
+            lines[1 - r.quality] += [x for x in r.text.split("\n") if x.split()]
+    rows, truth = [], {}
+    for i in range(200):
+        kinds = [k for k in rng.permutation([0, 1, i % 2, 0][: rng.integers(2, 5)]) for _ in range(rng.integers(1, 7))]
+        own = [lines[k][rng.integers(len(lines[k]))] for k in kinds]
+        rows.append((i, "\n".join(own)))
+        truth[i] = (kinds, sum(len(x.split()) for x, k in zip(own, kinds) if not k) / sum(len(x.split()) for x in own))
+    got = {r.doc_id: r for r in quality.judge(make(rows), field).collect()}
+    inside = [i for i, (_, share) in truth.items() if 0 < share < 1]
+    assert len(inside) > 100 and sum(0 < got[i].content_share < 1 for i in inside) > 0.85 * len(inside)
+    assert np.mean([abs(got[i].content_share - share) for i, (_, share) in truth.items()]) < 0.08
+    right = [b == bool(k) for i, (kinds, _) in truth.items() for b, k in zip(field.viterbi([quality.read_document(rows[i][1]).lines])[0], kinds)]
+    assert np.mean(right) > 0.93
+    clear = [i for i, (_, share) in truth.items() if abs(share - 0.5) > 0.15 and not got[i].base_failed]
+    assert np.mean([got[i].kept == (truth[i][1] > 0.5) for i in clear]) > 0.95
+    long = quality.judge(make([(1, "\n".join(lines[0] * 3)), (2, "x" * 3_000_000)]), field).orderBy("doc_id").collect()
+    assert long[0].n_lines == 3 * len(lines[0]) and long[1].n_words == 1
+
+
 def test_automaton_equals_edit_distance():
     trie = toxicity.Trie(["moron", "clown", "pathetic"], ["vequ"])
 
