@@ -3,13 +3,14 @@
 A profile is a language's most frequent letter n-grams (one to three letters, words padded by a space), in
 order of frequency. A document's own most frequent n-grams are ranked the same way; the out-of-place
 distance sums how far each stands from its rank in the profile, and the profile's length for those absent.
-The nearest profile wins. Profiles are learned from at most ``max_train_docs`` labelled documents outside the
-held-out fold, chosen by a hash of doc_id; the counts are summed by Spark.
+The nearest profile wins. Profiles are learned from labelled documents outside the held-out fold: all of a language's, or about
+``docs_per_language`` of them chosen by a hash of doc_id, so that no language is lost among larger ones; the counts are summed by
+Spark. Languages are compared ``LANGUAGES_PER_PASS`` at a time, which bounds what a task holds; there may be any number of passes.
 
 Cases: null text, empty text and text without a letter give ``und`` with score 0; ties in distance go to the
-first language in code-point order, ties in frequency to the smaller n-gram; repeated rows are scored each;
-without any labelled row everything is ``und``; an empty table gives an empty result; further columns are
-ignored.
+first language in code-point order, ties in frequency to the smaller n-gram (shorter first, then by code points); repeated rows
+are scored each; texts of any length are read whole; without any labelled row everything is ``und``; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import Scratch, fold, short_batches
 
 UNKNOWN = "und"
-MAX_TRAIN_DOCS = 20_000
+#: Training documents of one language, about, at most.
+DOCS_PER_LANGUAGE = 5_000
 PROFILE_SIZE = 400
-#: A profile is kept for so many languages at most (the most frequent), so what is broadcast is bounded.
-MAX_LANGUAGES = 500
+LANGUAGES_PER_PASS = 5_000
+#: Languages whose counts are broadcast; more are joined by a shuffle.
+FEW_LANGUAGES = 100_000
+#: What stands for a run of characters that aren't letters.
+_SPACE = 1
 
 _letter: list[np.ndarray] = []
 
@@ -46,14 +51,14 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     letter = _letters()[codes]
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    padded = np.zeros(len(codes) + 2, np.int64)
-    padded[1:-1] = np.where(letter, codes, 0)
+    padded = np.full(len(codes) + 2, _SPACE, np.int64)
+    padded[1:-1] = np.where(letter, codes, _SPACE)
     keep = np.ones(len(padded), bool)
-    keep[1:] = (padded[1:] > 0) | (padded[:-1] > 0)
+    keep[1:] = (padded[1:] != _SPACE) | (padded[:-1] != _SPACE)
     a = padded[keep]
     two = (a[:-1] << 21) | a[1:]
     three = (two[:-1] << 21) | a[2:]
-    return np.unique(np.concatenate([a[a > 0], two, three[a[1:-1] > 0]]), return_counts=True)
+    return np.unique(np.concatenate([a[a != _SPACE], two, three[a[1:-1] != _SPACE]]), return_counts=True)
 
 
 def top(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -63,39 +68,64 @@ def top(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Profiles:
+    """Languages in code-point order, and for each n-gram the languages that have it with its rank there."""
+
     languages: list[str]
     keys: np.ndarray
-    #: For each key (and one more row for absent ones) and language, the rank.
-    ranks: np.ndarray
+    #: Entries ``bounds[k]`` to ``bounds[k + 1]`` of language and rank are those of key k.
+    bounds: np.ndarray
+    language: np.ndarray
+    rank: np.ndarray
     size: int
 
     @classmethod
-    def of(cls, ranked: dict[str, list[int]], size: int) -> Profiles:
-        languages = sorted(ranked)
-        keys = np.unique(np.asarray([k for v in ranked.values() for k in v], np.int64))
-        ranks = np.full((len(keys) + 1, len(languages)), size, np.int32)
-        for j, language in enumerate(languages):
-            ranks[np.searchsorted(keys, ranked[language]), j] = np.arange(len(ranked[language]))
-        return cls(languages, keys, ranks, size)
-
-    def nearest(self, text: str | None) -> tuple[str, float]:
-        mine = top(*ngrams(text), self.size)
+    def of(cls, ranked: pd.DataFrame, size: int) -> Profiles:
+        """From rows (lang, gram, place), places from 1 on."""
+        languages, language = np.unique(ranked["lang"].to_numpy(str), return_inverse=True)
+        grams = ranked["gram"].to_numpy(np.int64)
+        order = np.argsort(grams, kind="stable")
+        keys, first = np.unique(grams[order], return_index=True)
+        return cls(languages.tolist(), keys, np.append(first, len(grams)), language[order], ranked["place"].to_numpy(np.int64)[order] - 1, size)
+
+    def nearest(self, mine: np.ndarray) -> tuple[str | None, int]:
+        """The nearest language of n-grams in order of frequency, and its distance."""
+        far = self.size * len(mine)
         if not len(mine) or not self.languages:
-            return UNKNOWN, 0.0
-        at = np.searchsorted(self.keys, mine)
-        at[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != mine)] = len(self.keys)
-        ranks = self.ranks[at]
-        apart = np.where(ranks < self.size, np.abs(ranks - np.arange(len(mine))[:, None]), self.size).sum(axis=0)
+            return None, far
+        at = np.minimum(np.searchsorted(self.keys, mine), len(self.keys) - 1)
+        place = np.flatnonzero(self.keys[at] == mine)
+        first, count = self.bounds[at[place]], self.bounds[at[place] + 1] - self.bounds[at[place]]
+        entry = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        closer = self.size - np.abs(self.rank[entry] - np.repeat(place, count))
+        apart = far - np.bincount(self.language[entry], closer, len(self.languages)).astype(np.int64)
         best = int(apart.argmin())
-        return self.languages[best], 1.0 - float(apart[best]) / (self.size * len(mine))
+        return self.languages[best], int(apart[best])
+
+
+@dataclass(frozen=True)
+class ProfileTable:
+    """A row for each language and place: (lang, gram, place, pass)."""
+
+    rows: DataFrame
+    passes: int
+    size: int
+
+    def load(self, number: int) -> Profiles:
+        """The profiles of one pass: a bounded number of languages and n-grams."""
+        return Profiles.of(self.rows.filter(F.col("pass") == number).drop("pass").toPandas(), self.size)
 
 
-def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE, max_train_docs: int = MAX_TRAIN_DOCS) -> Profiles:
+def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE, docs_per_language: int = DOCS_PER_LANGUAGE, per_pass: int = LANGUAGES_PER_PASS) -> ProfileTable:
     """Profiles from labelled rows outside the held-out fold."""
-    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    n = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (fold() != 0)).count()
-    if n > max_train_docs:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train_docs / n))
+    spark = docs.sparkSession
+    short_batches(spark)
+    scratch = Scratch(spark, "languages")
+    known = F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)
+    shares = docs.filter(known).groupBy("lang").agg((F.lit(docs_per_language) / F.count(F.lit(1))).alias("share"))
+    shares = scratch.save(shares, "shares")
+    few = F.broadcast(shares) if shares.count() <= FEW_LANGUAGES else shares
+    labelled = docs.filter(known).select("doc_id", "text", "lang").join(few, "lang")
+    labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,22 +136,38 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE, max_train_docs: in
                 yield pd.DataFrame({"lang": lang, "gram": keys, "n": n.astype(np.int64)})
 
     counts = labelled.select("lang", "text").mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    langs = counts.groupBy("lang").agg(F.sum("n").alias("all_n")).orderBy(F.desc("all_n"), "lang").limit(MAX_LANGUAGES)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = counts.withColumn("place", place).filter(F.col("place") <= size).join(F.broadcast(langs.select("lang")), "lang", "left_semi")
-    ranked: dict[str, list[int]] = {}
-    for r in best.orderBy("lang", "place").collect():  # MAX_LANGUAGES profiles of a fixed size
-        ranked.setdefault(r.lang, []).append(r.gram)
-    return Profiles.of(ranked, size)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # cut at size inside each task first
+    best = counts.withColumn("place", place).filter(F.col("place") <= size).select("lang", "gram", "place")
+    numbers = shares.select("lang", F.expr(f"(row_number() OVER (ORDER BY lang) - 1) div {per_pass}").alias("pass"))  # one row per language
+    best = scratch.save(best.join(numbers, "lang"), "profiles")
+    passes = best.agg(F.max("pass")).first()[0]
+    return ProfileTable(best, 0 if passes is None else int(passes) + 1, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
+def identify(docs: DataFrame, profiles: ProfileTable) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every document."""
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [profiles.nearest(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
-
-    rows = docs.select("doc_id", (fold() == 0).alias("held_out"), "text")
-    return rows.mapInPandas(predict, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    short_batches(docs.sparkSession)
+    scratch, size = Scratch(docs.sparkSession, "identify"), profiles.size
+    schema = "doc_id bigint, held_out boolean, text string, lang_pred string, score double"
+
+    def nearest(some: Profiles | None, last: bool):
+        def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                names, scores = [], []
+                for text, name, score in zip(batch["text"], batch["lang_pred"], batch["score"], strict=True):
+                    mine = top(*ngrams(text), size)
+                    found, apart = some.nearest(mine) if some else (None, 0)
+                    # Passes come in code-point order, so the first of equals stays.
+                    if found is not None and (name is None or 1.0 - apart / (size * len(mine)) > score):
+                        name, score = found, 1.0 - apart / (size * len(mine))
+                    names.append(UNKNOWN if last and name is None else name)
+                    scores.append(score)
+                out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "text": batch["text"], "lang_pred": names, "score": scores})
+                yield out.drop(columns="text") if last else out
+
+        return inner
+
+    rows = docs.select("doc_id", (fold() == 0).alias("held_out"), "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score"))
+    for k in range(profiles.passes - 1):
+        rows = scratch.save(rows.mapInPandas(nearest(profiles.load(k), False), schema), f"pass{k}")
+    return rows.mapInPandas(nearest(profiles.load(profiles.passes - 1) if profiles.passes else None, True), schema.replace("text string, ", ""))
