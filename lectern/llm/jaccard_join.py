@@ -8,8 +8,8 @@ min(l, l') prefix tokens before it is verified.
 
 1. One pass over the texts keeps per document its set's size, hash and a bitmap, and counts tokens lossily: those
    seen twice in a chunk are summed by Spark, and the most frequent (at most ``max_frequent``) set the order.
-2. A second pass emits prefix tokens of distinct sets; one shuffle by token makes the lists. Tokens of one set only
-   vanish.
+2. A second pass emits prefix tokens of distinct sets; one shuffle by token makes the lists, with frequent tokens' lists in
+   parts. Tokens of one set only vanish. The texts of the sets in a list are written once, for all that follows.
 3. Each set is paired with the head of the lists that it shares most often with; bitmaps drop impossible pairs and
    the rest are verified on whole texts. This joins large groups of copies through few pairs.
 4. Across the components found so far, each set's likeliest partner is verified, a few times over; then all pairs that are
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, short_batches
 from .graph import components, merged
 from .rolling import Prefix, mix64, words
 
@@ -111,6 +111,8 @@ def prefix_length(n: int | np.ndarray, match: int | np.ndarray, percent: int) ->
     return np.minimum(n, n + (-percent * n) // 100 + match)
 
 
+#: Parts of a frequent token's list.
+SALTS = 256
 NO_PAIRS = pd.DataFrame({k: np.empty(0, np.int64) for k in ("a", "b", "c", "need")})
 
 
@@ -177,6 +179,7 @@ class JaccardJoin:
 
     def __post_init__(self):
         self.spark = self.docs.sparkSession
+        short_batches(self.spark)
         self.scratch = Scratch(self.spark, "jaccard")
         self.rows = self.docs.select("doc_id", "text")
 
@@ -247,18 +250,31 @@ class JaccardJoin:
                             match = min(spec.max_match, 1 + (spent // spec.cost_unit).bit_length())
                     # A pair shares ceil(t n) tokens at least, which bounds the tokens that may be asked for.
                     match = max(1, min(match, -(-spec.percent * n // 100)))
-                    part = mine[: int(prefix_length(n, match, spec.percent))]
-                    out.append((part, key, n, match))
+                    size = int(prefix_length(n, match, spec.percent))
+                    hot = often[lo:hi][order][:size] > 0 if rank[lo:hi].any() else np.zeros(size, bool)
+                    out.append((mine[:size], hot, key, n * 16 + match))
                 if out:
-                    sizes = [len(p) for p, *_ in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for p, *_ in out])), *(pa.array(np.repeat(np.asarray([o[k] for o in out], np.int64), sizes)) for k in (1,)), pa.array(np.repeat(np.asarray([o[2] * 16 + o[3] for o in out], np.int64), sizes))], ["token", "h1", "info"])
-
-        entries = self.rows.mapInArrow(emit, "token bigint, h1 bigint, info bigint")
-        lists = Window.partitionBy("token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ordered = Window.partitionBy("token").orderBy("h1")
-        entries = entries.withColumn("head", F.min(F.struct("h1", "info")).over(lists)).withColumn("last", F.max("h1").over(lists)).withColumn("before", F.lag("h1").over(ordered))
-        entries = entries.filter("head.h1 < last and (before is null or before < h1)")
-        return self.scratch.save(entries.select("token", "h1", "info", F.col("head.h1").alias("head"), F.col("head.info").alias("head_info")), "lists")
+                    sizes = [len(o[0]) for o in out]
+                    h1, info = (np.repeat(np.asarray([o[k] for o in out], np.int64), sizes) for k in (2, 3))
+                    hot = np.concatenate([o[1] for o in out])
+                    salt = np.where(hot, 1 + h1 % SALTS, 0).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(h1), pa.array(info), pa.array(salt)], ["token", "h1", "info", "salt"])
+
+        entries = self.rows.mapInArrow(emit, "token bigint, h1 bigint, info bigint, salt int")
+        # A frequent token's list is dealt by its sets into SALTS parts, so no window holds a list whole.
+        part = Window.partitionBy("token", "salt")
+        whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        entries = entries.withColumn("head", F.min(F.struct("h1", "info")).over(whole)).withColumn("last", F.max("h1").over(whole)).withColumn("before", F.lag("h1").over(part.orderBy("h1")))
+        entries = entries.filter("(salt > 0 or head.h1 < last) and (before is null or before < h1)").drop("before")
+        entries = self.scratch.save(entries, "parts")
+        # At most max_frequent tokens.
+        joint = entries.filter("salt > 0").groupBy("token").agg(F.min("head").alias("first"), F.max("last").alias("end"))
+        lists = entries.join(F.broadcast(joint), "token", "left").withColumn("head", F.coalesce("first", "head")).withColumn("last", F.coalesce("end", "last"))
+        lists = lists.filter("head.h1 < last").select("token", "h1", "info", F.col("head.h1").alias("head"), F.col("head.info").alias("head_info"))
+        lists = self.scratch.save(lists, "lists")
+        self.scratch.drop("parts")
+        shared.unpersist()
+        return lists
 
     def _fits(self, a: str, b: str):
         """Whether sets of these sizes can be similar at all; an info is 16 times the size and the match."""
@@ -303,12 +319,11 @@ class JaccardJoin:
         pairs = pairs.join(right, "b").join(left, "a")
         return pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint").distinct()
 
-    def _texts(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-        """(node, text) of all nodes in the pairs: the one place where texts are joined, so verifying moves none but these."""
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = nodes.select("node", "text_hash").join(ids, "node").select(F.col("node").alias("doc_id"), "text_hash")
-        texts = self.rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
-        return self.scratch.save(texts.select(F.col("doc_id").alias("node"), "text"), name)
+    def _texts(self, lists: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(node, text) of all sets in a list, one row each: the one place where the corpus's texts are joined."""
+        wanted = nodes.join(lists.select("h1").distinct(), "h1", "left_semi").select(F.col("node").alias("doc_id"), "text_hash")
+        texts = self.rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+        return self.scratch.save(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
 
     def _shared(self, lists: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
         """(head, node, info, tokens): the nodes of lists that hold several components, by the lists' head.
@@ -316,9 +331,9 @@ class JaccardJoin:
         The tokens are a node's own prefix tokens, so the array is bounded by the document.
         """
         named = keys.join(found, "node", "left").select("h1", "node", F.coalesce("component", "node").alias("component"))
-        spread = Window.partitionBy("token")
-        rows = lists.select("token", "h1", "info", "head").join(named, "h1").withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
-        rows = rows.filter("lo < hi").groupBy("head", "node").agg(F.first("info").alias("info"), F.collect_set("token").alias("tokens"))
+        rows = self.scratch.save(lists.select("token", "h1", "info", "head").join(named, "h1"), "named")
+        mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+        rows = rows.join(mixed, "token").groupBy("head", "node").agg(F.first("info").alias("info"), F.collect_set("token").alias("tokens"))
         return self.scratch.save(rows, "across")
 
     def _across(self, shared: DataFrame, nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
@@ -371,12 +386,13 @@ class JaccardJoin:
         marked = sets.select(F.col("doc_id").alias("node"), "h1", "h2", "n", "bitmap", "text_hash").dropDuplicates(["node", "h1", "h2"])
         nodes = self.scratch.save(marked.join(least, ["node", "h1", "h2"]), "nodes")
         keys = nodes.select("h1", "node")
+        texts = self._texts(lists, nodes)
         # Heads of lists first: the one that a set shares most lists with.
         best = lists.filter("h1 <> head").filter(self._fits("info", "head_info")).groupBy("h1", "head").agg(F.count(F.lit(1)).alias("c"))
         best = best.groupBy("h1").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
         pairs = best.join(keys.withColumnRenamed("node", "b"), "h1").join(keys.select(F.col("h1").alias("head"), F.col("node").alias("a")), "head").select("a", "b")
         pairs = self.scratch.save(self._possible(pairs, nodes), "pairs1")
-        links = self.scratch.save(self._linked(pairs, self._texts(pairs, nodes, "texts1")), "links1")
+        links = self.scratch.save(self._linked(pairs, texts), "links1")
         found = self.scratch.save(components(links, self.scratch), "found1")
         # Then whatever the lists hold across those components. Each node's likeliest partner elsewhere goes first, a few
         # times over: where links are dense, that joins the components, and the pairs inside them need no check.
@@ -388,11 +404,11 @@ class JaccardJoin:
             best = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             best = self.scratch.save(best if seen is None else best.join(seen, ["a", "b"], "left_anti"), f"best{turn}")
             seen = best if seen is None else seen.unionByName(best)
-            more = self.scratch.save(self._linked(best, self._texts(best, nodes, f"texts2{turn}")), f"links2{turn}")
+            more = self.scratch.save(self._linked(best, texts), f"links2{turn}")
             found = merged(found, more, self.scratch, f"found2{turn}")
         rest = self._across(shared, nodes, found, best=False).select("a", "b")
         rest = self.scratch.save(rest if seen is None else rest.join(seen, ["a", "b"], "left_anti"), "rest")
-        final = merged(found, self.scratch.save(self._linked(rest, self._texts(rest, nodes, "texts3")), "links3"), self.scratch, "found3")
+        final = merged(found, self.scratch.save(self._linked(rest, texts), "links3"), self.scratch, "found3")
         ids = least.join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
         out = sets.select("doc_id", "n", "h1", "h2").join(ids, ["h1", "h2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
@@ -407,9 +423,10 @@ def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """The rows of each component's smallest doc_id, one row each, and all rows without a set or an id."""
     groups = Scratch(docs.sparkSession, "kept").save(similar_components(docs, spec), "groups")
     dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.join(dropped, "doc_id", "left_anti").select(*columns)
     repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not repeated.take(1):
         return left
-    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    once = left.join(repeated, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once)
