@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rolling
+
 #: A word is a longest run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,6 +31,38 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
 
 
+def release() -> None:
+    """Give a Python worker's freed memory back to the system; workers outlive their tasks, and several share an executor."""
+    rolling.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that releases memory at the end of its task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def lean_group(f: Callable) -> Callable:
+    """A function of one group that releases memory afterwards."""
+
+    def run(group):
+        try:
+            return f(group)
+        finally:
+            release()
+
+    return run
+
+
 def fold(key: str = "doc_id") -> Column:
     """crc32 of the key as text, mod 5; 0 marks held-out rows. A null key is held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5, F.lit(0)).cast("int")

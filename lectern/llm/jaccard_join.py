@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, short_batches
+from .common import Scratch, lean, lean_group, short_batches
 from .graph import components, merged
 from .rolling import Prefix, mix64, words
 
@@ -211,7 +211,7 @@ class JaccardJoin:
 
         names = ["doc_id", "text_hash", "n", "h1", "h2", "bitmap"]
         rows = self.rows.withColumn("text_hash", F.xxhash64("text"))
-        return self.scratch.save(rows.mapInArrow(survey, "doc_id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, bitmap binary"), "survey")
+        return self.scratch.save(rows.mapInArrow(lean(survey), "doc_id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, bitmap binary"), "survey")
 
     def _frequent(self, survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         counts = survey.filter("h2 is null").groupBy("h1").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.spec.frequent_from)
@@ -260,7 +260,7 @@ class JaccardJoin:
                     salt = np.where(hot, 1 + h1 % SALTS, 0).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(h1), pa.array(info), pa.array(salt)], ["token", "h1", "info", "salt"])
 
-        entries = self.rows.mapInArrow(emit, "token bigint, h1 bigint, info bigint, salt int")
+        entries = self.rows.mapInArrow(lean(emit), "token bigint, h1 bigint, info bigint, salt int")
         # A frequent token's list is dealt by its sets into SALTS parts, so no window holds a list whole.
         part = Window.partitionBy("token", "salt")
         whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -295,7 +295,7 @@ class JaccardJoin:
 
         of = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bitmap").alias(f"m{s}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
-        return both.mapInArrow(room, "a bigint, b bigint").distinct()
+        return both.mapInArrow(lean(room), "a bigint, b bigint").distinct()
 
     def _linked(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the pairs whose sets, taken from the whole texts, are similar."""
@@ -317,7 +317,7 @@ class JaccardJoin:
 
         left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         pairs = pairs.join(right, "b").join(left, "a")
-        return pairs.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint").distinct()
+        return pairs.select("a", "b", "ta", "tb").mapInArrow(lean(verify), "a bigint, b bigint").distinct()
 
     def _texts(self, lists: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, text) of all sets in a list, one row each: the one place where the corpus's texts are joined."""
@@ -371,7 +371,7 @@ class JaccardJoin:
                 pairs = ends.drop(columns="x").drop_duplicates(["a", "b"])
             return pairs
 
-        pairs = sides.groupBy("grp").applyInPandas(match, "a bigint, b bigint, c bigint, need bigint")
+        pairs = sides.groupBy("grp").applyInPandas(lean_group(match), "a bigint, b bigint, c bigint, need bigint")
         pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
         # A best pair's count is of one bucket and may be short of what it needs; all pairs are counted whole.
         return (pairs if best else pairs.filter("c >= need")).select("a", "b", "c")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, short_batches
+from .common import Scratch, fold, lean, short_batches
 
 UNKNOWN = "und"
 #: Training documents of one language, about, at most.
@@ -135,7 +135,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE, docs_per_language:
                 n = np.bincount(at, np.concatenate([c for _, c in found]), len(keys))
                 yield pd.DataFrame({"lang": lang, "gram": keys, "n": n.astype(np.int64)})
 
-    counts = labelled.select("lang", "text").mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.select("lang", "text").mapInPandas(lean(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # cut at size inside each task first
     best = counts.withColumn("place", place).filter(F.col("place") <= size).select("lang", "gram", "place")
     numbers = shares.select("lang", F.expr(f"(row_number() OVER (ORDER BY lang) - 1) div {per_pass}").alias("pass"))  # one row per language
@@ -169,5 +169,5 @@ def identify(docs: DataFrame, profiles: ProfileTable) -> DataFrame:
 
     rows = docs.select("doc_id", (fold() == 0).alias("held_out"), "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score"))
     for k in range(profiles.passes - 1):
-        rows = scratch.save(rows.mapInPandas(nearest(profiles.load(k), False), schema), f"pass{k}")
-    return rows.mapInPandas(nearest(profiles.load(profiles.passes - 1) if profiles.passes else None, True), schema.replace("text string, ", ""))
+        rows = scratch.save(rows.mapInPandas(lean(nearest(profiles.load(k), False)), schema), f"pass{k}")
+    return rows.mapInPandas(lean(nearest(profiles.load(profiles.passes - 1) if profiles.passes else None, True)), schema.replace("text string, ", ""))

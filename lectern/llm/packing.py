@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, short_batches
+from .common import Scratch, lean, short_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
             yield pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInPandas(cut, "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInPandas(lean(cut), "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 class CapacityTree:
@@ -170,6 +170,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_p
     grp = F.pmod(F.xxhash64("doc_id", "row", "piece", "ids_crc32"), F.lit(groups))
     schema = cut.schema.simpleString().removeprefix("struct<")[:-1].replace(":", " ") + ", sequence_id bigint, offset bigint"
     dealt = open_.withColumn("grp", grp).repartition(groups, "grp")
-    packed = dealt.mapInPandas(fit, schema)
+    packed = dealt.mapInPandas(lean(fit), schema)
     full = cut.filter(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("bigint"))
     return packed.unionByName(full)

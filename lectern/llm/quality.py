@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import lean, short_batches
 
 MAX_TRAIN_DOCS = 3_000
 #: Neighbouring lines that a training document gives, at most; where they begin follows from its label row's hash.
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
             found = [x[(at := h % max(1, len(x) - MAX_TRAIN_LINES + 1)) : at + MAX_TRAIN_LINES] for x, h in zip(found, batch["h"], strict=True)]
             yield pd.DataFrame({"lines": [np.packbits(x, axis=None).tobytes() for x in found], "n": [len(x) for x in found], "bad": 1 - batch["quality"].to_numpy()})
 
-    got = rows.mapInPandas(lines, "lines binary, n int, bad int").toPandas()  # max_train_docs rows at most
+    got = rows.mapInPandas(lean(lines), "lines binary, n int, bad int").toPandas()  # max_train_docs rows at most
     k = len(FEATURES)
     documents = [np.unpackbits(np.frombuffer(b, np.uint8), count=n * k).reshape(n, k).astype(bool) for b, n in zip(got["lines"], got["n"], strict=True)]
     return fit_field(documents, got["bad"].to_numpy())
@@ -231,4 +231,4 @@ def judge(docs: DataFrame, model: Field, min_share: float = 0.5) -> DataFrame:
             yield out.astype({"doc_id": "Int64"})
 
     short_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(one, SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(lean(one), SCHEMA)

@@ -20,6 +20,11 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drop the tables of powers."""
+    _powers.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads all bits."""
     x = x ^ (x >> np.uint64(30))

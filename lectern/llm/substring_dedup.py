@@ -5,13 +5,16 @@ content, so that equal strings meet without any global index:
 
 1. Each window of ``length`` bytes has an anchor, the gram with the least hash in it; equal windows have equal
    anchors. Runs of windows with one anchor are segments. Anchors that occur once are dropped by a join with
-   their counts; identical segments are counted together, so copies of a passage collapse to one row.
+   their counts; identical segments are counted together, so copies of a passage collapse to one row, and so do the
+   segments of a periodic stretch (a run of blanks, a ruler) inside a text.
 2. Where an anchor has different segments, their bytes are gathered in buckets by anchor. Each bucket is small
    text of its own: its suffixes are sorted, and from the transform common prefixes are derived by increasing
    value, breadth first, by backward extension, stopping at ``length``. What has no boundary below it is a class of
    equal strings; a class of two occurrences or more is repeated.
 3. Anchors with very many different segments (a passage in a large share of all documents has such at its ends)
-   would overfill a bucket: their windows are hashed one by one (128 bits) and counted by Spark instead.
+   would overfill a bucket. Their windows are dealt by their distance to the anchor, ``fine`` distances at a time, and by the bytes
+   that all windows of that distance hold; what coincides collapses again, and the parts are buckets of their own. The last
+   step leaves windows that differ in one byte at each end, so a bucket's size is bounded.
 4. Repeated windows go back to the documents as spans; texts are cut in place.
 
 Cases: null text is empty; texts shorter than ``length`` keep all bytes; repeated rows are copies of each other;
@@ -32,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import PLACE_BITS, segments
-from .common import Scratch
-from .rolling import Prefix
+from .common import Scratch, lean, lean_group, short_batches
+from .rolling import Prefix, mix64
 
 #: A byte that no UTF-8 text holds.
 BREAK = 0xFF
@@ -45,8 +48,10 @@ class RepeatSpec:
     gram: int = 48
     #: Segment bytes in a bucket, about.
     bucket_bytes: int = 1_000_000
-    #: Different segments of one anchor that a bucket takes.
+    #: Different segments of one anchor that make it a crowded one.
     max_segments: int = 3_000
+    #: Distances to the anchor that are dealt together where it is crowded, and where such parts are crowded in turn.
+    fine: tuple[int, ...] = (16, 2)
     chunk_bytes: int = 1_000_000
 
 
@@ -174,7 +179,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _segments(keyed: DataFrame, spec: RepeatSpec) -> DataFrame:
-    names = ["g", "h", "_id", "_hash", "start", "owned"]
+    names = ["g", "h", "_id", "_hash", "start", "owned", "times"]
     longest = (1 << PLACE_BITS) - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,68 +197,123 @@ def _segments(keyed: DataFrame, spec: RepeatSpec) -> DataFrame:
                 ends = np.cumsum([len(t) for t in texts[lo:hi]])
                 text, first, owned, g, h = segments(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), ends, spec.length, spec.gram)
                 begin = ends - [len(t) for t in texts[lo:hi]]
+                # In a periodic stretch one segment follows another like it: such a series is one row.
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1]) | (text[1:] != text[:-1]) | (first[1:] != first[:-1] + owned[:-1])
+                times = np.diff(np.append(np.flatnonzero(new), len(g))).astype(np.int32)
+                text, first, owned, g, h = (x[new] for x in (text, first, owned, g, h))
                 doc = owner[lo:hi][text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), h.view(np.int64), ids[doc], hashes[doc], base[lo:hi][text] + first - begin[text], owned.astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), h.view(np.int64), ids[doc], hashes[doc], base[lo:hi][text] + first - begin[text], owned.astype(np.int32), times)], names)
 
-    return keyed.select("_id", "_hash", "text").filter("text is not null").mapInArrow(emit, "g bigint, h bigint, _id bigint, _hash bigint, start bigint, owned int")
+    return keyed.select("_id", "_hash", "text").filter("text is not null").mapInArrow(lean(emit), "g bigint, h bigint, _id bigint, _hash bigint, start bigint, owned int, times int")
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments' bytes from their documents' texts."""
     names = ["g", "h", "copies", "owned", "crowded", "bytes"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
     for batch in batches:
-        texts, out = batch.column(0).cast(pa.binary()).to_pylist(), []
-        for text, wanted in zip(texts, batch.column(1).to_pylist(), strict=True):
-            out += [(w["g"], w["h"], w["copies"], w["owned"], w["crowded"], text[w["start"] : w["start"] + w["bytes"]]) for w in wanted]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        out: list[tuple] = []
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_buffer().to_pybytes()
+            for w in wanted.as_py():
+                out.append((w["g"], w["h"], w["copies"], w["owned"], w["crowded"], text[w["start"] : w["start"] + w["bytes"]]))
+            if len(out) >= 4_000:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
+                out = []
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
 
 
-def _window_ranges(crowded: DataFrame, spec: RepeatSpec) -> DataFrame:
-    """Repeated starts of crowded anchors, by counting the windows' hashes."""
+def dealt(data: bytes, owned: int, length: int, gram: int, fine: int, key: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(key, sub, first, owned, size): the parts of a segment's windows, dealt by distance to the anchor.
+
+    ``key`` is the anchor's hash; a part's key is of its distances and of the bytes that every window of such distances holds, and sub of all its bytes.
+    """
+    sums = Prefix(np.frombuffer(data, np.uint8))
+    at = np.arange(len(data) - gram + 1)
+    anchor = int(np.flatnonzero(sums.of(at, at + gram).view(np.int64) == key)[0])
+    for near in range((anchor - owned + 1) // fine * fine, anchor + 1, fine):
+        first, last = max(0, anchor - near - fine + 1), min(owned - 1, anchor - near)
+        if first > last:
+            continue
+        core, whole = sums.of(np.asarray([anchor - near, first]), np.asarray([anchor - near - fine + 1 + length, last + length]))
+        part = mix64(np.asarray([core, whole]) + np.asarray([near, anchor - first], np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        yield int(part[0]), int(part[1]), first, last - first + 1, last - first + length
+
+
+def _expanded(parts: DataFrame, spec: RepeatSpec) -> DataFrame:
+    """(key, sub, lo, hi): repeated starts of distinct parts (key, sub, copies, owned, bytes), bucket by bucket."""
+    size = parts.agg(F.sum(F.col("owned") + spec.length)).first()[0] or 0
+    buckets = max(1, -(-size // spec.bucket_bytes))
+
+    def expand(group: pd.DataFrame) -> pd.DataFrame:
+        part, lo, hi = repeated_ranges(group["bytes"].tolist(), group["owned"].to_numpy(np.int64), group["copies"].to_numpy(np.float64), spec.length)
+        return pd.DataFrame({"key": group["key"].to_numpy()[part], "sub": group["sub"].to_numpy()[part], "lo": lo, "hi": hi})
+
+    grouped = parts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket")
+    return grouped.applyInPandas(lean_group(expand), "key bigint, sub bigint, lo bigint, hi bigint")
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                data, at = np.frombuffer(r.bytes, np.uint8), np.arange(r.owned)
-                w = [Prefix(x).of(at, at + spec.length).view(np.int64) for x in (data, data ^ np.uint8(0x5A))]
-                yield pd.DataFrame({"w1": w[0], "w2": w[1], "g": r.g, "h": r.h, "at": at, "copies": r.copies})
 
-    rows = crowded.select("g", "h", "copies", "owned", "bytes").mapInPandas(windows, "w1 bigint, w2 bigint, g bigint, h bigint, at bigint, copies bigint")
-    again = rows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
-    return rows.join(again, ["w1", "w2"], "left_semi").select("g", "h", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+def _crowded_ranges(crowded: DataFrame, spec: RepeatSpec, scratch: Scratch, step: int = 0) -> DataFrame:
+    """(g, h, lo, hi) of crowded anchors' segments (g, h, off, copies, owned, bytes), whose windows are dealt anew."""
+    length, gram, fine = spec.length, spec.gram, spec.fine[step]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["g", "h", "off", "copies", "owned", "bytes", "key", "sub"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                out = []
+                for r in batch.slice(at, 500).to_pylist():
+                    for key, sub, first, owned, size in dealt(r["bytes"], r["owned"], length, gram, fine, r["g"]):
+                        out.append((r["g"], r["h"], r["off"] + first, r["copies"], owned, r["bytes"][first : first + size], key, sub))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
+
+    parts = crowded.mapInArrow(lean(deal), "g bigint, h bigint, off bigint, copies bigint, owned int, bytes binary, key bigint, sub bigint")
+    parts = scratch.save(parts, f"dealt{step}")
+    distinct = parts.groupBy("key", "sub").agg(F.sum("copies").alias("copies"), F.first("owned").alias("owned"), F.first("bytes").alias("bytes"))
+    if step + 1 == len(spec.fine):
+        return _back(parts, _expanded(scratch.save(distinct, f"distinct{step}"), spec))
+    again = parts.select("key", "sub").distinct().groupBy("key").agg((F.count(F.lit(1)) > spec.max_segments).alias("crowded"))
+    distinct = scratch.save(distinct.join(again, "key"), f"distinct{step}")
+    out = _back(parts, _expanded(distinct.filter("not crowded"), spec))
+    if not distinct.filter("crowded").take(1):
+        return out
+    finer = parts.join(distinct.filter("crowded").select("key", "sub"), ["key", "sub"], "left_semi")
+    return out.unionByName(_crowded_ranges(finer.select("g", "h", "off", "copies", "owned", "bytes"), spec, scratch, step + 1))
+
+
+def _back(parts: DataFrame, ranges: DataFrame) -> DataFrame:
+    found = parts.select("g", "h", "off", "key", "sub").join(ranges, ["key", "sub"])
+    return found.select("g", "h", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
 
 
 def _spans(keyed: DataFrame, spec: RepeatSpec, scratch: Scratch) -> DataFrame:
     """(_id, _hash, spans): for each text with repeats its array of (s, e)."""
     found = scratch.save(_segments(keyed, spec), "segments")
-    again = found.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    again = found.groupBy("g").agg(F.sum("times").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     again = again.filter("n > 1").select(F.col("g").alias("k"), (F.col("lo") < F.col("hi")).alias("mixed"))
     found = scratch.save(found.join(again, F.col("g") == F.col("k")).drop("k"), "repeated")
     scratch.drop("segments")
     mixed = found.filter("mixed")
-    kinds = mixed.groupBy("g", "h").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_hash", "start", "owned")).alias("at"))
+    kinds = mixed.groupBy("g", "h").agg(F.sum("times").alias("copies"), F.min(F.struct("_id", "_hash", "start", "owned")).alias("at"))
     per_anchor = kinds.groupBy("g").agg((F.count(F.lit(1)) > spec.max_segments).alias("crowded")).withColumnRenamed("g", "k")
     kinds = scratch.save(kinds.join(per_anchor, F.col("g") == F.col("k")).select("g", "h", "copies", "crowded", "at.*"), "kinds")
-    size = kinds.filter("not crowded").agg(F.sum(F.col("owned") + spec.length)).first()[0] or 0
-    crowding = bool(kinds.filter("crowded").take(1))
-    buckets = max(1, -(-size // spec.bucket_bytes))
     # A text's own segments: bounded by the text.
     wanted = kinds.groupBy("_id", "_hash").agg(F.collect_list(F.struct("g", "h", "copies", "start", "owned", "crowded", (F.col("owned") + spec.length - 1).alias("bytes"))).alias("wanted"))
-    cut = keyed.select("_id", "_hash", "text").join(wanted, ["_id", "_hash"])
-    cut = cut.select("text", "wanted").mapInArrow(_cut_out, "g bigint, h bigint, copies bigint, owned int, crowded boolean, bytes binary")
-
-    def expand(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["g", "h"])  # rows that repeat a document give their segments again
-        part, lo, hi = repeated_ranges(group["bytes"].tolist(), group["owned"].to_numpy(np.int64), group["copies"].to_numpy(np.float64), spec.length)
-        return pd.DataFrame({"g": group["g"].to_numpy()[part], "h": group["h"].to_numpy()[part], "lo": lo, "hi": hi})
-
-    ranges = cut.filter("not crowded").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket").applyInPandas(expand, "g bigint, h bigint, lo bigint, hi bigint")
-    if crowding:
-        ranges = ranges.unionByName(_window_ranges(cut.filter("crowded").dropDuplicates(["g", "h"]), spec))
-    ranges = ranges.select(F.col("g").alias("k"), F.col("h").alias("l"), "lo", "hi")
-    whole = found.filter("not mixed").select("_id", "_hash", F.col("start").alias("s"), (F.col("start") + F.col("owned") + (spec.length - 1)).alias("e"))
-    parts = mixed.join(ranges, (F.col("g") == F.col("k")) & (F.col("h") == F.col("l")))
+    cut = keyed.select("_id", "_hash", "text").join(wanted, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
+    cut = cut.select(F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(lean(_cut_out), "g bigint, h bigint, copies bigint, owned int, crowded boolean, bytes binary")
+    cut = scratch.save(cut, "cut")
+    ranges = _expanded(cut.filter("not crowded").withColumnsRenamed({"g": "key", "h": "sub"}), spec).withColumnsRenamed({"key": "g", "sub": "h"})
+    if cut.filter("crowded").take(1):
+        crowded = cut.filter("crowded").select("g", "h", F.lit(0).cast("bigint").alias("off"), "copies", "owned", "bytes")
+        # Spread by segment: a crowded anchor's segments are many.
+        ranges = ranges.unionByName(_crowded_ranges(crowded.repartition("g", "h"), spec, scratch))
+    ranges = scratch.save(ranges, "ranges").select(F.col("g").alias("k"), F.col("h").alias("l"), "lo", "hi")
+    # All windows of segments that are each other's copies are repeated.
+    till = F.col("start") + F.col("owned") * F.col("times") + (spec.length - 1)
+    whole = found.filter("not mixed or times > 1").select("_id", "_hash", F.col("start").alias("s"), till.alias("e"))
+    parts = mixed.filter("times = 1").join(ranges, (F.col("g") == F.col("k")) & (F.col("h") == F.col("l")))
     parts = parts.select("_id", "_hash", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") + (spec.length - 1)).alias("e"))
     return whole.unionByName(parts).groupBy("_id", "_hash").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
@@ -271,10 +331,11 @@ def find_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate(types))], names)
 
+    short_batches(docs.sparkSession)
     keyed = _keyed(docs.select("doc_id", "text"))
     spans = _spans(keyed, spec, Scratch(docs.sparkSession, "repeats"))
     rows = keyed.join(spans, ["_id", "_hash"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.mapInArrow(lean(digest), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def _without(text: bytes, removed: list[tuple[int, int]]) -> bytes:
@@ -288,15 +349,16 @@ def _without(text: bytes, removed: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
     """The documents with their repeated strings cut out of the text; documents left without text go."""
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(t, found):
-            if t is None or found is None:
-                return t
-            return _without(t.encode(), merged([(x["s"], x["e"]) for x in found])).decode("utf-8", "ignore")
+    def one(t: str | None, found) -> str | None:
+        if t is None or found is None:
+            return t
+        return _without(t.encode(), merged([(x["s"], x["e"]) for x in found])).decode("utf-8", "ignore")
 
-        return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)])
+    @F.pandas_udf("string")
+    def cut(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from lean(lambda some: (pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object) for text, spans in some))(rows)
 
+    short_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     keyed = _keyed(docs.select("doc_id", "text", row))
     spans = _spans(keyed, spec, Scratch(docs.sparkSession, "repeats"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold
+from .common import Scratch, fold, lean, short_batches
 
 MAX_TRAIN_DOCS = 12_000
 MAX_TERMS = 5_000
@@ -233,7 +233,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
                     n.update(_terms(text) if wanted is None else _terms(text) & wanted)
                 yield pd.DataFrame({"term": list(n), "n": list(n.values())}).astype({"term": str, "n": "int64"})
 
-        return train.select("text", "toxic").mapInPandas(inner, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+        return train.select("text", "toxic").mapInPandas(lean(inner), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
     n_toxic, n_clean = (train.agg(F.count(F.when(F.col("toxic") == k, 1))).first()[0] for k in (1, 0))
     if not n_toxic or not n_clean:
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
 
     schema = ", ".join(f"`{f}` double" for f in FEATURES) + ", toxic int"
     # max_train_docs rows at most.
-    found = rows.mapInPandas(features, schema).toPandas()
+    found = rows.mapInPandas(lean(features), schema).toPandas()
     y = found.pop("toxic").to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, np.zeros(len(FEATURES)), -40.0 if not len(y) or not y[0] else 40.0)
@@ -294,15 +294,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = model.scores(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": s, "predicted": (s >= 0.5).astype(int)})
 
+    short_batches(docs.sparkSession)
     rows = docs.select("doc_id", (fold() == 0).alias("held_out"), "text")
-    return rows.mapInPandas(predict, "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInPandas(lean(predict), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model does not mark as toxic, with all their columns."""
 
     @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(text.tolist()) < 0.5)
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(lambda some: (pd.Series(model.scores(t.tolist()) < 0.5) for t in some))(texts)
+
+    short_batches(docs.sparkSession)
 
     return docs.filter(clean("text"))

@@ -86,7 +86,7 @@ def brute_repeats(rows, length):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("spec", [RepeatSpec(length=30, gram=8), RepeatSpec(length=30, gram=8, max_segments=1, bucket_bytes=500, chunk_bytes=200)])
+@pytest.mark.parametrize("spec", [RepeatSpec(length=30, gram=8), RepeatSpec(length=30, gram=8, max_segments=1, bucket_bytes=500, chunk_bytes=200), RepeatSpec(length=30, gram=8, max_segments=4, fine=(4, 2))])
 def test_repeats(make, spec):
     rng = random.Random(3)
     part = lambda n, letters="abcdé ": "".join(rng.choice(letters) for _ in range(n))
@@ -97,6 +97,28 @@ def test_repeats(make, spec):
     assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows, spec.length)
 
 
+def test_periodic_texts(make):
+    """Series of like windows: a run of one letter, short and long periods, beside copies with other ends."""
+    spec = RepeatSpec(length=30, gram=8)
+    rng = random.Random(5)
+    rows = [(1, "-" * 500), (2, "x" + "-" * 300 + "y"), (3, "ab" * 100 + "c"), (4, "".join(rng.choice("abcdef") for _ in range(41)) * 9), (5, "-" * 30), (6, "-" * 29), (7, "zab" + "ab" * 14), (8, "only " * 3)]
+    got = find_repeats(make(rows), spec).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows, spec.length)
+    long = find_repeats(make([(1, "-" * 5_000_000), (2, "=" * 199), (3, "q" * 200)])).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in long] == [(5_000_000, 5_000_000, 1), (199, 0, 0), (200, 0, 0)]
+
+
+def test_crowded_passages(make):
+    """One passage with a different beginning and end in each document, so that its outer anchors have very many segments."""
+    spec = RepeatSpec(length=30, gram=8, max_segments=3, bucket_bytes=2_000)
+    rng = random.Random(6)
+    part = lambda n, letters="abcdefgh ": "".join(rng.choice(letters) for _ in range(n))
+    passage = part(70)
+    rows = [(i, part(rng.randrange(40)) + passage + part(rng.randrange(40), "xy")) for i in range(120)] + [(500 + i, passage[20:20 + 31] + part(9)) for i in range(20)]
+    got = find_repeats(make(rows), spec).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows, spec.length)
+
+
 def test_repeats_removed(make):
     passage = "".join(chr(97 + (i * i) % 26) for i in range(250))
     rows = [(1, "start " + passage + " é end"), (2, passage), (3, "é" + passage), (4, None), (5, "short")]
