@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.plans.shared import saved
+
 #: A text up to WHOLE is one chunk; larger ones are cut at paragraphs after TARGET, within CAP; a chunk's input is cut at INPUT.
 WHOLE, TARGET, CAP, INPUT = 8000, 4000, 8000, 16000
 #: A PDF's first pages, and the characters below which it counts as scanned.
@@ -48,10 +50,10 @@ def located(citations: DataFrame, section_pages: DataFrame) -> DataFrame:
 
 
 def page_statistics(pages: DataFrame, by: str) -> DataFrame:
-    """Mean, median, tenth percentile and shares of sparse pages, from (by, n_chars)."""
+    """Mean, median, percentiles and shares of sparse pages, from (by, n_chars)."""
     sparse = lambda n: F.avg(F.when(F.col("n_chars") < n, 1.0).otherwise(0.0))
     return pages.groupBy(by).agg(
-        F.count(F.lit(1)).alias("pages"), F.avg("n_chars").alias("mean"), F.percentile("n_chars", 0.5).alias("median"), F.percentile("n_chars", 0.1).alias("p10"),
+        F.count(F.lit(1)).alias("pages"), F.avg("n_chars").alias("mean"), F.percentile("n_chars", 0.5).alias("median"), F.percentile("n_chars", 0.1).alias("p10"), F.percentile("n_chars", 0.25).alias("p25"),
         sparse(50).alias("under_50"), sparse(100).alias("under_100"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"),
     )
 
@@ -62,26 +64,46 @@ def backend(pages: DataFrame, by: str) -> DataFrame:
     return first.select(by, F.when((F.col("mean") < SPARSE_MEAN) | (F.col("sparse") > 0.5), "layout").otherwise("text").alias("backend"))
 
 
-def best_threshold(samples: DataFrame) -> DataFrame:
+#: Distinct values in one range of a sorted pass.
+RANGE_VALUES = 1_000_000
+
+
+def _ranges(by: DataFrame, per_range: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of distinct values dealt to sorted ranges (``part``), and for each range the last value before and the first after it."""
+    n = max(2, -(-by.count() // per_range))
+    dealt = saved(by.repartitionByRange(n, "value").withColumn("part", F.spark_partition_id()), "ranges")
+    ends = dealt.groupBy("part").agg(F.min("value").alias("first"), F.max("value").alias("last"))
+    order = Window.orderBy("part")  # one row per range
+    return dealt, ends.select("part", F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))
+
+
+def best_threshold(samples: DataFrame, per_range: int = RANGE_VALUES) -> DataFrame:
     """(threshold, accuracy): the best cut of ``value`` that calls rows below it ``positive``; the least of equals.
 
-    Counts by distinct value and running sums replace a sweep of every threshold over every sample.
+    Counts by distinct value and running sums, range by range, replace a sweep of every threshold over every sample.
     """
     by = samples.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("int")).alias("p"))
-    order = Window.orderBy("value")  # over distinct values
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    by = by.withColumn("mid", (F.col("value") + F.lead("value").over(order)) / 2).withColumn("tp", F.sum("p").over(upto)).withColumn("below", F.sum("n").over(upto))
-    right = F.col("tp") + (F.sum("n").over(every) - F.col("below")) - (F.sum("p").over(every) - F.col("tp"))
-    by = by.withColumn("accuracy", right / F.sum("n").over(every)).filter("mid is not null")
-    return by.orderBy(F.desc(F.round("accuracy", 12)), "mid").limit(1).select(F.col("mid").alias("threshold"), "accuracy")
+    dealt, ends = _ranges(by, per_range)
+    sums, order = dealt.groupBy("part").agg(F.sum("n").alias("sn"), F.sum("p").alias("sp")), Window.orderBy("part")
+    earlier, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = sums.select(  # one row per range
+        "part", F.coalesce(F.sum("sn").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("sp").over(earlier), F.lit(0)).alias("p0"), F.sum("sn").over(every).alias("all_n"), F.sum("sp").over(every).alias("all_p"),
+    )
+    inner = Window.partitionBy("part").orderBy("value")
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.join(ends, "part").join(sums, "part").withColumn("mid", (F.col("value") + F.coalesce(F.lead("value").over(inner), F.col("after"))) / 2)
+    rows = rows.withColumn("tp", F.col("p0") + F.sum("p").over(upto)).withColumn("below", F.col("n0") + F.sum("n").over(upto))
+    right = F.col("tp") + (F.col("all_n") - F.col("below")) - (F.col("all_p") - F.col("tp"))
+    rows = rows.withColumn("accuracy", right / F.col("all_n")).filter("mid is not null")
+    return rows.orderBy(F.desc(F.round("accuracy", 12)), "mid").limit(1).select(F.col("mid").alias("threshold"), "accuracy")
 
 
-def largest_gap(values: DataFrame) -> DataFrame:
+def largest_gap(values: DataFrame, per_range: int = RANGE_VALUES) -> DataFrame:
     """(low, high, gap): neighbours of the sorted distinct values that lie furthest apart."""
-    low = F.lag("value").over(Window.orderBy("value"))  # over distinct values
-    gaps = values.select("value").distinct().withColumn("low", low).filter("low is not null")
-    return gaps.select("low", F.col("value").alias("high"), (F.col("value") - F.col("low")).alias("gap")).orderBy(F.desc("gap"), "low").limit(1)
+    dealt, ends = _ranges(values.select("value").filter("value is not null").distinct(), per_range)
+    low = F.coalesce(F.lag("value").over(Window.partitionBy("part").orderBy("value")), F.col("before"))
+    gaps = dealt.join(ends, "part").select(low.alias("low"), F.col("value").alias("high")).filter("low is not null")
+    return gaps.withColumn("gap", F.col("high") - F.col("low")).orderBy(F.desc("gap"), "low").limit(1)
 
 
 def table_markdown(html: Column) -> Column:

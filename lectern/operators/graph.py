@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import keyword
+from lectern.functions.text import graph_title, keyword, stripped
 
 #: Weights of the first and second hop, terms that a second hop follows, relevance of anchor layers.
 HOP_WEIGHTS = (1.0, 0.3)
@@ -14,17 +14,53 @@ RELEVANCE = {"phrase": 1.0, "ngram": 0.8, "substring": 0.5}
 MAX_NGRAMS, PER_SUBSTRING = 40, 5
 
 
-def edges(papers: DataFrame, references: DataFrame) -> DataFrame:
+#: The least length of a normalised title that names a known paper, and an outside work.
+LEAST_LOCAL, LEAST_EXTERNAL = 8, 4
+#: Papers that an explanation lists for a term.
+LISTED = 50
+
+
+def doi_key(x: Column) -> Column:
+    """A DOI as an identity: trimmed, lower case, null if nothing is left."""
+    key = F.lower(stripped(x))
+    return F.when(key != "", key)
+
+
+def _known(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(d, by_doi) and (t, by_title): the last paper of each DOI and of each normalised title."""
+    by_doi = papers.select(doi_key(F.col("doi")).alias("d"), "paper_id").filter("d is not null").groupBy("d").agg(F.max("paper_id").alias("by_doi"))
+    by_title = papers.select(graph_title(F.col("title")).alias("t"), "paper_id").filter(F.length("t") >= LEAST_LOCAL).groupBy("t").agg(F.max("paper_id").alias("by_title"))
+    return by_doi, by_title
+
+
+def works(references: DataFrame) -> DataFrame:
+    """(doi, title, d, t, name): the distinct cited works with a title; name is the DOI of the work or of one with its title, else the title."""
+    cited = references.filter(F.col("title").isNotNull() & (F.col("title") != "")).select("doi", "title").distinct()
+    cited = cited.withColumn("d", doi_key(F.col("doi"))).withColumn("t", graph_title(F.col("title")))
+    named = cited.groupBy("t").agg(F.min("d").alias("shared"))
+    return cited.join(named, "t").withColumn("name", F.when(F.length("t") >= LEAST_EXTERNAL, F.coalesce("d", "shared", "t"))).drop("shared")
+
+
+def cited_edges(papers: DataFrame, references: DataFrame) -> DataFrame:
+    """(src, kind, dst): cross_cites to papers known by DOI or else by title, cites to other works. Works are resolved once each."""
+    by_doi, by_title = _known(papers)
+    resolved = works(references).join(by_doi, "d", "left").join(by_title, "t", "left")
+    resolved = resolved.select("doi", "title", F.coalesce("by_doi", "by_title").alias("local"), "name")
+    r, w = references.select("paper_id", "doi", "title").alias("r"), resolved.alias("w")
+    both = r.join(w, F.col("r.doi").eqNullSafe(F.col("w.doi")) & (F.col("r.title") == F.col("w.title"))).filter("w.local is null or w.local <> r.paper_id")
+    kind = F.when(F.col("w.local").isNull(), "cites").otherwise("cross_cites")
+    return both.select(F.col("r.paper_id").alias("src"), kind.alias("kind"), F.coalesce(F.col("w.local").cast("string"), "w.name").alias("dst"))
+
+
+def edges(papers: DataFrame, references: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """(src, kind, dst) once each: has_keyword and in_field to terms, cross_cites to known papers, cites to other works.
 
-    papers: paper_id, keywords (array), field, doi. references: paper_id, doi.
+    papers: paper_id, field, doi, title, and keywords (an array) unless they come as rows (paper_id, keyword). references: paper_id, doi, title.
     """
-    terms = papers.select(F.col("paper_id").alias("src"), F.lit("has_keyword").alias("kind"), F.explode(F.transform("keywords", keyword)).alias("dst"))
+    words = papers.select("paper_id", F.explode("keywords").alias("keyword")) if keywords is None else keywords
+    terms = words.select(F.col("paper_id").alias("src"), F.lit("has_keyword").alias("kind"), keyword(F.col("keyword")).alias("dst"))
     fields = papers.select(F.col("paper_id").alias("src"), F.lit("in_field").alias("kind"), keyword(F.col("field")).alias("dst"))
-    known = papers.filter("doi is not null").groupBy("doi").agg(F.max("paper_id").alias("local"))
-    cited = references.filter("doi is not null").join(known, "doi", "left").filter("local is null or local <> paper_id")
-    cites = cited.select(F.col("paper_id").alias("src"), F.when(F.col("local").isNull(), "cites").otherwise("cross_cites").alias("kind"), F.coalesce(F.col("local").cast("string"), "doi").alias("dst"))
-    return terms.unionByName(fields).unionByName(cites).filter("dst is not null and dst <> ''").distinct()
+    return terms.unionByName(fields).unionByName(cited_edges(papers, references)).filter("dst is not null and dst <> ''").distinct()
 
 
 def nodes(papers: DataFrame, graph: DataFrame) -> DataFrame:
@@ -98,8 +134,57 @@ def covers(graph: DataFrame) -> DataFrame:
     return field.join(words, "src").groupBy("field", "keyword").agg(F.countDistinct("src").alias("papers"))
 
 
-def promoted(graph: DataFrame, papers: DataFrame) -> DataFrame:
-    """Edges after works that have become papers are rewired to them: cites turn into cross_cites, once each."""
-    known = papers.filter("doi is not null").groupBy("doi").agg(F.max("paper_id").alias("local"))
-    joined = graph.join(known, (F.col("kind") == "cites") & (F.col("dst") == F.col("doi")), "left").filter("local is null or local <> src")
+def promoted(graph: DataFrame, cited: DataFrame, papers: DataFrame) -> DataFrame:
+    """Edges after works that have become papers are rewired to them, by DOI or else by title: cites turn into cross_cites, once each.
+
+    cited: the works (:func:`works`) of the graph's references.
+    """
+    by_doi, by_title = _known(papers)
+    known = cited.join(by_doi, "d", "left").join(by_title, "t", "left").filter("name is not null").groupBy("name")
+    known = known.agg(F.coalesce(F.max("by_doi"), F.max("by_title")).alias("local")).filter("local is not null")
+    joined = graph.join(known, (F.col("kind") == "cites") & (F.col("dst") == F.col("name")), "left").filter("local is null or local <> src")
     return joined.select("src", F.when(F.col("local").isNull(), F.col("kind")).otherwise("cross_cites").alias("kind"), F.coalesce(F.col("local").cast("string"), "dst").alias("dst")).distinct()
+
+
+def added(graph: DataFrame, new: DataFrame, papers: DataFrame, references: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """The graph with new papers, or with new versions of papers: their own edges are built anew, those that lead to them are promoted.
+
+    papers: all papers, the new ones among them; references: of all papers; keywords as for :func:`edges`.
+    """
+    mine = references.join(new.select("paper_id"), "paper_id", "left_semi")
+    words = None if keywords is None else keywords.join(new.select("paper_id"), "paper_id", "left_semi")
+    terms = edges(new, references.limit(0), words)
+    kept = graph.join(new.select(F.col("paper_id").alias("src")), "src", "left_anti")
+    # A new paper's own edges resolve against all papers, those of others only against the new ones.
+    return promoted(kept, works(references), new).unionByName(terms).unionByName(cited_edges(papers, mine).filter("dst is not null and dst <> ''")).distinct()
+
+
+def removed(graph: DataFrame, paper_id: int) -> DataFrame:
+    """The graph without a paper: neither its own edges stay nor those that lead to it."""
+    into = (F.col("kind") == "cross_cites") & (F.col("dst") == str(paper_id))
+    return graph.filter((F.col("src") != paper_id) & ~into)
+
+
+def term_neighbours(graph: DataFrame, term: str, k: int = 20) -> DataFrame:
+    """(kind, name, n): a term's papers (n of each is the number of all its papers) and the keywords that most of its papers have, k of each."""
+    at = graph.filter(graph["kind"].isin("has_keyword", "in_field") & (F.col("dst") == " ".join(term.lower().split()))).select("src").distinct()
+    listed = at.orderBy("src").limit(k).crossJoin(F.broadcast(at.agg(F.count(F.lit(1)).alias("n"))))  # one row of a total
+    papers = listed.select(F.lit("paper").alias("kind"), F.col("src").cast("string").alias("name"), "n")
+    beside = graph.filter("kind = 'has_keyword'").filter(F.col("dst") != " ".join(term.lower().split())).join(at, "src", "left_semi")
+    beside = beside.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").limit(k)
+    return papers.unionByName(beside.select(F.lit("keyword").alias("kind"), F.col("dst").alias("name"), "n"))
+
+
+def paper_neighbours(graph: DataFrame, paper_id: int, k: int = 20) -> DataFrame:
+    """(kind, name): a paper's terms and cited works, k of each kind by name, and the papers that cite it, k by id."""
+    out = graph.filter(F.col("src") == paper_id).select("kind", F.col("dst").alias("name"), F.lit(0).cast("bigint").alias("place"))
+    into = graph.filter((F.col("kind") == "cross_cites") & (F.col("dst") == str(paper_id))).select(F.lit("cited_by").alias("kind"), F.col("src").cast("string").alias("name"), F.col("src").alias("place"))
+    order = Window.partitionBy("kind").orderBy("place", "name")
+    return out.unionByName(into).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("kind", "name")
+
+
+def explained(graph: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, relevance, n, paper_ids): the anchors of a query with their papers, the first of them by id."""
+    has = graph.filter("kind in ('has_keyword', 'in_field')").join(F.broadcast(found), F.col("dst") == F.col("term")).select("term", "relevance", "src").distinct()
+    ranked = has.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy("src")))
+    return ranked.groupBy("term", "relevance").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= LISTED, F.col("src")))).alias("paper_ids"))

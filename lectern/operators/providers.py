@@ -58,7 +58,8 @@ def embedded(texts: DataFrame, provider: Provider, column: str = "text") -> Data
 
 def reranked(hits: DataFrame, provider: Provider, query: str, k: int = 20) -> DataFrame:
     """Hits (paper_id, score, abstract) by the model's score from 0 to 1; only the first candidates are asked about."""
-    ranked = hits.withColumn("prior", F.row_number().over(Window.orderBy(F.desc("score"), "paper_id"))).filter(F.col("prior") <= RERANK_CANDIDATES)
+    first = hits.orderBy(F.desc("score"), "paper_id").limit(RERANK_CANDIDATES)
+    ranked = first.withColumn("prior", F.row_number().over(Window.orderBy(F.desc("score"), "paper_id")))  # RERANK_CANDIDATES rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+import re
+import unicodedata
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+from lectern.functions.fixed import INTENT_WEIGHTS, VIEWPOINT_INTENTS
 from lectern.functions.vectors import cosine
+from lectern.operators import graph as G
 
 RRF_K = 60
 PER_PATH_K = 50
@@ -44,53 +51,80 @@ def viewpoint_search(vectors: DataFrame, query: Column, k: int = PER_PATH_K) ->
     return top(vectors.groupBy("paper_id").agg(F.max(cosine(query, F.col("embedding"))).alias("score")), k)
 
 
-def query_terms(query: str) -> list[str]:
-    """Terms of a query: runs of letters, digits and ``_``; single characters only if Chinese."""
-    import re
+TOKEN = r"[\p{L}\p{N}]+"
+TEXT_COLUMNS = ("title", "abstract", "keywords")
+
+
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks and the bare letters that they decompose to."""
+    pairs = [(chr(c), d[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(x: Column) -> Column:
+    """Lower case, without accents on Latin letters."""
+    return F.translate(F.lower(x), *_accents())
+
 
-    return list(dict.fromkeys(t.lower() for t in re.findall(r"\w+", query) if len(t) > 1 or "一" <= t <= "鿿"))
+def query_terms(query: str) -> list[str]:
+    """Terms of a query, folded: runs of letters, digits and ``_``; single characters only if Chinese. A term may be several words."""
+    found = [t for t in re.findall(r"\w+", query) if len(t) > 1 or "一" <= t <= "鿿"]
+    table = str.maketrans(*_accents())
+    return list(dict.fromkeys(w for t in found if (w := " ".join(re.findall(r"[^\W_]+", t.lower().translate(table))))))
 
 
-def postings(papers: DataFrame, columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
+def postings(papers: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
     """(paper_id, term, tf, length): the inverted index over the given columns."""
-    text = F.lower(F.concat_ws(" ", *columns))
-    words = papers.select("paper_id", F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "").alias("terms"))
+    words = papers.select("paper_id", F.regexp_extract_all(folded(F.concat_ws(" ", *columns)), F.lit(TOKEN), F.lit(0)).alias("terms"))
     words = words.select("paper_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
     return words.groupBy("paper_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(papers: DataFrame, columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
-    text = F.lower(F.concat_ws(" ", *columns))
-    return papers.select("paper_id", F.size(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("length"))
+def lengths(papers: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
+    return papers.select("paper_id", F.regexp_count(folded(F.concat_ws(" ", *columns)), F.lit(TOKEN)).alias("length"))
+
+
+def _score(terms: int, n: float, mean: float, df: list[int]) -> Column:
+    score = F.lit(0.0)
+    for i in range(terms):
+        tf = F.col(f"tf{i}").cast("double")
+        idf = max(math.log((n - df[i] + 0.5) / (df[i] + 0.5)) if n - df[i] + 0.5 > 0 else LEAST_IDF, LEAST_IDF)
+        score = score + F.lit(idf) * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(mean)))
+    return score
 
 
-def _equals(term: str):
-    return lambda x: x == term
+def _best(rows: DataFrame, terms: int, k: int) -> DataFrame:
+    """The best of rows (paper_id, length, tf0, tf1, ...): those with all terms, or, if there is none, with any."""
+    held = sum(((F.col(f"tf{i}") > 0).cast("int") for i in range(terms)), F.lit(0))
+    counts = [F.count(F.when(F.col(f"tf{i}") > 0, 1)) for i in range(terms)]
+    n, mean, most, *df = rows.agg(F.count(F.lit(1)), F.avg("length"), F.max(held), *counts).first()  # one row of totals
+    need = terms if most == terms else 1
+    return top(rows.filter(held >= need).select("paper_id", _score(terms, n, mean or 1.0, df).alias("score")), k)
 
 
-def bm25_search(papers: DataFrame, query: str, k: int = PER_PATH_K, columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
+def bm25_search(papers: DataFrame, query: str, k: int = PER_PATH_K, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
     """Papers that hold all terms, or, if none does, any; best BM25 first.
 
     Only the query's terms are counted, in the scan: no index of all terms is built for one query.
     """
     terms = query_terms(query)
-    array = F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    rows = papers.select("paper_id", array.alias("terms"))
-    rows = rows.select("paper_id", F.size("terms").alias("length"), *[F.size(F.filter("terms", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     if not terms:
-        return rows.select("paper_id", F.lit(0.0).alias("score")).limit(0)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
-    rows = rows.crossJoin(F.broadcast(stats))  # one row of totals
-    score, held = F.lit(0.0), F.lit(0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score + idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
-        held = held + (tf > 0).cast("int")
-    scored = rows.select("paper_id", score.alias("score"), held.alias("held")).filter("held > 0")
-    best = scored.agg(F.max("held").alias("most"))
-    every = F.when(F.col("most") == len(terms), F.lit(len(terms))).otherwise(1)
-    return top(scored.crossJoin(F.broadcast(best)).filter(F.col("held") >= every).select("paper_id", "score"), k)
+        return papers.select("paper_id", F.lit(0.0).alias("score")).limit(0)
+    rows = papers.select("paper_id", folded(F.concat_ws(" ", *columns)).alias("t"))
+    # Java's lookarounds bound a term; the words of a term of several follow each other.
+    counted = [F.regexp_count("t", F.lit(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(t.split()) + r"(?![\p{L}\p{N}])")) for t in terms]
+    rows = rows.select("paper_id", F.regexp_count("t", F.lit(TOKEN)).alias("length"), *(F.when(F.col("t").contains(t.split()[0]), c).otherwise(0).alias(f"tf{i}") for i, (t, c) in enumerate(zip(terms, counted, strict=True))))
+    return _best(rows, len(terms), k)
+
+
+def indexed_search(index: DataFrame, sizes: DataFrame, query: str, k: int = PER_PATH_K) -> DataFrame:
+    """The same over a stored index (paper_id, term, tf, length) and the papers' lengths: only the query's terms are read."""
+    terms = query_terms(query)
+    found = index.filter(F.col("term").isin(terms)).groupBy("paper_id", "length").agg(*(F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    totals = sizes.agg(F.count(F.lit(1)), F.avg("length")).first()
+    held = sum(((F.col(f"tf{i}") > 0).cast("int") for i in range(len(terms))), F.lit(0))
+    most, *df = found.agg(F.max(held), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)) for i in range(len(terms)))).first()
+    return top(found.filter(held >= (len(terms) if most == len(terms) else 1)).select("paper_id", _score(len(terms), totals[0], totals[1] or 1.0, df).alias("score")), k)
 
 
 def ranked(paths: Mapping[str, DataFrame]) -> DataFrame:
@@ -141,3 +175,76 @@ def hybrid_search(paths: Mapping[str, DataFrame], papers: DataFrame, keep: Colum
 
 def hits_per_path(paths: Mapping[str, DataFrame]) -> DataFrame:
     return ranked(paths).groupBy("path").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@dataclass(frozen=True)
+class Library:
+    """What a question is asked of; any part may be absent.
+
+    papers: paper_id, title, abstract, keywords and so on; vectors: paper_id, embedding; sections: paper_id, section_type, embedding;
+    viewpoints: paper_id, embedding; graph: edges (src, kind, dst).
+    """
+
+    papers: DataFrame
+    vectors: DataFrame | None = None
+    sections: DataFrame | None = None
+    viewpoints: DataFrame | None = None
+    graph: DataFrame | None = None
+
+
+def understood(spark: SparkSession, question: str, anchored: bool = False) -> tuple[str, str]:
+    """Intent and route of one question, by the same rules as for columns of questions."""
+    row = spark.range(1).select(T.intent(F.lit(question)), T.route(F.lit(question), anchored)).first()
+    return row[0], row[1]
+
+
+def recall(library: Library, question: str, query: Column | None, mode: str = "auto", intent: str = "auto", per_path_k: int = PER_PATH_K) -> dict[str, DataFrame]:
+    """The recall lists that a question's intent and route ask for.
+
+    Modes: hybrid (vectors and full text), vector, fts, graph, all, and auto, which takes the route. The intent gives the weights of
+    sections, and says whether viewpoints are searched; both need a query vector.
+    """
+    found = None
+    if library.graph is not None and mode in ("auto", "graph", "all"):
+        found = G.anchors(library.graph, question)
+    if mode == "auto" or intent == "auto":
+        guessed, routed = understood(library.papers.sparkSession, question, bool(found is not None and found.take(1)))
+        mode, intent = routed if mode == "auto" else mode, guessed if intent == "auto" else intent
+    weights = INTENT_WEIGHTS.get(intent, {})
+    query = query if mode in ("hybrid", "vector", "all") else None
+    paths = {}
+    if query is not None and library.vectors is not None:
+        paths["vector"] = vector_search(library.vectors, query, per_path_k)
+    if mode in ("hybrid", "fts", "all"):
+        paths["fts"] = bm25_search(library.papers, question, per_path_k)
+    if found is not None and mode in ("graph", "all"):
+        paths["graph"] = G.search(library.graph, found, per_path_k)
+    if query is not None and weights and library.sections is not None:
+        paths["section"] = section_search(library.sections, query, weights, per_path_k)
+    if query is not None and intent in VIEWPOINT_INTENTS and library.viewpoints is not None:
+        paths["viewpoint"] = viewpoint_search(library.viewpoints, query, per_path_k)
+    return paths
+
+
+def answer(
+    library: Library, question: str, query: Column | None, mode: str = "auto", intent: str = "auto", keep: Column | None = None, top_k: int = 20,
+    rerank: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Recall, fuse, enrich, filter and cut; with a reranker, ten hits at least go to it before the cut."""
+    paths = recall(library, question, query, mode, intent)
+    if not paths:
+        return library.papers.limit(0)
+    hits = hybrid_search(paths, library.papers, keep, max(top_k, 10) if rerank else top_k)
+    return hits if rerank is None else rerank(hits).limit(top_k)
+
+
+def tool_hits(hits: DataFrame, snippet: int = 240) -> DataFrame:
+    """Hits as an agent sees them: rounded score and the beginning of the abstract."""
+    return hits.select("paper_id", "title", F.round("score", 4).alias("score"), T.truncated(F.coalesce("abstract", F.lit("")), snippet).alias("snippet"))
+
+
+def within_paper(sections: DataFrame, paper_id: int, query: Column, k: int = 5, snippet: int = 400) -> DataFrame:
+    """(section_id, score, snippet) of one paper's sections (paper_id, section_id, body, embedding), nearest first; k from 1 to 30."""
+    mine = sections.filter((F.col("paper_id") == paper_id) & F.col("embedding").isNotNull())
+    scored = mine.select("section_id", cosine(query, F.col("embedding")).alias("score"), T.truncated(F.coalesce("body", F.lit("")), snippet).alias("snippet"))
+    return scored.orderBy(F.desc("score"), "section_id").limit(max(1, min(k, 30))).withColumn("score", F.round("score", 4))

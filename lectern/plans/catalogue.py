@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.vectors import cosine, mean_pooled
 from lectern.operators import coupling, documents, extraction, graph, library, retrieval
+from lectern.plans.shared import saved
 from lectern.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,16 +18,20 @@ SQL: dict[str, str] = {}
 
 #: Views that the SQL texts share; each text names those that it needs.
 VIEWS = {
-    "papers": "SELECT doc_id AS paper_id, substring(text, 1, 80) AS title, substring(text, 1, 2000) AS abstract, source AS tag, lang AS field FROM documents",
+    "papers": "SELECT doc_id AS paper_id, split_part(text, chr(10), 1) AS title, text AS abstract, '[\"' || source || '\",\"' || lang || '\"]' AS keywords, source AS tag, lang AS field FROM documents",
     "catalogued": "SELECT o_orderkey AS paper_id, o_orderdate AS ingested_at, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate)::INT END AS publication_year, o_orderpriority AS tag, o_orderstatus AS status FROM orders",
     "refs": "SELECT l_orderkey AS paper_id, l_partkey AS part, max(l_discount * 10) AS score, min(l_returnflag) AS relationship, '10.0/' || l_partkey AS doi FROM lineitem GROUP BY l_orderkey, l_partkey",
     "q": "SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0",
     "types": "SELECT unnest(['abstract','intro','related_work','methods','experiments','results','discussion','conclusion','acknowledgments','references','appendix','other']) AS section_type, generate_subscripts(['abstract','intro','related_work','methods','experiments','results','discussion','conclusion','acknowledgments','references','appendix','other'], 1) - 1 AS label",
     "titled": "SELECT r.*, p_name || ' ' || p_partkey AS title, p_size AS year FROM refs r JOIN part ON p_partkey = part",
-    "matches": "SELECT a.paper_id AS paper_a, b.paper_id AS paper_b, a.part, a.doi, a.relationship, abs(a.score - b.score) AS similarity FROM refs a JOIN refs b ON a.part = b.part AND a.paper_id < b.paper_id",
-    "graph": "SELECT DISTINCT paper_id AS src, 'has_keyword' AS kind, lower(p_type) AS dst FROM refs JOIN part ON p_partkey = part UNION SELECT paper_id, 'in_field', lower(tag) FROM catalogued UNION SELECT paper_id, CASE WHEN k.local IS NULL THEN 'cites' ELSE 'cross_cites' END, coalesce(k.local::VARCHAR, doi) FROM refs LEFT JOIN (SELECT paper_id AS local, '10.0/' || (paper_id // 40) AS d FROM catalogued WHERE paper_id % 40 = 0) k ON k.d = doi WHERE k.local IS NULL OR k.local <> paper_id",
+    "matches": "SELECT least(a.paper_id, b.paper_id) AS paper_a, greatest(a.paper_id, b.paper_id) AS paper_b, a.part, a.doi, a.relationship, abs(a.score - b.score) AS similarity FROM refs a JOIN refs b ON a.part = b.part AND a.paper_id <> b.paper_id WHERE a.paper_id % 50 = 0 AND (b.paper_id % 50 <> 0 OR a.paper_id < b.paper_id)",
+    "cited": "SELECT r.paper_id, CASE WHEN part % 3 <> 0 THEN '10.0/N' || part END AS doi, p_name || ' ' || part AS title FROM refs r JOIN part ON p_partkey = part",
+    "known": "SELECT paper_id AS local, CASE WHEN k % 2 = 0 THEN '10.0/n' || k END AS d, trim(regexp_replace(regexp_replace(lower(p_name || ' ' || k), '[^a-z0-9一-鿿\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM (SELECT paper_id, paper_id // 40 AS k FROM catalogued WHERE paper_id % 40 = 0) JOIN part ON p_partkey = k",
+    "works": "SELECT DISTINCT doi, title, lower(trim(doi)) AS d, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9一-鿿\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM cited",
+    "resolved": "SELECT w.doi, w.title, w.d, w.t, coalesce(a.l, b.l) AS local, CASE WHEN length(w.t) >= 4 THEN coalesce(w.d, s.d, w.t) END AS name FROM works w LEFT JOIN (SELECT d, max(local) AS l FROM known WHERE d IS NOT NULL GROUP BY d) a USING (d) LEFT JOIN (SELECT t, max(local) AS l FROM known WHERE length(t) >= 8 GROUP BY t) b ON b.t = w.t LEFT JOIN (SELECT t, min(d) AS d FROM works GROUP BY t) s ON s.t = w.t",
+    "graph": "SELECT DISTINCT paper_id AS src, 'has_keyword' AS kind, lower(p_type) AS dst FROM refs JOIN part ON p_partkey = part UNION SELECT paper_id, 'in_field', lower(tag) FROM catalogued UNION SELECT paper_id, CASE WHEN local IS NULL THEN 'cites' ELSE 'cross_cites' END, coalesce(local::VARCHAR, name) FROM cited c JOIN resolved r ON r.doi IS NOT DISTINCT FROM c.doi AND r.title = c.title WHERE (local IS NULL OR local <> paper_id) AND coalesce(local::VARCHAR, name) IS NOT NULL",
 }
-NEEDS = {"titled": ["refs"], "matches": ["refs"], "graph": ["refs", "catalogued"]}
+NEEDS = {"titled": ["refs"], "matches": ["refs"], "graph": ["refs", "catalogued", "cited", "known", "works", "resolved"]}
 
 
 def query(sql: str | None = None, views: str = ""):
@@ -85,11 +90,11 @@ def mean_pool(spark, sf_dir):
     return pooled.select("label", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
 
 
-@query("SELECT a.vec_id AS paper_a, b.vec_id AS paper_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6")
+@query("SELECT a.vec_id AS paper_a, b.vec_id AS paper_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4")
 def cosine_pairs_threshold(spark, sf_dir):
     """Coupling by vectors for the stated query set, every fiftieth paper, against all papers, in blocks."""
     vectors = S.paper_vectors(spark, sf_dir)
-    return _rounded(coupling.by_embedding(vectors.filter("paper_id % 50 = 0"), vectors, 0.6), "similarity")
+    return _rounded(coupling.by_embedding(vectors.filter("paper_id % 50 = 0"), vectors, 0.4), "similarity")
 
 
 def _bm25(terms: list[str], every: bool) -> str:
@@ -97,7 +102,7 @@ def _bm25(terms: list[str], every: bool) -> str:
     score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(terms)))
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(terms))
     df = ", ".join(f"sum((tf{i} > 0)::INT)::DOUBLE AS df{i}" for i in range(len(terms)))
-    words = "list_filter(regexp_split_to_array(lower(concat_ws(' ', title, abstract)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    words = "list_filter(regexp_split_to_array(strip_accents(lower(concat_ws(' ', title, abstract, keywords))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
     return (
         f"terms AS (SELECT paper_id, {words} AS t FROM papers), tfs AS (SELECT paper_id, len(t) AS length, {tf} FROM terms), "
         f"tot AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean, {df} FROM tfs), scored AS (SELECT paper_id, {score} AS score, {held} AS held FROM tfs, tot WHERE {held} > 0), "
@@ -240,7 +245,7 @@ def export_nested(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id AS paper_id, format('{:03d}', doc_id) || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(lower(regexp_replace(trim(regexp_replace(regexp_replace(substring(text, 1, 80), '\\s*\\n\\s*', ' ', 'g'), '[^A-Za-z0-9\\s\\-]', '', 'g')), '\\s+', '-', 'g')), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 80), ''), 'untitled') || '.md' AS file, v.n "
+    "SELECT doc_id AS paper_id, format('{:03d}', doc_id) || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(lower(regexp_replace(trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '\\s*\\n\\s*', ' ', 'g'), '[^A-Za-z0-9\\s\\-]', '', 'g')), '\\s+', '-', 'g')), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 80), ''), 'untitled') || '.md' AS file, v.n "
     "FROM documents JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) v ON v.conv_id = doc_id"
 )
 def archive_pages(spark, sf_dir):
@@ -251,27 +256,35 @@ def archive_pages(spark, sf_dir):
 # Coupling
 
 
-@query("SELECT paper_a, paper_b, doi, 1.0::DOUBLE AS confidence FROM matches", "matches")
+@query("SELECT doi, paper_id, n AS n_papers FROM refs JOIN (SELECT doi, count(*) AS n FROM refs GROUP BY doi HAVING count(*) > 1) USING (doi)", "refs")
 def coupling_doi(spark, sf_dir):
-    return coupling.by_doi(_titled(spark, sf_dir)).select("paper_a", "paper_b", "doi", "confidence")
+    """Works with their papers: the classes whose pairs are coupled."""
+    return coupling.doi_classes(_titled(spark, sf_dir))
 
 
-@query("SELECT a.paper_id AS paper_a, b.paper_id AS paper_b, a.title, 0.95::DOUBLE AS confidence FROM titled a JOIN titled b ON a.title = b.title AND a.paper_id < b.paper_id", "titled")
+@query("SELECT title AS norm, paper_id, n AS n_papers FROM titled JOIN (SELECT title, count(*) AS n FROM titled GROUP BY title HAVING count(*) > 1) USING (title)", "titled")
 def coupling_title(spark, sf_dir):
-    return coupling.by_title(_titled(spark, sf_dir)).select("paper_a", "paper_b", "title", "confidence")
+    return coupling.title_classes(_titled(spark, sf_dir))
 
 
-@query("SELECT a.paper_id AS paper_a, b.paper_id AS paper_b, a.title, 1.0::DOUBLE AS confidence, a.doi FROM titled a JOIN titled b ON a.title = b.title AND a.paper_id < b.paper_id WHERE a.paper_id = 32 OR b.paper_id = 32", "titled")
+def _asked(spark, sf_dir) -> DataFrame:
+    """The stated query set of the pair queries: every fiftieth paper, against all papers."""
+    return S.catalogued(spark, sf_dir).filter("paper_id % 50 = 0").select("paper_id")
+
+
+@query("SELECT least(a.paper_id, b.paper_id) AS paper_a, greatest(a.paper_id, b.paper_id) AS paper_b, a.title, 1.0::DOUBLE AS confidence, a.doi FROM titled a JOIN titled b ON a.title = b.title AND a.paper_id <> b.paper_id WHERE a.paper_id % 50 = 0 AND (b.paper_id % 50 <> 0 OR a.paper_id < b.paper_id)", "titled")
 def coupling_dedup_best(spark, sf_dir):
-    refs = _titled(spark, sf_dir)
-    return coupling.best_of(coupling.by_doi(refs, 32).unionByName(coupling.by_title(refs, 32))).select("paper_a", "paper_b", "title", "confidence", "doi")
+    refs, asked = _titled(spark, sf_dir), _asked(spark, sf_dir)
+    return coupling.best_of(coupling.by_doi(refs, asked).unionByName(coupling.by_title(refs, asked))).select("paper_a", "paper_b", "title", "confidence", "doi")
 
 
 def _matches(spark, sf_dir) -> DataFrame:
+    """Coupled pairs with a query paper, and its relationship to the shared work."""
     refs = S.references(spark, sf_dir)
-    a = refs.select(F.col("paper_id").alias("paper_a"), "part", "doi", "relationship", F.col("score").alias("sa"))
-    b = refs.select(F.col("paper_id").alias("paper_b"), F.col("part").alias("part_b"), F.col("score").alias("sb"))
-    return a.join(b, (F.col("part") == F.col("part_b")) & (F.col("paper_a") < F.col("paper_b"))).withColumn("similarity", F.abs(F.col("sa") - F.col("sb")))
+    a = refs.filter("paper_id % 50 = 0").select(F.col("paper_id").alias("p"), "part", "doi", "relationship", F.col("score").alias("sa"))
+    b = refs.select(F.col("paper_id").alias("q"), "part", F.col("score").alias("sb"))
+    both = a.join(b, "part").filter("p <> q and (q % 50 <> 0 or p < q)")
+    return both.select(F.least("p", "q").alias("paper_a"), F.greatest("p", "q").alias("paper_b"), "part", "doi", "relationship", F.abs(F.col("sa") - F.col("sb")).alias("similarity"))
 
 
 @query("SELECT paper_a, paper_b, count(*) AS shared, round(max(similarity), 6) AS similarity FROM matches GROUP BY ALL HAVING count(*) >= 2", "matches")
@@ -279,9 +292,9 @@ def top_pairs(spark, sf_dir):
     return _rounded(coupling.top_pairs(_matches(spark, sf_dir), 2), "similarity")
 
 
-@query("SELECT CASE WHEN paper_a = 32 THEN paper_b ELSE paper_a END AS other_id, count(*) AS shared FROM matches WHERE paper_a = 32 OR paper_b = 32 GROUP BY 1", "matches")
+@query("SELECT CASE WHEN paper_a = 50 THEN paper_b ELSE paper_a END AS other_id, count(*) AS shared FROM matches WHERE paper_a = 50 OR paper_b = 50 GROUP BY 1", "matches")
 def pairs_for_paper(spark, sf_dir):
-    return coupling.partners(_matches(spark, sf_dir), 32)
+    return coupling.partners(_matches(spark, sf_dir), 50)
 
 
 @query("SELECT paper_a, paper_b, count(*) AS shared FROM matches WHERE relationship = 'N' GROUP BY ALL", "matches")
@@ -309,15 +322,27 @@ def pair_similarity(spark, sf_dir):
 
 
 def _graph_papers(spark, sf_dir) -> DataFrame:
-    """Catalogued papers with their parts' types as keywords; every fortieth has a DOI that others may cite."""
-    part = S.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_type")
-    words = S.references(spark, sf_dir).join(part, "part").groupBy("paper_id").agg(F.collect_set("p_type").alias("keywords"))
-    local = F.when(F.col("paper_id") % 40 == 0, F.concat(F.lit("10.0/"), F.expr("paper_id div 40").cast("string")))
-    return S.catalogued(spark, sf_dir).join(words, "paper_id", "left").select("paper_id", "keywords", F.col("tag").alias("field"), local.alias("doi"))
+    """Catalogued papers; every fortieth has a title that others may cite, and every second of these a DOI."""
+    k = F.when(F.col("paper_id") % 40 == 0, F.expr("paper_id div 40"))
+    part = S.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("title"))
+    doi = F.when((F.col("k") % 2 == 0) & F.col("title").isNotNull(), F.concat(F.lit(" 10.0/n"), F.col("k").cast("string"), F.lit("\t")))
+    return S.catalogued(spark, sf_dir).withColumn("k", k).join(part, "k", "left").select("paper_id", F.col("tag").alias("field"), "title", doi.alias("doi"))
+
+
+def _keywords(spark, sf_dir) -> DataFrame:
+    part = S.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("keyword"))
+    return S.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("part")).join(part, "part").select("paper_id", "keyword").distinct()
+
+
+def _cited(spark, sf_dir) -> DataFrame:
+    """References of which a third have no DOI, and the others one in upper case."""
+    refs = _titled(spark, sf_dir).select("paper_id", "part", "title")
+    return refs.select("paper_id", F.when(F.col("part") % 3 != 0, F.concat(F.lit("10.0/N"), F.col("part").cast("string"))).alias("doi"), "title")
 
 
 def _graph(spark, sf_dir) -> DataFrame:
-    return graph.edges(_graph_papers(spark, sf_dir), S.references(spark, sf_dir))
+    """The edges, written once: every query over the graph reads them several times."""
+    return saved(graph.edges(_graph_papers(spark, sf_dir), _cited(spark, sf_dir), _keywords(spark, sf_dir)), "edges")
 
 
 @query("SELECT * FROM graph", "graph")
@@ -344,9 +369,8 @@ def kg_cooccur_topk(spark, sf_dir):
     return graph.cooccurring(_graph(spark, sf_dir), term)
 
 
-def _anchors(spark, sf_dir) -> DataFrame:
-    first = S.load(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
-    return graph.anchors(_graph(spark, sf_dir), f"{first} 1-urgent")
+def _named(spark, sf_dir) -> str:
+    return f"{S.load(spark, sf_dir, 'part').agg(F.min('p_type')).first()[0]} 1-urgent"
 
 
 ANCHORS = (
@@ -360,7 +384,7 @@ ANCHORS = (
 
 @query(ANCHORS + " SELECT term, relevance, seq FROM anchors", "graph")
 def kg_anchors(spark, sf_dir):
-    return _anchors(spark, sf_dir)
+    return graph.anchors(_graph(spark, sf_dir), _named(spark, sf_dir))
 
 
 @query(
@@ -370,12 +394,14 @@ def kg_anchors(spark, sf_dir):
     "graph",
 )
 def kg_search(spark, sf_dir):
-    return _rounded(graph.search(_graph(spark, sf_dir), _anchors(spark, sf_dir)), "score")
+    g = _graph(spark, sf_dir)
+    return _rounded(graph.search(g, saved(graph.anchors(g, _named(spark, sf_dir)), "anchors")), "score")
 
 
 @query(ANCHORS + " SELECT g.dst AS work, count(DISTINCT g.src) AS papers FROM graph g WHERE kind = 'cites' AND src IN (SELECT src FROM graph JOIN anchors ON dst = term WHERE kind IN ('has_keyword', 'in_field')) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "graph")
 def kg_external_recs(spark, sf_dir):
-    return graph.recommendations(_graph(spark, sf_dir), _anchors(spark, sf_dir))
+    g = _graph(spark, sf_dir)
+    return graph.recommendations(g, graph.anchors(g, _named(spark, sf_dir)))
 
 
 @query("SELECT f.dst AS field, k.dst AS keyword, count(DISTINCT f.src) AS papers FROM graph f JOIN graph k ON f.src = k.src AND f.kind = 'in_field' AND k.kind = 'has_keyword' GROUP BY ALL", "graph")
@@ -383,61 +409,74 @@ def kg_covers(spark, sf_dir):
     return graph.covers(_graph(spark, sf_dir))
 
 
-@query("SELECT 'keyword' AS kind, name FROM (SELECT DISTINCT lower(p_type) AS name FROM part EXCEPT SELECT dst FROM graph WHERE src % 2 = 0)", "graph")
+@query("SELECT DISTINCT 'keyword' AS kind, lower(p_brand) AS name FROM part")
 def kg_orphans(spark, sf_dir):
-    """Keywords that no paper has once the papers with odd ids are removed from the graph."""
-    names = S.load(spark, sf_dir, "part").select(F.lit("keyword").alias("kind"), F.lower("p_type").alias("name")).distinct()
-    return graph.orphans(names, _graph(spark, sf_dir).filter("src % 2 = 0"))
+    """Of the parts' types and brands as candidate keywords, the brands: no paper has them."""
+    part = S.load(spark, sf_dir, "part")
+    names = part.select(F.lower("p_type").alias("name")).union(part.select(F.lower("p_brand"))).distinct()
+    return graph.orphans(names.select(F.lit("keyword").alias("kind"), "name"), _graph(spark, sf_dir))
 
 
 @query(
-    ", known AS (SELECT '10.0/' || p_partkey AS doi, max(1000000000 + p_partkey) AS local FROM part WHERE p_size <= 10 GROUP BY 1) SELECT DISTINCT src, CASE WHEN local IS NULL THEN kind ELSE 'cross_cites' END AS kind, coalesce(local::VARCHAR, dst) AS dst FROM graph LEFT JOIN known ON kind = 'cites' AND dst = doi WHERE local IS NULL OR local <> src",
+    ", new AS (SELECT 1000000000 + p_partkey AS local, CASE WHEN p_partkey % 2 = 0 THEN '10.0/n' || p_partkey END AS d, trim(regexp_replace(regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9一-鿿\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM part WHERE p_size <= 10), "
+    "found AS (SELECT name, coalesce(max(a.local), max(b.local)) AS local FROM resolved r LEFT JOIN new a ON a.d = r.d LEFT JOIN new b ON b.t = r.t AND length(b.t) >= 8 WHERE name IS NOT NULL GROUP BY name) "
+    "SELECT DISTINCT src, CASE WHEN local IS NULL THEN kind ELSE 'cross_cites' END AS kind, coalesce(local::VARCHAR, dst) AS dst FROM graph LEFT JOIN found ON kind = 'cites' AND dst = name WHERE local IS NULL OR local <> src",
     "graph",
 )
 def kg_promote(spark, sf_dir):
-    """Works of ten or less in size have become papers."""
-    new = S.load(spark, sf_dir, "part").filter("p_size <= 10").select((F.lit(1000000000) + F.col("p_partkey")).alias("paper_id"), F.concat(F.lit("10.0/"), F.col("p_partkey").cast("string")).alias("doi"))
-    return graph.promoted(_graph(spark, sf_dir), new)
+    """Works of ten or less in size have become papers, half of them without a DOI."""
+    title, key = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")), F.col("p_partkey")
+    new = S.load(spark, sf_dir, "part").filter("p_size <= 10").select((F.lit(1000000000) + key).alias("paper_id"), title.alias("title"), F.when(key % 2 == 0, F.concat(F.lit("10.0/N"), key.cast("string"))).alias("doi"))
+    return graph.promoted(_graph(spark, sf_dir), graph.works(_cited(spark, sf_dir)), new)
 
 
-# Scalars and document structure
+@query("SELECT * FROM graph", "graph")
+def kg_incremental(spark, sf_dir):
+    """The graph of the papers with lower ids, to which all others are added; it equals the graph built at once."""
+    papers, refs, words = _graph_papers(spark, sf_dir), _cited(spark, sf_dir), _keywords(spark, sf_dir)
+    half = papers.agg(F.expr("max(paper_id) div 2")).first()[0]
+    early = F.col("paper_id") <= half
+    old = saved(graph.edges(papers.filter(early), refs.filter(early), words.filter(early)), "edges")
+    return graph.added(old, papers.filter(~early), papers, refs, words)
 
 
-def _headings(spark, sf_dir) -> DataFrame:
-    names = ["Introduction", "2. Related Work", "3.1 Proposed Method", "IV. Experiments", "Results and Discussion", "Discussion and Conclusion", "References", "Appendix A", "实验结果", "7 8 9", "Miscellany", "1. Data: "]
-    pick = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
-    return S.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("section_id"), pick.alias("heading"))
+@query("SELECT * FROM graph WHERE src <> 40 AND NOT (kind = 'cross_cites' AND dst = '40')", "graph")
+def kg_remove(spark, sf_dir):
+    return graph.removed(_graph(spark, sf_dir), 40)
 
 
-HEADINGS = "h AS (SELECT p_partkey AS section_id, (p_partkey % 12)::INT AS k FROM part), typed AS (SELECT section_id, ['intro','related_work','methods','experiments','results','conclusion','references','appendix','results','other','other','other'][k + 1] AS section_type FROM h)"
+TERM = "economy"
 
 
-@query(f"WITH {HEADINGS} SELECT section_id, section_type FROM typed")
-def section_type_classify(spark, sf_dir):
-    return _headings(spark, sf_dir).select("section_id", T.section_type(F.col("heading")).alias("section_type"))
+@query(
+    f", mine AS (SELECT DISTINCT src FROM graph WHERE kind IN ('has_keyword', 'in_field') AND dst = '{TERM}') SELECT 'paper' AS kind, src::VARCHAR AS name, (SELECT count(*) FROM mine) AS n FROM (SELECT src FROM mine ORDER BY src LIMIT 20) "
+    f"UNION ALL SELECT 'keyword', dst, n FROM (SELECT dst, count(*) AS n FROM graph WHERE kind = 'has_keyword' AND dst <> '{TERM}' AND src IN (SELECT src FROM mine) GROUP BY dst ORDER BY n DESC, dst LIMIT 20)",
+    "graph",
+)
+def kg_term_neighbours(spark, sf_dir):
+    return graph.term_neighbours(_graph(spark, sf_dir), "Economy")
 
 
-@query(f", {HEADINGS}, n AS (SELECT section_type, count(*) AS n FROM typed GROUP BY 1) SELECT section_type, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT count(*) FROM typed) AS share FROM types LEFT JOIN n USING (section_type)", "types")
-def section_type_coverage(spark, sf_dir):
-    types = spark.createDataFrame([(t,) for t in S.SECTION_TYPES], "section_type string")
-    return library.type_coverage(_headings(spark, sf_dir).select(T.section_type(F.col("heading")).alias("section_type")), types)
+@query(
+    ", nb AS (SELECT kind, dst AS name, 0 AS place FROM graph WHERE src = 80 UNION ALL SELECT 'cited_by', src::VARCHAR, src FROM graph WHERE kind = 'cross_cites' AND dst = '80') SELECT kind, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY place, name) AS r FROM nb) WHERE r <= 20",
+    "graph",
+)
+def kg_paper_neighbours(spark, sf_dir):
+    return graph.paper_neighbours(_graph(spark, sf_dir), 80)
 
 
-def _questions(spark, sf_dir) -> DataFrame:
-    asked = ["summarize this", "related work on {}", "research gaps in {}", "how does it scale {}", "benchmark results of {}", "what is {}", "{}", "doi: 10.1/{}", "compare {} versus others", "tell me about {}"]
-    pick = F.element_at(F.array(*map(F.lit, asked)), (F.col("p_partkey") % len(asked) + 1).cast("int"))
-    return S.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), F.replace(pick, F.lit("{}"), F.col("p_brand")).alias("question"))
+@query(ANCHORS + " SELECT term, relevance, count(*) AS n, list_sort(list(src) FILTER (WHERE r <= 50)) AS paper_ids FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY src) AS r FROM (SELECT DISTINCT term, relevance, src FROM graph JOIN anchors ON dst = term WHERE kind IN ('has_keyword', 'in_field'))) GROUP BY term, relevance", "graph")
+def kg_explain(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return graph.explained(g, graph.anchors(g, _named(spark, sf_dir)))
 
 
-@query("SELECT p_partkey AS question_id, ['summary','related_work','gap','methodology','experiments_results','definitions','default','default','experiments_results','default'][p_partkey % 10 + 1] AS intent, ['vector','all','all','all','all','vector','all','fts','graph','vector'][p_partkey % 10 + 1] AS route FROM part")
-def intent_and_route(spark, sf_dir):
-    q = F.col("question")
-    return _questions(spark, sf_dir).select("question_id", T.intent(q).alias("intent"), T.route(q).alias("route"))
+# Scalars and document structure
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substring(text, 1, 200)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS coupling, trim(regexp_replace(regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9一-鿿\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS graph FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS coupling, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9一-鿿\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS graph FROM documents")
 def normalize_title(spark, sf_dir):
-    title = F.substring("text", 1, 200)
+    title = F.col("text")
     return S.load(spark, sf_dir, "documents").select("doc_id", T.coupling_title(title).alias("coupling"), T.graph_title(title).alias("graph"))
 
 
@@ -448,20 +487,6 @@ def keyword_and_year(spark, sf_dir):
     return part.select("p_partkey", T.keyword(F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("  ")))).alias("keyword"), F.col("p_partkey").alias("year_in"), T.year(F.col("p_partkey").cast("string")).alias("year"), T.year(held).alias("held"))
 
 
-@query("SELECT p_partkey, [1, 0, 3, -1, 5][p_partkey % 5 + 1]::INT AS kind, CASE WHEN p_partkey % 5 < 3 THEN p_size END::BIGINT AS number, CASE WHEN p_partkey % 5 = 1 THEN '10.1234/x' || p_size END AS doi FROM part")
-def reference_entries(spark, sf_dir):
-    size = F.col("p_size").cast("string")
-    kinds = [F.concat(F.lit("["), size, F.lit("] Polygon, A.")), F.concat(F.lit("("), size, F.lit(") doi 10.1234/x"), size, F.lit("]")), F.concat(size, F.lit(". Polygon")), F.lit("q w e r t y u"), F.lit("[RCK+20] Radix")]
-    text = F.element_at(F.array(*kinds), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return S.load(spark, sf_dir, "part").select("p_partkey", T.reference_type(text).alias("kind"), T.reference_number(text).alias("number"), T.doi(text).alias("doi"))
-
-
-@query("SELECT p_partkey, list_sort(list_distinct(list_concat([p_size::BIGINT], range(3, 3 + p_partkey % 4 + 1)))) AS numbers FROM part")
-def citation_groups(spark, sf_dir):
-    text = F.concat(F.lit("as in ["), F.col("p_size").cast("string"), F.lit(",3-"), (F.col("p_partkey") % 4 + 3).cast("string"), F.lit("] and (9-7)"))
-    return S.load(spark, sf_dir, "part").select("p_partkey", documents.citation_numbers(text).alias("numbers"))
-
-
 def _lines(spark, sf_dir) -> DataFrame:
     docs = S.load(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
@@ -478,16 +503,9 @@ def section_segmentation(spark, sf_dir):
     return documents.sections(_lines(spark, sf_dir), F.length("line") < 40)
 
 
-@query("SELECT doc_id, greatest(1, CASE WHEN length(text) <= 8000 THEN 1 END) AS n_chunks, length(text) AS n_chars FROM documents WHERE length(text) <= 8000")
-def chunk_whole(spark, sf_dir):
-    """Texts that make one chunk."""
-    docs = S.load(spark, sf_dir, "documents").withColumn("c", documents.chunks(F.array("text")))
-    return docs.filter(F.length("text") <= documents.WHOLE).select("doc_id", F.size("c").alias("n_chunks"), F.length(F.element_at("c", 1)).cast("bigint").alias("n_chars"))
-
-
 @query()
 def chunk_pack(spark, sf_dir):
-    """Chunks of all texts, whose paragraphs are their lines; a fold, which SQL has no plain form for."""
+    """Chunks of all texts, whose paragraphs are their lines."""
     docs = S.load(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(documents.chunks(F.split("text", "\n"))).alias("chunk", "text"))
 
@@ -505,12 +523,12 @@ def interval_citation_section(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT source, length(text) AS n FROM documents) SELECT source, count(*) AS pages, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.1), 6) AS p10, "
+    "WITH p AS (SELECT source, length(text) AS n FROM documents) SELECT source, count(*) AS pages, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.1), 6) AS p10, round(quantile_cont(n, 0.25), 6) AS p25, "
     "round(avg((n < 50)::INT), 6) AS under_50, round(avg((n < 100)::INT), 6) AS under_100, min(n)::INT AS least, max(n)::INT AS most FROM p GROUP BY source"
 )
 def page_text_stats(spark, sf_dir):
     stats = documents.page_statistics(S.load(spark, sf_dir, "documents").select("source", F.length("text").alias("n_chars")), "source")
-    return _rounded(stats, "mean", "median", "p10", "under_50", "under_100")
+    return _rounded(stats, "mean", "median", "p10", "p25", "under_50", "under_100")
 
 
 @query("SELECT conv_id, CASE WHEN avg(length(text)) < 500 OR avg((length(text) < 100)::INT) > 0.5 THEN 'layout' ELSE 'text' END AS backend FROM conversations WHERE turn < 5 GROUP BY conv_id")
@@ -539,25 +557,9 @@ def json_extract(spark, sf_dir):
     return S.load(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
-def events_windowed(spark, sf_dir):
-    """Beyond the library's own needs: events by hour and type."""
-    events = S.load(spark, sf_dir, "events")
-    return events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
-
 # Extraction
 
 
-@query("SELECT DISTINCT l_orderkey AS doc, l_linenumber AS page, k AS reference FROM (SELECT *, unnest([l_partkey % 50, l_partkey % 50 + 2, l_partkey % 50 + 3]) AS k FROM lineitem)")
-def citations_found(spark, sf_dir):
-    """A line item is a page that cites three works by number, one of them alone and two as a range."""
-    n = F.col("l_partkey") % 50
-    text = F.concat(F.lit("It is known. As "), F.lit("shown in ["), n.cast("string"), F.lit(","), (n + 2).cast("string"), F.lit("-"), (n + 3).cast("string"), F.lit("] before. And so on."))
-    pages = S.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), text.alias("text"))
-    return extraction.citations(pages).select("doc", "page", "reference")
-
-
 @query("SELECT DISTINCT o_custkey AS doc, o_orderkey AS page, c_nationkey AS reference FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 < 2 AND year(o_orderdate) = 1995")
 def author_year_found(spark, sf_dir):
     """An order is a page that cites its customer's segment, as an author, by the order's year; works are of 1995."""
@@ -589,9 +591,3 @@ def running_lines(spark, sf_dir):
 def page_urls(spark, sf_dir):
     found = F.regexp_extract("html", r"https?://\S+", 0)
     return S.load(spark, sf_dir, "pages").select("page_id", F.when(found != "", extraction.url(F.col("html"))).alias("url"), (F.length("url") > 0).alias("has_source"))
-
-
-@query("SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE trim(line) = '' OR regexp_matches(trim(line), '^[a-z]\\s*$')) AS noise FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
-def noise_lines(spark, sf_dir):
-    lines = S.load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(extraction.is_noise(F.col("line")), 1)).alias("noise"))

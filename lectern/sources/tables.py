@@ -15,14 +15,30 @@ SECTION_TYPES = ["abstract", "intro", "related_work", "methods", "experiments",
 EMBEDDING_FIELDS = ("title", "abstract", "fulltext")
 
 
+def searchable(vectors: DataFrame, field: str) -> DataFrame:
+    """(paper_id, embedding) of one embedding column; rows without it are left out, other columns are refused."""
+    if field not in EMBEDDING_FIELDS:
+        raise ValueError(f"no such embedding column: {field}; one of {', '.join(EMBEDDING_FIELDS)}")
+    return vectors.select("paper_id", F.col(f"{field}_embedding").alias("embedding")).filter("embedding is not null")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paper_id, title, abstract, tag, field."""
-    text = F.col("text")
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.substring(text, 1, 80).alias("title"), F.substring(text, 1, 2000).alias("abstract"), F.col("source").alias("tag"), F.col("lang").alias("field"))
+    """paper_id, title (the first line), abstract (the whole text), keywords (a JSON list), tag, field."""
+    keywords = F.concat(F.lit('["'), "source", F.lit('","'), "lang", F.lit('"]'))
+    return load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("paper_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"),
+        keywords.alias("keywords"), F.col("source").alias("tag"), F.col("lang").alias("field"),
+    )
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_id, sort_order, body: a paper's sections are its text's lines with a word."""
+    lines = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("sort_order", "body"))
+    return lines.filter(F.trim("body") != "")
 
 
 def paper_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

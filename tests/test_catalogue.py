@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lectern.plans import catalogue
+from lectern.plans import catalogue, reading_queries  # noqa: F401  (the second registers more queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
