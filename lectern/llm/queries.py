@@ -39,6 +39,13 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking where there is something to link: the conversations with each message made a reply that quotes earlier ones."""
+    from .quotations import reply_ordered, with_quotes
+
+    return reply_ordered(with_quotes(table(spark, sf_dir, "conversations")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -72,7 +79,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_dedup, op4_line_quality, op5_quotation_linking, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_dedup, op4_line_quality, op5_quotation_linking, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing, quoted_replies)}
 
 SQL: dict[str, str] = {}
 SQL["op1_sharding"] = """
@@ -93,36 +100,49 @@ sized AS (SELECT shard, sum(b)::BIGINT AS b FROM final GROUP BY shard)
 SELECT doc_id, n_bytes, arrival, CASE WHEN s.b < 65536 THEN 0 ELSE length(bin(s.b // 65536)) END::INT AS tier, shard
 FROM docs JOIN final USING (arrival) JOIN sized s USING (shard)
 """
-SQL["op5_quotation_linking"] = r"""
-WITH msgs AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-keyed AS (SELECT *, row_number() OVER () AS k FROM msgs),
+_QUOTATIONS = r"""
+keyed AS (SELECT *, md5(concat_ws(chr(1), role, text)) AS key, row_number() OVER () AS k FROM msgs),
 raw AS (SELECT k, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM keyed),
-lines AS (
+marked AS (
   SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t>]*'), '[^>]', '', 'g')) AS level,
          lower(trim(regexp_replace(regexp_replace(line, '^[ \t>]*', ''), '[ \t\r]+', ' ', 'g'))) AS norm FROM raw),
-own AS (SELECT conv_id, norm, min(turn) AS own_turn FROM lines WHERE level = 0 AND norm <> '' AND turn IS NOT NULL GROUP BY ALL),
-first AS (SELECT norm, conv_id AS fc, own_turn AS ft FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY conv_id, own_turn) AS r FROM own) WHERE r = 1),
+opened AS (SELECT *, (level <> lag(level, 1, -1) OVER (PARTITION BY k ORDER BY i))::INT AS o FROM marked WHERE norm <> ''),
+lines AS (SELECT *, sum(o) OVER (PARTITION BY k ORDER BY i) AS run FROM opened),
+units AS (
+  SELECT true AS whole, k, conv_id, turn, run, level, string_agg(norm, chr(10) ORDER BY i) AS norm, count(*) AS c FROM lines GROUP BY k, conv_id, turn, run, level
+  UNION ALL SELECT false, k, conv_id, turn, run, level, norm, 1 FROM lines),
+own AS (SELECT whole, conv_id, norm, min(turn) AS own_turn FROM units WHERE level = 0 AND turn IS NOT NULL GROUP BY ALL),
+firsts AS (SELECT whole, norm, list(conv_id ORDER BY conv_id)[1:2] AS fc, list(own_turn ORDER BY conv_id)[1:2] AS ft FROM own WHERE conv_id IS NOT NULL GROUP BY ALL),
 cand AS (
-  SELECT q.k, q.conv_id, q.level,
-         CASE WHEN o.own_turn < q.turn THEN q.conv_id WHEN f.fc <> q.conv_id THEN f.fc END AS sc,
-         CASE WHEN o.own_turn < q.turn THEN o.own_turn WHEN f.fc <> q.conv_id THEN f.ft END AS st
-  FROM lines q LEFT JOIN own o ON o.conv_id = q.conv_id AND o.norm = q.norm LEFT JOIN first f ON f.norm = q.norm
-  WHERE q.level > 0 AND q.norm <> ''),
-votes AS (SELECT k, conv_id, level, sc, st, count(*) AS c FROM cand WHERE sc IS NOT NULL GROUP BY ALL),
-reply AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, c DESC, (sc = conv_id) DESC, st DESC, sc) AS r FROM votes) WHERE r = 1),
-counts AS (SELECT k, count(*) FILTER (WHERE level > 0) AS n_quoted, max(level) AS max_level FROM lines WHERE norm <> '' GROUP BY k),
+  SELECT q.*, o.own_turn, CASE WHEN f.fc[1] = q.conv_id THEN f.fc[2] ELSE f.fc[1] END AS oc, CASE WHEN f.fc[1] = q.conv_id THEN f.ft[2] ELSE f.ft[1] END AS ot
+  FROM units q LEFT JOIN own o ON o.whole = q.whole AND o.conv_id = q.conv_id AND o.norm = q.norm LEFT JOIN firsts f ON f.whole = q.whole AND f.norm = q.norm WHERE q.level > 0),
+sourced AS (SELECT *, CASE WHEN own_turn < turn THEN conv_id ELSE oc END AS sc, CASE WHEN own_turn < turn THEN own_turn ELSE ot END AS st FROM cand WHERE own_turn < turn OR oc IS NOT NULL),
+found AS (SELECT * FROM (SELECT *, bool_or(whole) OVER (PARTITION BY k, run) AS linked FROM sourced) WHERE whole OR NOT linked),
+votes AS (SELECT k, conv_id, level, sc, st, sum(c) AS c FROM found GROUP BY ALL),
+reply AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, c DESC, coalesce(sc = conv_id, false) DESC, st DESC, sc) AS r FROM votes) WHERE r = 1),
+linked AS (SELECT k, count(*) FILTER (WHERE whole) AS n_passages, coalesce(sum(c) FILTER (WHERE NOT whole), 0) AS n_lines FROM found GROUP BY k),
+counts AS (SELECT k, count(*) FILTER (WHERE level > 0) AS n_quoted, max(level) AS max_level FROM lines GROUP BY k),
 clean AS (
   SELECT k, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (regexp_matches(line, '(?i)(wrote|writes|schrieb|écrit|escribió) ?: *\r?$') AND coalesce(nxt, 0) > 0)) AS t
-  FROM (SELECT *, lead(level) OVER (PARTITION BY k ORDER BY i) AS nxt FROM lines) GROUP BY k),
+  FROM (SELECT *, lead(level) OVER (PARTITION BY k ORDER BY i) AS nxt FROM marked) GROUP BY k),
 joined AS (
-  SELECT m.*, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(max_level, 0)::INT AS max_level, r.sc, r.st, coalesce(t, '') AS clean_text,
+  SELECT m.*, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(max_level, 0)::INT AS max_level, coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(n_lines, 0)::BIGINT AS n_lines, r.sc, r.st, coalesce(t, '') AS clean_text,
          CASE WHEN r.sc = m.conv_id THEN m.turn END AS opens
-  FROM keyed m LEFT JOIN counts USING (k) LEFT JOIN reply r ON r.k = m.k LEFT JOIN clean USING (k)),
+  FROM keyed m LEFT JOIN counts USING (k) LEFT JOIN linked USING (k) LEFT JOIN reply r ON r.k = m.k LEFT JOIN clean ON clean.k = m.k),
 threads AS (SELECT *, max(opens) OVER (PARTITION BY conv_id ORDER BY turn) AS thread_start FROM joined),
 parents AS (SELECT conv_id, opens, max(st) AS st FROM joined WHERE opens IS NOT NULL GROUP BY ALL)
-SELECT t.conv_id, turn, role, n_quoted, max_level, t.sc AS reply_conv, t.st AS reply_turn, thread_start, p.st AS thread_parent, clean_text
+SELECT t.conv_id, turn, role, n_quoted, max_level, n_passages, n_lines, t.sc AS reply_conv, t.st AS reply_turn, thread_start, p.st AS thread_parent,
+       row_number() OVER (PARTITION BY t.conv_id ORDER BY p.st NULLS FIRST, thread_start NULLS FIRST, turn NULLS FIRST, key) AS position, clean_text
 FROM threads t LEFT JOIN parents p ON p.conv_id = t.conv_id AND p.opens = t.thread_start
 """
+SQL["op5_quotation_linking"] = "WITH msgs AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations)," + _QUOTATIONS
+SQL["quoted_replies"] = r"""
+WITH near AS (
+  SELECT conv_id, turn, role, text, lag(text, 1) OVER w AS l1, lag(text, 2) OVER w AS l2, lag(text, 3) OVER w AS l3 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+back AS (SELECT *, CASE WHEN turn % 3 = 0 THEN l2 ELSE l1 END AS b, CASE WHEN turn % 2 = 0 THEN l3 END AS older FROM near),
+msgs AS (
+  SELECT DISTINCT conv_id, turn, role, concat_ws(chr(10), '>> ' || replace(older, chr(10), chr(10) || '>> '),
+         '> ' || replace(CASE WHEN turn % 4 = 0 THEN regexp_replace(b, '^[^\n]*\n', '') ELSE b END, chr(10), chr(10) || '> '), text) AS text FROM back),""" + _QUOTATIONS
 SQL["op9_embedding_dedup"] = """
 WITH RECURSIVE good AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings

@@ -166,3 +166,106 @@ def test_quotations_of_other_conversations(spark):
     ]
     got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in reply_ordered(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
     assert (got[1, 0], got[4, 0], got[5, 0]) == ((2, 4), (1, 1), (None, None))
+
+
+def brute_quotes(messages):
+    """The rule itself, message by message: {(conv, turn, role, text): (quoted, passages, lines, reply, thread, position)}."""
+    rows = sorted(set(messages), key=repr)
+
+    def parsed(text):
+        out = []
+        for line in (text or "").split("\n"):
+            mark = re.match(r"^[ \t>]*", line)[0]
+            norm = re.sub(r"[ \t\r]+", " ", line[len(mark):]).strip(" ").lower()
+            if norm:
+                out.append((mark.count(">"), norm))
+        return out
+
+    def runs(lines):
+        out = []
+        for level, norm in lines:
+            if out and out[-1][0] == level:
+                out[-1][1].append(norm)
+            else:
+                out.append((level, [norm]))
+        return out
+
+    wrote = {}  # what: {conv: first turn}
+    for conv, turn, _, text in rows:
+        if turn is None:
+            continue
+        for level, norms in runs(parsed(text)):
+            if level == 0:
+                for what in [("p", *norms), *(("l", n) for n in norms)]:
+                    at = wrote.setdefault(what, {})
+                    at[conv] = min(at.get(conv, turn), turn)
+
+    def source(what, conv, turn):
+        at = wrote.get(what, {})
+        if conv is not None and turn is not None and at.get(conv, turn) < turn:
+            return conv, at[conv]
+        others = sorted(c for c in at if c is not None and c != conv)
+        return (others[0], at[others[0]]) if others else None
+
+    found = {}
+    for m in rows:
+        conv, turn, _, text = m
+        lines, votes, passages, single = parsed(text), Counter(), 0, 0
+        for level, norms in runs(lines):
+            if level == 0:
+                continue
+            if s := source(("p", *norms), conv, turn):
+                votes[level, s] += len(norms)
+                passages += 1
+            else:
+                for n in norms:
+                    if s := source(("l", n), conv, turn):
+                        votes[level, s] += 1
+                        single += 1
+        best = max(votes, key=lambda v: (-v[0], votes[v], v[1][0] == conv, v[1][1], -v[1][0]), default=None)
+        found[m] = [sum(level > 0 for level, _ in lines), passages, single, best and best[1]]
+    out = {}
+    for conv in {m[0] for m in rows}:
+        mine = [m for m in rows if m[0] == conv]
+        opens = {}
+        for m in mine:
+            reply = found[m][3]
+            if reply and reply[0] == conv and conv is not None:
+                opens[m[1]] = max(opens.get(m[1], -1), reply[1])
+        threads = {m: max(((t, p) for t, p in opens.items() if m[1] is not None and t <= m[1]), default=None) for m in mine}
+        none_first = lambda x: (x is not None, x or 0)
+        key = lambda m: __import__("hashlib").md5("\x01".join(x for x in m[2:] if x is not None).encode()).hexdigest()
+        order = sorted(mine, key=lambda m: (none_first(threads[m] and threads[m][1]), none_first(threads[m] and threads[m][0]), none_first(m[1]), key(m)))
+        for position, m in enumerate(order, 1):
+            out[m] = (*found[m][:3], found[m][3], threads[m], position)
+    return out
+
+
+def test_quotations_equal_brute_force(spark):
+    """Hundreds of messages with nested quotes, whole and in part, of their own and of other conversations, with ties and repeated lines."""
+    rng = np.random.default_rng(8)
+    stock = [f"line {i} of the stock" for i in range(25)] + ["ok", "Thanks", "see below"]
+    messages, history = [], []
+    for _ in range(400):
+        conv, turn = int(rng.integers(0, 30)), int(rng.integers(0, 12))
+        text = []
+        for _ in range(rng.integers(0, 3)):
+            if history:
+                source = history[rng.integers(len(history))].split("\n")
+                lo = int(rng.integers(0, 2)) if rng.random() < 0.4 else 0
+                depth = "> " * int(rng.integers(1, 3))
+                text += [depth + x for x in source[lo:]] + ([""] if rng.random() < 0.3 else [])
+                if rng.random() < 0.3:
+                    text.append(depth + "an altered line")
+        text += [str(stock[i]) for i in rng.integers(0, len(stock), rng.integers(0, 5))]
+        history.append("\n".join(text))
+        messages.append((conv, turn, str(rng.choice(["user", "bot"])), history[-1]))
+    messages += [messages[0], messages[1], (None, 3, "user", "> ok"), (4, None, "user", "> ok\n> Thanks"), (5, 1, "user", None), (6, 2, None, "> line 1 of the stock")]
+    messages += [(77, t, "user", f"message {t}\n> message {max(0, t - 3)}") for t in range(700)]
+    expected = brute_quotes(messages)
+    got = reply_ordered(spark.createDataFrame(messages, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert len(got) == len(expected)
+    plain_found = sorted(repr((r.conv_id, r.turn, r.role, r.n_quoted, r.n_passages, r.n_lines, (r.reply_conv, r.reply_turn) if r.reply_turn is not None else None, (r.thread_start, r.thread_parent) if r.thread_start is not None else None, r.position)) for r in got)
+    plain_expected = sorted(repr((m[0], m[1], m[2], *v)) for m, v in expected.items())
+    assert plain_found == plain_expected
+    assert sum(r.n_passages for r in got) > 300 and sum(r.n_lines for r in got) > 50 and sum(r.max_level > 1 for r in got) > 50
