@@ -83,19 +83,27 @@ QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_
 
 SQL: dict[str, str] = {}
 SQL["op1_sharding"] = """
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
-         (coalesce(doc_id, 0) - ((coalesce(doc_id, 0) % 512) + 512) % 512) // 512 AS arrival
+         CASE WHEN doc_id IS NULL THEN -1000000000000 - ('0x' || substr(md5(coalesce(text, '')), 1, 4))::BIGINT ELSE (doc_id - ((doc_id % 64) + 64) % 64) // 64 END AS arrival
   FROM documents),
-shards AS (SELECT arrival, sum(n_bytes)::BIGINT AS b FROM docs GROUP BY arrival),
-tiers AS (SELECT *, CASE WHEN b < 65536 THEN 0 ELSE length(bin(b // 65536)) END AS tier FROM shards),
-runs AS (
-  SELECT arrival, tier, (coalesce(sum(b) OVER (PARTITION BY tier ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) // 67108864 AS run
-  FROM tiers WHERE b < 33554432),
-many AS (SELECT tier, run FROM runs GROUP BY ALL HAVING count(*) > 1),
-final AS (
-  SELECT t.arrival, t.b, t.tier, CASE WHEN m.run IS NULL THEN 'a' || t.arrival ELSE 'v2-m' || t.tier || '-' || m.run END AS shard
-  FROM tiers t LEFT JOIN runs r USING (arrival) LEFT JOIN many m ON m.tier = r.tier AND m.run = r.run),
+span AS (SELECT min(arrival) AS lo, max(arrival) + 1 - min(arrival) AS n FROM docs WHERE doc_id IS NOT NULL),
+arrivals AS (
+  SELECT arrival, sum(n_bytes)::BIGINT AS b, CASE WHEN arrival <= -1000000000000 THEN 0 ELSE (arrival - any_value(lo)) * 3 // any_value(n) END AS c FROM docs, span GROUP BY arrival),
+state(i, c, arrival, b, shard) AS (
+  SELECT 0, 0::BIGINT, arrival, b, arrival FROM arrivals WHERE c = 0
+  UNION ALL
+  (WITH sizes AS (SELECT shard, sum(b)::BIGINT AS bytes FROM state GROUP BY shard),
+   tiers AS (SELECT *, CASE WHEN bytes < 65536 THEN 0 ELSE length(bin(bytes // 65536)) END AS tier FROM sizes WHERE bytes < 33554432),
+   runs AS (SELECT *, (coalesce(sum(bytes) OVER (PARTITION BY tier ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) // 67108864 AS run FROM tiers),
+   merged AS (SELECT shard, min(shard) OVER (PARTITION BY tier, run) AS new, count(*) OVER (PARTITION BY tier, run) AS n FROM runs),
+   into_ AS (SELECT shard, new FROM merged WHERE n > 1),
+   any_ AS (SELECT count(*) > 0 AS more FROM into_),
+   now AS (SELECT max(i) + 1 AS i, max(c) AS c FROM state)
+   SELECT now.i, CASE WHEN more THEN now.c ELSE now.c + 1 END, s.arrival, s.b, coalesce(into_.new, s.shard) FROM state s LEFT JOIN into_ USING (shard), any_, now WHERE more OR now.c < 2
+   UNION ALL
+   SELECT now.i, now.c + 1, a.arrival, a.b, a.arrival FROM arrivals a, any_, now WHERE NOT more AND now.c < 2 AND a.c = now.c + 1)),
+final AS (SELECT * FROM state WHERE i = (SELECT max(i) FROM state)),
 sized AS (SELECT shard, sum(b)::BIGINT AS b FROM final GROUP BY shard)
 SELECT doc_id, n_bytes, arrival, CASE WHEN s.b < 65536 THEN 0 ELSE length(bin(s.b // 65536)) END::INT AS tier, shard
 FROM docs JOIN final USING (arrival) JOIN sized s USING (shard)

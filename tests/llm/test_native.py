@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import queries
 from lectern.llm.mixing import MixSpec, mix, mix_plan, split
@@ -129,18 +130,60 @@ def test_splitting_tree_has_the_joint_law():
 
 
 def test_shards(spark, make, tmp_path):
-    rows = [(i, "x" * 40) for i in range(64)] + [(None, None), (3, "x" * 40), (3, "x" * 40)]
+    rows = [(i, "x" * 40) for i in range(64)] + [(None, None), (None, "no id"), (3, "x" * 40), (3, "x" * 40), (64, "y" * 5000)]
     store = ShardStore(spark, str(tmp_path / "store"), ShardSpec(arrival_rows=4, min_bytes=64, target_bytes=1000))
-    store.append(make(rows))
+    assert store.version() == 0 and store.append(make(rows)) == 1
     first = store.manifest()
     assert store.compact() == 2
     after = store.manifest()
     assert after.count() < first.count() and after.agg({"n_rows": "sum"}).first()[0] == len(rows) == store.read(1).count()
-    assert sorted(map(str, store.read().select("row.doc_id", "row.text").collect())) == sorted(map(str, make(rows).select("doc_id", "text").collect()))
-    with pytest.raises(CommitConflict):
-        store._commit(after, 1)
-    assert store.vacuum() >= 0 and store.read().count() == len(rows)
+    assert all(len(r.files) == 1 for r in after.filter("shard like 'm%'").collect())
+    assert len({(r.batch, r.files[0]) for r in after.filter("shard like 'm%'").collect()}) == after.filter("shard like 'm%'").count()
+    content = lambda df: sorted(map(str, df.select("row.doc_id", "row.text").collect()))
+    expected = sorted(map(str, make(rows).select("doc_id", "text").collect()))
+    assert content(store.read()) == content(store.read(1)) == expected
+    settled = store.settle()
+    assert store.settle() == settled and content(store.read()) == expected
+    # Merged shards are between half and one and a half times the target, or the rest of a tier.
+    small = store.manifest().filter("n_bytes < 500").groupBy("tier").count().collect()
+    assert all(r["count"] == 1 for r in small)
+    # A further append with a further column.
+    store.append(make([(900, "late")]).withColumn("more", F.lit(7)))
+    assert sorted((r.more is None, r.doc_id) for r in store.read().select("row.*").filter("doc_id >= 64").collect()) == [(False, 900), (True, 64)]
     assert compacted(make([])).count() == 0
+    assert {r.arrival for r in compacted(make([(None, "a"), (None, "b"), (None, "c"), (1, "d"), (10**6, "e")])).collect()} >= {0, 15625}
+
+
+def test_shard_commits(spark, make, tmp_path):
+    """A crash before the rename, a second writer, and a vacuum while another append is under way."""
+    store = ShardStore(spark, str(tmp_path / "store"), ShardSpec(arrival_rows=4, min_bytes=64, target_bytes=1000))
+    store.append(make([(i, "x" * 40) for i in range(8)]))
+    before = store.manifest()
+    (tmp_path / "store" / "log" / ".draft-dead").write_text("")  # what a writer leaves that dies between create and rename
+    (tmp_path / "store" / "log" / ".draft-half").write_text('{"manif')
+    assert store.version() == 1 and store.read().count() == 8 and store.append(make([(8, "y")])) == 2
+    with pytest.raises(CommitConflict):
+        store._commit(before, 1, store._entry(1)["schema"])
+    assert store.version() == 2 and store.read().count() == 9
+    # Another writer has written its batch and not committed yet: a vacuum must not take it.
+    other, commit, held = ShardStore(spark, store.root, store.spec), ShardStore._commit, []
+    other._commit = lambda *a: held.append(a) or -1
+    other.append(make([(9, "z")]))
+    store.settle()
+    assert store.vacuum() == 0
+    with pytest.raises(CommitConflict):  # its parent is no longer the latest
+        commit(other, *held[0])
+    manifest, _, schema = held[0]
+    assert commit(other, store.manifest().unionByName(manifest.join(store.manifest(2), ["batch", "shard"], "left_anti")), store.version(), schema) == store.version()
+    assert store.read().count() == 10
+    assert store.vacuum(keep=1, min_age=0) > 0 and store.read().count() == 10
+
+
+def test_shard_tiers(spark):
+    """On the given table several tiers remain, one small shard at most in each."""
+    got = queries.op1_sharding(spark, SF.replace("0.001", "0.01"))
+    shards = got.groupBy("tier", "shard").agg(F.sum("n_bytes").alias("b")).collect()
+    assert len({r.tier for r in shards}) >= 2 and len(shards) == len({r.tier for r in shards})
 
 
 def test_quotations(spark):
