@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean, lean_group
 from .graph import components
 
 
@@ -104,8 +104,9 @@ def _cells(classes: DataFrame, spec: VectorSpec) -> DataFrame:
                 row, cell = np.nonzero(near)
                 yield group.iloc[row].assign(cell=cell, home=home[row] == cell)
 
-    schema = "label int, dim int, node bigint, copies bigint, embedding array<float>, cell bigint, home boolean"
-    return classes.select("label", "dim", "node", "copies", "embedding").mapInPandas(assign, schema)
+    kind = classes.schema["embedding"].dataType.simpleString()
+    schema = f"label string, dim int, node bigint, copies bigint, embedding {kind}, cell bigint, home boolean"
+    return classes.select("label", "dim", "node", "copies", "embedding").mapInPandas(lean(assign), schema)
 
 
 def _blocks(cells: DataFrame, spec: VectorSpec) -> DataFrame:
@@ -125,11 +126,13 @@ def _blocks(cells: DataFrame, spec: VectorSpec) -> DataFrame:
 def near_duplicates(vectors: DataFrame, spec: VectorSpec = VectorSpec()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    fine = "label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as float)) and exists(embedding, x -> x <> 0)"
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    fine = "label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double)) and exists(embedding, x -> x <> 0)"
+    # Floats stay floats, which is less to move; everything else is compared as doubles. A label may be of any type.
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("string").alias("label"))
     rows = rows.withColumn("fine", F.coalesce(F.expr(fine), F.lit(False)) & F.col("vec_id").isNotNull())
     # -0.0 and 0.0 are one value here, as in a cosine.
-    good = rows.filter("fine").withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))
+    good = rows.filter("fine").withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding"))
     classes = scratch.save(classes, "classes")
     # Equal vec_ids with different vectors are told apart by the vector.
@@ -146,7 +149,7 @@ def near_duplicates(vectors: DataFrame, spec: VectorSpec = VectorSpec()) -> Data
         a, b = forest(x[i], y[j])
         return pd.DataFrame({"node": np.concatenate([x, a]), "other": np.concatenate([x, b]), "n": np.concatenate([n, np.zeros(len(a))])}).astype("int64").query("n > 0 or node != other")
 
-    found = scratch.save(blocks.groupBy("label", "dim", "cell", "row", "col").applyInPandas(join, "node bigint, other bigint, n bigint"), "found")
+    found = scratch.save(blocks.groupBy("label", "dim", "cell", "row", "col").applyInPandas(lean_group(join), "node bigint, other bigint, n bigint"), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     named = components(found.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     classes = classes.join(counts, "node", "left").join(named, "node", "left")

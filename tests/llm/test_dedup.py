@@ -164,3 +164,11 @@ def test_scaled_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
     got = near_duplicates(df, VectorSpec(per_pivot=4, block=50)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 14, i % 12) for i in range(180)]
+
+
+def test_double_vectors_and_text_labels(spark):
+    """Cosines that only doubles tell apart from 0.93."""
+    base = np.asarray([1.0, 0.0])
+    rows = [(0, base.tolist(), "a")] + [(i, [0.93 + d, math.sqrt(1 - (0.93 + d) ** 2)], label) for i, (d, label) in enumerate([(1e-10, "a"), (-1e-10, "a"), (1e-10, "b")], 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 2, 0), (2, 1, 0), (3, 0, 3)]
