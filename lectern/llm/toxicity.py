@@ -36,7 +36,7 @@ WINDOW = 12
 MIN_EVIDENCE, MIN_SHARE = 16.0, 0.8
 #: Terms of chance expected in a lexicon; the evidence asked for grows with the number of terms tried.
 CHANCE_TERMS = 0.05
-#: Words that a task remembers having looked up; it starts anew beyond.
+#: Words that a task remembers having looked up: so many lately, and so many before them.
 CACHE_ENTRIES = 100_000
 #: Verbs of reporting around a quotation, and words of address.
 REPORTING = frozenset("said says wrote writes called calls quoted quotes claimed reported dit écrit sagte schrieb dijo escribió".split())
@@ -154,6 +154,8 @@ class Lexicon:
     stems: list[str]
     seen: set[str] = field(default_factory=set)
     hits: dict[str, tuple[str, str]] = field(default_factory=dict)
+    old_seen: set[str] = field(default_factory=set)
+    old_hits: dict[str, tuple[str, str]] = field(default_factory=dict)
     trie: Trie | None = None
 
     def lookup(self, words: set[str]) -> dict[str, tuple[str, str]]:
@@ -161,8 +163,13 @@ class Lexicon:
         self.trie = self.trie or Trie(self.words, self.stems)
         new = words.difference(self.seen)
         if len(self.seen) + len(new) > CACHE_ENTRIES:
-            self.seen, self.hits, new = set(), {}, words
+            # Words in use are taken over from the older half as they come again; the rest of it goes.
+            self.old_seen, self.old_hits, self.seen, self.hits, new = self.seen, self.hits, set(), {}, words
         self.seen |= new
+        if self.old_seen:
+            known = new & self.old_seen
+            self.hits |= {w: self.old_hits[w] for w in known if w in self.old_hits}
+            new = new - known
         for w in new:
             if w in self.trie.words:
                 self.hits[w] = ("exact", w)

@@ -207,6 +207,29 @@ def test_lexicon_keeps_families_and_rare_terms(spark):
     assert found == {"idiot": "exact", "idiotics": "stem", "idjot": "near", "zorblax": "exact", "zarblax": "near"}
 
 
+def test_lexicon_forgets_and_remembers(monkeypatch):
+    """Whatever has been forgotten, a text's hits are those of a fresh lexicon."""
+    monkeypatch.setattr(toxicity, "CACHE_ENTRIES", 12)
+    rng, words = np.random.default_rng(1), ["moron", "morom", "clown", "clawn", "vequx", "vequy", *(f"plain{chr(97 + i)}" for i in range(26))]
+    used = toxicity.Lexicon(["clown", "moron"], ["vequ"])
+    for _ in range(300):
+        text = " ".join(rng.choice(words, rng.integers(1, 9)))
+        assert used.features(text) == toxicity.Lexicon(["clown", "moron"], ["vequ"]).features(text)
+        assert len(used.seen) <= 12 and len(used.old_seen) <= 12
+
+
+def test_toxicity_of_the_given_table(spark):
+    """Held-out documents: recall, false alarms and the order of scores, by the table's labels; very long texts too."""
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).filter("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r.score for r in got if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 30 and np.mean([s >= 0.5 for s in toxic]) > 0.85 and np.mean([s >= 0.5 for s in clean]) < 0.02
+    assert np.mean([t > c for t in toxic for c in clean]) > 0.93  # the chance that a toxic one stands before a clean one
+    assert model.scores(["plain " * 300_000, None])[0] < 0.5
+
+
 def test_toxicity(spark, make):
     rows = [(i, f"some plain words here number{i} " + ("you absolute moronix fool" if i % 4 == 0 else "good day")) for i in range(400)]
     docs = make([*rows, (900, None), (901, ""), (902, 'they said "moronix" once'), (903, "what a moronix"), (None, "you moronix")])
