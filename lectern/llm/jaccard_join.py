@@ -24,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, lean_group, short_batches
+from .common import Scratch, lean, lean_group, parallelism, short_batches
 from .graph import components, merged
 from .rolling import Prefix, mix64, words
 
@@ -52,6 +53,8 @@ class JoinSpec:
     bitmap_bits: int = 2048
     #: Times that each node's likeliest partner is verified before all pairs that are left.
     rounds: int = 2
+    #: Pairs that one copy of a text is compared in.
+    pairs_per_text: int = 1000
     #: Nodes of a head that goes to a bucket, at most, and rows of a bucket, about.
     small: int = 64
     bucket_rows: int = 20_000
@@ -182,6 +185,7 @@ class JaccardJoin:
         short_batches(self.spark)
         self.scratch = Scratch(self.spark, "jaccard")
         self.rows = self.docs.select("doc_id", "text")
+        self.table = f"jaccard_{uuid.uuid4().hex}"
 
     def _survey(self) -> DataFrame:
         spec = self.spec
@@ -315,15 +319,22 @@ class JaccardJoin:
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], ["a", "b"])
 
-        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        pairs = pairs.join(right, "b").join(left, "a")
-        return pairs.select("a", "b", "ta", "tb").mapInArrow(lean(verify), "a bigint, b bigint").distinct()
+        # Texts lie by node, so only texts of pairs move. A node with many pairs has its text in several places.
+        per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / spec.pairs_per_text).cast("int").alias("places"))
+        dealt = pairs.select("a", "b").join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
+        right = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        left = per.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", F.explode(F.expr("sequence(0, places - 1)")).alias("place"))
+        both = right.join(left, ["a", "place"])
+        return both.select("a", "b", "ta", "tb").mapInArrow(lean(verify), "a bigint, b bigint").distinct()
 
     def _texts(self, lists: DataFrame, nodes: DataFrame) -> DataFrame:
-        """(node, text) of all sets in a list, one row each: the one place where the corpus's texts are joined."""
-        wanted = nodes.join(lists.select("h1").distinct(), "h1", "left_semi").select(F.col("node").alias("doc_id"), "text_hash")
-        texts = self.rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-        return self.scratch.save(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
+        """(node, text) of all sets in a list, one row each, in buckets by node: the one place where the corpus's texts are moved."""
+        n = parallelism(self.spark)
+        wanted = nodes.join(lists.select("h1").distinct(), "h1", "left_semi").select("node", F.col("text_hash").alias("wanted"))
+        texts = self.rows.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("text_hash"), "text").filter("node is not null")
+        texts = texts.repartition(n, "node").join(wanted, "node").filter("text_hash = wanted").dropDuplicates(["node"]).select("node", "text")
+        texts.write.bucketBy(n, "node").sortBy("node").option("path", self.scratch.path("texts")).option("compression", "zstd").saveAsTable(self.table)
+        return self.spark.table(self.table)
 
     def _shared(self, lists: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
         """(head, node, info, tokens): the nodes of lists that hold several components, by the lists' head.
@@ -378,6 +389,13 @@ class JaccardJoin:
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every document."""
+        try:
+            return self._run()
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+            self.scratch.drop("texts")
+
+    def _run(self) -> DataFrame:
         survey = self._survey()
         sets = survey.filter("h2 is not null")
         lists = self._prefixes(*self._frequent(survey))

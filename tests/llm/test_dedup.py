@@ -40,7 +40,7 @@ def near_copies(seed=1, n=60):
     return out
 
 
-@pytest.mark.parametrize("spec", [JoinSpec(), JoinSpec(frequent_from=2, cost_unit=2, block=4, bitmap_bits=64, chunk_bytes=900), JoinSpec(frequent_from=2, small=2, block=3, bucket_rows=10, rounds=1)])
+@pytest.mark.parametrize("spec", [JoinSpec(), JoinSpec(frequent_from=2, cost_unit=2, block=4, bitmap_bits=64, chunk_bytes=900), JoinSpec(frequent_from=2, small=2, block=3, bucket_rows=10, rounds=1, pairs_per_text=2)])
 def test_jaccard_components(make, spec):
     rows = [*near_copies(), (100, None), (101, ""), (102, "one two"), (103, "ONE\ttwo"), (104, "one"), (0, near_copies()[0][1]), (105, " \n ")]
 
