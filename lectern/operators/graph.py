@@ -41,10 +41,10 @@ def works(references: DataFrame) -> DataFrame:
     return cited.join(named, "t").withColumn("name", F.when(F.length("t") >= LEAST_EXTERNAL, F.coalesce("d", "shared", "t"))).drop("shared")
 
 
-def cited_edges(papers: DataFrame, references: DataFrame) -> DataFrame:
-    """(src, kind, dst): cross_cites to papers known by DOI or else by title, cites to other works. Works are resolved once each."""
+def cited_edges(papers: DataFrame, references: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    """(src, kind, dst): cross_cites to papers known by DOI or else by title, cites to other works. Works (of more references, perhaps) are resolved once each."""
     by_doi, by_title = _known(papers)
-    resolved = works(references).join(by_doi, "d", "left").join(by_title, "t", "left")
+    resolved = (works(references) if cited is None else cited).join(by_doi, "d", "left").join(by_title, "t", "left")
     resolved = resolved.select("doi", "title", F.coalesce("by_doi", "by_title").alias("local"), "name")
     r, w = references.select("paper_id", "doi", "title").alias("r"), resolved.alias("w")
     both = r.join(w, F.col("r.doi").eqNullSafe(F.col("w.doi")) & (F.col("r.title") == F.col("w.title"))).filter("w.local is null or w.local <> r.paper_id")
@@ -156,7 +156,8 @@ def added(graph: DataFrame, new: DataFrame, papers: DataFrame, references: DataF
     terms = edges(new, references.limit(0), words)
     kept = graph.join(new.select(F.col("paper_id").alias("src")), "src", "left_anti")
     # A new paper's own edges resolve against all papers, those of others only against the new ones.
-    return promoted(kept, works(references), new).unionByName(terms).unionByName(cited_edges(papers, mine).filter("dst is not null and dst <> ''")).distinct()
+    cited = works(references)
+    return promoted(kept, cited, new).unionByName(terms).unionByName(cited_edges(papers, mine, cited).filter("dst is not null and dst <> ''")).distinct()
 
 
 def removed(graph: DataFrame, paper_id: int) -> DataFrame:

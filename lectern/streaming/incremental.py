@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.retrieval import postings
+from lectern.operators.graph import added
+from lectern.operators.graph import edges as built
+from lectern.operators.retrieval import TEXT_COLUMNS, lengths, postings
 from lectern.plans.store import VersionedTable
 
 
 def keep_postings(papers: DataFrame, index: VersionedTable, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upsert the inverted index for each micro-batch of a stream of papers (paper_id, title, abstract)."""
+    """Upsert the inverted index (keyed by paper_id) for each micro-batch of a stream of papers; a batch writes its own papers' postings only."""
+    columns = tuple(c for c in TEXT_COLUMNS if c in papers.columns)
 
     def put(batch: DataFrame, _: int) -> None:
-        fresh = postings(batch.dropDuplicates(["paper_id"]))
-        if index.versions():
-            old = index.read().join(batch.select("paper_id").distinct(), "paper_id", "left_anti")
-            fresh = old.unionByName(fresh)
-        index.replace(fresh)
+        batch = batch.dropDuplicates(["paper_id"])
+        index.put(postings(batch, columns), batch.select("paper_id"))
 
     writer = papers.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def checked_postings(papers: DataFrame, index: VersionedTable) -> int:
+    """Rebuild the index if papers are missing in it; returns the number of papers that it then holds."""
+    if not index.versions() or lengths(papers).join(index.read().select("paper_id").distinct(), "paper_id", "left_anti").filter("length > 0").take(1):
+        index.replace(postings(papers))
+    return index.read().select("paper_id").distinct().count()
+
+
+def keep_graph(papers: DataFrame, edges: VersionedTable, library: Callable[[], tuple[DataFrame, DataFrame]], checkpoint: str) -> StreamingQuery:
+    """Add each micro-batch of papers to the graph's edges; ``library`` gives all papers and references by then."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        everything, references = library()
+        edges.replace(added(edges.read(), batch.dropDuplicates(["paper_id"]), everything, references) if edges.versions() else built(everything, references))
+
+    return papers.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest_new(files: DataFrame, store: VersionedTable, checkpoint: str) -> StreamingQuery:
     """Add files (sha256 and any columns) that the store doesn't hold yet; a second pass adds nothing."""
 
