@@ -1,4 +1,11 @@
-"""A corpus pipeline of the training-data operators: each stage works on all that the one before it kept."""
+"""A corpus pipeline of the training-data operators: each stage works on all that the one before it kept.
+
+Cases: null and empty texts pass the first three stages (they are not toxic, similar to nothing and hold no repeats) and are never
+drawn by the mix; rows without a doc_id stay apart from each other; repeated rows, and rows of one doc_id with different texts, leave
+the Jaccard stage as one row per doc_id; very long texts are read whole in every stage; nulls in other columns and columns of any
+name are carried along; an empty table gives an empty result. The last stage numbers the rows that it reads (``row``), so the pieces of a
+document that the mix drew several times can be told apart.
+"""
 
 from __future__ import annotations
 
