@@ -146,6 +146,13 @@ def promoted(graph: DataFrame, cited: DataFrame, papers: DataFrame) -> DataFrame
     return joined.select("src", F.when(F.col("local").isNull(), F.col("kind")).otherwise("cross_cites").alias("kind"), F.coalesce(F.col("local").cast("string"), "dst").alias("dst")).distinct()
 
 
+def renamed(graph: DataFrame, cited: DataFrame) -> DataFrame:
+    """Edges to works that were known by title only and whose DOI has come to be known since."""
+    names = cited.filter("name <> t").groupBy("t").agg(F.min("name").alias("now"))
+    joined = graph.join(names, (F.col("kind") == "cites") & (F.col("dst") == F.col("t")), "left")
+    return joined.select("src", "kind", F.coalesce("now", "dst").alias("dst")).distinct()
+
+
 def added(graph: DataFrame, new: DataFrame, papers: DataFrame, references: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """The graph with new papers, or with new versions of papers: their own edges are built anew, those that lead to them are promoted.
 
@@ -157,7 +164,7 @@ def added(graph: DataFrame, new: DataFrame, papers: DataFrame, references: DataF
     kept = graph.join(new.select(F.col("paper_id").alias("src")), "src", "left_anti")
     # A new paper's own edges resolve against all papers, those of others only against the new ones.
     cited = works(references)
-    return promoted(kept, cited, new).unionByName(terms).unionByName(cited_edges(papers, mine, cited).filter("dst is not null and dst <> ''")).distinct()
+    return promoted(renamed(kept, cited), cited, new).unionByName(terms).unionByName(cited_edges(papers, mine, cited).filter("dst is not null and dst <> ''")).distinct()
 
 
 def removed(graph: DataFrame, paper_id: int) -> DataFrame:
