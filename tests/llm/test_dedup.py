@@ -65,6 +65,20 @@ def test_jaccard_empty_and_null_ids(make):
     assert keep_one(make([(None, "a"), (1, "b")])).count() == 2
 
 
+def test_jaccard_of_long_texts_and_odd_columns(make):
+    """Two texts of 120,000 words that differ in a few, beside rows with the same ids and a column with a dot in its name."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 50_000, 120_000).astype(str)
+    other = words.copy()
+    other[rng.integers(0, len(words), 3_000)] = "edited"
+    rows = [(5, " ".join(words)), (4, " ".join(other)), (3, " ".join(words[:60_000])), (9, "a few words stand here alone"), (9, "A few words stand here alone"), (9, "quite another text with this id")]
+    docs = make(rows).selectExpr("*", "1 AS `a.b`")
+    got = similar_components(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 4), (4, 4), (3, 3), (9, 9)} and len(got) == 6
+    kept = keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 9] and kept.columns == docs.columns
+
+
 def test_prefix_length():
     assert prefix_length(100, 1, 75) == 26 and prefix_length(1, 1, 75) == 1 and prefix_length(4, 1, 75) == 2
 

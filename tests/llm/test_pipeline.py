@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -41,3 +42,43 @@ def test_stages(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum(map(len, ids))
     crcs = {zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids if len(x) <= 2048}
     assert crcs <= {p.ids_crc32 for p in pieces}
+
+
+def tables(spark, path, rows, labels):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `_row` string, shard int, `a.b` string, size string")
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, columns with names that the stages use."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    plain = lambda n: " ".join(rng.choice(vocabulary, n))
+    row = lambda i, t, s="s1": (i, t, None, s, None if t is None else len(t), "x", 1, None, "y")
+    rows = [row(i, plain(60), ["s1", "s2", None][i % 3]) for i in range(60)]
+    rows += [row(100 + i, plain(40) + " you absolute moronix fool") for i in range(40)]
+    rows += [row(None, None), row(None, plain(30)), row(None, plain(30)), row(200, None), row(201, ""), row(202, " \n\t"), row(203, plain(200_000)), rows[0], rows[0], row(1, rows[1][1]), row(204, "one two"), row(205, "One  two")]
+    sf = tables(spark, tmp_path / "odd", rows, [(100 + i, 1, 1) for i in range(40)] + [(i, 1, 0) for i in range(60)] + [(None, None, None)])
+    docs, seen = table(spark, sf, "documents"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert k == 4 or docs.columns == table(spark, sf, "documents").columns
+        seen.append(docs.collect())
+    clean, once, cut, mix, pieces = seen
+    ids = lambda some: sorted(r.doc_id for r in some if r.doc_id is not None)
+    assert not any(100 <= i < 140 for i in ids(clean)) and ids(clean)[:5] == [0, 0, 0, 1, 1] and sum(r.doc_id is None for r in clean) == 3
+    # One row for each text's class; rows without an id or a word stay.
+    assert ids(once) == sorted([*range(60), 200, 201, 202, 203, 204]) and sum(r.doc_id is None for r in once) == 3
+    assert ids(cut) == ids(once) and max(len(r.text or "") for r in cut) > 1_000_000
+    assert {200, 201, 202}.isdisjoint(ids(mix)) and {r.doc_id for r in mix} <= {r.doc_id for r in cut}
+    assert max(Counter(ids(mix)).values()) <= 3 and {r.row for r in pieces} and len({(r.row, r.piece) for r in pieces}) == len(pieces)
+    words = {r.doc_id: len(re.findall(WORD, r.text or "")) for r in cut if r.doc_id is not None}
+    assert all(len(re.findall(WORD, r.text)) <= words[r.doc_id] for r in mix if r.doc_id is not None)
+
+
+def test_empty_table(spark, tmp_path):
+    sf = tables(spark, tmp_path / "none", [], [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
