@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,8 +77,11 @@ class Scratch:
     folder below the warehouse is used.
     """
 
+    opened: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        Scratch.opened.append(self)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
@@ -94,6 +98,25 @@ class Scratch:
         fs, path = filesystem(self.spark, self.path(name) if name else self.root)
         fs.delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but those that a result still reads."""
+        fs, root = filesystem(self.spark, self.root)
+        for found in fs.listStatus(root) if fs.exists(root) else []:
+            if found.getPath().getName() not in names:
+                fs.delete(found.getPath(), True)
+
+
+@contextlib.contextmanager
+def tidied() -> Iterator[None]:
+    """Drop the scratch tables of all operators called inside, whose results have been written or used up by then."""
+    before = len(Scratch.opened)
+    try:
+        yield
+    finally:
+        for scratch in Scratch.opened[before:]:
+            scratch.drop()
+        del Scratch.opened[before:]
+
 
 def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object of a path, through the driver's JVM."""

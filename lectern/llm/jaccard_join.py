@@ -427,6 +427,7 @@ class JaccardJoin:
         rest = self._across(shared, nodes, found, best=False).select("a", "b")
         rest = self.scratch.save(rest if seen is None else rest.join(seen, ["a", "b"], "left_anti"), "rest")
         final = merged(found, self.scratch.save(self._linked(rest, texts), "links3"), self.scratch, "found3")
+        self.scratch.keep("survey", "found3")
         ids = least.join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
         out = sets.select("doc_id", "n", "h1", "h2").join(ids, ["h1", "h2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

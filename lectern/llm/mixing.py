@@ -184,6 +184,7 @@ def _plan(docs: DataFrame, spec: MixSpec) -> Plan:
     before = F.coalesce(F.sum("words").over(Window.partitionBy("src", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     take = F.least(F.col("words"), F.greatest(F.lit(0), F.col("cut") - before))
     cuts = scratch.save(cutting.select("src", "block", "order", F.floor(take / F.col("copies")).cast("bigint").alias("take")), "cuts")
+    scratch.keep("sizes", "targets", "drawn", "cuts")
     return Plan(sizes, targets, drawn, cuts, scratch)
 
 

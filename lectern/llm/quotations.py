@@ -104,6 +104,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     inside = F.col("source.conv").eqNullSafe(F.col("conv_id")) & F.col("source.turn").isNotNull()
     rows = rows.withColumn("opens", F.when(inside, F.struct(F.col("turn"), F.col("source.turn").alias("parent"))))
     rows = _positions(_running(rows, "opens", "thread"), scratch)
+    scratch.keep("ranges")
     array = F.split("text", "\n")
     clean = F.filter(array, lambda x, i: (_level(x) == 0) & ~(x.rlike(ANNOUNCES) & (F.coalesce(_level(F.get(array, i + 1)), F.lit(0)) > 0)))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)

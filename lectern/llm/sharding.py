@@ -139,15 +139,19 @@ class ShardStore:
     def compact(self) -> int:
         """Merge runs of similarly sized shards and commit; returns the version, unchanged if nothing is to merge."""
         parent, batch = self.version(), uuid.uuid4().hex
-        plan = Scratch(self.spark, "shards").save(self.plan(parent), "plan")
+        scratch = Scratch(self.spark, "shards")
+        plan = scratch.save(self.plan(parent), "plan")
         n = plan.agg(F.max("number")).first()[0]
         if n is None:
+            scratch.drop()
             return parent
         schema = self._schema(parent)
         merged = plan.filter("number is not null")
         rows = self._rows(merged.drop("seq", "n_bytes"), schema).select("n_bytes", "seq", F.concat(F.lit("m"), F.col("into").cast("string")).alias("shard"), F.lit(batch).alias("batch"), "row", "number")
         rows.repartitionById(n + 1, F.col("number").cast("int")).drop("number").write.option("compression", "zstd").parquet(f"{self.root}/data/{batch}")  # a file for each merged shard
-        return self._commit(plan.filter("number is null").drop("into", "number").unionByName(self._listed(batch)), parent, json.dumps(schema.jsonValue()))
+        version = self._commit(plan.filter("number is null").drop("into", "number").unionByName(self._listed(batch)), parent, json.dumps(schema.jsonValue()))
+        scratch.drop()
+        return version
 
     def settle(self) -> int:
         """Compact until nothing is left to merge."""

@@ -310,6 +310,7 @@ def _spans(keyed: DataFrame, spec: RepeatSpec, scratch: Scratch) -> DataFrame:
         # Spread by segment: a crowded anchor's segments are many.
         ranges = ranges.unionByName(_crowded_ranges(crowded.repartition("g", "h"), spec, scratch))
     ranges = scratch.save(ranges, "ranges").select(F.col("g").alias("k"), F.col("h").alias("l"), "lo", "hi")
+    scratch.keep("repeated", "ranges")
     # All windows of segments that are each other's copies are repeated.
     till = F.col("start") + F.col("owned") * F.col("times") + (spec.length - 1)
     whole = found.filter("not mixed or times > 1").select("_id", "_hash", F.col("start").alias("s"), till.alias("e"))

@@ -275,7 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     some = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 0))
     some = some.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(max_train_docs).drop("h")
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id").select("text", "toxic")
-    rows = Scratch(docs.sparkSession, "toxicity").save(rows, "train")  # max_train_docs texts, read several times below
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.save(rows, "train")  # max_train_docs texts, read several times below
     lexicon = learn_lexicon(rows)
     blank = Lexicon(lexicon.words, lexicon.stems)
 
@@ -287,6 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     schema = ", ".join(f"`{f}` double" for f in FEATURES) + ", toxic int"
     # max_train_docs rows at most.
     found = rows.mapInPandas(lean(features), schema).toPandas()
+    scratch.drop()
     y = found.pop("toxic").to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, np.zeros(len(FEATURES)), -40.0 if not len(y) or not y[0] else 40.0)
