@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import jaccard_join, mixing, packing, substring_dedup, toxicity
-from lectern.llm.common import Scratch, table
+from lectern.llm.common import Scratch, table, tidied
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with tidied():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             scratch.drop(f"stage{k - 1}")
     return docs
