@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from typing import ClassVar
@@ -106,6 +107,12 @@ class Scratch:
                 fs.delete(found.getPath(), True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark then removes the files of shuffles that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def tidied() -> Iterator[None]:
     """Drop the scratch tables of all operators called inside, whose results have been written or used up by then."""

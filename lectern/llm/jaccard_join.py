@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, lean_group, parallelism, short_batches
+from .common import Scratch, lean, lean_group, parallelism, short_batches, sweep
 from .graph import components, merged
 from .rolling import Prefix, mix64, words
 
@@ -278,6 +278,7 @@ class JaccardJoin:
         lists = self.scratch.save(lists, "lists")
         self.scratch.drop("parts")
         shared.unpersist()
+        sweep(self.spark)
         return lists
 
     def _fits(self, a: str, b: str):
@@ -334,6 +335,7 @@ class JaccardJoin:
         texts = self.rows.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("text_hash"), "text").filter("node is not null")
         texts = texts.repartition(n, "node").join(wanted, "node").filter("text_hash = wanted").dropDuplicates(["node"]).select("node", "text")
         texts.write.bucketBy(n, "node").sortBy("node").option("path", self.scratch.path("texts")).option("compression", "zstd").saveAsTable(self.table)
+        sweep(self.spark)
         return self.spark.table(self.table)
 
     def _shared(self, lists: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
@@ -345,7 +347,10 @@ class JaccardJoin:
         rows = self.scratch.save(lists.select("token", "h1", "info", "head").join(named, "h1"), "named")
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
         rows = rows.join(mixed, "token").groupBy("head", "node").agg(F.first("info").alias("info"), F.collect_set("token").alias("tokens"))
-        return self.scratch.save(rows, "across")
+        rows = self.scratch.save(rows, "across")
+        self.scratch.drop("named")
+        sweep(self.spark)
+        return rows
 
     def _across(self, shared: DataFrame, nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
         """(a, b, c): possible pairs of nodes in different components, with the prefix tokens that they share; or each node's best of them.
@@ -424,8 +429,10 @@ class JaccardJoin:
             seen = best if seen is None else seen.unionByName(best)
             more = self.scratch.save(self._linked(best, texts), f"links2{turn}")
             found = merged(found, more, self.scratch, f"found2{turn}")
+            sweep(self.spark)
         rest = self._across(shared, nodes, found, best=False).select("a", "b")
         rest = self.scratch.save(rest if seen is None else rest.join(seen, ["a", "b"], "left_anti"), "rest")
+        sweep(self.spark)
         final = merged(found, self.scratch.save(self._linked(rest, texts), "links3"), self.scratch, "found3")
         self.scratch.keep("survey", "found3")
         ids = least.join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
