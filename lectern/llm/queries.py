@@ -79,7 +79,35 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_substring_dedup, op4_line_quality, op5_quotation_linking, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing, quoted_replies)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_language_id, op3_substring_dedup, op4_line_quality, op5_quotation_linking, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing,
+        op11_token_counts, op12_token_alignment, op13_collocations, quoted_replies,
+    )
+}
 
 SQL: dict[str, str] = {}
 SQL["op1_sharding"] = """
@@ -166,3 +194,25 @@ SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(e.vec_id, coales
        e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
 """
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM places, range(1, 5) t(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, p.f AS l, q.f AS r, (2000000::HUGEINT * c.a) // (p.f + q.f) AS score
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(w[1:k], ' ') JOIN f q ON q.lang = c.lang AND q.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored) WHERE o = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m)) AS i FROM cand), range(2, 4) t(s)
+  WHERE s < m AND i + s - 1 <= m GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
