@@ -53,7 +53,7 @@ class PhraseSpec:
     partition_rows: int = 700_000
     sort_rows: int = 3_000_000
     #: Pointers in a partition of the sort that is finished by a plain sort.
-    small: int = 4096
+    small: int = 16_384
 
 
 def word_stream(text: pa.Array) -> pa.Array:
@@ -109,10 +109,16 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
         yield Block(lang, texts)
 
 
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The ascending order of rows of numbers below 2 ** 31, two of which are compared at once."""
+    wide = rows.astype(np.int64)
+    keys = [(wide[:, k] << 32) | wide[:, k + 1] if k + 1 < wide.shape[1] else wide[:, k] for k in range(0, wide.shape[1], 2)]
+    return np.lexsort(keys[::-1])
+
+
 def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in ascending order, and how often each stands."""
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
+    rows = rows[_sorted(rows)]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
     at = np.flatnonzero(new)
@@ -147,7 +153,7 @@ def multikey_quicksort(words: np.ndarray, weight: np.ndarray, least: int, small:
 def _finished(words: np.ndarray, weight: np.ndarray, at: np.ndarray, depth: int, least: int) -> list[tuple[np.ndarray, int, np.ndarray]]:
     """What a small partition holds, by one sort of its pointers by all words that are left."""
     keys = words[at, depth:]
-    order = np.lexsort(keys.T[::-1])
+    order = _sorted(keys)
     keys, at = keys[order], at[order]
     total, new, out = np.concatenate([[0], np.cumsum(weight[at])]), np.zeros(len(at), bool), []
     new[0] = True
@@ -273,7 +279,7 @@ def phrase_counts(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> tuple[Dat
     suffixes = _suffixes(texts, _bitmap(often, spec), hot, spec)
     route = F.when(F.col("hot"), F.xxhash64("lang", "suffix")).otherwise(F.xxhash64("lang", F.substring_index("suffix", " ", 2)))
     parts = max(parallelism(docs.sparkSession), -(-n // spec.partition_rows))
-    found = _counted(suffixes.withColumn("route", route).repartition(parts, "route").drop("route"), spec)
+    found = _counted(suffixes.repartition(parts, route), spec)
     found = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= spec.least)
     single = often.select("lang", "words", "phrase", F.col("n").alias("f"))
     return scratch.save(single.unionByName(found), "counts"), totals
