@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.fixed import SECTION_HEADINGS
 from lectern.functions.text import matches, stripped
 from lectern.operators.extraction import is_noise
 
@@ -59,7 +60,7 @@ def body_height(lines: DataFrame) -> DataFrame:
     return counts.groupBy("doc").agg(F.min_by("h", F.struct(-F.col("n"), "h")).alias("body"))
 
 
-def is_heading(text: Column, height: Column, body: Column, keywords: list[str] = TOP_HEADINGS) -> Column:
+def is_heading(text: Column, height: Column, body: Column, keywords: list[str] = SECTION_HEADINGS) -> Column:
     """Whether a line is a heading: numbered, or opened by a known word, or of three words and more in taller letters."""
     t = stripped(text)
     low = stripped(F.regexp_replace(F.lower(t), "[.:]+$", ""))
@@ -100,6 +101,62 @@ def columns(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_opens", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("column", F.sum("_opens").over(order)).drop("_opens")
 
 
+def _numbered(rows: DataFrame, name: str, state: str, opens, grown) -> DataFrame:
+    """Rows of a page, in the order of seq, with a number that rises where ``opens`` says so of the state so far and the next row.
+
+    The state is what ``grown`` makes of it (None: a new one) and a row. A page's rows are folded together, as the state can't be seen from
+    neighbours; a page is all that is ever held.
+    """
+    own = [c for c in rows.columns if c not in ("doc", "page", "seq")]
+    pages = rows.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*own).alias("r")))).alias("rows"))
+    kind = f"struct<n:array<int>,s:{state}>"
+
+    def step(acc: Column, row: Column) -> Column:
+        r, s = row["r"], acc["s"]
+        new = s.isNull() | opens(s, r)
+        last = F.coalesce(F.get(acc["n"], F.size(acc["n"]) - 1), F.lit(-1))
+        return F.struct(F.array_append(acc["n"], last + new.cast("int")).alias("n"), F.when(new, grown(None, r)).otherwise(grown(s, r)).alias("s")).cast(kind)
+
+    start = F.struct(F.array().cast("array<int>").alias("n"), F.lit(None).cast(state).alias("s")).cast(kind)
+    numbered = pages.withColumn("n", F.aggregate("rows", start, step, lambda acc: acc["n"]))
+    out = numbered.select("doc", "page", F.explode(F.arrays_zip(F.col("rows"), F.col("n"))).alias("z"))
+    return out.select("doc", "page", F.col("z.rows.seq").alias("seq"), "z.rows.r.*", F.col("z.n").alias(name))
+
+
+def grown_columns(lines: DataFrame) -> DataFrame:
+    """Lines with their column: one begins where a line stands higher than the one before it, or wholly to the right or to the left of all
+    lines of the column so far."""
+    return _numbered(
+        lines, "column", "struct<y:double,right:double,left:double>",
+        lambda s, r: (r["y"] < s["y"]) | (r["x"] > s["right"]) | (r["x"] + r["width"] < s["left"]),
+        lambda s, r: F.struct(r["y"].alias("y"), (r["x"] + r["width"] if s is None else F.greatest(s["right"], r["x"] + r["width"])).alias("right"), (r["x"] if s is None else F.least(s["left"], r["x"])).alias("left")),
+    )
+
+
+def lines_of_spans(spans: DataFrame) -> DataFrame:
+    """(doc, page, seq, x, y, width, height, heights, text, url): spans joined to lines, in the order of seq on a page.
+
+    A span joins the line that is open if it begins within the height of the line's first span, or ends within it. A line's width is the sum of its
+    spans'; its height is that of most of them, the first of equals; blank spans are left out, and a span of negative width is turned.
+    """
+    s = spans.withColumn("text", stripped(F.col("text"))).filter("text <> ''")
+    s = s if "url" in s.columns else s.withColumn("url", F.lit(None).cast("string"))
+    s = s.select("doc", "page", "seq", F.bround("x", 1).alias("x"), F.bround("y", 1).alias("y"), *(F.col(c).cast("double").alias(c) for c in ("width", "height")), "text", "url")
+    s = s.withColumn("x", F.when(F.col("width") < 0, F.col("x") + F.col("width")).otherwise(F.col("x"))).withColumn("width", F.abs("width"))
+    joins = lambda t, r: ((r["y"] >= t["y"]) & (r["y"] < t["y"] + t["height"])) | (r["y"] == t["y"]) | ((r["y"] + r["height"] > t["y"]) & (r["y"] + r["height"] <= t["y"] + t["height"]))
+    s = _numbered(s, "line", "struct<y:double,height:double>", lambda t, r: ~joins(t, r), lambda t, r: F.struct(r["y"].alias("y"), r["height"].alias("height")) if t is None else t)
+    parts = F.array_sort(F.collect_list(F.struct("seq", "x", "y", "width", "height", "text", "url")))
+    lines = s.groupBy("doc", "page", "line").agg(parts.alias("p"))
+    of = lambda c: F.transform("p", lambda r: r[c])
+    heights = of("height")
+    most = F.array_max(F.transform(F.array_distinct(heights), lambda h: F.struct(F.size(F.filter(heights, lambda x: x == h)).alias("n"), (-F.array_position(heights, h)).alias("at"), h.alias("h"))))["h"]
+    first = F.get("p", F.lit(0))
+    return lines.select(
+        "doc", "page", F.col("line").alias("seq"), first["x"].alias("x"), first["y"].alias("y"), F.aggregate(of("width"), F.lit(0.0), lambda a, b: a + b).alias("width"), most.alias("height"), heights.alias("heights"),
+        F.array_join(of("text"), " ").alias("text"), F.get(F.filter(of("url"), lambda u: u.isNotNull()), F.lit(0)).alias("url"),
+    )
+
+
 def paragraphs(lines: DataFrame, gap: float = 1.5, indent: float = 1.0) -> DataFrame:
     """(doc, page, column, paragraph, text): lines joined until the next one is far below or set in."""
     order = Window.partitionBy("doc", "page", "column").orderBy("y", "x", "seq")

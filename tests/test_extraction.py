@@ -4,12 +4,12 @@ from lectern.operators import extraction, providers
 
 
 def test_parsed_references(spark):
-    rows = [('[1] Zhou P, Li Q. "Deep models for text," Journal, 2019. doi: 10.1234/abc.5 ',), ("2. Smith, J. A study of large graph systems. Nature 2021. arXiv:2101.00001",), ("",)]
-    got = extraction.parsed(spark.createDataFrame(rows, "text string")).collect()
-    assert (got[0].number, got[0].title, got[0].year, got[0].authors) == (1, "Deep models for text", "2019", "Zhou P, Li Q")
+    rows = [("[1] Zhou P, Li Q. “Deep models for text,” Journal, 2019. doi: 10.1234/abc.5 ",), ("2. Smith, J. A study of large graph systems. Nature, 2021. arXiv:2101.00001",), ("",)]
+    got = extraction.parsed(spark.createDataFrame(rows, "text string"), this_year=F.lit(2024)).collect()
+    assert (got[0].number, got[0].title, got[0].year, got[0].authors, got[0].venue) == (1, "Deep models for text", "2019", "Zhou P, Li Q.", "Journal")
     assert got[0].identifiers["DOI"].startswith("10.1234/abc") and got[0].url.startswith("https://doi.org/10.1234")
-    assert (got[1].title, got[1].year, got[1].kind) == ("A study of large graph systems", "2021", "preprint")
-    assert got[2].number is None
+    assert (got[1].title, got[1].year, got[1].kind, got[1].venue) == ("A study of large graph systems", "2021", "preprint", "Nature")
+    assert got[2].number is None and got[2].title == "" and got[2].year is None
 
 
 def test_citations_and_sentences(spark):
