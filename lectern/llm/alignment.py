@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ from .packing import Encoder
 
 #: What stands for a space in pieces.
 SPACE = "\u2581"
+#: What follows an id in a list of groups: another id of its side, the other side, another group, or nothing.
+MARKS = (",", "|", ";", "")
+#: Windows that are looked up together.
+WINDOWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -97,46 +103,56 @@ class Aligner:
         self.a, self.b, self.spec = ByteTokens(path_a), PieceTokens(path_b, spec.stretch), spec
         self.sizes = [np.asarray([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
         self.spaced = [np.asarray([x[:1] == b" " for x in t.bytes], bool) for t in (self.a, self.b)]
+        #: Each id as text with what may follow it: four entries an id.
+        self.names = [f"{i}{mark}" for i in range(max(len(self.a.bytes), len(self.b.bytes))) for mark in MARKS]
         self.new: dict[tuple, tuple] = {}
         self.old: dict[tuple, tuple] = {}
 
     def forget(self) -> None:
         self.new, self.old = {}, {}
 
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int]]:
-        """Groups as text, their number, and the linked id pairs (A id times 2^32 plus B id) of a window."""
-        groups, pairs, i, j, at_a, at_b, from_a, from_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            at_a += len(self.a.bytes[a[i]])
-            i += 1
-            while at_b < at_a:
-                at_b += len(self.b.bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                pairs.append((a[i - 1] << 32) + b[j - 1])
-                from_a, from_b = i, j
-        return ";".join(groups), len(groups), pairs
-
-    def _remembered(self, key: tuple) -> tuple[str, int, list[int]]:
-        found = self.old.get(key)
-        if found is None:
-            found = self.window(*key)
+    def windows(self, keys: list[tuple]) -> list[tuple[str, int, tuple[int, ...]]]:
+        """Groups as text, their number, and the linked id pairs (A id times 2^32 plus B id) of windows, which both sides end together."""
+        sides = [[k[side] for k in keys] for side in (0, 1)]
+        (len_a, len_b), (a, b) = ([np.fromiter(map(len, own), np.int64, len(keys)) for own in sides], [np.fromiter(chain.from_iterable(own), np.int64) for own in sides])
+        end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        shared, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        # All tokens in one row: those of A and then those of B, group by group.
+        marks_a, marks_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        marks_a[last_a], marks_b[last_b], marks_b[np.cumsum(len_b) - 1] = 1, 2, 3
+        row = np.empty(len(a) + len(b), np.int64)
+        row[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a * len(MARKS) + marks_a
+        row[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = b * len(MARKS) + marks_b
+        texts, stop = list(map(self.names.__getitem__, row.tolist())), np.cumsum(len_a + len_b).tolist()
+        pairs, upto = ((a[last_a] << 32) + b[last_b]).tolist(), np.searchsorted(shared, end_a[np.cumsum(len_a) - 1], side="right").tolist()
+        return [("".join(texts[lo:hi]), n - m, tuple(pairs[m:n])) for lo, hi, m, n in zip([0, *stop], stop, [0, *upto], upto, strict=False)]
+
+    def remembered(self, keys: list[tuple]) -> list[tuple[str, int, tuple[int, ...]]]:
+        """The alignment of each window; those in neither generation of the memory are aligned together."""
+        found = list(map(self.new.get, keys))
+        if None not in found:
+            return found
+        missing = dict.fromkeys(k for k, f in zip(keys, found, strict=True) if f is None)
+        known = {k: f for k in missing if (f := self.old.get(k)) is not None}
+        fresh = [k for k in missing if k not in known]
+        if fresh:
+            known.update(zip(fresh, self.windows(fresh), strict=True))
         if len(self.new) >= self.spec.remembered:
             self.old, self.new = self.new, {}
-        self.new[key] = found
-        return found
+        self.new.update(known)
+        return [f or known[k] for k, f in zip(keys, found, strict=True)]
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Ids of both sides; none where either doesn't spell space and text."""
         if not text:
-            return [], []
+            return (), ()
         a, b, whole = self.a.encode(text), self.b.encode(text), b" " + text.encode()
-        if any(b"".join([own[i] for i in ids]) != whole for own, ids in ((self.a.bytes, a), (self.b.bytes, b))):
-            return [], []
-        return a, b
+        if any(b"".join(map(own.bytes.__getitem__, ids)) != whole for own, ids in ((self.a, a), (self.b, b))):
+            return (), ()
+        return tuple(a), tuple(b)
 
-    def bounds(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    def bounds(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[list[int], list[int]]:
         """Where windows begin and end, as places among each side's tokens."""
         places = []
         for ids, sizes, spaced in zip((a, b), self.sizes, self.spaced, strict=True):
@@ -154,17 +170,11 @@ class Aligner:
         if not a:
             return 0, 0, 0, "", np.empty(0, np.int64)
         x, y = self.bounds(a, b)
-        groups, pairs, n, get = [], [], 0, self.new.get
-        for i, stop_a, j, stop_b in zip(x, x[1:], y, y[1:], strict=False):
-            key = (tuple(a[i:stop_a]), tuple(b[j:stop_b]))
-            found = get(key)
-            if found is None:
-                found = self._remembered(key)
-                get = self.new.get
-            groups.append(found[0])
-            n += found[1]
-            pairs += found[2]
-        return len(a), len(b), n, hashlib.sha256(";".join(groups).encode()).hexdigest(), np.asarray(pairs, np.int64)
+        keys = list(zip(map(a.__getitem__, map(slice, x, x[1:])), map(b.__getitem__, map(slice, y, y[1:])), strict=True))
+        found = [f for lo in range(0, len(keys), WINDOWS) for f in self.remembered(keys[lo : lo + WINDOWS])]
+        groups, n, pairs = (map(itemgetter(k), found) for k in range(3))
+        sha = hashlib.sha256(";".join(groups).encode()).hexdigest()
+        return len(a), len(b), sum(n), sha, np.fromiter(chain.from_iterable(pairs), np.int64)
 
 
 def pair_bound(aligner: Aligner) -> int:
