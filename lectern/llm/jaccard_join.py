@@ -17,9 +17,9 @@ min(l, l') prefix tokens before it is verified.
    components are exact.
 
 Cases: null and empty texts have no set and link with nothing; fewer than five words make one shingle; identical
-sets are one class, whatever its size; repeated rows are rows of one class; rows with a null doc_id take part
-with no id of their own: they get a null component_id; an empty table gives an empty result; further columns are
-ignored.
+sets are one class, whatever its size; repeated rows are rows of one class; rows of one doc_id with different texts are
+different documents, each with its own links; rows with a null doc_id take part with no id of their own: they get a null
+component_id; very long texts are read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, lean, lean_group, parallelism, short_batches, sweep
@@ -186,6 +186,7 @@ class JaccardJoin:
         self.scratch = Scratch(self.spark, "jaccard")
         self.rows = self.docs.select("doc_id", "text")
         self.table = f"jaccard_{uuid.uuid4().hex}"
+        self.salt = 0
 
     def _survey(self) -> DataFrame:
         spec = self.spec
@@ -328,12 +329,27 @@ class JaccardJoin:
         both = right.join(left, ["a", "place"])
         return both.select("a", "b", "ta", "tb").mapInArrow(lean(verify), "a bigint, b bigint").distinct()
 
+    def _node(self) -> Column:
+        """A document's number among the sets: rows of one doc_id with different texts are different nodes."""
+        return F.xxhash64(F.lit(self.salt), "doc_id", "text_hash")
+
+    def _nodes(self, sets: DataFrame) -> DataFrame:
+        """(node, doc_id, text_hash, h1, h2, n, bitmap): one row for each distinct set, that of its smallest doc_id (and text hash)."""
+        named = sets.filter("n > 0 and doc_id is not null")
+        least = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep")).select("h1", "h2", "rep.doc_id", "rep.text_hash")
+        nodes = named.dropDuplicates(["doc_id", "text_hash", "h1", "h2"]).join(least, ["h1", "h2", "doc_id", "text_hash"])
+        while True:
+            out = self.scratch.save(nodes.select(self._node().alias("node"), "doc_id", "text_hash", "h1", "h2", "n", "bitmap"), f"nodes{self.salt}")
+            if not out.groupBy("node").count().filter("count > 1").take(1):
+                return out
+            self.salt += 1  # two sets got one number: number all anew
+
     def _texts(self, lists: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, text) of all sets in a list, one row each, in buckets by node: the one place where the corpus's texts are moved."""
         n = parallelism(self.spark)
-        wanted = nodes.join(lists.select("h1").distinct(), "h1", "left_semi").select("node", F.col("text_hash").alias("wanted"))
-        texts = self.rows.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("text_hash"), "text").filter("node is not null")
-        texts = texts.repartition(n, "node").join(wanted, "node").filter("text_hash = wanted").dropDuplicates(["node"]).select("node", "text")
+        wanted = nodes.join(lists.select("h1").distinct(), "h1", "left_semi").select("node", F.col("doc_id").alias("own"), F.col("text_hash").alias("wanted"))
+        texts = self.rows.filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).select(self._node().alias("node"), "doc_id", "text_hash", "text")
+        texts = texts.repartition(n, "node").join(wanted, "node").filter("doc_id = own and text_hash = wanted").dropDuplicates(["node"]).select("node", "text")
         texts.write.bucketBy(n, "node").sortBy("node").option("path", self.scratch.path("texts")).option("compression", "zstd").saveAsTable(self.table)
         sweep(self.spark)
         return self.spark.table(self.table)
@@ -393,7 +409,7 @@ class JaccardJoin:
         return (pairs if best else pairs.filter("c >= need")).select("a", "b", "c")
 
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) for every document."""
+        """(doc_id, text_hash, n_shingles, component_id, kept) for every document; ``kept`` marks one doc_id and text of each component."""
         try:
             return self._run()
         finally:
@@ -404,10 +420,7 @@ class JaccardJoin:
         survey = self._survey()
         sets = survey.filter("h2 is not null")
         lists = self._prefixes(*self._frequent(survey))
-        # One node per distinct set: its smallest doc_id.
-        least = sets.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-        marked = sets.select(F.col("doc_id").alias("node"), "h1", "h2", "n", "bitmap", "text_hash").dropDuplicates(["node", "h1", "h2"])
-        nodes = self.scratch.save(marked.join(least, ["node", "h1", "h2"]), "nodes")
+        nodes = self._nodes(sets)
         keys = nodes.select("h1", "node")
         texts = self._texts(lists, nodes)
         # Heads of lists first: the one that a set shares most lists with.
@@ -434,25 +447,41 @@ class JaccardJoin:
         rest = self.scratch.save(rest if seen is None else rest.join(seen, ["a", "b"], "left_anti"), "rest")
         sweep(self.spark)
         final = merged(found, self.scratch.save(self._linked(rest, texts), "links3"), self.scratch, "found3")
-        self.scratch.keep("survey", "found3")
-        ids = least.join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-        out = sets.select("doc_id", "n", "h1", "h2").join(ids, ["h1", "h2"], "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+        # A component is named by its smallest doc_id; the text that stands for it is the first one under that doc_id.
+        tops = nodes.select("node", "h1", "h2", "doc_id", "text_hash").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = tops.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+        ids = self.scratch.save(tops.join(least, "component").select("h1", "h2", F.col("rep.doc_id").alias("component_id"), F.col("rep.text_hash").alias("kept_text")), "ids")
+        self.scratch.keep("survey", "ids")
+        out = sets.select("doc_id", "text_hash", "n", "h1", "h2").join(ids, ["h1", "h2"], "left")
+        has = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        kept = ~has | ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("kept_text")))
+        return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(has, F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"))
 
 
 def similar_components(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
-    return JaccardJoin(docs, spec).run()
+    return JaccardJoin(docs, spec).run().select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """The rows of each component's smallest doc_id, one row each, and all rows without a set or an id."""
-    groups = Scratch(docs.sparkSession, "kept").save(similar_components(docs, spec), "groups")
-    dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    """One row of each component, and all rows without a set or an id.
+
+    It is a row of the component's smallest doc_id; of several texts under that doc_id, one is chosen by its hash, and of rows that agree in both, the
+    first in the order of all columns written as JSON. So reruns agree, and rows of one doc_id in different components all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    groups = scratch.save(JaccardJoin(docs, spec).run(), "groups")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.join(dropped, "doc_id", "left_anti").select(*columns)
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    key = ["_doc", "_text"]
+    keyed = docs.select(*columns, F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    linked = groups.filter("n_shingles > 0 and doc_id is not null")
+    dropped = linked.filter("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct()
+    left = keyed.join(dropped, key, "left_anti")
+    repeated = linked.filter("kept").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).count().filter("count > 1").select(*key)
     if not repeated.take(1):
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once)
+        return left.select(*columns)
+    order = F.to_json(F.struct(*columns))
+    again = left.join(repeated, key, "left_semi").withColumn("_order", order)
+    first = again.groupBy(*key).agg(F.min("_order").alias("_order"))
+    once = again.join(first, [*key, "_order"]).dropDuplicates([*key, "_order"])
+    return left.join(repeated, key, "left_anti").select(*columns).unionByName(once.select(*columns))

@@ -76,7 +76,8 @@ def test_jaccard_of_long_texts_and_odd_columns(make):
     got = similar_components(docs).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(5, 4), (4, 4), (3, 3), (9, 9)} and len(got) == 6
     kept = keep_one(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 9] and kept.columns == docs.columns
+    # Both texts of document 9 that link with nothing else stay.
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 9, 9] and kept.columns == docs.columns
 
 
 def test_prefix_length():
@@ -186,3 +187,40 @@ def test_double_vectors_and_text_labels(spark):
     rows = [(0, base.tolist(), "a")] + [(i, [0.93 + d, math.sqrt(1 - (0.93 + d) ** 2)], label) for i, (d, label) in enumerate([(1e-10, "a"), (-1e-10, "a"), (1e-10, "b")], 1)]
     got = near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 2, 0), (2, 1, 0), (3, 0, 3)]
+
+
+def test_rows_of_one_vec_id_with_different_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 1), (1, b, 1), (2, [1.0, 0.1, 0.0], 1), (3, [0.1, 1.0, 0.0], 1), (3, [0.1, 1.0, 0.0], 1), (4, [0.0, 0.0, 1.0], 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
+def test_noisy_copies_go_through_pivots(spark):
+    from lectern.llm.embedding_dedup import cells_per_vector, with_noisy_copies
+
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(12, 16)) * 3
+    rows = [(i, (centres[i % 12] + r.normal(size=16) * 0.05).tolist(), 1) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    spec = VectorSpec(per_pivot=20, block=64)
+    v = np.asarray([x[1] for x in rows])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (unit @ unit.T >= spec.cosine).sum(axis=1) - 1
+    got = {x.vec_id: x.n_links for x in near_duplicates(df, spec).collect()}
+    assert [got[i] for i in range(600)] == links.tolist() and links.min() > 10
+    cells = cells_per_vector(df, spec).first()
+    assert cells.cells > 20 and cells.mean_cells < cells.cells / 4
+    assert with_noisy_copies(df).count() == 3000 and cells_per_vector(df.limit(40), VectorSpec()).first().cells > 1
+
+
+def test_texts_of_one_doc_id_are_apart(spark, make):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(1, words("a")), (1, words("b")), (2, words("a") + " more"), (3, words("b") + " more"), (5, words("c")), (5, words("c") + " tail"), (5, words("d")), (7, words("d").upper()), (7, words("d"))]
+    got = sorted((r.doc_id, r.component_id) for r in similar_components(make(rows)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (5, 5), (5, 5), (7, 5), (7, 5)]
+    kept = [sorted((r.doc_id, r.text) for r in keep_one(make(rows)).collect()) for _ in range(2)]
+    assert kept[0] == kept[1] and len(kept[0]) == 4
+    assert {(1, words("a")), (1, words("b")), (5, words("d"))} < set(kept[0])
+    again = make([(4, words("x"))] * 3 + [(None, words("x"))])
+    assert sorted(str(r.doc_id) for r in keep_one(again).collect()) == ["4", "None"]
