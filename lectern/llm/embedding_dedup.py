@@ -11,7 +11,7 @@ not the pairs.
 Identical vectors of a label are one class with a count, so a very common vector is one row.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and those with a null label, link with
-nothing and are their own component; vectors of different lengths aren't compared; repeated rows are copies of each
+nothing and are their own component; rows of one vec_id with different vectors are counted apart; vectors of different lengths aren't compared; repeated rows are copies of each
 other, each with its own output row; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -32,8 +32,10 @@ from .graph import components
 @dataclass(frozen=True)
 class VectorSpec:
     cosine: float = 0.93
-    #: Vectors for each pivot, about, and pivots of all labels at most (they are broadcast).
+    #: Vectors for each pivot, about: one at least, and so many of a label where it has them. Pivots of all labels are broadcast, so
+    #: beyond max_pivots each stands for more vectors, and cells, which are joined in blocks, grow.
     per_pivot: int = 4096
+    least_pivots: int = 4
     max_pivots: int = 2048
     #: Vectors on one side of a block.
     block: int = 1024
@@ -80,10 +82,13 @@ def _apart(p: np.ndarray, least: float) -> np.ndarray:
 def _cells(classes: DataFrame, spec: VectorSpec) -> DataFrame:
     """Vectors with the cells that they are at home in or replicated to."""
     spark = classes.sparkSession
-    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    share = min(1.0 / spec.per_pivot, spec.max_pivots / 2 / max(1, total))
-    picked = classes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("node").limit(spec.max_pivots)
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
+    total, kinds = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
+    share = min(1.0 / spec.per_pivot, spec.max_pivots / 2 / max(1, total or 0))
+    # A few of each label first, as far as max_pivots goes, then a share of all vectors.
+    few = F.least(F.lit(1.0), F.greatest(F.lit(share), F.lit(min(spec.least_pivots, spec.max_pivots / 2 / max(1, kinds))) * 2 / F.col("size")))
+    draw = F.pmod(F.xxhash64("node", "label", "dim"), F.lit(1 << 30)) / float(1 << 30)
+    picked = classes.join(sizes, ["label", "dim"]).filter(draw < few).orderBy(draw).limit(spec.max_pivots)
     pivots: dict[tuple, np.ndarray] = {}
     for key, group in picked.select("label", "dim", "embedding").toPandas().groupby(["label", "dim"]):  # max_pivots at most
         pivots[key] = _apart(_unit(group["embedding"]), spec.apart)
@@ -123,9 +128,15 @@ def _blocks(cells: DataFrame, spec: VectorSpec) -> DataFrame:
     return sides[0].select(*key, "row", "col", "left", "node", "copies", "embedding").unionByName(sides[1].select(*key, "row", "col", "left", "node", "copies", "embedding"))
 
 
-def near_duplicates(vectors: DataFrame, spec: VectorSpec = VectorSpec()) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every vector."""
-    scratch = Scratch(vectors.sparkSession, "vectors")
+def cells_per_vector(vectors: DataFrame, spec: VectorSpec = VectorSpec()) -> DataFrame:
+    """(label, vectors, cells, mean_cells): how many cells a label's vectors are in, of how many: near 1 where vectors are clustered, near all where they aren't."""
+    classes = _classes(vectors.select("vec_id", "label", "embedding"))[2]
+    cells = _cells(classes, spec).groupBy("label").agg(F.count_distinct("node").alias("vectors"), F.count_distinct("cell").alias("cells"), F.count(F.lit(1)).alias("n"))
+    return cells.select("label", "vectors", "cells", (F.col("n") / F.col("vectors")).alias("mean_cells"))
+
+
+def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with whether they can link, those that can, and the classes of equal vectors among these."""
     fine = "label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double)) and exists(embedding, x -> x <> 0)"
     # Floats stay floats, which is less to move; everything else is compared as doubles. A label may be of any type.
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
@@ -133,9 +144,16 @@ def near_duplicates(vectors: DataFrame, spec: VectorSpec = VectorSpec()) -> Data
     rows = rows.withColumn("fine", F.coalesce(F.expr(fine), F.lit(False)) & F.col("vec_id").isNotNull())
     # -0.0 and 0.0 are one value here, as in a cosine.
     good = rows.filter("fine").withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding"))
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding"))
+    # A number of its own for each class: rows of one vec_id with different vectors are different nodes.
+    return rows, good, classes.withColumn("node", F.monotonically_increasing_id())
+
+
+def near_duplicates(vectors: DataFrame, spec: VectorSpec = VectorSpec()) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every vector."""
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    rows, good, classes = _classes(vectors)
     classes = scratch.save(classes, "classes")
-    # Equal vec_ids with different vectors are told apart by the vector.
     blocks = _blocks(_cells(classes, spec), spec)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
@@ -152,8 +170,22 @@ def near_duplicates(vectors: DataFrame, spec: VectorSpec = VectorSpec()) -> Data
     found = scratch.save(blocks.groupBy("label", "dim", "cell", "row", "col").applyInPandas(lean_group(join), "node bigint, other bigint, n bigint"), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     named = components(found.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
-    classes = classes.join(counts, "node", "left").join(named, "node", "left")
-    classes = classes.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    named = classes.select("node", "least").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tops = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = scratch.save(named.join(tops, "component").select("node", "component_id"), "named")
+    classes = classes.join(counts, "node", "left").join(named, "node")
+    classes = classes.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     good = good.join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    scratch.keep("classes", "found", "named")
     lone = rows.filter("not fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def with_noisy_copies(vectors: DataFrame, copies: int = 4, step: float = 0.3) -> DataFrame:
+    """The vectors and copies of each, of which the later ones are further off: the k-th adds noise of up to k * step times the vector's mean magnitude."""
+    k, size = F.explode(F.sequence(F.lit(0), F.lit(copies))).alias("k"), F.size("v")
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), k)
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)) / size
+    noise = lambda i: F.pmod(F.col("vec_id") * 7919 + F.col("k") * 104_729 + i * 15_485_863 + F.col("k") * i * 611_953, F.lit(2001)) / 1000.0 - 1.0
+    noisy = F.transform("v", lambda x, i: x + noise(i.cast("bigint")) * F.col("k") * step * F.col("mean"))
+    return rows.withColumn("mean", mean).select((F.col("vec_id") * (copies + 1) + F.col("k")).alias("vec_id"), "label", noisy.alias("embedding"))

@@ -73,6 +73,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range join where there are links to find: the embeddings with noisy copies of each."""
+    from .embedding_dedup import near_duplicates, with_noisy_copies
+
+    return near_duplicates(with_noisy_copies(table(spark, sf_dir, "embeddings")))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
@@ -105,7 +112,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_language_id, op3_substring_dedup, op4_line_quality, op5_quotation_linking, op6_toxicity, op7_jaccard_join, op8_best_fit_packing, op9_embedding_dedup, op10_source_mixing,
-        op11_token_counts, op12_token_alignment, op13_collocations, quoted_replies,
+        op11_token_counts, op12_token_alignment, op13_collocations, quoted_replies, near_vectors,
     )
 }
 
@@ -179,9 +186,8 @@ back AS (SELECT *, CASE WHEN turn % 3 = 0 THEN l2 ELSE l1 END AS b, CASE WHEN tu
 msgs AS (
   SELECT DISTINCT conv_id, turn, role, concat_ws(chr(10), '>> ' || replace(older, chr(10), chr(10) || '>> '),
          '> ' || replace(CASE WHEN turn % 4 = 0 THEN regexp_replace(b, '^[^\n]*\n', '') ELSE b END, chr(10), chr(10) || '> '), text) AS text FROM back),""" + _QUOTATIONS
-SQL["op9_embedding_dedup"] = """
-WITH RECURSIVE good AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings
+_NEAR = """good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, label FROM vectors
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
@@ -192,8 +198,15 @@ n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
 least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(least.b, e.vec_id)) AS component_id,
        e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) AS kept
-FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
+FROM vectors e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
 """
+SQL["op9_embedding_dedup"] = "WITH RECURSIVE vectors AS (SELECT * FROM embeddings)," + _NEAR
+SQL["near_vectors"] = """
+WITH RECURSIVE plain AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_sum(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / len(embedding) AS mean FROM embeddings),
+vectors AS (
+  SELECT vec_id * 5 + k AS vec_id, label,
+         list_transform(v, lambda x, i: x + (((vec_id * 7919 + k * 104729 + (i - 1) * 15485863 + k * (i - 1) * 611953) % 2001)::DOUBLE / 1000.0::DOUBLE - 1.0::DOUBLE) * k * 0.3::DOUBLE * mean) AS embedding
+  FROM plain, range(0, 5) t(k)),""" + _NEAR
 SQL["op13_collocations"] = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
