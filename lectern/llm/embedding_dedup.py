@@ -188,4 +188,5 @@ def with_noisy_copies(vectors: DataFrame, copies: int = 4, step: float = 0.3) ->
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)) / size
     noise = lambda i: F.pmod(F.col("vec_id") * 7919 + F.col("k") * 104_729 + i * 15_485_863 + F.col("k") * i * 611_953, F.lit(2001)) / 1000.0 - 1.0
     noisy = F.transform("v", lambda x, i: x + noise(i.cast("bigint")) * F.col("k") * step * F.col("mean"))
-    return rows.withColumn("mean", mean).select((F.col("vec_id") * (copies + 1) + F.col("k")).alias("vec_id"), "label", noisy.alias("embedding"))
+    rows = rows.withColumn("mean", mean).withColumn("embedding", noisy)
+    return rows.select((F.col("vec_id") * (copies + 1) + F.col("k")).alias("vec_id"), "label", "embedding")
