@@ -2,8 +2,8 @@
 
 Each text is tokenised whole by both. Where both have a token that begins with a space at the same byte, the ends before it are
 shared (this is verified by byte offsets, not assumed): such anchors split a document into windows of token ids. How the tokens
-of a window end together depends on its ids alone, so window alignments are remembered by the two tuples of ids; the memory holds two
-generations of a bounded number of windows.
+of a window end together depends on its ids alone, so each distinct window, told by its two tuples of ids, is aligned once for a batch of
+documents and its alignment is used wherever it stands; a batch has a bounded number of characters, save for a longer document.
 
 A link joins an A token and a B token that end at one byte, so one's bytes end with the other's: the number of different id pairs is
 bounded by the two vocabularies (``pair_bound``), whatever the corpus, and their counts are broadcast. Documents' links are summed
@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +35,12 @@ from .packing import Encoder
 SPACE = "\u2581"
 #: What follows an id in a list of groups: another id of its side, the other side, another group, or nothing.
 MARKS = (",", "|", ";", "")
-#: Windows that are looked up together.
-WINDOWS = 20_000
 
 
 @dataclass(frozen=True)
 class AlignSpec:
-    #: Windows in one generation of a worker's memory.
-    remembered: int = 60_000
+    #: Characters of documents whose windows are told apart together, about.
+    batch_chars: int = 1_000_000
     #: Characters that the second tokenizer reads at once, about.
     stretch: int = 20_000
     #: Lines in one Arrow batch, about.
@@ -105,16 +102,12 @@ class Aligner:
         self.spaced = [np.asarray([x[:1] == b" " for x in t.bytes], bool) for t in (self.a, self.b)]
         #: Each id as text with what may follow it: four entries an id.
         self.names = [f"{i}{mark}" for i in range(max(len(self.a.bytes), len(self.b.bytes))) for mark in MARKS]
-        self.new: dict[tuple, tuple] = {}
-        self.old: dict[tuple, tuple] = {}
 
-    def forget(self) -> None:
-        self.new, self.old = {}, {}
+    def windows(self, a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Groups as text and their number for each of many windows, and the linked id pairs (A id times 2^32 plus B id) of all, in order.
 
-    def windows(self, keys: list[tuple]) -> list[tuple[str, int, tuple[int, ...]]]:
-        """Groups as text, their number, and the linked id pairs (A id times 2^32 plus B id) of windows, which both sides end together."""
-        sides = [[k[side] for k in keys] for side in (0, 1)]
-        (len_a, len_b), (a, b) = ([np.fromiter(map(len, own), np.int64, len(keys)) for own in sides], [np.fromiter(chain.from_iterable(own), np.int64) for own in sides])
+        The windows' ids follow each other; both sides of a window end together.
+        """
         end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         shared, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
         group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
@@ -125,56 +118,83 @@ class Aligner:
         row[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a * len(MARKS) + marks_a
         row[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = b * len(MARKS) + marks_b
         texts, stop = list(map(self.names.__getitem__, row.tolist())), np.cumsum(len_a + len_b).tolist()
-        pairs, upto = ((a[last_a] << 32) + b[last_b]).tolist(), np.searchsorted(shared, end_a[np.cumsum(len_a) - 1], side="right").tolist()
-        return [("".join(texts[lo:hi]), n - m, tuple(pairs[m:n])) for lo, hi, m, n in zip([0, *stop], stop, [0, *upto], upto, strict=False)]
-
-    def remembered(self, keys: list[tuple]) -> list[tuple[str, int, tuple[int, ...]]]:
-        """The alignment of each window; those in neither generation of the memory are aligned together."""
-        found = list(map(self.new.get, keys))
-        if None not in found:
-            return found
-        missing = dict.fromkeys(k for k, f in zip(keys, found, strict=True) if f is None)
-        known = {k: f for k in missing if (f := self.old.get(k)) is not None}
-        fresh = [k for k in missing if k not in known]
-        if fresh:
-            known.update(zip(fresh, self.windows(fresh), strict=True))
-        if len(self.new) >= self.spec.remembered:
-            self.old, self.new = self.new, {}
-        self.new.update(known)
-        return [f or known[k] for k, f in zip(keys, found, strict=True)]
-
-    def tokens(self, text: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        upto = np.searchsorted(shared, end_a[np.cumsum(len_a) - 1], side="right")
+        return ["".join(texts[lo:hi]) for lo, hi in zip([0, *stop], stop, strict=False)], np.diff(upto, prepend=0), (a[last_a] << 32) + b[last_b]
+
+    def tokens(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both sides; none where either doesn't spell space and text."""
         if not text:
-            return (), ()
+            return [], []
         a, b, whole = self.a.encode(text), self.b.encode(text), b" " + text.encode()
         if any(b"".join(map(own.bytes.__getitem__, ids)) != whole for own, ids in ((self.a, a), (self.b, b))):
-            return (), ()
-        return tuple(a), tuple(b)
+            return [], []
+        return a, b
 
-    def bounds(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[list[int], list[int]]:
-        """Where windows begin and end, as places among each side's tokens."""
+    def cuts(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        """Where windows begin among each side's tokens, from the first on, and where the last one ends."""
         places = []
-        for ids, sizes, spaced in zip((a, b), self.sizes, self.spaced, strict=True):
-            ids = np.asarray(ids, np.int64)
-            ends = np.cumsum(sizes[ids])
-            at = np.flatnonzero(spaced[ids[1:]])
+        for own, sizes, spaced in zip(ids, self.sizes, self.spaced, strict=True):
+            ends = np.cumsum(sizes[own])
+            at = np.flatnonzero(spaced[own[1:]])
             places.append((at + 1, ends[at]))
-        (at_a, end_a), (at_b, end_b) = places
-        _, x, y = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        return [0, *at_a[x].tolist(), len(a)], [0, *at_b[y].tolist(), len(b)]
-
-    def align(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
-        """Numbers of A tokens, B tokens and groups, the groups' hash, and the id pair of each link."""
-        a, b = self.tokens(text)
-        if not a:
-            return 0, 0, 0, "", np.empty(0, np.int64)
-        x, y = self.bounds(a, b)
-        keys = list(zip(map(a.__getitem__, map(slice, x, x[1:])), map(b.__getitem__, map(slice, y, y[1:])), strict=True))
-        found = [f for lo in range(0, len(keys), WINDOWS) for f in self.remembered(keys[lo : lo + WINDOWS])]
-        groups, n, pairs = (map(itemgetter(k), found) for k in range(3))
-        sha = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        return len(a), len(b), sum(n), sha, np.fromiter(chain.from_iterable(pairs), np.int64)
+        _, *found = np.intersect1d(places[0][1], places[1][1], assume_unique=True, return_indices=True)
+        return [np.concatenate([[0], at[x], [len(own)]]) for own, (at, _), x in zip(ids, places, found, strict=True)]
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """For each text the numbers of A tokens, B tokens and groups, and the groups' hash; and of all links the text and the id pair."""
+        both = [self.tokens(t) for t in texts]
+        counts = np.asarray([[len(a), len(b), 0] for a, b in both], np.int64).reshape(-1, 3)
+        if not counts.sum():
+            return counts, [""] * len(texts), np.empty(0, np.int64), np.empty(0, np.int64)
+        # Every text begins with a space on both sides and spells as many bytes on both, so texts that follow each other are as one.
+        ids = [np.fromiter(chain.from_iterable(pair[side] for pair in both), np.int64, int(counts[:, side].sum())) for side in (0, 1)]
+        cuts = self.cuts(ids)
+        starts, sizes = [c[:-1] for c in cuts], [np.diff(c) for c in cuts]
+        first, kind = distinct_windows(ids, starts, sizes)
+        parts = [_gathered(own, at[first], n[first]) for own, at, n in zip(ids, starts, sizes, strict=True)]
+        groups, n_groups, pairs = self.windows(*parts, *(n[first] for n in sizes))
+        owner = np.searchsorted(np.cumsum(counts[:, 0]), starts[0], side="right")
+        counts[:, 2] = np.bincount(owner, n_groups[kind], len(texts)).astype(np.int64)
+        named, stop = list(map(groups.__getitem__, kind.tolist())), np.cumsum(np.bincount(owner, minlength=len(texts))).tolist()
+        hashes = [hashlib.sha256(";".join(named[lo:hi]).encode()).hexdigest() if hi > lo else "" for lo, hi in zip([0, *stop], stop, strict=False)]
+        at = np.cumsum(n_groups) - n_groups
+        return counts, hashes, np.repeat(owner, n_groups[kind]), _gathered(pairs, at[kind], n_groups[kind])
+
+
+def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of an array that begin at ``start``, one after another."""
+    before = np.cumsum(size) - size
+    return values[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
+def distinct_windows(ids: list[np.ndarray], starts: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A window for each distinct pair of id tuples, and for each window the number of its pair.
+
+    Windows are sorted by a hash of their ids, and each is then compared with its hash's first window; those of one hash that differ are told apart
+    by their ids themselves.
+    """
+    hashes = np.zeros(len(starts[0]), np.uint64)
+    for own, at, n in zip(ids, starts, sizes, strict=True):
+        place = (np.arange(len(own)) - np.repeat(at, n)).astype(np.uint64)
+        mixed = (own.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (place + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        hashes = hashes * np.uint64(0x94D049BB133111EB) + np.add.reduceat(mixed, at)
+    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    same = np.ones(len(hashes), bool)
+    for own, at, n in zip(ids, starts, sizes, strict=True):
+        like = n == n[first[kind]]
+        differs = own != own[np.minimum(np.repeat(at[first[kind]] - at, n) + np.arange(len(own)), len(own) - 1)]
+        same &= like & (np.add.reduceat(differs.astype(np.int64), at) == 0)
+    if not same.all():
+        known: dict[tuple, int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            key = tuple(own[at[i] : at[i] + n[i]].tobytes() for own, at, n in zip(ids, starts, sizes, strict=True))
+            if key not in known:
+                known[key] = len(first)
+                first = np.append(first, i)
+            kind[i] = known[key]
+    return first, kind
 
 
 def pair_bound(aligner: Aligner) -> int:
@@ -218,23 +238,32 @@ def links(docs: DataFrame, path_a: str, path_b: str, spec: AlignSpec = AlignSpec
             for v in (heads, rows, pairs, counts):
                 v.clear()
 
-        held = 0
-        try:
-            for batch in batches:
-                for row, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    n_a, n_b, n_groups, sha, linked = aligner.align(text or "")
-                    heads.append((row, doc_id, n_a, n_b, n_groups, sha))
-                    pair, n = np.unique(linked, return_counts=True)
-                    rows.append(np.full(len(pair), row, np.int64))
-                    pairs.append(pair)
-                    counts.append(n.astype(np.int64))
-                    held += len(pair) + 1
-                    if held >= spec.batch_rows:
-                        yield from out()
-                        held = 0
-            yield from out()
-        finally:
-            aligner.forget()
+        def aligned(docs: list[tuple]) -> int:
+            numbers, hashes, owner, pair = aligner.align([d[2] or "" for d in docs])
+            row = np.asarray([d[0] for d in docs], np.int64)
+            heads.extend((d[0], d[1], *n, sha) for d, n, sha in zip(docs, numbers.tolist(), hashes, strict=True))
+            order = np.lexsort((pair, owner))
+            owner, pair = owner[order], pair[order]
+            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])])[: len(pair)])
+            rows.append(row[owner[new]])
+            pairs.append(pair[new])
+            counts.append(np.diff(np.append(new, len(pair))))
+            return len(new) + len(docs)
+
+        held, docs, chars = 0, [], 0
+        for batch in batches:
+            for doc in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                docs.append(doc)
+                chars += len(doc[2] or "")
+                if chars >= spec.batch_chars:
+                    held += aligned(docs)
+                    docs, chars = [], 0
+                if held >= spec.batch_rows:
+                    yield from out()
+                    held = 0
+        if docs:
+            aligned(docs)
+        yield from out()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(lean(align), "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, pair bigint, n bigint")

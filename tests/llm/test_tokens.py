@@ -114,7 +114,7 @@ COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 
 def test_alignment_on_odd_rows_and_long_texts(spark, make):
     expected = reference_alignment(ODD)
-    got = rows_of(alignment.align_documents(make(ODD), A, B, alignment.AlignSpec(remembered=4, stretch=50, batch_rows=7)), *COLUMNS)
+    got = rows_of(alignment.align_documents(make(ODD), A, B, alignment.AlignSpec(batch_chars=40, stretch=50, batch_rows=7)), *COLUMNS)
     assert [r[:7] for r in got] == [r[:7] for r in expected]
     assert all(x[7] == y[7] for x, y in zip(got, expected, strict=True) if y[7] is not None)
     assert sum(r[7] is not None and r[7] != "" for r in expected) >= 6 and sum(r[7] == "" for r in expected) >= 4
@@ -128,6 +128,17 @@ def test_alignment_on_documents(spark):
     assert all(x[7] == y[7] for x, y in zip(got, expected, strict=True) if y[7] is not None)
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    ids, starts, sizes = [np.asarray([1, 2, 1, 2, 3, 1, 2]), np.asarray([5, 6, 5, 7, 5, 6])], [np.asarray([0, 2, 4, 5]), np.asarray([0, 2, 3, 4])], [np.asarray([2, 2, 1, 2]), np.asarray([2, 1, 1, 2])]
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(alignment.np, "add", type("Weak", (), {"reduceat": staticmethod(lambda v, at: np.zeros(len(at), v.dtype) if v.dtype == np.uint64 else np.bincount(np.searchsorted(at, np.arange(len(v)), side="right") - 1, v, len(at)))}))
+        first, kind = alignment.distinct_windows(ids, starts, sizes)
+        assert kind[0] == kind[3] and len({*kind.tolist()}) == 3 and all(kind[f] == k for k, f in enumerate(first.tolist()) if k in kind)
+
+
 def test_links_are_bounded_by_the_vocabularies():
     assert alignment.pair_bound(alignment.Aligner(A, B)) < 1_000_000
 
