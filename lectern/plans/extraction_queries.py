@@ -6,10 +6,14 @@ how high it is, and which lines become headings, entries or captions follows fro
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import fixed as X
 from lectern.functions.fixed import NOISE_LINES, SECTION_HEADINGS
+from lectern.functions.text import DOI_PATTERN
 from lectern.operators import layout, reference_list, section_parser
 from lectern.plans.catalogue import NEEDS, VIEWS, query
 from lectern.plans.reading_queries import _KIND, _quoted, _re2
@@ -233,3 +237,119 @@ def paper_sections(spark, sf_dir):
     lines = layout.lines_of_spans(_spans(spark, sf_dir))
     parts = reference_list.text_parts(lines, _pages(lines), full_text=True).filter("finished")
     return section_parser.sections(parts).select("doc", F.col("section").cast("int").alias("section"), "heading", "level", "page_start", "page_end", F.size("paragraphs").alias("paragraphs"), F.array_join("paragraphs", "\n").alias("body"))
+
+
+# Reference entries to fields, and first pages
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    """Lines of the documents as entries, with a year and a venue behind, quoted here and there."""
+    lines = S.load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")).filter(F.trim("line") != "")
+    quoted = F.when(F.col("seq") % 7 == 3, F.concat(F.lit("A. Name. “"), "line", F.lit(",” Papers"))).otherwise(F.col("line"))
+    return lines.select("doc_id", "seq", F.concat(F.lit("["), F.col("seq").cast("string"), F.lit("] "), quoted, F.lit(" ("), (1980 + F.col("seq") * 7 % 60).cast("string"), F.lit("). Journal of Tests "), F.col("seq").cast("string")).alias("text"))
+
+
+_NOISY = "(len(regexp_extract_all(s, '[A-Z]\\.')) + len(regexp_extract_all(s, '[,.\\-():]')) + len(regexp_extract_all(s, '\\d')))::DOUBLE / greatest(length(s), 1)"
+
+
+@query(f"""
+  , texts AS (
+    SELECT doc_id, seq, regexp_replace(regexp_replace('[' || seq || '] ' || CASE WHEN seq % 7 = 3 THEN 'A. Name. “' || line || ',” Papers' ELSE line END || ' (' || (1980 + seq * 7 % 60) || '). Journal of Tests ' || seq, '^\\[\\d+?\\]', ''), '\\s+', ' ', 'g') AS t
+    FROM lines WHERE trim(line) <> ''),
+  cut_ AS (SELECT *, regexp_extract(t, '“(.+)”', 1) AS q, CASE WHEN len(string_split(t, '. ')) < 2 THEN string_split(t, '.') ELSE string_split(t, '. ') END AS parts FROM texts),
+  scored AS (SELECT *, list_aggregate(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN len(regexp_extract_all(parts[i], '\\s+')) >= 3 THEN [{_NOISY.replace('(s,', '(parts[i],').replace('length(s)', 'length(parts[i])')}, i] END), 'min')[2] AS k FROM cut_),
+  marked AS (SELECT *, CASE WHEN q <> '' THEN '“' || q || '”' ELSE trim(parts[k::INT]) END AS mark FROM scored),
+  rest_ AS (SELECT *, trim(substr(t, 1, instr(t, mark) - 1)) AS n0, substr(t, instr(t, mark) + length(mark)) AS after, list_filter(list_transform(regexp_extract_all(t, '[^\\d]\\d{{4}}[^\\d-]'), lambda m: regexp_extract(m, '\\d+')), lambda y: y::INT <= 2025)[1] AS y FROM marked),
+  named AS (SELECT *, CASE WHEN instr(after, mark) > 0 THEN substr(after, 1, instr(after, mark) - 1) ELSE after END AS a, CASE WHEN instr(n0, 'et al.') > 0 THEN substr(n0, 1, instr(n0, 'et al.') - 1) || 'et al.' ELSE n0 END AS n1 FROM rest_),
+  bare AS (SELECT *, CASE WHEN y IS NULL THEN n1 ELSE trim(regexp_replace(trim(regexp_replace(trim(replace(trim(replace(trim(replace(n1, '(' || y || ')', '')), y || '.', '')), y, '')), '\\(\\s*\\)', '', 'g')), '\\s+\\.$', '')) END AS names FROM named)
+  SELECT doc_id, seq::INT AS seq, coalesce(trim(CASE WHEN q <> '' THEN regexp_replace(q, ',$', '') ELSE regexp_replace(mark, '\\[[A-Z]\\]$', '') END), t) AS title, nullif(names, '') AS authors, CASE WHEN mark IS NOT NULL THEN y END AS year,
+         CASE WHEN mark IS NOT NULL THEN trim(string_split_regex(regexp_extract(a, '[^.\\s].+[^.]'), '[,\\d]')[1]) END AS venue FROM bare""", "lines")
+def parsed_references(spark, sf_dir):
+    """Entries to title, authors, year and venue."""
+    from lectern.operators.extraction import parsed
+
+    return parsed(_entries(spark, sf_dir), this_year=F.lit(2024)).select("doc_id", "seq", "title", "authors", "year", "venue")
+
+
+#: Lines of the layout of first pages that stand for authors and institutions.
+PEOPLE = ["Ann Lee 1,2, Bob Roe * and Cy Poe b", "Authors: Di Fox | Jo Su 3 | IEEE", "Received 3 May", "Abstract: words", "By: Al Moe, and, 12"]
+PLACES = ["a  University of Somewhere b  Institute of Other Things", "1, Some College of Arts, City", "Nothing Inc"]
+
+
+def _first_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The first six lines of each document as blocks whose places follow from their lengths, some with people or institutions; and page texts that hold whole documents."""
+    docs = S.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    lines = docs.select("doc", F.posexplode(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 6)).alias("seq", "t"))
+    n, d, k = F.length("t"), F.col("doc"), F.col("seq")
+    of = lambda values: F.get(F.array(*map(F.lit, values)), (d % len(values)).cast("int"))
+    text = F.when((k == 1) & (d % 3 > 0), of(PEOPLE)).when((k == 2) & (d % 3 > 0), of(PLACES)).when((k == 0) & (d % 4 == 1), F.concat(F.lit("Article 10.1234/ab.c "), "t")).otherwise(F.col("t"))
+    size = F.when(k == 0, 18.0).otherwise(F.get(F.array(F.lit(8.0), F.lit(10.0), F.lit(18.25)), n % 3))
+    y0 = 60.0 + k * 24.0 + F.when(n % 5 == 0, 9.0).otherwise(0.0)
+    blocks = lines.select("doc", "seq", text.alias("text"), size.alias("size"), y0.alias("y0"), (y0 + 6.0 + n % 20).alias("y1"))
+    words = F.concat(F.lit("\nAbstract\n"), "text", F.when(d % 2 == 0, "\n\n1. Introduction\nmore").otherwise(""), F.lit("\nKeywords: trees, large "), F.substring("text", 1, 9), F.lit(";\nlong words.\n\n10.55555/x."), d.cast("string"), F.lit(" ends"))
+    return blocks, docs.select("doc", F.lit(800.0).alias("height"), words.alias("text"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _plain(pattern: str) -> str:
+    """A pattern for an engine that escapes ASCII only."""
+    return _quoted(re.sub(r"\\([^\x00-\x7f])", r"\1", pattern))
+
+
+def _alt(values) -> str:
+    return _plain("|".join(values))
+
+
+_CLEAN = "regexp_replace(trim(n), '^(?:and|AND|&)\\s+', '')"
+for _ in range(5):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_plain(X.NAME_MARKER)}', '')"
+
+
+@query(f"""
+  pages AS (
+    SELECT doc_id AS doc, chr(10) || 'Abstract' || chr(10) || text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '1. Introduction' || chr(10) || 'more' ELSE '' END || chr(10) || 'Keywords: trees, large ' || substr(text, 1, 9) || ';' || chr(10) || 'long words.' || chr(10) || chr(10) || '10.55555/x.' || doc_id || ' ends' AS text,
+           list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:6] AS ls FROM documents),
+  raw AS (SELECT doc, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS seq FROM pages),
+  placed AS (SELECT *, 60.0::DOUBLE + seq * 24 + CASE WHEN length(t) % 5 = 0 THEN 9 ELSE 0 END AS y0 FROM raw),
+  blocks AS (
+    SELECT doc, seq, y0, y0 + 6 + length(t) % 20 AS y1, CASE WHEN seq = 0 THEN 18.0 ELSE [8.0, 10.0, 18.25][length(t) % 3 + 1] END::DOUBLE AS size,
+           CASE WHEN seq = 1 AND doc % 3 > 0 THEN {_sql_list(PEOPLE)}[doc % {len(PEOPLE)} + 1] WHEN seq = 2 AND doc % 3 > 0 THEN {_sql_list(PLACES)}[doc % {len(PLACES)} + 1] WHEN seq = 0 AND doc % 4 = 1 THEN 'Article 10.1234/ab.c ' || t ELSE t END AS text FROM placed),
+  worded AS (SELECT *, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words, y0 / 800 AS at_ FROM blocks),
+  pooled AS (SELECT *, CASE WHEN at_ BETWEEN 0.07 AND 0.35 AND words >= 4 THEN 2 WHEN at_ < 0.5 AND words >= 5 THEN 1 ELSE 0 END AS pool FROM worded),
+  main AS (SELECT doc, arg_min(seq, [-size, -words, seq]) AS ms, max(size) FILTER (WHERE true) AS unused FROM (SELECT *, max(pool) OVER (PARTITION BY doc) AS best FROM pooled) WHERE pool = best AND best > 0 GROUP BY doc),
+  sized AS (SELECT b.*, m.ms, p.size AS msize, b.at_ BETWEEN 0.07 AND 0.40 AND b.words >= 1 AND abs(b.size - p.size) < 0.5 AS alike FROM worded b JOIN main m USING (doc) JOIN blocks p ON p.doc = m.doc AND p.seq = m.ms),
+  alone AS (SELECT * FROM (SELECT *, bool_or(seq = ms AND NOT alike) OVER (PARTITION BY doc) AS lone FROM sized WHERE alike OR seq = ms) WHERE NOT lone OR seq = ms),
+  stepped AS (SELECT *, coalesce(y0 - lag(y1) OVER (PARTITION BY doc ORDER BY y0, seq) >= msize * 1.6, false)::INT AS o FROM alone),
+  runs AS (SELECT *, sum(o) OVER (PARTITION BY doc ORDER BY y0, seq) AS run FROM stepped),
+  own AS (SELECT * FROM (SELECT *, max(run) FILTER (WHERE seq = ms) OVER (PARTITION BY doc) AS mine FROM runs) WHERE run = mine),
+  whole AS (SELECT doc, string_agg(trim(text), ' ' ORDER BY y0, seq) FILTER (WHERE trim(text) <> '') AS w, max(y1) AS bottom FROM own GROUP BY doc),
+  heads AS (SELECT p.doc, coalesce(coalesce(nullif(trim(regexp_replace(w, '(?i)^\\s*(?:{_alt(X.TITLE_PREFIXES)}){_plain(X.TITLE_LINK)}\\s+', '')), ''), w), '') AS title, coalesce(bottom, 200) AS bottom FROM pages p LEFT JOIN whole USING (doc)),
+  below AS (SELECT b.*, first_value(y0) OVER w AS f, max(y1) OVER (PARTITION BY doc ORDER BY y0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM blocks b JOIN heads USING (doc) WHERE y0 > bottom + 2 AND y0 < bottom + 60 AND size >= 8 WINDOW w AS (PARTITION BY doc ORDER BY y0, seq)),
+  until AS (SELECT *, max((y0 - greatest(f, u) > 20 OR regexp_matches(text, '(?i)^\\s*(?:{_alt(X.AUTHOR_STOPS)})'))::INT) OVER (PARTITION BY doc ORDER BY y0, seq) AS stopped FROM below),
+  line AS (SELECT doc, regexp_replace(trim(string_agg(text, ' ' ORDER BY y0, seq)), '(?i)^\\s*(?:{_alt(X.AUTHOR_LABELS)})', '') AS l FROM until WHERE stopped = 0 GROUP BY doc),
+  split_ AS (SELECT doc, CASE WHEN l = '' OR regexp_replace(lower(regexp_extract(l, '^\\s*(\\S+)', 1)), ':+$', '') IN {tuple(X.NO_FIRST_WORDS)} THEN [] ELSE flatten(list_transform(string_split(l, CASE WHEN contains(l, '|') THEN '|' ELSE ',' END), lambda p: string_split_regex(trim(p), '\\s+(?:and|AND|&)\\s+'))) END AS ns FROM line),
+  cleaned AS (SELECT doc, list_transform(list_filter(list_transform(ns, lambda n: trim(n)), lambda n: n <> ''), lambda n: trim(regexp_replace({_CLEAN}, '\\s{{2,}}', ' ', 'g'))) AS ns FROM split_),
+  people AS (SELECT doc, list_filter(ns, lambda n: length(n) >= 2 AND NOT regexp_matches(n, '^[\\d\\s\\*\\.,]+$') AND lower(n) NOT IN {tuple(X.NO_NAMES)} AND regexp_replace(lower(regexp_extract(n, '^\\s*(\\S+)', 1)), ':+$', '') NOT IN {tuple(X.NO_FIRST_WORDS)}) AS authors FROM cleaned),
+  known AS (SELECT h.*, coalesce(authors, []) AS authors FROM heads h LEFT JOIN people USING (doc)),
+  low AS (SELECT b.*, greatest(bottom + 20, max(CASE WHEN len(authors) > 0 AND y0 > bottom AND size BETWEEN 9 AND 12 THEN y1 END) OVER (PARTITION BY doc)) AS lo FROM blocks b JOIN known USING (doc)),
+  where_ AS (
+    SELECT doc, y0, seq, list_filter(list_transform(string_split_regex(regexp_replace(text, '\\s{{2,}}([a-z]\\s{{2,}})', chr(1) || '\\1', 'g'), '\\x01'), lambda p: trim(regexp_replace(p, '^[a-z0-9,\\*\\s]+', ''))), lambda p: length(p) > 10) AS a
+    FROM low WHERE y0 > lo + 2 AND y0 < lo + 120 AND regexp_matches(text, '(?i){_alt(X.INSTITUTIONS)}')),
+  places AS (SELECT doc, string_agg(array_to_string(a, ' / '), ' / ' ORDER BY y0, seq) FILTER (WHERE len(a) > 0) AS affiliations FROM where_ GROUP BY doc),
+  abstracts AS (
+    SELECT doc, trim(CASE WHEN regexp_matches(r, '(?i){_alt(X.ABSTRACT_ENDS)}') THEN string_split_regex(r, '(?i){_alt(X.ABSTRACT_ENDS)}')[1] ELSE substr(r, 1, 5000) END, ' ' || chr(10) || chr(9) || chr(13)) AS a, text
+    FROM (SELECT doc, text, string_split_regex(text, '(?i){_plain(X.ABSTRACT_LABEL)}')[-1] AS r FROM pages)),
+  tidy AS (SELECT doc, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '\\n[A-Z][a-z]+(?:\\s+[a-z]+){{0,3}}\\s*\\n([a-z])', chr(10) || '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\n([^\\n])', ' \\1', 'g'), ' {{2,}}', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS abstract,
+                  trim(regexp_extract(text, '(?is){_plain(X.KEYWORD_LIST)}', 1), ' ' || chr(10)) AS kw FROM abstracts),
+  terms AS (SELECT doc, abstract, text, list_filter(list_transform(flatten(list_transform(list_filter(list_transform(string_split(kw, chr(10)), lambda x: regexp_replace(trim(x), '[;,]+$', '')), lambda x: length(x) >= 3), lambda x: string_split_regex(x, '[;,]'))), lambda t: regexp_replace(trim(t), '\\.+$', '')), lambda t: length(t) > 1) AS terms FROM tidy)
+  SELECT k.doc, title, array_to_string(authors, ' / ') AS authors, coalesce(affiliations, '') AS affiliations, abstract, array_to_string(terms, ' / ') AS keywords,
+         regexp_replace(nullif(regexp_extract(text, '{_plain(DOI_PATTERN)}'), ''), '\\.+$', '') AS doi FROM known k LEFT JOIN places USING (doc) JOIN terms USING (doc)""".replace("\n  pages AS", "\n WITH pages AS", 1))
+def first_page_metadata(spark, sf_dir):
+    """Title, authors, affiliations, abstract, keywords and DOI from first pages."""
+    from lectern.operators.front_matter import front_matter
+
+    joined = lambda c: F.array_join(c, " / ").alias(c)
+    return front_matter(*_first_pages(spark, sf_dir)).select("doc", "title", joined("authors"), joined("affiliations"), "abstract", joined("keywords"), "doi")
