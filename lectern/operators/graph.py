@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import graph_title, keyword, stripped
+from lectern.operators.identity import identified
 
 #: Weights of the first and second hop, terms that a second hop follows, relevance of anchor layers.
 HOP_WEIGHTS = (1.0, 0.3)
@@ -34,11 +35,10 @@ def _known(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def works(references: DataFrame) -> DataFrame:
-    """(doi, title, d, t, name): the distinct cited works with a title; name is the DOI of the work or of one with its title, else the title."""
+    """(doi, title, d, t, name): the distinct cited works with a title; name is the least DOI that a work has, directly or through works of its DOI or title, else the title."""
     cited = references.filter(F.col("title").isNotNull() & (F.col("title") != "")).select("doi", "title").distinct()
     cited = cited.withColumn("d", doi_key(F.col("doi"))).withColumn("t", graph_title(F.col("title")))
-    named = cited.groupBy("t").agg(F.min("d").alias("shared"))
-    return cited.join(named, "t").withColumn("name", F.when(F.length("t") >= LEAST_EXTERNAL, F.coalesce("d", "shared", "t"))).drop("shared")
+    return identified(cited, LEAST_EXTERNAL).select("doi", "title", "d", "t", "name")
 
 
 def cited_edges(papers: DataFrame, references: DataFrame, cited: DataFrame | None = None) -> DataFrame:
@@ -147,9 +147,10 @@ def promoted(graph: DataFrame, cited: DataFrame, papers: DataFrame) -> DataFrame
 
 
 def renamed(graph: DataFrame, cited: DataFrame) -> DataFrame:
-    """Edges to works that were known by title only and whose DOI has come to be known since."""
-    names = cited.filter("name <> t").groupBy("t").agg(F.min("name").alias("now"))
-    joined = graph.join(names, (F.col("kind") == "cites") & (F.col("dst") == F.col("t")), "left")
+    """Edges to works whose identity has come to be another one: a DOI is known now, or works turned out to be one."""
+    keys = cited.filter("name is not null").select(F.col("t").alias("key"), "name").unionByName(cited.filter("name is not null and d is not null").select(F.col("d").alias("key"), "name"))
+    names = keys.filter("name <> key").groupBy("key").agg(F.min("name").alias("now"))
+    joined = graph.join(names, (F.col("kind") == "cites") & (F.col("dst") == F.col("key")), "left")
     return joined.select("src", "kind", F.coalesce("now", "dst").alias("dst")).distinct()
 
 

@@ -98,3 +98,29 @@ def test_full_text_folds_accents(spark):
     assert hits("for_batteries") == [3] and hits("a b") == [] and hits("") == []
     index = retrieval.postings(papers)
     assert [r.paper_id for r in retrieval.indexed_search(index, retrieval.lengths(papers), "CAFÉ noir").collect()] == [1]
+
+
+def test_identity_through_chains(spark):
+    from lectern.operators import identity
+
+    refs = [
+        (5, None, "Alpha work"), (1, "10.1/b", "Alpha work"), (2, "10.1/b", "Beta work"), (3, "10.1/A", "Beta Work!"), (4, "10.1/a", "Gamma work"), (6, None, "gamma work"),
+        (7, None, "Delta work"), (8, "10.2/x", "Epsilon"), (9, "10.2/x", "Zeta one"), (9, "10.3/y", "abc"),
+    ]
+    refs = spark.createDataFrame(refs, "paper_id bigint, doi string, title string")
+    works = graph.works(refs)
+    names = {r.title: r.name for r in works.collect()}
+    assert {names[t] for t in ("Alpha work", "Beta work", "Beta Work!", "Gamma work", "gamma work")} == {"10.1/a"}
+    assert (names["Delta work"], names["Epsilon"], names["Zeta one"], names["abc"]) == ("delta work", "10.2/x", "10.2/x", None)
+    shown = {r.name: (r.display, r.doi, r.papers) for r in identity.displayed(refs, works).collect()}
+    assert shown["10.1/a"] == ("Alpha work", "10.1/a", 6) and shown["delta work"] == ("Delta work", None, 1) and shown["10.2/x"][2] == 2
+    old = spark.createDataFrame([(3, "cites", "10.1/b"), (5, "cites", "alpha work"), (7, "cites", "delta work")], "src bigint, kind string, dst string")
+    assert found(graph.renamed(old, works)) == {(3, "cites", "10.1/a"), (5, "cites", "10.1/a"), (7, "cites", "delta work")}
+
+
+def test_components_of_long_chains(spark):
+    from lectern.operators import identity
+
+    links = [(f"k{i:04d}", f"k{i + 1:04d}") for i in range(300)] + [("z2", "z1"), ("z3", "z1"), ("z4", "z3")]
+    got = {r.key: r.component for r in identity.components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert len(got) == 305 and {v for k, v in got.items() if k[0] == "k"} == {"k0000"} and {v for k, v in got.items() if k[0] == "z"} == {"z1"}
