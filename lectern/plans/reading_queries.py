@@ -284,11 +284,17 @@ def reference_entries(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "seq", kind.alias("kind"), F.when(~kind.isin(-1, 5), F.nullif(F.regexp_extract(line, r"\d+", 0), F.lit(""))).alias("number"))
 
 
-@query("SELECT DISTINCT doc_id AS doc, reference FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[\\[(［]\\d+[\\])］]'), lambda x: regexp_extract(x, '\\d+')::BIGINT)) AS reference FROM documents WHERE NOT regexp_matches(text, '[\\[(［]\\d+\\s*[,-]')) UNION SELECT doc_id, NULL FROM documents WHERE false")
+@query("""
+  WITH marked AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text || ' [' || (doc_id % 40 + 1) || ', ' || (doc_id % 40 + 3) || '-' || (doc_id % 40 + 3 + doc_id % 4) || '] (9-7)', '⁰¹²³⁴⁵⁶⁷⁸⁹⁻', '0123456789-'), '[\\[(［]\\d+(?:\\s*[,-]\\s*\\d+)*[\\])］]')) AS m FROM documents),
+  parts AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(m, '[\\[\\](（）)［］]', '', 'g'), ','))) AS p FROM marked)
+  SELECT DISTINCT doc_id AS doc, unnest(range(split_part(p, '-', 1)::BIGINT, CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END::BIGINT + 1)) AS reference FROM parts WHERE regexp_matches(p, '^\\d+(\\s*-\\s*\\d+)?$')""")
 def citations_found(spark, sf_dir):
-    """Numbers in brackets in documents as citations; texts with lists or ranges of numbers are the tests' matter."""
-    docs = S.load(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[\[(［]\d+\s*[,-]"))
-    return extraction.citations(docs.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text")).select("doc", "reference")
+    """Numbers in brackets in documents as citations; each document has a list with a range behind it, and a range that runs backward."""
+    at = F.col("doc_id") % 40
+    behind = F.concat(F.lit(" ["), (at + 1).cast("string"), F.lit(", "), (at + 3).cast("string"), F.lit("-"), (at + 3 + F.col("doc_id") % 4).cast("string"), F.lit("] (9-7)"))
+    docs = S.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.concat("text", behind).alias("text"))
+    return extraction.citations(docs).select("doc", "reference")
 
 
 @query("SELECT doc_id, seq::INT AS seq, " + " OR ".join(f"regexp_matches(t, '{_re2(('(?i)' if i else '') + p)}')" for p, i in NOISE_LINES) + " OR t = '' AS noise FROM (SELECT *, trim(line) AS t FROM lines)", "lines")
