@@ -2,14 +2,15 @@
 
 Each line with a word becomes a few binary features of its shape. The field has two labels, content and
 boilerplate. Its weights are learned from documents marked good or bad, at most ``max_train_docs`` of them, chosen by a hash
-(a run of ``MAX_TRAIN_LINES`` neighbouring lines of each, at most). Line labels are latent: a mark only says how likely each line is
+and ``MAX_TRAIN_LINES`` lines, of whole documents. Line labels are latent: a mark only says how likely each line is
 boilerplate, so good documents may hold boilerplate and bad ones content; the likelihood sums over all labellings.
 Viterbi decoding labels the lines of every document jointly, and a document is kept if content holds at least ``min_share`` of
 its words. Two base rules come first: too few words, or
 too many words in repeated five-word windows.
 
 Cases: null and empty texts have no words and fail the base rules; without labels of both kinds every line is
-content; texts of any length are read whole; a line is what ``\\n`` separates; repeated rows are judged each; an empty table gives an empty result; further
+content; texts of any length are read whole; of equally likely labellings, that with content at the later lines
+wins; a line is what ``\\n`` separates; repeated rows are judged each; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -24,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, short_batches
+from .common import Scratch, lean, short_batches
 
 MAX_TRAIN_DOCS = 3_000
-#: Neighbouring lines that a training document gives, at most; where they begin follows from its label row's hash.
-MAX_TRAIN_LINES = 200
+#: Lines of all training documents together, at most: whole documents in the order of their label rows' hashes, as far as they fit.
+MAX_TRAIN_LINES = 300_000
 #: Share of boilerplate lines that is expected in good and in bad documents.
 EXPECTED = (0.05, 0.8)
 #: Training documents in a chain.
@@ -204,10 +205,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [read_document(t).lines for t in batch["text"]]
-            found = [x[(at := h % max(1, len(x) - MAX_TRAIN_LINES + 1)) : at + MAX_TRAIN_LINES] for x, h in zip(found, batch["h"], strict=True)]
-            yield pd.DataFrame({"lines": [np.packbits(x, axis=None).tobytes() for x in found], "n": [len(x) for x in found], "bad": 1 - batch["quality"].to_numpy()})
-
-    got = rows.mapInPandas(lean(lines), "lines binary, n int, bad int").toPandas()  # max_train_docs rows at most
+            yield pd.DataFrame({"h": batch["h"], "lines": [np.packbits(x, axis=None).tobytes() for x in found], "n": [len(x) for x in found], "bad": 1 - batch["quality"].to_numpy()})
+
+    scratch = Scratch(docs.sparkSession, "quality")
+    read = scratch.save(rows.mapInPandas(lean(lines), "h bigint, lines binary, n int, bad int"), "lines")
+    sizes, room, taken = read.select("h", "n").toPandas().sort_values(["h", "n"]), MAX_TRAIN_LINES, []  # max_train_docs rows at most
+    for h, n in zip(sizes["h"].tolist(), sizes["n"].tolist(), strict=True):
+        if n <= room:
+            taken.append((h, n))
+            room -= n
+    got = read.filter(F.col("h").isin(sorted({h for h, _ in taken}))).toPandas().sort_values(["h", "n"])
+    fits = set(taken)
+    got = got[np.asarray([(h, n) in fits for h, n in zip(got["h"], got["n"], strict=True)], bool)]
+    scratch.drop()
     k = len(FEATURES)
     documents = [np.unpackbits(np.frombuffer(b, np.uint8), count=n * k).reshape(n, k).astype(bool) for b, n in zip(got["lines"], got["n"], strict=True)]
     return fit_field(documents, got["bad"].to_numpy())
