@@ -84,6 +84,26 @@ def by_embedding(queries: DataFrame, vectors: DataFrame, threshold: float = 0.92
     return sides.groupBy("row", "col").applyInPandas(product, "paper_a bigint, paper_b bigint, similarity double")
 
 
+def touched(references: DataFrame, papers: DataFrame) -> DataFrame:
+    """The references, of any paper, to works that some of the given papers cite: all that coupling them can read."""
+    mine = references.join(papers.select("paper_id").distinct(), "paper_id", "left_semi")
+    dois, norms = _doi_cited(mine).select("doi").distinct(), _title_cited(mine).select("norm").distinct()
+    rows = references.withColumn("norm", coupling_title(F.col("title"))).join(dois.withColumn("by_doi", F.lit(True)), "doi", "left").join(norms.withColumn("by_norm", F.lit(True)), "norm", "left")
+    return rows.filter("by_doi or by_norm").select(*references.columns)
+
+
+def analyzed(references: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, threshold: float = 0.92) -> DataFrame:
+    """(paper_a, paper_b, doi, title, confidence): all matches of the query papers in one call, by DOI, by title and, given vectors (paper_id, embedding), by
+    their cosine (to four places, under an empty title); of one pair and title the match of the highest confidence."""
+    out = by_doi(references, queries).unionByName(by_title(references, queries))
+    if vectors is not None:
+        asked = vectors.join(queries.select("paper_id").distinct(), "paper_id", "left_semi")
+        near = by_embedding(asked, vectors, threshold).select(F.least("paper_a", "paper_b").alias("paper_a"), F.greatest("paper_a", "paper_b").alias("paper_b"), "similarity").distinct()
+        near = near.groupBy("paper_a", "paper_b").agg(F.round(F.max("similarity"), 4).alias("confidence"))
+        out = out.unionByName(near.select("paper_a", "paper_b", F.lit(None).cast("string").alias("doi"), F.lit("").alias("title"), "confidence"))
+    return best_of(out).select("paper_a", "paper_b", "doi", "title", "confidence")
+
+
 def best_of(matches: DataFrame) -> DataFrame:
     """For each pair and title the match of the highest confidence."""
     key = F.substring(coupling_title(F.col("title")), 1, 200)

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.operators.coupling import analyzed, touched
 from lectern.operators.graph import added
 from lectern.operators.graph import edges as built
 from lectern.operators.retrieval import TEXT_COLUMNS, lengths, postings
+from lectern.plans.shared import saved
 from lectern.plans.store import VersionedTable
 
 
@@ -33,11 +35,32 @@ def checked_postings(papers: DataFrame, index: VersionedTable) -> int:
 
 
 def keep_graph(papers: DataFrame, edges: VersionedTable, library: Callable[[], tuple[DataFrame, DataFrame]], checkpoint: str) -> StreamingQuery:
-    """Add each micro-batch of papers to the graph's edges; ``library`` gives all papers and references by then."""
+    """Add each micro-batch of papers to the graph's edges, whose key is the whole edge; ``library`` gives all papers and references by then.
+
+    A batch writes the edges that it adds and the keys of those that it ends (works that have become papers, say); the rest stays where it is.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
         everything, references = library()
-        edges.replace(added(edges.read(), batch.dropDuplicates(["paper_id"]), everything, references) if edges.versions() else built(everything, references))
+        if not edges.versions():
+            edges.replace(built(everything, references))
+            return
+        old = edges.read()
+        new = saved(added(old, batch.dropDuplicates(["paper_id"]), everything, references), "edges")
+        edges.put(new.join(old, edges.key, "left_anti"), old.join(new, edges.key, "left_anti").select(*edges.key))
+
+    return papers.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_coupling(papers: DataFrame, matches: VersionedTable, library: Callable[[], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Add the matches of each micro-batch of papers, keyed by pair and title; ``library`` gives the references of all papers by then.
+
+    Only references to works that the batch cites are joined, and only matches that aren't there yet are written.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        new = batch.select("paper_id").distinct()
+        matches.insert_ignore(analyzed(saved(touched(library(), new), "touched"), new))
 
     return papers.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -49,10 +72,3 @@ def ingest_new(files: DataFrame, store: VersionedTable, checkpoint: str) -> Stre
         store.insert_ignore(batch)
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_counts(events: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """Beyond the library's own needs: events by window and type, late ones within a watermark."""
-    from pyspark.sql import functions as F
-
-    return events.withWatermark("ts", lateness).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
