@@ -8,7 +8,7 @@ that a piece fits in. With thousands of pieces in a group, the loss against pack
 is a few part-filled sequences a group, below a thousandth.
 
 Cases: null text is an empty document (the end id alone); repeated rows are packed each; a special token's string in
-a text is that token; an empty table gives an empty result; further columns are ignored.
+a text is that token; very long texts are encoded whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ content, so that equal strings meet without any global index:
    step leaves windows that differ in one byte at each end, so a bucket's size is bounded.
 4. Repeated windows go back to the documents as spans; texts are cut in place.
 
-Cases: null text is empty; texts shorter than ``length`` keep all bytes; repeated rows are copies of each other;
+Cases: null text is empty; texts shorter than ``length`` keep all bytes; very long texts are read whole, window by window; repeated rows are copies of each other;
 an empty table gives an empty result; further columns are ignored by :func:`find_repeats` and carried along by
 :func:`remove_repeats`, which also keeps characters whole: bytes of a character that a span cuts stay out.
 """

@@ -9,7 +9,7 @@ densest window is a feature of its own. A logistic regression over these feature
 
 Labels come from at most ``max_train_docs`` documents, chosen by a hash of doc_id.
 
-Cases: null and empty texts get the score of a text without hits; repeated rows are scored each; a document
+Cases: null and empty texts get the score of a text without hits; very long texts are scored whole; repeated rows are scored each; a document
 with several labels counts once for each; without labels of both kinds every score is the share of toxic labels
 (0 without labels); an empty table gives an empty result; further columns are ignored.
 """
