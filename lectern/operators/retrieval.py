@@ -15,6 +15,7 @@ from lectern.functions import text as T
 from lectern.functions.fixed import INTENT_WEIGHTS, VIEWPOINT_INTENTS
 from lectern.functions.vectors import cosine
 from lectern.operators import graph as G
+from lectern.plans.shared import saved
 
 RRF_K = 60
 PER_PATH_K = 50
@@ -105,7 +106,8 @@ def _best(rows: DataFrame, terms: int, k: int) -> DataFrame:
 def bm25_search(papers: DataFrame, query: str, k: int = PER_PATH_K, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
     """Papers that hold all terms, or, if none does, any; best BM25 first.
 
-    Only the query's terms are counted, in the scan: no index of all terms is built for one query.
+    Only the query's terms are counted, in one scan: no index of all terms is built for one query. The counts, a few numbers a paper, are written, so that
+    totals and hits come from the same reading of the texts.
     """
     terms = query_terms(query)
     if not terms:
@@ -114,7 +116,7 @@ def bm25_search(papers: DataFrame, query: str, k: int = PER_PATH_K, columns: tup
     # Java's lookarounds bound a term; the words of a term of several follow each other.
     counted = [F.regexp_count("t", F.lit(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(t.split()) + r"(?![\p{L}\p{N}])")) for t in terms]
     rows = rows.select("paper_id", F.regexp_count("t", F.lit(TOKEN)).alias("length"), *(F.when(F.col("t").contains(t.split()[0]), c).otherwise(0).alias(f"tf{i}") for i, (t, c) in enumerate(zip(terms, counted, strict=True))))
-    return _best(rows, len(terms), k)
+    return _best(saved(rows, "counted"), len(terms), k)
 
 
 def indexed_search(index: DataFrame, sizes: DataFrame, query: str, k: int = PER_PATH_K) -> DataFrame:
