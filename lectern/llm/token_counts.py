@@ -27,6 +27,10 @@ from .common import Scratch, lean, short_batches
 from .packing import Encoder
 
 
+#: Classes of numbers of occurrences between a number and its double.
+CLASSES = 16
+
+
 @dataclass(frozen=True)
 class CountSpec:
     limit: int = 512
@@ -137,6 +141,18 @@ def pieces(tokens: DataFrame, tokenizer_path: str, spec: CountSpec = CountSpec()
     return tokens.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(lean(encode), "token string, n bigint, pieces bigint")
 
 
+def frequent(known: DataFrame, spec: CountSpec = CountSpec()) -> DataFrame:
+    """The short pre-tokens of the most occurrences, ``frequent`` at most: those of the highest classes of occurrences that fit together, so nothing is sorted."""
+    size = F.floor(F.log2("n") * CLASSES)
+    short = known.filter(F.octet_length("token") <= spec.frequent_bytes).withColumn("size", size)
+    least, room = None, spec.frequent
+    for row in sorted(short.groupBy("size").count().collect(), key=lambda r: -r["size"]):  # 64 * CLASSES rows at most
+        if row["count"] > room:
+            break
+        least, room = row["size"], room - row["count"]
+    return short.filter(F.lit(False) if least is None else F.col("size") >= least)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, spec: CountSpec = CountSpec()) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every document."""
     short_batches(docs.sparkSession)
@@ -144,8 +160,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, spec: CountSpec = CountSp
     split = scratch.save(frequencies(docs, tokenizer_path, spec), "frequencies")
     found = split.filter("token is not null").select("row", "token", "n")
     known = scratch.save(pieces(found.select("token", "n"), tokenizer_path, spec), "pieces")
-    often = known.filter(F.octet_length("token") <= spec.frequent_bytes).orderBy(F.desc("n"), "token").limit(spec.frequent)
-    often = F.broadcast(often.select("token", F.col("pieces").alias("p")))  # spec.frequent rows at most
+    often = F.broadcast(frequent(known, spec).select("token", F.col("pieces").alias("p")))  # spec.frequent rows at most
     rare = found.join(often, "token", "left_anti").join(known.select("token", F.col("pieces").alias("p")), "token")
     parts = [
         split.filter("token is null").select("row", "doc_id", "n_bytes", F.col("n").alias("tokens")),
