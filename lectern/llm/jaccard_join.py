@@ -321,6 +321,12 @@ class JaccardJoin:
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], ["a", "b"])
 
+        # The end with more pairs comes first: its text is moved once for many pairs, and only the other ends' once for each.
+        ends = pairs.select("a", "b")
+        often = ends.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        of = lambda end: often.select(F.col("x").alias(end), F.col("n").alias(f"n{end}"))
+        turned = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+        pairs = ends.join(of("a"), "a").join(of("b"), "b").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
         # Texts lie by node, so only texts of pairs move. A node with many pairs has its text in several places.
         per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / spec.pairs_per_text).cast("int").alias("places"))
         dealt = pairs.select("a", "b").join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
