@@ -130,12 +130,16 @@ def indexed_search(index: DataFrame, sizes: DataFrame, query: str, k: int = PER_
 
 
 def ranked(paths: Mapping[str, DataFrame]) -> DataFrame:
-    """(paper_id, path, score, rank) of all recall lists; each list has a few dozen rows."""
+    """(paper_id, path, score, rank) of all recall lists; each list has a few dozen rows.
+
+    Scores of the graph are sums of parts in any order, so they compare by nine digits, as in the list's own cut; equals rank by id.
+    """
     out = None
     for name, hits in paths.items():
         part = hits.select("paper_id", F.lit(name).alias("path"), F.col("score").cast("double").alias("score"))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "paper_id")))
+    held = F.when(F.col("path") == "graph", F.round("score", 9)).otherwise(F.col("score"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(held.desc(), "paper_id")))
 
 
 def fuse(paths: Mapping[str, DataFrame], top_k: int | None = None, k: int = RRF_K) -> DataFrame:

@@ -124,3 +124,8 @@ def test_components_of_long_chains(spark):
     links = [(f"k{i:04d}", f"k{i + 1:04d}") for i in range(300)] + [("z2", "z1"), ("z3", "z1"), ("z4", "z3")]
     got = {r.key: r.component for r in identity.components(spark.createDataFrame(links, "a string, b string")).collect()}
     assert len(got) == 305 and {v for k, v in got.items() if k[0] == "k"} == {"k0000"} and {v for k, v in got.items() if k[0] == "z"} == {"z1"}
+
+
+def test_graph_scores_that_differ_by_the_order_of_a_sum_rank_by_id(spark):
+    hits = spark.createDataFrame([(7, 0.1 + 0.2 + 0.3), (3, 0.3 + 0.2 + 0.1), (9, 0.9)], "paper_id long, score double")  # the first sum is the larger one by its last bit
+    assert [(r.paper_id, r.source_ranks["graph"]) for r in retrieval.fuse({"graph": hits}).collect()] == [(9, 1), (3, 2), (7, 3)]
