@@ -60,8 +60,11 @@ def body_height(lines: DataFrame) -> DataFrame:
     return counts.groupBy("doc").agg(F.min_by("h", F.struct(-F.col("n"), "h")).alias("body"))
 
 
-def is_heading(text: Column, height: Column, body: Column, keywords: list[str] = SECTION_HEADINGS) -> Column:
-    """Whether a line is a heading: numbered, or opened by a known word, or of three words and more in taller letters."""
+def is_heading(text: Column, height: Column, body: Column, keywords: list[str] = SECTION_HEADINGS, noise: bool = True) -> Column:
+    """Whether a line is a heading: numbered, or opened by a known word, or of three words and more in taller letters.
+
+    ``noise`` is false where noise has been left out before.
+    """
     t = stripped(text)
     low = stripped(F.regexp_replace(F.lower(t), "[.:]+$", ""))
     words = F.split(low, r"\s+")
@@ -71,7 +74,8 @@ def is_heading(text: Column, height: Column, body: Column, keywords: list[str] =
         if " " in k:
             opened = opened | low.startswith(k + " ") | low.startswith(k + ":")
     tall = (height > body * TALLER) & (F.size(F.split(t, r"\s+")) >= 3) & F.length(t).between(8, 100) & ~t.rlike("[.,;:?!]$") & matches(t, r"^\p{Lu}")
-    return F.length(t).between(3, 150) & ~is_noise(t) & ~is_equation(t) & (numbered | opened | tall)
+    fit = F.length(t).between(3, 150) & (numbered | opened | tall) & ~is_equation(t)
+    return fit & ~is_noise(t) if noise else fit
 
 
 def level(text: Column, height: Column, body: Column) -> Column:

@@ -35,11 +35,14 @@ def running_heads(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """
     by_doc = Window.partitionBy("doc")
     back = by_doc.orderBy(F.desc("page"))
-    sized = pages.select("doc", "page", F.col("width").alias("w"), F.col("height").alias("h")).withColumn("total", F.max("page").over(by_doc) + 1)
+    # Pages stand among the lines, so that one partitioning by document serves both; lines of pages that aren't there are left out.
+    sheets = pages.select("doc", "page", F.col("width").alias("_w"), F.col("height").alias("_h"), F.lit(True).alias("_sheet"))
+    sized = lines.unionByName(sheets, allowMissingColumns=True).repartition("doc").withColumn("total", F.max(F.when(F.col("_sheet"), F.col("page"))).over(by_doc) + 1)
     late = F.col("page") >= F.col("total") - LOADED_PAGES
     for c in ("w", "h"):
-        sized = sized.withColumn(f"page_{c}", F.greatest(F.max(c).over(back), F.max(F.when(late, F.col(c))).over(by_doc), F.lit(1.0)))
-    placed = lines.join(sized.select("doc", "page", "total", "page_w", "page_h"), ["doc", "page"])
+        sized = sized.withColumn(f"page_{c}", F.greatest(F.max(f"_{c}").over(back), F.max(F.when(late, F.col(f"_{c}"))).over(by_doc), F.lit(1.0)))
+    there = F.max("_sheet").over(Window.partitionBy("doc", "page"))
+    placed = sized.withColumn("_there", there).filter(F.col("_there") & F.col("_sheet").isNull()).drop("_w", "_h", "_sheet", "_there")
     lo, hi = PAGE_MIDDLE
     inside = (F.col("x") > lo * F.col("page_w")) & (F.col("y") > lo * F.col("page_h")) & (F.col("x") + F.col("width") < hi * F.col("page_w")) & (F.col("y") + F.col("height") < hi * F.col("page_h"))
     plain = F.when(F.col("text").rlike("^[A-Z]{1,3}$"), "").otherwise(F.regexp_replace(F.col("text"), r"(?U)\s+|\d+", ""))
@@ -74,7 +77,7 @@ def text_parts(lines: DataFrame, pages: DataFrame, full_text: bool = False) -> D
     """
     rows = lines if "heights" in lines.columns else lines.withColumn("heights", F.array("height"))
     rows = rows if "url" in rows.columns else rows.withColumn("url", F.lit(None).cast("string"))
-    rows = running_heads(rows.repartition("doc"), pages).filter(~F.col("head") & ~is_caption(F.col("text")))
+    rows = running_heads(rows, pages).filter(~F.col("head") & ~is_caption(F.col("text")))
     rows = rows.filter(F.col("page") >= (0 if full_text else 1)).filter(F.col("total") >= LEAST_PAGES)
     rows = _started(grown_columns(rows))
     scan = Window.partitionBy("doc").orderBy(F.desc("page"), F.desc("seq"))

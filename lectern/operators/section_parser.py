@@ -1,7 +1,7 @@
 """From lines with positions to sections with paragraphs.
 
 Lines are rows (doc, page, column, seq, x, y, height, text), pages counted from 0. Everything is window plans over a document's lines in reading order,
-with one partitioning by document; only a section's own paragraphs are gathered.
+with one partitioning by document; lines with their headings are written once, for heads and paragraphs; only a section's own paragraphs are gathered.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import matches, stripped
 from lectern.operators.extraction import is_noise
 from lectern.operators.layout import is_equation, is_heading, level
+from lectern.plans.shared import saved
 
 #: Names of a list of references, and how far apart paragraphs stand, in heights of body text, and their least length.
 LISTS, GAP, INDENT, SHORTEST = ["references", "bibliography", "参考文献", "reference list"], 2.5, 1.5, 10
@@ -25,8 +26,9 @@ def is_list_heading(text: Column) -> Column:
 
 def _most(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     """Rows with the height (to a tenth) that most lines of their group have, the first of equals by ``place``."""
-    counts = rows.groupBy(*key, F.bround("height", 1).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("at"))
-    return rows.join(counts.groupBy(*key).agg(F.min_by("h", F.struct(-F.col("n"), "at")).alias(name)), key, "left")
+    same = Window.partitionBy(*key, "_h")
+    counted = rows.withColumn("_h", F.bround("height", 1)).withColumn("_c", F.struct((-F.count(F.lit(1)).over(same)).alias("n"), F.min("place").over(same).alias("at"), F.col("_h").alias("h")))
+    return counted.withColumn(name, F.min("_c").over(Window.partitionBy(*key))["h"]).drop("_h", "_c")
 
 
 def marked_headings(lines: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def marked_headings(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("page", "column", "y", "x", "seq")
     rows = lines.withColumn("text", stripped(F.col("text"))).filter("text <> ''").filter(~is_noise(F.col("text"))).withColumn("place", F.row_number().over(order))
     rows = _most(rows, ["doc"], "body")
-    rows = rows.withColumn("head", is_heading(F.col("text"), F.col("height"), F.col("body"))).withColumn("lists", F.col("head") & is_list_heading(F.col("text")))
+    rows = rows.withColumn("head", is_heading(F.col("text"), F.col("height"), F.col("body"), noise=False)).withColumn("lists", F.col("head") & is_list_heading(F.col("text")))
     inside = F.coalesce(F.max("lists").over(Window.partitionBy("doc").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     return rows.withColumn("head", F.col("head") & (F.col("lists") | ~inside)).withColumn("level", level(F.col("text"), F.col("height"), F.col("body")))
 
@@ -63,6 +65,7 @@ def sections(lines: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("doc").orderBy("place")
     marked = marked_headings(lines).withColumn("section", F.sum(F.col("head").cast("int")).over(order)).filter("section > 0")
+    marked = saved(marked.select("doc", "section", "place", "page", "x", "y", "height", "text", "head", "level"), "marked")
     heads = marked.groupBy("doc", "section").agg(
         F.max(F.when(F.col("head"), F.col("text"))).alias("heading"), F.max(F.when(F.col("head"), F.col("level"))).alias("level"), (F.min("page") + 1).alias("page_start"), (F.max("page") + 1).alias("page_end")
     )

@@ -17,6 +17,7 @@ from lectern.functions.text import DOI_PATTERN
 from lectern.operators import layout, reference_list, section_parser
 from lectern.plans.catalogue import NEEDS, VIEWS, query
 from lectern.plans.reading_queries import _KIND, _quoted, _re2
+from lectern.plans.shared import saved
 from lectern.sources import tables as S
 
 #: Headings that the layout puts in, and the size of its pages.
@@ -234,7 +235,7 @@ _TOPS = ", ".join(f"'{k}'" for k in layout.TOP_HEADINGS)
     SELECT doc, m::INT AS section, heading, level::INT AS level, page_start::INT AS page_start, page_end::INT AS page_end, coalesce(n, 0)::INT AS paragraphs, coalesce(body, '') AS body FROM out_ LEFT JOIN texts USING (doc, m)""", "laid")
 def paper_sections(spark, sf_dir):
     """Sections with their paragraphs, from spans: lines, columns, running heads, parts, headings, paragraphs."""
-    lines = layout.lines_of_spans(_spans(spark, sf_dir))
+    lines = saved(layout.lines_of_spans(_spans(spark, sf_dir)), "lines")
     parts = reference_list.text_parts(lines, _pages(lines), full_text=True).filter("finished")
     return section_parser.sections(parts).select("doc", F.col("section").cast("int").alias("section"), "heading", "level", "page_start", "page_end", F.size("paragraphs").alias("paragraphs"), F.array_join("paragraphs", "\n").alias("body"))
 

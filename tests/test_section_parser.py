@@ -84,3 +84,10 @@ def test_own_list_of_headings(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [x.h for x in df.select("i", layout.is_heading(F.col("t"), F.lit(10.0), F.lit(10.0)).alias("h")).orderBy("i").collect()]
     assert got == [True] * 7 + [False] * 2
+
+
+def test_sections_read_marked_lines_that_are_written_once(spark):
+    rows = [(1, 0, 0, k, 0.0, 12.0 * k, 10.0, t) for k, t in enumerate(["Results", "A line of body text that is long.", "Conclusion", "Another line of body text."])]
+    found = section_parser.sections(spark.createDataFrame(rows, LINE))
+    assert found.inputFiles() and all("/marked-" in f for f in found.inputFiles())
+    assert [(r.heading, len(r.paragraphs)) for r in found.orderBy("section").collect()] == [("Results", 1), ("Conclusion", 1)]
