@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import graph_title, keyword, stripped
 from lectern.operators.identity import identified
+from lectern.plans.shared import saved
 
 #: Weights of the first and second hop, terms that a second hop follows, relevance of anchor layers.
 HOP_WEIGHTS = (1.0, 0.3)
@@ -35,17 +36,30 @@ def _known(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def works(references: DataFrame) -> DataFrame:
-    """(doi, title, d, t, name): the distinct cited works with a title; name is the least DOI that a work has, directly or through works of its DOI or title, else the title."""
+    """(doi, title, d, t, name): the distinct cited works with a title; name is the least DOI that a work has, directly or through works of its DOI or title, else the title.
+
+    They are written once: their identity reads them several times, and the references but once.
+    """
     cited = references.filter(F.col("title").isNotNull() & (F.col("title") != "")).select("doi", "title").distinct()
-    cited = cited.withColumn("d", doi_key(F.col("doi"))).withColumn("t", graph_title(F.col("title")))
+    cited = saved(cited.withColumn("d", doi_key(F.col("doi"))).withColumn("t", graph_title(F.col("title"))), "works")
     return identified(cited, LEAST_EXTERNAL).select("doi", "title", "d", "t", "name")
 
 
+def _resolved(cited: DataFrame, papers: DataFrame) -> DataFrame:
+    """Works with by_doi and by_title, the papers known by either; works without a DOI don't meet in one task."""
+    by_doi, by_title = _known(papers)
+    spread = F.coalesce("d", F.concat(F.lit("\n"), "t"))  # no DOI begins with white space
+    return cited.withColumn("_d", spread).join(by_doi.withColumnRenamed("d", "_d"), "_d", "left").drop("_d").join(by_title, "t", "left")
+
+
+def _cites(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges to outside works, and all others: only the former are joined by name, as a term has edges without number."""
+    return graph.filter("kind = 'cites'"), graph.filter("kind <> 'cites'")
+
+
 def cited_edges(papers: DataFrame, references: DataFrame, cited: DataFrame | None = None) -> DataFrame:
     """(src, kind, dst): cross_cites to papers known by DOI or else by title, cites to other works. Works (of more references, perhaps) are resolved once each."""
-    by_doi, by_title = _known(papers)
-    resolved = (works(references) if cited is None else cited).join(by_doi, "d", "left").join(by_title, "t", "left")
-    resolved = resolved.select("doi", "title", F.coalesce("by_doi", "by_title").alias("local"), "name")
+    resolved = _resolved(works(references) if cited is None else cited, papers).select("doi", "title", F.coalesce("by_doi", "by_title").alias("local"), "name")
     r, w = references.select("paper_id", "doi", "title").alias("r"), resolved.alias("w")
     both = r.join(w, F.col("r.doi").eqNullSafe(F.col("w.doi")) & (F.col("r.title") == F.col("w.title"))).filter("w.local is null or w.local <> r.paper_id")
     kind = F.when(F.col("w.local").isNull(), "cites").otherwise("cross_cites")
@@ -76,7 +90,7 @@ def stats(graph: DataFrame) -> DataFrame:
 
 def orphans(all_nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """Nodes other than papers that no edge reaches."""
-    return all_nodes.filter("kind <> 'paper'").join(graph.select(F.col("dst").alias("name")), "name", "left_anti")
+    return all_nodes.filter("kind <> 'paper'").join(graph.select(F.col("dst").alias("name")).distinct(), "name", "left_anti")
 
 
 def cooccurring(graph: DataFrame, terms: DataFrame, k: int = TOP_COOCCURRING) -> DataFrame:
@@ -139,19 +153,21 @@ def promoted(graph: DataFrame, cited: DataFrame, papers: DataFrame) -> DataFrame
 
     cited: the works (:func:`works`) of the graph's references.
     """
-    by_doi, by_title = _known(papers)
-    known = cited.join(by_doi, "d", "left").join(by_title, "t", "left").filter("name is not null").groupBy("name")
+    known = _resolved(cited, papers).filter("name is not null").groupBy("name")
     known = known.agg(F.coalesce(F.max("by_doi"), F.max("by_title")).alias("local")).filter("local is not null")
-    joined = graph.join(known, (F.col("kind") == "cites") & (F.col("dst") == F.col("name")), "left").filter("local is null or local <> src")
-    return joined.select("src", F.when(F.col("local").isNull(), F.col("kind")).otherwise("cross_cites").alias("kind"), F.coalesce(F.col("local").cast("string"), "dst").alias("dst")).distinct()
+    cites, others = _cites(graph)
+    joined = cites.join(known, F.col("dst") == F.col("name"), "left").filter("local is null or local <> src")
+    rewired = joined.select("src", F.when(F.col("local").isNull(), F.col("kind")).otherwise("cross_cites").alias("kind"), F.coalesce(F.col("local").cast("string"), "dst").alias("dst"))
+    return others.select("src", "kind", "dst").unionByName(rewired).distinct()
 
 
 def renamed(graph: DataFrame, cited: DataFrame) -> DataFrame:
     """Edges to works whose identity has come to be another one: a DOI is known now, or works turned out to be one."""
     keys = cited.filter("name is not null").select(F.col("t").alias("key"), "name").unionByName(cited.filter("name is not null and d is not null").select(F.col("d").alias("key"), "name"))
     names = keys.filter("name <> key").groupBy("key").agg(F.min("name").alias("now"))
-    joined = graph.join(names, (F.col("kind") == "cites") & (F.col("dst") == F.col("key")), "left")
-    return joined.select("src", "kind", F.coalesce("now", "dst").alias("dst")).distinct()
+    cites, others = _cites(graph)
+    joined = cites.join(names, F.col("dst") == F.col("key"), "left")
+    return others.select("src", "kind", "dst").unionByName(joined.select("src", "kind", F.coalesce("now", "dst").alias("dst"))).distinct()
 
 
 def added(graph: DataFrame, new: DataFrame, papers: DataFrame, references: DataFrame, keywords: DataFrame | None = None) -> DataFrame:

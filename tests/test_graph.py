@@ -129,3 +129,14 @@ def test_components_of_long_chains(spark):
 def test_graph_scores_that_differ_by_the_order_of_a_sum_rank_by_id(spark):
     hits = spark.createDataFrame([(7, 0.1 + 0.2 + 0.3), (3, 0.3 + 0.2 + 0.1), (9, 0.9)], "paper_id long, score double")  # the first sum is the larger one by its last bit
     assert [(r.paper_id, r.source_ranks["graph"]) for r in retrieval.fuse({"graph": hits}).collect()] == [(9, 1), (3, 2), (7, 3)]
+
+
+def test_only_edges_to_outside_works_are_joined_by_name(spark):
+    edges = spark.createDataFrame([(1, "has_keyword", "10.1/x"), (1, "cites", "10.1/x"), (2, "in_field", "10.1/x"), (9, "cites", "10.1/x"), (3, "cites", "other work")], "src long, kind string, dst string")
+    cited = spark.createDataFrame([("10.1/X", "A title", "10.1/x", "a title", "10.1/x"), (None, "Other work", None, "other work", "other work")], "doi string, title string, d string, t string, name string")
+    papers = spark.createDataFrame([(9, "10.1/x", "something else"), (8, None, "Other work")], "paper_id long, doi string, title string")
+    out = graph.promoted(edges, cited, papers)
+    assert sorted(map(tuple, out.collect())) == [(1, "cross_cites", "9"), (1, "has_keyword", "10.1/x"), (2, "in_field", "10.1/x"), (3, "cross_cites", "8")]
+    # Terms with edges without number would meet in one task of a join.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "cites" in line for line in plan.splitlines())
