@@ -214,6 +214,22 @@ def test_noisy_copies_go_through_pivots(spark):
     assert with_noisy_copies(df).count() == 3000 and cells_per_vector(df.limit(40), VectorSpec()).first().cells > 1
 
 
+def test_scattered_vectors_meet_once_and_are_bounded(spark):
+    """Vectors that point everywhere are in all cells, but only in those before their own; the bound leaves no pair out, whether it decides much or nothing."""
+    from lectern.llm.embedding_dedup import cells_per_vector, linked_pairs
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(300, 32))
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>, label int")
+    cells = cells_per_vector(df, VectorSpec(per_pivot=20)).first()
+    assert cells.cells > 10 and cells.mean_cells < 0.6 * cells.cells + 1
+    late = np.column_stack([np.zeros((300, 24)), r.normal(size=8) + 0.3 * r.normal(size=(300, 8))])
+    for a, b in ((v, v + r.normal(size=v.shape) * r.uniform(0.2, 0.6, (300, 1))), (late, late[:200])):
+        want = a @ b.T / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) >= 0.93
+        got = sorted((int(x), int(y)) for i, j in linked_pairs(a, b, VectorSpec(bounded_rows=70, full_rows=9)) for x, y in zip(i, j, strict=True))
+        assert got == [tuple(x) for x in np.argwhere(want).tolist()] and 0 < len(got) < want.size
+
+
 def test_texts_of_one_doc_id_are_apart(spark, make):
     words = lambda k: " ".join(f"{k}w{i}" for i in range(60))
     rows = [(1, words("a")), (1, words("b")), (2, words("a") + " more"), (3, words("b") + " more"), (5, words("c")), (5, words("c") + " tail"), (5, words("d")), (7, words("d").upper()), (7, words("d"))]
