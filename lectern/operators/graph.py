@@ -66,15 +66,24 @@ def cited_edges(papers: DataFrame, references: DataFrame, cited: DataFrame | Non
     return both.select(F.col("r.paper_id").alias("src"), kind.alias("kind"), F.coalesce(F.col("w.local").cast("string"), "w.name").alias("dst"))
 
 
+def _term_rows(papers: DataFrame, keywords: DataFrame | None) -> DataFrame:
+    words = papers.select("paper_id", F.explode("keywords").alias("keyword")) if keywords is None else keywords
+    terms = words.select(F.col("paper_id").alias("src"), F.lit("has_keyword").alias("kind"), keyword(F.col("keyword")).alias("dst"))
+    fields = papers.select(F.col("paper_id").alias("src"), F.lit("in_field").alias("kind"), keyword(F.col("field")).alias("dst"))
+    return terms.unionByName(fields).filter("dst is not null and dst <> ''")
+
+
+def term_edges(papers: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """The edges of :func:`edges` that lead to terms: all that anchors and searches follow, without resolving any cited work."""
+    return _term_rows(papers, keywords).distinct()
+
+
 def edges(papers: DataFrame, references: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """(src, kind, dst) once each: has_keyword and in_field to terms, cross_cites to known papers, cites to other works.
 
     papers: paper_id, field, doi, title, and keywords (an array) unless they come as rows (paper_id, keyword). references: paper_id, doi, title.
     """
-    words = papers.select("paper_id", F.explode("keywords").alias("keyword")) if keywords is None else keywords
-    terms = words.select(F.col("paper_id").alias("src"), F.lit("has_keyword").alias("kind"), keyword(F.col("keyword")).alias("dst"))
-    fields = papers.select(F.col("paper_id").alias("src"), F.lit("in_field").alias("kind"), keyword(F.col("field")).alias("dst"))
-    return terms.unionByName(fields).unionByName(cited_edges(papers, references)).filter("dst is not null and dst <> ''").distinct()
+    return _term_rows(papers, keywords).unionByName(cited_edges(papers, references).filter("dst is not null and dst <> ''")).distinct()
 
 
 def nodes(papers: DataFrame, graph: DataFrame) -> DataFrame:
@@ -108,7 +117,7 @@ def anchors(graph: DataFrame, query: str) -> DataFrame:
     words = [w for w in query.lower().split() if w]
     grams = list(dict.fromkeys(" ".join(words[i : i + n]) for n in (3, 2, 1) for i in range(len(words) - n + 1)))
     grams = [g for g in grams if len(g) >= 2 and g != " ".join(words)][:MAX_NGRAMS]
-    names = graph.filter("kind in ('has_keyword', 'in_field')").select(F.col("dst").alias("term")).distinct()
+    names = saved(graph.filter("kind in ('has_keyword', 'in_field')").select(F.col("dst").alias("term")).distinct(), "terms")  # each layer reads them
     exact = names.filter(F.col("term") == " ".join(words)).select("term", F.lit(0).alias("layer"))
     gram = names.filter(F.col("term").isin(grams)).select("term", F.lit(1).alias("layer"))
     parts = [names.filter(F.col("term").contains(w)).orderBy("term").limit(PER_SUBSTRING).select("term", F.lit(2).alias("layer")) for w in words if len(w) >= 3]

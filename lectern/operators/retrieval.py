@@ -212,7 +212,7 @@ def recall(library: Library, question: str, query: Column | None, mode: str = "a
     """
     found = None
     if library.graph is not None and mode in ("auto", "graph", "all"):
-        found = G.anchors(library.graph, question)
+        found = saved(G.anchors(library.graph, question), "anchors")  # a few rows, read by each hop; else each would look for them in the whole graph again
     if mode == "auto" or intent == "auto":
         guessed, routed = understood(library.papers.sparkSession, question, bool(found is not None and found.take(1)))
         mode, intent = routed if mode == "auto" else mode, guessed if intent == "auto" else intent

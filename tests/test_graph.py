@@ -37,6 +37,17 @@ def test_edges_by_doi_and_title(library):
     }
 
 
+def test_term_edges_and_anchors_read_once(library, spark, monkeypatch):
+    """Searches follow edges to terms only, and a question's anchors are looked for once, not by each hop."""
+    whole = graph.edges(*library)
+    terms = graph.term_edges(library[0])
+    assert found(terms) == {e for e in found(whole) if "cites" not in e[1]}
+    calls = []
+    monkeypatch.setattr(retrieval, "saved", lambda df, label: calls.append(label) or df)
+    paths = retrieval.recall(retrieval.Library(library[0], graph=terms), "deep graphs", None, mode="graph")
+    assert "anchors" in calls and found(paths["graph"]) == found(graph.search(whole, graph.anchors(whole, "deep graphs")))
+
+
 def test_adding_and_removing(library, spark):
     papers, refs = library
     whole = found(graph.edges(papers, refs))
