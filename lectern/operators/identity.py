@@ -62,6 +62,11 @@ def displayed(references: DataFrame, works: DataFrame) -> DataFrame:
 
     references: paper_id, doi, title; works: doi, title, d, name.
     """
-    r, w = references.filter("title is not null and title <> ''").alias("r"), works.filter("name is not null").alias("w")
-    both = r.join(w, F.col("r.doi").eqNullSafe(F.col("w.doi")) & (F.col("r.title") == F.col("w.title"))).select("name", "paper_id", F.col("r.title").alias("title"), "d")
-    return both.groupBy("name").agg(F.min_by("title", F.struct("paper_id", "title")).alias("display"), F.min("d").alias("doi"), F.count_distinct("paper_id").alias("papers"))
+    r, w = references.filter("title is not null and title <> ''"), works.filter("name is not null").alias("w")
+    of_work = F.col("r.doi").eqNullSafe(F.col("w.doi")) & (F.col("r.title") == F.col("w.title"))
+    # Titles and DOIs are looked at by work, of which there are few; only names and papers are moved by reference.
+    first = F.when(F.count(F.lit(1)) == F.count("paper_id"), F.min("paper_id")).alias("first")
+    shown = r.groupBy("doi", "title").agg(first).alias("r").join(w, of_work).select("name", "first", F.col("r.title").alias("title"), "d")
+    shown = shown.groupBy("name").agg(F.min_by("title", F.struct("first", "title")).alias("display"), F.min("d").alias("doi"))
+    counts = r.alias("r").join(w, of_work).groupBy("name").agg(F.count_distinct("paper_id").alias("papers"))
+    return shown.join(counts, "name").select("name", "display", "doi", "papers")

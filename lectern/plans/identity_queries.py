@@ -34,9 +34,11 @@ def _registered(sql: str, views: str):
 def work_identities(spark, sf_dir):
     """Outside works that are one through chains of shared DOIs and titles, with the first title and the number of papers."""
     part = F.col("part")
-    base, k = F.floor(part / 12).cast("string"), part % 12
-    cut = (F.floor(part / 12) % 3 == 0) & (k == 6)
-    doi = F.when(~cut & (k != 11), F.concat(F.lit("10.0/"), base, F.lit("."), F.floor(k / 2).cast("string")))
-    title = F.when(cut, F.concat(F.lit("Lone work "), part.cast("string"))).otherwise(F.concat(F.lit("Work "), base, F.lit(" "), F.floor((k + 1) / 2).cast("string")))
-    cited = S.references(spark, sf_dir).select("paper_id", doi.alias("doi"), title.alias("title"))
+    base, k = F.expr("part div 12").cast("string"), part % 12
+    cut = (F.expr("part div 12") % 3 == 0) & (k == 6)
+    doi = F.when(~cut & (k != 11), F.concat(F.lit("10.0/"), base, F.lit("."), F.expr("part % 12 div 2").cast("string")))
+    title = F.when(cut, F.concat(F.lit("Lone work "), part.cast("string"))).otherwise(F.concat(F.lit("Work "), base, F.lit(" "), F.expr("(part % 12 + 1) div 2").cast("string")))
+    # A paper may cite a work in several lines: works are distinct, and papers are counted once each.
+    lines = S.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("part"))
+    cited = lines.select("paper_id", doi.alias("doi"), title.alias("title"))
     return identity.displayed(cited, graph.works(cited))

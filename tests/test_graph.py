@@ -48,6 +48,18 @@ def test_term_edges_and_anchors_read_once(library, spark, monkeypatch):
     assert "anchors" in calls and found(paths["graph"]) == found(graph.search(whole, graph.anchors(whole, "deep graphs")))
 
 
+def test_displayed_works_move_names_and_papers_only(spark):
+    """Titles are chosen among works, not among references: the count of papers by reference carries no title along."""
+    from lectern.operators import identity
+
+    refs = spark.createDataFrame([(7, None, "b"), (7, None, "b"), (3, "D", "c"), (9, "D", "a"), (9, "d", "a"), (4, None, ""), (5, None, None)], "paper_id bigint, doi string, title string")
+    works = spark.createDataFrame([(None, "b", None, "b"), ("D", "c", "d", "d"), ("D", "a", "d", "d"), ("d", "a", "d", "d"), (None, "x", None, None)], "doi string, title string, d string, name string")
+    out = identity.displayed(refs, works)
+    assert found(out) == {("b", "b", None, 1), ("d", "c", "d", 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" in plan and not [x for x in plan.splitlines() if "min_by" in x and "count(distinct" in x]
+
+
 def test_adding_and_removing(library, spark):
     papers, refs = library
     whole = found(graph.edges(papers, refs))
