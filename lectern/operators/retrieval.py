@@ -76,9 +76,13 @@ def query_terms(query: str) -> list[str]:
 
 def postings(papers: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
     """(paper_id, term, tf, length): the inverted index over the given columns."""
-    words = papers.select("paper_id", F.regexp_extract_all(folded(F.concat_ws(" ", *columns)), F.lit(TOKEN), F.lit(0)).alias("terms"))
-    words = words.select("paper_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return words.groupBy("paper_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    words = papers.select("paper_id", F.sort_array(F.regexp_extract_all(folded(F.concat_ws(" ", *columns)), F.lit(TOKEN), F.lit(0))).alias("terms"))
+    words = words.select("paper_id", "terms", F.size("terms").alias("length")).filter("length > 0")
+    # Within a paper's sorted words, a term's number is how far the next term is: nothing is shuffled to count.
+    opens = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    words = words.select("paper_id", "terms", "length", opens.alias("opens"))
+    counts = F.transform("opens", lambda i, k: F.struct(F.get("terms", i).alias("term"), (F.coalesce(F.get("opens", k + 1), "length") - i).cast("bigint").alias("tf")))
+    return words.select("paper_id", "length", F.inline(counts)).select("paper_id", "term", "length", "tf")
 
 
 def lengths(papers: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:

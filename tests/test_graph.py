@@ -163,3 +163,10 @@ def test_only_edges_to_outside_works_are_joined_by_name(spark):
     # Terms with edges without number would meet in one task of a join.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join" in line and "cites" in line for line in plan.splitlines())
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    papers = spark.createDataFrame([(1, "b a", "A, b: b", None), (2, None, "...", None), (3, "x", None, "x y")], "paper_id bigint, title string, abstract string, keywords string")
+    index = retrieval.postings(papers)
+    assert found(index) == {(1, "a", 5, 2), (1, "b", 5, 3), (3, "x", 3, 2), (3, "y", 3, 1)}
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
