@@ -42,8 +42,17 @@ def chunks(paragraphs: Column) -> Column:
     return F.transform(out, lambda c: F.substring(c, 1, INPUT))
 
 
-def located(citations: DataFrame, section_pages: DataFrame) -> DataFrame:
-    """Citations (paper_id, citation, page) with the first section (section, page_start, page_end) that spans the page."""
+#: Rows of either side that are joined in one task, about.
+JOINED_ROWS = 250_000
+
+
+def located(citations: DataFrame, section_pages: DataFrame, per_task: int = JOINED_ROWS) -> DataFrame:
+    """Citations (paper_id, citation, page) with the first section (section, page_start, page_end) that spans the page.
+
+    Both sides are dealt by paper to as many tasks as their rows ask for, so what a task sorts and holds doesn't grow with the table.
+    """
+    n = max(int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(citations.count(), section_pages.count()) // per_task))
+    citations, section_pages = citations.repartition(n, "paper_id"), section_pages.repartition(n, "paper_id")
     on = (F.col("c.paper_id") == F.col("s.paper_id")) & (F.col("page") >= F.col("page_start")) & (F.col("page") <= F.col("page_end"))
     found = citations.alias("c").join(section_pages.alias("s"), on, "left").groupBy(F.col("c.paper_id").alias("paper_id"), "citation")
     return found.agg(F.min("section").alias("section"))

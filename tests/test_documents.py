@@ -25,3 +25,12 @@ def test_one_group_is_spread_over_tasks(spark):
     n = np.arange(20_000) * 7919 % 100_003
     assert (got.pages, got.median, got.p10, got.p25) == (20_000, *(float(np.quantile(n, q)) for q in (0.5, 0.1, 0.25)))
     assert documents.page_statistics(df.limit(0), "g").count() == 0
+
+
+def test_citations_are_located_in_tasks_of_bounded_rows(spark):
+    """As many tasks as the rows ask for, whatever the number of shuffle partitions is."""
+    cited = spark.createDataFrame([(p, 100 + p, p % 4) for p in range(40)] + [(1, 7, 9)], "paper_id bigint, citation bigint, page int")
+    spans = spark.createDataFrame([(p, s, s, s + 1) for p in range(40) for s in (0, 1, 2)], "paper_id bigint, section int, page_start int, page_end int")
+    out = documents.located(cited, spans, per_task=10)
+    assert out.rdd.getNumPartitions() == 12
+    assert {tuple(r) for r in out.collect()} == {(p, 100 + p, max(0, p % 4 - 1)) for p in range(40)} | {(1, 7, None)}
