@@ -6,11 +6,14 @@ Blocks are rows (doc, seq, text, size, y0, y1): the text blocks of first pages w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed as X
 from lectern.functions.text import DOI_PATTERN, matches, stripped
+from lectern.plans.shared import saved
 
 
 def bare_title(text: Column) -> Column:
@@ -51,12 +54,16 @@ def split_affiliations(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: stripped(F.regexp_replace(p, r"(?U)^[a-z0-9,\*\s]+", ""))), lambda p: F.length(p) > X.LEAST_AFFILIATION)
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is taken once, however often f names it: a pattern's pass over a whole text is long."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def abstract(text: Column) -> Column:
     """What follows the last label of an abstract on a page, up to what can't belong to it, else 5000 characters; lines joined, blank lines kept."""
-    parts = F.split(text, f"(?Ui){X.ABSTRACT_LABEL}")
-    rest = F.when(F.size(parts) > 1, F.element_at(parts, -1))
-    cut = F.split(rest, "(?Ui)" + "|".join(X.ABSTRACT_ENDS), 2)
-    out = stripped(F.when(F.size(cut) > 1, cut[0]).otherwise(F.substring(rest, 1, X.ABSTRACT_CHARS)))
+    last = lambda parts: F.when(F.size(parts) > 1, F.element_at(parts, -1))
+    ended = lambda rest: _once(F.split(rest, "(?Ui)" + "|".join(X.ABSTRACT_ENDS), 2), lambda cut: F.when(F.size(cut) > 1, cut[0]).otherwise(F.substring(rest, 1, X.ABSTRACT_CHARS)))
+    out = stripped(_once(_once(F.split(text, f"(?Ui){X.ABSTRACT_LABEL}"), last), ended))
     for pattern, by in ((r"(?U)\n[A-Z][a-z]+(?:\s+[a-z]+){0,3}\s*\n(?=[a-z])", "\n"), (r"\n(?:Dataset link:.*?)(?=\n)", ""), (r"\n[Bb]/.*?(?=\n)", ""), (r"\n{3,}", "\n\n"), (r"\n([^\n])", " $1"), (" {2,}", " ")):
         out = F.regexp_replace(out, pattern, by)
     return F.coalesce(stripped(out), F.lit(""))
@@ -124,10 +131,14 @@ def affiliations(blocks: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def front_matter(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc, title, authors, affiliations, abstract, keywords, doi): one row for every first page."""
+    """(doc, title, authors, affiliations, abstract, keywords, doi): one row for every first page.
+
+    Blocks, titles and authors are written once each, as every later step reads them again, more than once.
+    """
     none = F.array().cast("array<string>")
-    heads = titles(blocks, pages)
-    heads = heads.join(authors(blocks, heads), "doc", "left").withColumn("authors", F.coalesce("authors", none))
+    blocks = saved(blocks.select("doc", "seq", "text", "size", "y0", "y1"), "blocks")
+    heads = saved(titles(blocks, pages), "titles")
+    heads = saved(heads.join(authors(blocks, heads), "doc", "left").withColumn("authors", F.coalesce("authors", none)), "heads")
     out = heads.join(affiliations(blocks, heads), "doc", "left").join(pages.select("doc", "text"), "doc")
     return out.select("doc", "title", "authors", F.coalesce("affiliations", none).alias("affiliations"), abstract(F.col("text")).alias("abstract"), keywords(F.col("text")).alias("keywords"), page_doi(F.col("text")).alias("doi"))
 

@@ -109,3 +109,12 @@ def test_titles_of_layout_blocks(spark):
     assert [(r.doc, r.title) for r in found.collect()] == [(0, "A title of a paper")]
     fronts = spark.createDataFrame([(0, "A title"), (1, "Kept title")], "doc int, title string")
     assert sorted((r.doc, r.title) for r in fm.with_block_titles(fronts, found).collect()) == [(0, "A title of a paper"), (1, "Kept title")]
+
+
+def test_an_abstract_takes_each_pattern_once(spark):
+    """A pattern goes over the whole text: splits at the label and at the end are each in the plan once."""
+    from lectern.operators.front_matter import abstract
+
+    out = spark.createDataFrame([("Abstract\nWhat it says.\n\n1. Introduction\nmore",), ("nothing",), (None,)], "text string").select(abstract(F.col("text")).alias("a"))
+    assert [r.a for r in out.collect()] == ["What it says.", "", ""]
+    assert out._jdf.queryExecution().analyzed().toString().count("split(") == 2
