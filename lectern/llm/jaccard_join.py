@@ -9,9 +9,10 @@ min(l, l') prefix tokens before it is verified.
 1. One pass over the texts keeps per document its set's size, hash and a bitmap, and counts tokens lossily: those
    seen twice in a chunk are summed by Spark, and the most frequent (at most ``max_frequent``) set the order.
 2. A second pass emits prefix tokens of distinct sets; one shuffle by token makes the lists, with frequent tokens' lists in
-   parts. Tokens of one set only vanish. The texts of the sets in a list are written once, for all that follows.
+   parts. Tokens of one set only vanish.
 3. Each set is paired with the head of the lists that it shares most often with; bitmaps drop impossible pairs and
-   the rest are verified on whole texts. This joins large groups of copies through few pairs.
+   the rest are verified on whole texts. This joins large groups of copies through few pairs. Wherever pairs are verified,
+   only the texts of their ends are moved, and sketches as long as a set asks for drop most pairs of long texts first.
 4. Across the components found so far, each set's likeliest partner is verified, a few times over; then all pairs that are
    left in different components and share enough prefix tokens. Pairs inside a component need no check, so the
    components are exact.
@@ -24,7 +25,6 @@ component_id; very long texts are read whole; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, lean_group, parallelism, short_batches, sweep
+from .common import Scratch, lean, lean_group, short_batches, sweep
 from .graph import components, merged
 from .rolling import Prefix, mix64, words
 
@@ -51,6 +51,8 @@ class JoinSpec:
     cost_unit: int = 256
     max_match: int = 12
     bitmap_bits: int = 2048
+    #: Bits of a sketch for each token of a set, at least.
+    sketch_bits: int = 8
     #: Times that each node's likeliest partner is verified before all pairs that are left.
     rounds: int = 2
     #: Pairs that one copy of a text is compared in.
@@ -116,6 +118,8 @@ def prefix_length(n: int | np.ndarray, match: int | np.ndarray, percent: int) ->
 
 #: Parts of a frequent token's list.
 SALTS = 256
+#: Words of 64 bits that say which nodes' texts are asked for; they are broadcast.
+ASKED = 1 << 20
 NO_PAIRS = pd.DataFrame({k: np.empty(0, np.int64) for k in ("a", "b", "c", "need")})
 
 
@@ -129,6 +133,22 @@ def _room(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: i
     return most * (100 + percent) >= percent * (n + m)
 
 
+def _sketch(grams: np.ndarray, bits: int) -> bytes:
+    """A bitmap of a set with so many bits a token or more, a power of two of at least 64 in all."""
+    size = max(64, 1 << (bits * len(grams) - 1).bit_length())
+    out = np.zeros(size, bool)
+    out[(grams >> np.uint64(20)) & np.uint64(size - 1)] = True
+    return np.packbits(out).tobytes()
+
+
+def _sketch_room(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether sets of sizes n and m with these sketches may share enough; the longer sketch is folded to the other's length."""
+    a, b = (np.frombuffer(s, np.uint64) for s in (x, y))
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(s.reshape(-1, size), axis=0)[None] for s in (a, b))
+    return bool(_room(a, b, np.asarray([n]), np.asarray([m]), percent)[0])
+
+
 def _small_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Possible pairs within each of many small heads, all heads at once."""
     if not len(rows):
@@ -185,7 +205,6 @@ class JaccardJoin:
         short_batches(self.spark)
         self.scratch = Scratch(self.spark, "jaccard")
         self.rows = self.docs.select("doc_id", "text")
-        self.table = f"jaccard_{uuid.uuid4().hex}"
         self.salt = 0
 
     def _survey(self) -> DataFrame:
@@ -272,6 +291,7 @@ class JaccardJoin:
         entries = entries.withColumn("head", F.min(F.struct("h1", "info")).over(whole)).withColumn("last", F.max("h1").over(whole)).withColumn("before", F.lag("h1").over(part.orderBy("h1")))
         entries = entries.filter("(salt > 0 or head.h1 < last) and (before is null or before < h1)").drop("before")
         entries = self.scratch.save(entries, "parts")
+        sweep(self.spark)
         # At most max_frequent tokens.
         joint = entries.filter("salt > 0").groupBy("token").agg(F.min("head").alias("first"), F.max("last").alias("end"))
         lists = entries.join(F.broadcast(joint), "token", "left").withColumn("head", F.coalesce("first", "head")).withColumn("last", F.coalesce("end", "last"))
@@ -303,9 +323,11 @@ class JaccardJoin:
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
         return both.mapInArrow(lean(room), "a bigint, b bigint").distinct()
 
-    def _linked(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def _linked(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         """Those of the pairs whose sets, taken from the whole texts, are similar."""
         spec = self.spec
+        pairs = self.scratch.save(self._roomy(pairs, self._sketches(pairs, nodes, name)), f"{name}roomy")
+        texts = self._texts(pairs, nodes, name)
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last: tuple = (None, None)
@@ -322,18 +344,34 @@ class JaccardJoin:
                 yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], ["a", "b"])
 
         # The end with more pairs comes first: its text is moved once for many pairs, and only the other ends' once for each.
-        ends = pairs.select("a", "b")
-        often = ends.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        often = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
         of = lambda end: often.select(F.col("x").alias(end), F.col("n").alias(f"n{end}"))
         turned = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-        pairs = ends.join(of("a"), "a").join(of("b"), "b").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
-        # Texts lie by node, so only texts of pairs move. A node with many pairs has its text in several places.
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+        # A node with many pairs has its text in several places.
         per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / spec.pairs_per_text).cast("int").alias("places"))
         dealt = pairs.select("a", "b").join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
         right = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         left = per.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", F.explode(F.expr("sequence(0, places - 1)")).alias("place"))
         both = right.join(left, ["a", "place"])
-        return both.select("a", "b", "ta", "tb").mapInArrow(lean(verify), "a bigint, b bigint").distinct()
+        links = self.scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(lean(verify), "a bigint, b bigint").distinct(), name)
+        for used in ("sketchesends", "sketches", "roomy", "textsends", "texts"):
+            self.scratch.drop(f"{name}{used}")
+        sweep(self.spark)
+        return links
+
+    def _roomy(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Pairs whose sketches leave enough room for shared tokens: bitmaps of one length are full where sets are large."""
+        percent = self.spec.percent
+
+        def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = pa.array([_sketch_room(x, y, n, m, percent) for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
+
+        of = lambda s: sketches.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+        both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+        return both.mapInArrow(lean(room), "a bigint, b bigint")
 
     def _node(self) -> Column:
         """A document's number among the sets: rows of one doc_id with different texts are different nodes."""
@@ -350,15 +388,44 @@ class JaccardJoin:
                 return out
             self.salt += 1  # two sets got one number: number all anew
 
-    def _texts(self, lists: DataFrame, nodes: DataFrame) -> DataFrame:
-        """(node, text) of all sets in a list, one row each, in buckets by node: the one place where the corpus's texts are moved."""
-        n = parallelism(self.spark)
-        wanted = nodes.join(lists.select("h1").distinct(), "h1", "left_semi").select("node", F.col("doc_id").alias("own"), F.col("text_hash").alias("wanted"))
-        texts = self.rows.filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).select(self._node().alias("node"), "doc_id", "text_hash", "text")
-        texts = texts.repartition(n, "node").join(wanted, "node").filter("doc_id = own and text_hash = wanted").dropDuplicates(["node"]).select("node", "text")
-        texts.write.bucketBy(n, "node").sortBy("node").option("path", self.scratch.path("texts")).option("compression", "zstd").saveAsTable(self.table)
-        sweep(self.spark)
-        return self.spark.table(self.table)
+    def _ends(self, pairs: DataFrame, nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The pairs' ends (node, own, wanted), and rows (node, doc_id, text_hash, text) that hold those of all ends.
+
+        Other texts are left where they are read: a node's number picks a bit among ASKED words, which are broadcast. Few rows
+        pass that aren't an end's, but where ends are far more than bits, all do; a join with the ends decides.
+        """
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = self.scratch.save(nodes.select("node", F.col("doc_id").alias("own"), F.col("text_hash").alias("wanted")).join(ends, "node", "left_semi"), f"{name}ends")
+        word, bit = F.pmod("node", F.lit(ASKED)), F.expr(f"shiftleft(1L, cast(pmod(node div {ASKED}, 64) as int))")
+        asked = ends.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+        rows = self.rows.filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).select(self._node().alias("node"), "doc_id", "text_hash", "text")
+        return ends, rows.withColumn("word", word).join(F.broadcast(asked), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+    def _of_ends(self, rows: DataFrame, ends: DataFrame, name: str) -> DataFrame:
+        """One of the rows of each end."""
+        # Dealt by node before the join, so that what follows the join needn't deal them again.
+        rows = rows.repartition("node").join(ends, "node").filter("doc_id = own and text_hash = wanted").dropDuplicates(["node"])
+        return self.scratch.save(rows.drop("doc_id", "text_hash", "own", "wanted"), name)
+
+    def _texts(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, text) of the pairs' ends."""
+        ends, rows = self._ends(pairs, nodes, f"{name}texts")
+        return self._of_ends(rows, ends, f"{name}texts")
+
+    def _sketches(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, n, sketch) of the pairs' ends, made where the texts are read."""
+        spec = self.spec
+
+        def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, texts in _chunks(batches, spec.chunk_bytes):
+                grams, bounds = shingle_sets(texts, spec.shingle)
+                maps = [_sketch(grams[lo:hi], spec.sketch_bits) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+                own = [rows.column(c) for c in ("node", "doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(bounds)), pa.array(maps, pa.binary())], ["node", "doc_id", "text_hash", "n", "sketch"])
+
+        ends, rows = self._ends(pairs, nodes, f"{name}sketches")
+        rows = rows.mapInArrow(lean(sketches), "node bigint, doc_id bigint, text_hash bigint, n bigint, sketch binary")
+        return self._of_ends(rows, ends, f"{name}sketches")
 
     def _shared(self, lists: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
         """(head, node, info, tokens): the nodes of lists that hold several components, by the lists' head.
@@ -386,17 +453,17 @@ class JaccardJoin:
         sizes = rows.groupBy("head", "component").agg(F.count(F.lit(1)).alias("n"))
         sizes = sizes.groupBy("head").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor")).filter("minor > 0")
         large = F.col("n") > spec.small
-        sizes = sizes.select("head", "main", "n", *(F.when(large, F.ceil(F.col(c) / spec.block)).otherwise(1).cast("int").alias(k) for c, k in (("minor", "rows"), ("n", "cols"))))
+        sizes = sizes.select("head", "main", "n", *(F.when(large, F.ceil(F.col(c) / spec.block)).otherwise(1).cast("bigint").alias(k) for c, k in (("minor", "rows"), ("n", "cols"))))
         full = rows.join(sizes, "head").join(nodes.select("node", "bitmap"), "node")
         buckets = max(1, -(-shared.count() // spec.bucket_rows))
-        spot, small = F.xxhash64("node"), F.col("n") <= spec.small
-        cell = lambda d, row, col, left: d.withColumn("row", row).withColumn("col", col).withColumn("left", F.lit(left))
-        zero, each = F.lit(0).cast("bigint"), lambda k: F.explode(F.expr(f"sequence(0L, {k} - 1L)"))
-        sides = cell(full.filter(small), zero, zero, True)
-        sides = sides.unionByName(cell(full.filter(~small & (F.col("component") != F.col("main"))), F.pmod(spot, F.col("rows")).cast("bigint"), each("cols"), True))
-        sides = sides.unionByName(cell(full.filter(~small), each("rows"), F.pmod(spot, F.col("cols")).cast("bigint"), False))
-        group = F.when(small, F.pmod(F.xxhash64("head"), F.lit(buckets))).otherwise(F.xxhash64("head", "row", "col"))
-        sides = sides.select(group.alias("grp"), "head", "row", "col", "left", (~small).alias("large"), "node", "info", "component", "main", "tokens", "bitmap")
+        # All cells of a row at once: a union of sides would deal the rows anew for each.
+        cell = "named_struct('row', {}, 'col', {}, 'left', {})"
+        left = f"if(component <> main, transform(sequence(0L, cols - 1L), c -> {cell.format('pmod(xxhash64(node), rows)', 'c', 'true')}), array())"
+        right = f"transform(sequence(0L, rows - 1L), r -> {cell.format('r', 'pmod(xxhash64(node), cols)', 'false')})"
+        cells = F.explode(F.expr(f"if(n <= {spec.small}, array({cell.format('0L', '0L', 'true')}), concat({left}, {right}))"))
+        sides = full.withColumn("large", large).withColumn("cell", cells).select("*", "cell.*")
+        group = F.when(~F.col("large"), F.pmod(F.xxhash64("head"), F.lit(buckets))).otherwise(F.xxhash64("head", "row", "col"))
+        sides = sides.select(group.alias("grp"), "head", "row", "col", "left", "large", "node", "info", "component", "main", "tokens", "bitmap")
 
         def match(rows: pd.DataFrame) -> pd.DataFrame:
             out = [_small_pairs(rows[~rows["large"]], percent)]
@@ -416,25 +483,17 @@ class JaccardJoin:
 
     def run(self) -> DataFrame:
         """(doc_id, text_hash, n_shingles, component_id, kept) for every document; ``kept`` marks one doc_id and text of each component."""
-        try:
-            return self._run()
-        finally:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-            self.scratch.drop("texts")
-
-    def _run(self) -> DataFrame:
         survey = self._survey()
         sets = survey.filter("h2 is not null")
         lists = self._prefixes(*self._frequent(survey))
         nodes = self._nodes(sets)
         keys = nodes.select("h1", "node")
-        texts = self._texts(lists, nodes)
         # Heads of lists first: the one that a set shares most lists with.
         best = lists.filter("h1 <> head").filter(self._fits("info", "head_info")).groupBy("h1", "head").agg(F.count(F.lit(1)).alias("c"))
         best = best.groupBy("h1").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
         pairs = best.join(keys.withColumnRenamed("node", "b"), "h1").join(keys.select(F.col("h1").alias("head"), F.col("node").alias("a")), "head").select("a", "b")
         pairs = self.scratch.save(self._possible(pairs, nodes), "pairs1")
-        links = self.scratch.save(self._linked(pairs, texts), "links1")
+        links = self._linked(pairs, nodes, "links1")
         found = self.scratch.save(components(links, self.scratch), "found1")
         # Then whatever the lists hold across those components. Each node's likeliest partner elsewhere goes first, a few
         # times over: where links are dense, that joins the components, and the pairs inside them need no check.
@@ -446,13 +505,13 @@ class JaccardJoin:
             best = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             best = self.scratch.save(best if seen is None else best.join(seen, ["a", "b"], "left_anti"), f"best{turn}")
             seen = best if seen is None else seen.unionByName(best)
-            more = self.scratch.save(self._linked(best, texts), f"links2{turn}")
+            more = self._linked(best, nodes, f"links2{turn}")
             found = merged(found, more, self.scratch, f"found2{turn}")
             sweep(self.spark)
         rest = self._across(shared, nodes, found, best=False).select("a", "b")
         rest = self.scratch.save(rest if seen is None else rest.join(seen, ["a", "b"], "left_anti"), "rest")
         sweep(self.spark)
-        final = merged(found, self.scratch.save(self._linked(rest, texts), "links3"), self.scratch, "found3")
+        final = merged(found, self._linked(rest, nodes, "links3"), self.scratch, "found3")
         # A component is named by its smallest doc_id; the text that stands for it is the first one under that doc_id.
         tops = nodes.select("node", "h1", "h2", "doc_id", "text_hash").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = tops.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))

@@ -8,8 +8,9 @@ import random
 import numpy as np
 import pytest
 
+from lectern.llm.common import Scratch
 from lectern.llm.embedding_dedup import VectorSpec, near_duplicates
-from lectern.llm.jaccard_join import JoinSpec, keep_one, prefix_length, similar_components
+from lectern.llm.jaccard_join import JoinSpec, _sketch, _sketch_room, keep_one, prefix_length, similar_components
 from lectern.llm.substring_dedup import RepeatSpec, equal_classes, find_repeats, remove_repeats
 
 
@@ -65,6 +66,41 @@ def test_jaccard_empty_and_null_ids(make):
     assert keep_one(make([(None, "a"), (1, "b")])).count() == 2
 
 
+def test_jaccard_moves_texts_of_pairs_only(make, monkeypatch):
+    """Long texts that share a line, and so a list, but are no possible pairs stay where they are read."""
+    save, moved = Scratch.save, []
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if "text" in out.columns:
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    rng = random.Random(5)
+    texts = [" ".join(["a line that all texts share", *(f"{rng.getrandbits(400):0100x}" for _ in range(200))]) for _ in range(50)]
+    rows = [*enumerate(texts), (500, texts[7] + " and more")]
+    got = {r.doc_id: r.component_id for r in similar_components(make(rows)).collect()}
+    assert got == {i: 7 if i == 500 else i for i, _ in rows}
+    assert moved and max(moved) == 2
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+def test_sketches_drop_no_similar_pair(bits):
+    rng = np.random.default_rng(3)
+    dropped = 0
+    for n in (1, 5, 70, 3000, 20_000):
+        for share in (0.5, 0.6, 0.75, 0.85, 0.86, 1.0):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            same = x[: math.ceil(share * n)]
+            y = np.unique(np.concatenate([same, rng.integers(0, 1 << 63, n - len(same) if n % 2 else 0, dtype=np.uint64)]))
+            room = _sketch_room(_sketch(x, bits), _sketch(y, bits), len(x), len(y), 75)
+            if 100 * len(same) >= 75 * (len(x) + len(y) - len(same)):
+                assert room
+            dropped += n == 20_000 and share <= 0.6 and not room
+    assert bits == 1 or dropped == 2
+
+
 def test_jaccard_of_long_texts_and_odd_columns(make):
     """Two texts of 120,000 words that differ in a few, beside rows with the same ids and a column with a dot in its name."""
     rng = np.random.default_rng(3)
